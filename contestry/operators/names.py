@@ -1,0 +1,231 @@
+"""Entity-name canonicalization."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Mapping, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from contestry.schemas import DataQualityError
+
+# Apostrophe look-alikes, each replaced by a straight quote.
+APOSTROPHES = "’‘ʼ`"
+
+# Alternative spelling -> canonical spelling.
+ALIASES = {
+    "USA": "United States",
+    "United States of America": "United States",
+    "Czechia": "Czech Republic",
+    "Türkiye": "Turkey",
+    "Turkiye": "Turkey",
+    "Holland": "Netherlands",
+    "Ireland": "Republic of Ireland",
+    "Eire": "Republic of Ireland",
+    "Bosnia-Herzegovina": "Bosnia and Herzegovina",
+    "Bosnia & Herzegovina": "Bosnia and Herzegovina",
+    "Bosnia": "Bosnia and Herzegovina",
+    "Macedonia": "North Macedonia",
+    "FYR Macedonia": "North Macedonia",
+    "Korea Republic": "South Korea",
+    "Republic of Korea": "South Korea",
+    "Korea DPR": "North Korea",
+    "Korea, DPR": "North Korea",
+    "IR Iran": "Iran",
+    "China PR": "China",
+    "Saudi": "Saudi Arabia",
+    "Côte d'Ivoire": "Ivory Coast",
+    "Cote d'Ivoire": "Ivory Coast",
+    "Congo DR": "DR Congo",
+    "Democratic Republic of the Congo": "DR Congo",
+    "Cape Verde Islands": "Cape Verde",
+    "Cabo Verde": "Cape Verde",
+    "Swaziland": "Eswatini",
+}
+
+# An alias map above this many entries is joined by shuffle, not broadcast.
+MAX_BROADCAST_NAMES = 200_000
+
+
+class UnknownNameError(DataQualityError):
+    """A name is empty, or not in the set of known names."""
+
+
+def clean_name(name: Column) -> Column:
+    """Straight apostrophes, single spaces, no padding; case and accents stay."""
+    straight = F.translate(name, APOSTROPHES, "'" * len(APOSTROPHES))
+    return F.trim(F.regexp_replace(straight, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def fold_text(text: str) -> str:
+    """Matching key of an already cleaned name: no accents, no case."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return " ".join(bare.split()).casefold()
+
+
+@F.pandas_udf(T.StringType())
+def fold_name(name: pd.Series) -> pd.Series:
+    """Matching key per name (N2). Spark has no Unicode normalization function, so this runs
+    in Arrow batches, and callers apply it to distinct names only."""
+    return name.map(fold_text, na_action="ignore")
+
+
+def alias_table(spark, aliases: Mapping[str, str]) -> DataFrame:
+    """Folded spelling -> canonical name; canonical names map to themselves."""
+    straight = str.maketrans({c: "'" for c in APOSTROPHES})
+
+    def key(text: str) -> str:
+        return fold_text(str(text).translate(straight))
+
+    index: dict[str, str] = {}
+    for alias, canonical in aliases.items():
+        index[key(alias)] = canonical
+        index.setdefault(key(canonical), canonical)
+    return spark.createDataFrame(
+        sorted(index.items()) or [], "_key string, _canonical string"
+    )
+
+
+def distinct_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every distinct cleaned, non-null name of the columns, from one scan."""
+    names = F.explode(F.array(*[clean_name(F.col(c)) for c in columns])).alias("name")
+    return df.select(names).filter(F.col("name").isNotNull()).distinct()
+
+
+def alias_hits(names: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+    """(name, canonical) for the distinct names whose spelling the alias map changes."""
+    table = alias_table(names.sparkSession, aliases)
+    if len(aliases) <= MAX_BROADCAST_NAMES:
+        table = F.broadcast(table)
+    return (
+        names.select("name", fold_name("name").alias("_key"))
+        .join(table, "_key")
+        .filter(F.col("name") != F.col("_canonical"))
+        .select("name", F.col("_canonical").alias("canonical"))
+    )
+
+
+def canonicalize(
+    df: DataFrame,
+    columns: Sequence[str],
+    aliases: Mapping[str, str] | None = None,
+    known: DataFrame | None = None,
+    strict: bool = False,
+) -> DataFrame:
+    """The frame with its name columns in canonical form.
+
+    An unknown name passes through cleaned; nothing is guessed. ``strict`` raises on empty
+    names, ``known`` (a table with a ``name`` column) on names outside it. Only spellings
+    that change are joined back, and that table is broadcast only while it is small.
+    """
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        raise KeyError(f"columns not found: {absent}")
+    if strict:
+        blank = F.count_if(
+            F.greatest(*[F.coalesce(clean_name(F.col(c)) == "", F.lit(True)) for c in columns])
+            if len(columns) > 1
+            else F.coalesce(clean_name(F.col(columns[0])) == "", F.lit(True))
+        )
+        n_blank = df.agg(blank.alias("n")).first().n
+        if n_blank:
+            raise UnknownNameError(f"{n_blank} row(s) with an empty name in {list(columns)}")
+    hits = alias_hits(distinct_names(df, columns), ALIASES if aliases is None else aliases)
+    small = hits.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES
+    out = df
+    for c in columns:
+        side = hits.select(F.col("name").alias("_name"), F.col("canonical").alias("_to"))
+        cleaned = out.withColumn(c, clean_name(F.col(c)))
+        joined = cleaned.join(
+            F.broadcast(side) if small else side, F.col(c) == F.col("_name"), "left"
+        )
+        out = joined.withColumn(c, F.coalesce("_to", c)).drop("_name", "_to")
+    if known is not None:
+        unknown = unknown_names(out, columns, known, aliases)
+        sample = [r.name for r in unknown.limit(10).collect()]
+        if sample:
+            raise UnknownNameError(f"names not in the known set, first {len(sample)}: {sample}")
+    return out
+
+
+def unknown_names(
+    df: DataFrame,
+    columns: Sequence[str],
+    known: DataFrame,
+    aliases: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Distinct canonical names that are not in ``known`` (N5, U4), as column ``name``."""
+    names = distinct_names(df, columns).filter(F.col("name") != "")
+    hits = alias_hits(names, ALIASES if aliases is None else aliases)
+    canonical = names.join(hits, "name", "left").select(
+        F.coalesce("canonical", "name").alias("name")
+    )
+    return canonical.join(known.select("name"), "name", "left_anti").distinct()
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """(name, length, gram): padded character pairs, repeats numbered to make a set."""
+    padded = F.concat(F.lit("\u0001"), F.col("name"), F.lit("\u0002"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2))
+    )
+    numbered = F.transform(
+        pairs,
+        lambda g, i: F.concat(
+            g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")
+        ),
+    )
+    return names.select(
+        "name", F.length("name").alias("_len"), F.explode(numbered).alias("_gram")
+    )
+
+
+def nearest_names(unknown: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """For each unknown name the closest known one, if similar enough.
+
+    Similarity is one minus edit distance over the longer length; ties go to the smaller
+    name. The measure differs from a longest-block ratio, the 0.6 cut-off is the same.
+
+    No pair is formed just because two names exist. A name of length L has L + 1 padded
+    character pairs and an edit spoils at most two, so similar names share at least
+    ``L + 1 - 2(1 - cutoff)L`` pairs. Of each name only its rarest pairs are indexed, as many
+    as are needed for two similar names to meet in one of them, and lengths must be
+    compatible; so a frequent pair does not bring half the table together.
+    """
+    if not 0.5 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0.5 for the shared-pair bound to hold")
+    left, right = _grams(unknown.select("name")), _grams(known.select("name"))
+    counts = left.unionByName(right).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+
+    def rarest(grams: DataFrame) -> DataFrame:
+        listed = (
+            grams.join(counts, "_gram")
+            .groupBy("name", "_len")
+            .agg(F.sort_array(F.collect_list(F.struct("_n", "_gram"))).alias("_all"))
+        )
+        shared = F.ceil(F.col("_len") + 1 - 2 * (1 - cutoff) * F.col("_len") - 1e-9)
+        keep = F.col("_len") + 2 - F.greatest(shared, F.lit(1))
+        return listed.select(
+            "name", "_len", F.explode(F.slice("_all", F.lit(1), keep.cast("int"))).alias("_g")
+        ).select("name", "_len", F.col("_g._gram").alias("_gram"))
+
+    low = F.ceil(F.col("_len") * cutoff - 1e-9).cast("int")
+    high = F.floor(F.col("_len") / cutoff + 1e-9).cast("int")
+    asks = rarest(left).select("name", "_gram", F.explode(F.sequence(low, high)).alias("_len"))
+    has = rarest(right).withColumnRenamed("name", "candidate")
+    pairs = asks.join(has, ["_gram", "_len"]).select("name", "candidate").distinct()
+    longest = F.greatest(F.length("name"), F.length("candidate"))
+    scored = pairs.withColumn(
+        "similarity", 1.0 - F.levenshtein("name", "candidate") / longest
+    ).filter(F.col("similarity") >= cutoff)
+    best = scored.groupBy("name").agg(
+        F.min(F.struct((-F.col("similarity")).alias("d"), F.col("candidate"))).alias("_best")
+    )
+    return best.select(
+        "name",
+        F.col("_best.candidate").alias("nearest"),
+        (-F.col("_best.d")).alias("similarity"),
+    )

@@ -1,0 +1 @@
+"""No streaming operators: every input of this workload is a bounded table read whole."""
