@@ -117,39 +117,58 @@ def number_rows(
     return cold.unionByName(number_hot(hot_rows, keys, order, name))
 
 
-def kth_value(df: DataFrame, value: Column, k: int) -> tuple[int, int]:
-    """The ``k``-th smallest (1-based) of an integer column, and how many lie below it.
+def kth_values(df: DataFrame, value: Column, ks: Sequence[int]) -> list[tuple[int, int, int]]:
+    """For each ``k`` the k-th smallest (1-based) of an integer column, the number of rows
+    below it and the number equal to it.
 
     Histograms narrow the range step by step, so no rows are sorted and the driver reads at
     most ``MAX_BUCKETS`` counts per step. Nulls are not counted.
     """
     numbers = df.select(value.cast("bigint").alias("_v")).filter(F.col("_v").isNotNull())
-    low, high, total = numbers.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
-    if total < k or k < 1:
-        raise ValueError(f"asked for value {k} of {total}")
-    below = 0
-    while low < high:
+    least, most, total = numbers.agg(F.min("_v"), F.max("_v"), F.count("_v")).first()
+
+    def histogram(low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
         width = (high - low) // MAX_BUCKETS + 1
-        inside = numbers.filter(F.col("_v").between(low, high))
-        counts = dict(
-            inside.groupBy(F.expr(f"(_v - ({low}L)) div {width}L").alias("_bucket"))
+        counted = (
+            numbers.filter(F.col("_v").between(low, high))
+            .groupBy(F.expr(f"(_v - ({low}L)) div {width}L").alias("_bucket"))
             .count()
-            .collect()
         )
-        for bucket in sorted(counts):
-            if below + counts[bucket] >= k:
-                break
-            below += counts[bucket]
-        low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
-    return low, below
-
-
-def order_cut(df: DataFrame, date: str, key: str, rows: int) -> tuple[int, int]:
-    """Day number and key of row ``rows`` in (date, key) order; null dates come last."""
+        return width, sorted((r["_bucket"], r["count"]) for r in counted.collect())
+
+    found, whole = [], None
+    for k in ks:
+        if not 1 <= k <= total:
+            raise ValueError(f"asked for value {k} of {total}")
+        low, high, below, equal = least, most, 0, total
+        while low < high:
+            if (low, high) == (least, most):
+                whole = whole or histogram(low, high)
+                width, counts = whole
+            else:
+                width, counts = histogram(low, high)
+            for bucket, equal in counts:
+                if below + equal >= k:
+                    break
+                below += equal
+            low, high = low + bucket * width, min(high, low + (bucket + 1) * width - 1)
+        found.append((low, below, equal))
+    return found
+
+
+def order_cuts(df: DataFrame, date: str, key: str, rows: Sequence[int]) -> list[tuple[int, int]]:
+    """Day number and key of the given rows in (date, key) order; null dates come last."""
     day = day_number(date)
-    cut_day, before = kth_value(df, day, rows)
-    cut_key, _ = kth_value(df.filter(day == cut_day), F.col(key), rows - before)
-    return cut_day, cut_key
+    cuts = []
+    for row, (cut_day, before, equal) in zip(rows, kth_values(df, day, rows)):
+        of_day = df.filter(day == cut_day)
+        if equal <= MAX_BUCKETS:
+            keys = sorted(r[0] for r in of_day.select(key).collect())
+            cuts.append((cut_day, keys[row - before - 1]))
+        else:
+            ((cut_key, _, _),) = kth_values(of_day, F.col(key), [row - before])
+            cuts.append((cut_day, cut_key))
+    return cuts
 
 
 def day_number(date: str) -> Column:
@@ -185,9 +204,8 @@ def temporal_split(
     n_train = n - n_val - n_test
     if n_train <= 0:
         raise ValueError(f"no training rows left (n={n})")
-    slim = df.select(date, key)
-    in_train = at_or_before(date, key, order_cut(slim, date, key, n_train))
-    in_val = at_or_before(date, key, order_cut(slim, date, key, n_train + n_val))
+    cuts = order_cuts(df.select(date, key), date, key, [n_train, n_train + n_val])
+    in_train, in_val = (at_or_before(date, key, cut) for cut in cuts)
     return df.withColumn(
         name, F.when(in_train, "train").when(in_val, "val").otherwise("test")
     )
@@ -200,4 +218,5 @@ def earliest(df: DataFrame, n: int, date: str = "date", key: str = "match_id") -
     slim = df.select(date, key)
     if slim.count() <= n:
         return df
-    return df.filter(at_or_before(date, key, order_cut(slim, date, key, n)))
+    (cut,) = order_cuts(slim, date, key, [n])
+    return df.filter(at_or_before(date, key, cut))

@@ -154,7 +154,7 @@ def parsed_text(spark, sf):
 
 @query
 def earliest_sample(spark, sf):
-    return earliest(tb.contests(spark, sf).select("match_id", "date"), 1000)
+    return earliest(tb.played(spark, sf).select("match_id", "date"), 1000)
 
 
 # --- as-of ratings ------------------------------------------------------------------------
@@ -189,8 +189,8 @@ def unknown_word_names(spark, sf):
 
 @query
 def nearest_word_names(spark, sf):
-    known = tb.known_words(spark, sf)
-    unknown = unknown_names(tb.spoken_words(spark, sf), ["name"], known, {})
+    known = cut_lineage(tb.known_words(spark, sf))
+    unknown = cut_lineage(unknown_names(tb.spoken_words(spark, sf), ["name"], known, {}))
     return rounded(nearest_names(unknown, known))
 
 
@@ -221,7 +221,7 @@ def _spoiled_matches(spark, sf):
 @query
 def quality_contests(spark, sf):
     return check_matches(
-        _spoiled_matches(spark, sf), max_date="2000-01-01", aliases={"T 3": "Three"}, keep_zero=True
+        cut_lineage(_spoiled_matches(spark, sf)), max_date="2000-01-01", aliases={"T 3": "Three"}, keep_zero=True
     )
 
 
@@ -270,7 +270,7 @@ def probability_bounds(spark, sf):
 
 @query
 def feature_check(spark, sf):
-    m = tb.matches(spark, sf)
+    m = tb.stored_matches(spark, sf)
     features = add_form(model_dataset(m)).withColumns(
         {
             "match_id": F.when(F.col("match_id") % 101 == 0, 0).otherwise(F.col("match_id")),
@@ -299,7 +299,7 @@ def table_profile_customer(spark, sf):
 
 @query
 def temporal_split_rows(spark, sf):
-    return temporal_split(tb.contests(spark, sf).select("match_id", "date"))
+    return temporal_split(tb.played(spark, sf).select("match_id", "date"))
 
 
 @query
@@ -454,7 +454,7 @@ def class_performance(spark, sf):
 
 
 def _board(spark, sf):
-    f = tb.forecasts(spark, sf)
+    f = cut_lineage(tb.forecasts(spark, sf))
     prior = fit_prior(f)
     models = {
         "strength": f,

@@ -173,7 +173,7 @@ def strength_sql(a: str, b: str) -> str:
     )
 
 
-part("f", f"SELECT *, {strength_sql('team_a_elo', 'team_b_elo')} FROM rated_c", "rated_c")
+part("f", f"SELECT *, {strength_sql('20 * team_a_elo', '20 * team_b_elo')} FROM rated_c", "rated_c")
 part(
     "g",
     """
@@ -681,7 +681,7 @@ FROM numbered WHERE hs IS NOT NULL AND aws IS NOT NULL""",
         "SELECT match_id, date FROM c ORDER BY date, match_id LIMIT 1000", "c"
     )
     o["asof_rating"] = sql(
-        "SELECT match_id, date, team_a, team_b, team_a_elo, team_b_elo, elo_diff FROM rated_c", "asof"
+        "SELECT match_id, date, team_a, team_b, team_a_elo, team_b_elo, elo_diff FROM rated_c", "rated_c"
     )
     o["asof_rank_points"] = sql(
         """SELECT match_id, a.rank AS team_a_fifa_rank, b.rank AS team_b_fifa_rank,

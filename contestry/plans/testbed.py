@@ -10,6 +10,7 @@ from contestry.functions.labels import target_class
 from contestry.operators.asof import add_elo_snapshots
 from contestry.operators.reshape import participants
 from contestry.schemas import PROBABILITIES
+from contestry.session import cut_lineage, spread
 
 # Names for the canonicalization queries.
 NAME_ALIASES = {
@@ -71,12 +72,18 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def played(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contests with target and home flag, the input of most queries."""
-    return contests(spark, sf_dir).drop("status").withColumns(
-        {
-            "target_class": target_class(F.col("team_a_score"), F.col("team_b_score")),
-            "is_team_a_home": ~F.col("is_neutral"),
-        }
+    """Contests with target and home flag, the input of most queries.
+
+    Written once per query: it stands for a stored results table, and the operators read
+    such a table more than once, a few columns at a time.
+    """
+    return cut_lineage(
+        contests(spark, sf_dir).drop("status").withColumns(
+            {
+                "target_class": target_class(F.col("team_a_score"), F.col("team_b_score")),
+                "is_team_a_home": ~F.col("is_neutral"),
+            }
+        )
     )
 
 
@@ -106,6 +113,11 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches table written once, for queries that read it more than once."""
+    return cut_lineage(matches(spark, sf_dir))
+
+
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests as an untidy text table: aliases, padding, duplicates, unplayed rows."""
     c = contests(spark, sf_dir)
@@ -138,7 +150,7 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sequence(F.lit(0), F.when(F.col("match_id") % 50 == 0, 1).otherwise(0))
         ).alias("_copy"),
     )
-    return rows.drop("_copy")
+    return cut_lineage(rows.drop("_copy"))  # stands for a stored file
 
 
 def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +182,12 @@ def ranking_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contests with a deterministic forecast from the as-of ratings."""
+    """Contests with a deterministic forecast from the as-of ratings.
+
+    One contest more a month counts twenty rating points, to spread the forecasts.
+    """
     rated = add_elo_snapshots(played(spark, sf_dir), rating_snapshots(spark, sf_dir))
-    parts = strength_probabilities(F.col("team_a_elo"), F.col("team_b_elo"))
+    parts = strength_probabilities(20 * F.col("team_a_elo"), 20 * F.col("team_b_elo"))
     return rated.withColumns(dict(zip(PROBABILITIES, parts)))
 
 
@@ -182,8 +197,10 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("team"), group.alias("group")
     )
-    return participants(contests(spark, sf_dir), "tournament").join(supplier, "team").select(
-        "tournament", "group", "team"
+    return cut_lineage(
+        participants(contests(spark, sf_dir), "tournament")
+        .join(supplier, "team")
+        .select("tournament", "group", "team")
     )
 
 
@@ -198,7 +215,7 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, name_a, name_b): every word of every document with its source."""
     words = F.posexplode(F.split("text", r"\s+")).alias("pos", "name_a")
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
         .select("doc_id", F.col("source").alias("name_b"), words)
         .filter(F.col("name_a") != "")
         .select("doc_id", "pos", "name_a", "name_b")
@@ -208,7 +225,7 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name): every word of every conversation turn."""
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations").select("text"))
         .select(F.explode(F.split("text", r"\s+")).alias("name"))
         .filter(F.col("name") != "")
     )

@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     settings = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
@@ -46,12 +47,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` reliably so that values fixed by one run never change on a retry."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch_table(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a table written between two jobs."""
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Values one run has fixed then never change on a retry, nothing upstream is computed
+    again, and readers still prune columns and rows, which a checkpointed row stream cannot.
+    """
+    path = scratch_table(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in fewer pieces than there are cores.
+
+    For narrow tables in front of an expensive row-wise step. A table of many files is left
+    as it is, so at scale this is no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
