@@ -69,8 +69,10 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
         "team",
         "_day",
         F.coalesce(F.sum("_n").over(old), F.lit(0)).alias("_older"),
-        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
     )
+    # A step of its own: in one projection the copies would be made before the running sum.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
+    older = older.select("*", salts)
     salted = formed.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(_SALTS)).cast("int"))
     return (
         salted.join(older, ["team", "_day", "_salt"])
