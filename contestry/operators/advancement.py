@@ -108,7 +108,8 @@ def stage_outcomes(
     """
     per = [*keys, "replicate"]
     drawn = draw_outcomes(replicate(forecasts, replicates), seed, "replicate", "match_id")
-    table = drawn_table(members, drawn, per)
+    # Far smaller than the draws it sums up, and read by the ranking more than once.
+    table = cut_lineage(drawn_table(members, drawn, per))
     ranked = rank_groups(table, [*per, "group"], seed)
     # Both qualifying routes and the stage table read the ranking.
     ranked = cut_lineage(ranked.select(*per, "group", "team", "rank", "points",

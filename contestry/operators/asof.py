@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from contestry.operators.form import sides_to_columns
 from contestry.operators.names import canonicalize
-from contestry.operators.ordering import MAX_GROUP_ROWS, hot_groups, split_hot
+from contestry.operators.ordering import MAX_GROUP_ROWS, hot_groups, pieces_needed, split_hot
 from contestry.operators.quality import enforce_no_future_ratings
 from contestry.schemas import require_columns
 
-_SALTS = 16
-
 
 def _carried_forward(events: DataFrame, ratings: DataFrame) -> DataFrame:
     """Union both tables on one time line per team and carry the last snapshot forward."""
@@ -23,10 +21,11 @@ def _carried_forward(events: DataFrame, ratings: DataFrame) -> DataFrame:
     line = events.withColumns(
         {"_snap": F.lit(None).cast(ratings.schema["_snap"].dataType), "_kind": F.lit(1)}
     ).unionByName(ratings.select("team", "_day", *width, "_snap", F.lit(0).alias("_kind")))
-    # Ratings sort before contests of the same day, so a same-day rating is used.
+    # Ratings sort before contests of the same day, so a same-day rating is used, and of two
+    # on one day the larger snapshot comes last.
     upto = (
         Window.partitionBy("team")
-        .orderBy("_day", "_kind")
+        .orderBy("_day", "_kind", "_snap")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
@@ -41,6 +40,23 @@ def _one_per_day(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("team", "_day").agg(F.max("_snap").alias("_snap"))
 
 
+def _looked_up(events: DataFrame, snaps: DataFrame, limit: int) -> DataFrame:
+    """The as-of join of hot teams: answered once per distinct day, then looked up.
+
+    A day with more events than the limit is dealt into pieces.
+    """
+    per_day = events.groupBy("team", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = pieces_needed(per_day, "_n", limit)
+    answers = _carried_forward(per_day.select("team", "_day"), snaps)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt")
+    piece = F.pmod(F.xxhash64(*events.columns), F.lit(pieces)).cast("int")
+    return (
+        events.withColumn("_salt", piece)
+        .join(answers.select("*", copies), ["team", "_day", "_salt"])
+        .drop("_salt")
+    )
+
+
 def asof_latest(
     events: DataFrame,
     ratings: DataFrame,
@@ -69,21 +85,15 @@ def asof_latest(
             F.col(rating_date).alias("_rated"),
         ).alias("_snap"),
     )
-    snaps = _one_per_day(snaps)
-    hot = hot_groups(events.select("team"), ["team"], limit)
+    hot = hot_groups(events.select("team").unionByName(snaps.select("team")), ["team"], limit)
     if hot is None:
         found = _carried_forward(days, snaps)
     else:
         cold_events, hot_events = split_hot(days, hot, ["team"])
         cold_snaps, hot_snaps = split_hot(snaps, hot, ["team"])
-        answers = _carried_forward(hot_events.select("team", "_day").distinct(), hot_snaps)
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
-        looked_up = (
-            hot_events.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(_SALTS)).cast("int"))
-            .join(answers.select("*", salts), ["team", "_day", "_salt"])
-            .drop("_salt")
+        found = _carried_forward(cold_events, cold_snaps).unionByName(
+            _looked_up(hot_events, _one_per_day(hot_snaps), limit)
         )
-        found = _carried_forward(cold_events, cold_snaps).unionByName(looked_up)
     return found.select(
         *events.columns,
         *[F.col(f"_snap.{v}").alias(v) for v in values],

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestry.operators.ordering import MAX_GROUP_ROWS, hot_groups, number_hot, split_hot
+from contestry.operators.ordering import (
+    MAX_GROUP_ROWS,
+    hot_groups,
+    number_hot,
+    pieces_needed,
+    split_hot,
+)
 from contestry.operators.reshape import team_long
 from contestry.schemas import DIFFERENCES, FORM_WIDTHS, TEAM_FEATURES
 
 RECENT_DAYS = 365
-_SALTS = 16
 
 
 def _prior_columns(window: Window) -> dict:
@@ -70,10 +75,11 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
         "_day",
         F.coalesce(F.sum("_n").over(old), F.lit(0)).alias("_older"),
     )
-    # A step of its own: in one projection the copies would be made before the running sum.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
-    older = older.select("*", salts)
-    salted = formed.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(_SALTS)).cast("int"))
+    # A day above the limit is dealt into pieces. The copies are a step of their own: in one
+    # projection they would be made before the running sum.
+    pieces = pieces_needed(per_day, "_n", chunk)
+    older = older.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt"))
+    salted = formed.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(pieces)).cast("int"))
     return (
         salted.join(older, ["team", "_day", "_salt"])
         .withColumn(

@@ -117,6 +117,25 @@ def number_rows(
     return cold.unionByName(number_hot(hot_rows, keys, order, name))
 
 
+def top_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, k: int
+) -> DataFrame:
+    """The first ``k`` rows of each group with their number.
+
+    Each task keeps its own first ``k`` per group before the shuffle, so for a small ``k``
+    no group needs splitting, whatever its size.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    numbered = df.withColumn(name, F.row_number().over(window))
+    return numbered.filter(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
+
+
+def pieces_needed(per_key: DataFrame, count: str, limit: int) -> int:
+    """Into how many pieces the largest key must be dealt to stay within the limit."""
+    largest = per_key.agg(F.max(count)).first()[0] or 0
+    return max(1, -(-largest // limit))
+
+
 def kth_values(df: DataFrame, value: Column, ks: Sequence[int]) -> list[tuple[int, int, int]]:
     """For each ``k`` the k-th smallest (1-based) of an integer column, the number of rows
     below it and the number equal to it.

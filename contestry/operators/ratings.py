@@ -20,7 +20,7 @@ from contestry.schemas import (
     PROBABILITIES,
     require_columns,
 )
-from contestry.session import scratch_table
+from contestry.session import cut_lineage, scratch_table
 
 # A pool is folded in segments of this many contests, so no task grows with the pool.
 SEGMENT_ROWS = 5_000_000
@@ -143,7 +143,8 @@ def walk_forward(
     fold = _fold(base, k, home, scale)
     largest = slim.groupBy("_pool").count().agg(F.max("count")).first()[0] or 0
     if largest <= segment_rows:
-        walked = _walk(slim, fold)
+        # Walked once and written: every reader of the result would walk again.
+        walked = cut_lineage(_walk(slim, fold))
     else:
         walked = _walk_segments(slim, fold, segment_rows, limit, largest)
     return walked.select("match_id", *_pool_columns(contests, pool), "_pool", "_day", "team_a",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.probability import keyed_uniform
-from contestry.operators.ordering import MAX_GROUP_ROWS, number_rows
+from contestry.operators.ordering import MAX_GROUP_ROWS, number_rows, top_rows
 from contestry.operators.reshape import team_long
 from contestry.schemas import DRAW_POINTS, WIN_POINTS, DataQualityError
 
@@ -68,6 +68,12 @@ def _best_first() -> list[Column]:
     return [F.desc("points"), F.desc("goal_difference"), F.desc("goals_for")]
 
 
+def _ranking(keys: Sequence[str], seed: int | None) -> list[Column]:
+    """Best first; what is still level goes by a lot if there is a seed, then by name."""
+    drawn = [] if seed is None else [lot(seed, *keys, "team").asc()]
+    return [*_best_first(), *drawn, F.asc("team")]
+
+
 def lot(seed: int, *keys: str) -> Column:
     """A lot that depends on the seed and the row's own keys only."""
     return keyed_uniform(seed, *[F.col(k) for k in keys])
@@ -81,8 +87,7 @@ def rank_groups(
     name: str = "rank",
 ) -> DataFrame:
     """Rank by points, goal difference, goals for, then team name (W6) or a drawn lot."""
-    last = [F.asc("team")] if seed is None else [lot(seed, *keys, "team").asc(), F.asc("team")]
-    return number_rows(table, list(keys), [*_best_first(), *last], name, limit)
+    return number_rows(table, list(keys), _ranking(keys, seed), name, limit)
 
 
 def top_two(ranked: DataFrame, keys: Sequence[str] = ("group",), strict: bool = False) -> DataFrame:
@@ -101,11 +106,10 @@ def best_thirds(
     n: int = 8,
     seed: int | None = None,
     strict: bool = False,
-    limit: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The best ``n`` third-placed teams across groups, in column ``third_rank`` (K3)."""
     thirds = ranked.filter(F.col("rank") == 3)
-    out = rank_groups(thirds, keys, seed, limit, "third_rank").filter(F.col("third_rank") <= n)
+    out = top_rows(thirds, list(keys), _ranking(keys, seed), "third_rank", n)
     if strict:
         found = out.groupBy(*keys).count()
         short = found.filter(F.col("count") < n).limit(1).collect()

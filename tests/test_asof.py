@@ -96,3 +96,17 @@ def test_the_guard_trips_on_a_later_rating(spark):
     assert [tuple(r) for r in future_ratings(df, ["r1", "r2"]).collect()] == [("r1", 1)]
     with pytest.raises(LeakageError):
         enforce_no_future_ratings(df, ["r1", "r2"])
+
+
+def test_a_crowded_day_and_a_team_with_very_many_ratings(spark):
+    rows = [(i, day("2020-03-01") if i < 90 else day("2020-01-05"), "H", f"o{i}", 1, 0, True, "cup")
+            for i in range(120)]
+    c = spark.createDataFrame(rows, CONTEST)
+    ratings = [("H", day("2020-01-01") + dt.timedelta(i // 10), float(i)) for i in range(100)]
+    ratings += [("o3", day("2020-02-01") + dt.timedelta(i), float(i)) for i in range(40)]
+    for limit in (1000, 20):
+        got = {r.match_id: r for r in
+               add_elo_snapshots(c, spark.createDataFrame(ratings, ELO), limit=limit).collect()}
+        assert len(got) == 120
+        assert got[0].team_a_elo == 99 and got[100].team_a_elo == 49
+        assert got[3].team_b_elo == 29 and got[4].team_b_elo is None

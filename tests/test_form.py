@@ -123,3 +123,13 @@ def test_model_dataset_targets(spark):
     assert [got[i].team_a_result for i in (1, 2, 3)] == ["win", "draw", "loss"]
     assert [got[i].is_team_a_home for i in (1, 2, 3)] == [True, False, True]
     assert got[1].host_country is None
+
+
+def test_a_crowded_day_of_a_hot_team(spark):
+    rows = [contest(i, "2020-03-01" if i < 90 else "2020-03-05", "H", f"o{i}", i % 4, i % 3)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, CONTEST)
+    expected = plain_history(df.collect())
+    for r in team_form(team_long(df), 20).collect():
+        for name, value in expected[r.match_id, r.side].items():
+            assert r[name] == pytest.approx(value), (r.match_id, r.side, name)
