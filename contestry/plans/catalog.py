@@ -128,7 +128,7 @@ def model_dataset_rows(spark, sf):
 
 @query
 def team_long_rows(spark, sf):
-    return team_long(tb.played(spark, sf))
+    return team_long(tb.results(spark, sf))
 
 
 @query
@@ -416,7 +416,7 @@ def clipped_forecast(spark, sf):
 
 @query
 def class_prior_row(spark, sf):
-    return rounded(class_prior(tb.played(spark, sf)))
+    return rounded(class_prior(tb.results(spark, sf)))
 
 
 @query
@@ -481,7 +481,7 @@ def baseline_comparison(spark, sf):
 
 @query
 def standings_rows(spark, sf):
-    return standings(tb.played(spark, sf), POOL)
+    return standings(tb.results(spark, sf), POOL)
 
 
 def _group_table(spark, sf):

@@ -71,22 +71,22 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def played(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contests with target and home flag, the input of most queries.
-
-    Written once per query: it stands for a stored results table, and the operators read
-    such a table more than once, a few columns at a time.
-    """
-    return cut_lineage(
-        contests(spark, sf_dir).drop("status").withColumns(
-            {
-                "target_class": target_class(F.col("team_a_score"), F.col("team_b_score")),
-                "is_team_a_home": ~F.col("is_neutral"),
-            }
-        )
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests with target and home flag, for queries that read them once."""
+    return contests(spark, sf_dir).drop("status").withColumns(
+        {
+            "target_class": target_class(F.col("team_a_score"), F.col("team_b_score")),
+            "is_team_a_home": ~F.col("is_neutral"),
+        }
     )
 
 
+def played(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results written once per query: they stand for a stored table, and most operators
+    read such a table more than once, a few columns at a time."""
+    return cut_lineage(results(spark, sf_dir))
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests as a home/away matches table, hosted by the home side's nation."""
     home = table(spark, sf_dir, "supplier").select(
@@ -154,8 +154,8 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(team, date, elo): monthly activity of a supplier from mid-1996 on."""
-    return (
+    """(team, date, elo): monthly activity of a supplier from mid-1996 on, as a stored table."""
+    return cut_lineage(
         table(spark, sf_dir, "lineitem")
         .filter(F.col("l_shipdate") >= F.lit("1996-06-01").cast("timestamp"))
         .groupBy(
@@ -167,8 +167,8 @@ def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(team, rank_date, rank, points): monthly volume of a supplier."""
-    return (
+    """(team, rank_date, rank, points): monthly volume of a supplier, as a stored table."""
+    return cut_lineage(
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.col("l_suppkey").alias("team"),
