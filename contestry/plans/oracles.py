@@ -103,7 +103,7 @@ part(
     "form",
     f"""
   SELECT match_id, side, {_FRAMES},
-         date - LAG(date) OVER w AS days_since_last_match,
+         CAST(date - LAG(date) OVER w AS INT) AS days_since_last_match,
          ROW_NUMBER() OVER w - 1 - COUNT(*) OVER (PARTITION BY team ORDER BY date
            RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 365 DAY PRECEDING)
            AS matches_played_last_365_days
