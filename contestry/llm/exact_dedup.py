@@ -41,8 +41,8 @@ def chunk_hash(chunk: Column, hash_bits: int = 64) -> Column:
     return full if hash_bits == 64 else full.bitwiseAND(F.lit((1 << hash_bits) - 1))
 
 
-def colliding_chunks(chunked: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """Different chunks that share a hash: ``_hash``, ``_chunk``, ``_rank`` from 0.
+def shared_hashes(chunked: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """``_hash`` values that different chunks share; as a rule there are none.
 
     Every chunk of every text is compared byte for byte with those of its hash. A task sends
     one row for each different chunk, so a chunk that fills the corpus is no hot key.
@@ -51,13 +51,18 @@ def colliding_chunks(chunked: DataFrame, hash_bits: int = 64) -> DataFrame:
     different = each.groupBy(chunk_hash(F.col("_chunk"), hash_bits).alias("_hash"), "_chunk").agg(
         F.lit(1).alias("_one")
     )
-    shared = different.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1")
-    rivals = different.join(shared.select("_hash"), "_hash")
+    return different.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+
+
+def ranked_rivals(chunked: DataFrame, shared: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """Chunks of shared hashes: ``_hash``, ``_chunk``, ``_rank`` from 0 within the hash."""
+    each = chunked.select(F.explode("_chunks").alias("_chunk"))
+    each = each.withColumn("_hash", chunk_hash(F.col("_chunk"), hash_bits))
+    rivals = each.join(shared, "_hash", "left_semi").distinct()
     # Rank among rivals of one hash without a window: how many of them sort before.
     other = rivals.select(F.col("_hash").alias("_h2"), F.col("_chunk").alias("_c2"))
     return (
-        rivals.select("_hash", "_chunk")
-        .join(other, (F.col("_hash") == F.col("_h2")) & (F.col("_c2") < F.col("_chunk")), "left")
+        rivals.join(other, (F.col("_hash") == F.col("_h2")) & (F.col("_c2") < F.col("_chunk")), "left")
         .groupBy("_hash", "_chunk")
         .agg(F.count("_c2").alias("_rank"))
     )
@@ -73,12 +78,13 @@ def recipes(texts: DataFrame, hash_bits: int = 64) -> DataFrame:
         "_id", F.sha2("_norm", 256).alias("_sha"), chunks_of(F.col("_norm")).alias("_chunks")
     )
     hashes = F.transform("_chunks", lambda c: chunk_hash(c, hash_bits))
-    collisions = cut_lineage(colliding_chunks(chunked, hash_bits))
-    if collisions.isEmpty():
+    shared = cut_lineage(shared_hashes(chunked, hash_bits))
+    if shared.isEmpty():
         return chunked.select("_id", "_sha", hashes.alias("_recipe"))
     placed = chunked.select(
         "_id", "_sha", F.posexplode_outer("_chunks").alias("_at", "_chunk")
     ).withColumn("_hash", chunk_hash(F.col("_chunk"), hash_bits))
+    collisions = cut_lineage(ranked_rivals(chunked, shared, hash_bits))
     ranked = placed.join(collisions, ["_hash", "_chunk"], "left")
     step = F.struct("_at", "_hash", F.coalesce("_rank", F.lit(0)).alias("_rank"))
     # Two numbers for a chunk: its hash and its rank, flat, so that the list stays a list of longs.
