@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,50 +75,50 @@ def serialize_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*out, _block(2, trainer), _block(3, normalizer)])
 
 
+class WordMemory:
+    """Ids of whole texts from the ids of their pre-tokens, each encoded once and remembered.
+
+    ``encode`` takes a list of pre-tokens and returns for each its ids as little-endian unsigned
+    32-bit integers. Only pre-tokens are remembered, up to REMEMBERED, besides those of one text.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
+        self.split, self.encode, self.known = split, encode, {}
+
+    def ids(self, text: str) -> bytes:
+        words = self.split(text)
+        known = self.known
+        missing = set(words) - known.keys()
+        if missing:
+            if len(known) + len(missing) > REMEMBERED:
+                known.clear()
+                missing = set(words)
+            fresh = list(missing)
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+        return b"".join([known[w] for w in words])
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, model: bytes | None = None):
         import sentencepiece
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks = ranks
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model or serialize_model(ranks))
         self.tokens = sorted(ranks, key=ranks.get)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        rest = []
-        for word in words:
-            # A pre-token that is itself a token is that token, reachable by merges or not.
-            rank = self.ranks.get(word.encode())
-            if rank is None:
-                rest.append(word)
-            else:
-                self.known[word] = struct.pack("<I", rank)
-        encoded = self.pieces.encode([as_piece(w.encode()) for w in rest], num_threads=1) if rest else []
-        for word, ids in zip(rest, encoded, strict=True):
-            self.known[word] = (np.asarray(ids, "<u4") - np.uint32(1)).tobytes()
-
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        words = self.split(text)
-        distinct = set(words)
-        missing = distinct - self.known.keys()
-        if missing:
-            self._learn(missing)
-            if not distinct <= self.known.keys():  # the memory was cleared, or holds this text only
-                self._learn(distinct - self.known.keys())
-        known = self.known
-        if not distinct <= known.keys():
-            return b"".join(self._alone(w) for w in words)
-        return b"".join([known[w] for w in words])
-
-    def _alone(self, word: str) -> bytes:
-        if word not in self.known:
-            self._learn({word})
-        return self.known[word]
+        self.encode_bytes = WordMemory(regex.compile(pattern).findall, self._encode_words).ids
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        raw = [word.encode() for word in words]
+        encoded = self.pieces.encode([as_piece(w) for w in raw], num_threads=1)
+        # A pre-token that is itself a token is that token, reachable by merges or not.
+        return [
+            struct.pack("<I", self.ranks[word])
+            if word in self.ranks
+            else (np.asarray(ids, "<u4") - np.uint32(1)).tobytes()
+            for word, ids in zip(raw, encoded, strict=True)
+        ]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from contestry.llm.byte_bpe import encode_documents
 from contestry.llm.common import table
 from contestry.llm.exact_dedup import exact_groups
+from contestry.llm.packing import pack_documents
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +22,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+        end_id=2,
+        capacity=1024,
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_packing": op3_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
