@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contestry.llm.byte_bpe import encode_documents
-from contestry.llm.common import table
+from contestry.llm.common import id_remainder, table
 from contestry.llm.exact_dedup import exact_groups
+from contestry.llm.language import fit_languages, identify, read_pieces
 from contestry.llm.packing import pack_documents
 
 
@@ -32,6 +34,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    languages, probabilities = fit_languages(docs, pieces, ~held_out)
+    found = identify(docs, pieces, languages, probabilities)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
+    "op7_language": op7_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
