@@ -88,7 +88,7 @@ class WordMemory:
     def ids(self, text: str) -> bytes:
         words = self.split(text)
         known = self.known
-        missing = set(words) - known.keys()
+        missing = set(words).difference(known)
         if missing:
             if len(known) + len(missing) > REMEMBERED:
                 known.clear()
