@@ -216,7 +216,7 @@ class Scorer:
 
     def prepare(self, words: set[str]) -> None:
         """Score in one go what many texts will ask for."""
-        missing = words - self.place.keys()
+        missing = words.difference(self.place)
         if missing and len(self.place) + len(missing) > REMEMBERED:
             self.place.clear()
             missing = words
