@@ -13,6 +13,7 @@ from contestry.llm.common import id_remainder, table
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
 from contestry.llm.packing import pack_documents
+from contestry.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    fitted = fit_toxicity(docs, labels, ~held_out)
+    scored = score_toxicity(docs, fitted)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -50,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op7_language": op7_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
