@@ -13,6 +13,7 @@ from contestry.llm.common import id_remainder, table
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
 from contestry.llm.packing import pack_documents
+from contestry.llm.sentence_spans import remove_repeated_spans
 from contestry.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -52,6 +53,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op7_language": op7_language,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
