@@ -12,6 +12,7 @@ from contestry.llm.byte_bpe import encode_documents
 from contestry.llm.common import id_remainder, table
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
+from contestry.llm.line_dedup import dedup_lines
 from contestry.llm.packing import pack_documents
 from contestry.llm.sentence_spans import remove_repeated_spans
 from contestry.llm.toxicity import fit_toxicity, score_toxicity
@@ -44,6 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -65,12 +70,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op7_language": op7_language,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS raw FROM d),
+k AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
+f AS (
+  SELECT line, min(struct_pack(a := doc_id, b := no)) AS place, strlen(line) AS n
+  FROM k WHERE strlen(line) >= 24 GROUP BY line),
+near AS (
+  SELECT DISTINCT t.line FROM f t JOIN f s
+  ON t.n - s.n BETWEEN -2 AND 2 AND s.place < t.place AND levenshtein(s.line, t.line) <= 2),
+m AS (
+  SELECT k.*, coalesce(near.line IS NOT NULL OR struct_pack(a := doc_id, b := no) > f.place, false) AS gone
+  FROM k LEFT JOIN f USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
+FROM m GROUP BY doc_id""",
     "op10_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
