@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contestry.llm.byte_bpe import encode_documents
 from contestry.llm.common import id_remainder, table
+from contestry.llm.embedding_neighbors import near_vectors
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
 from contestry.llm.line_dedup import dedup_lines
@@ -58,6 +59,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op7_language": op7_language,
+    "op8_embeddings": op8_embeddings,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_exact_dedup": op10_exact_dedup,
 }
