@@ -14,6 +14,7 @@ from contestry.llm.embedding_neighbors import near_vectors
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
 from contestry.llm.line_dedup import dedup_lines
+from contestry.llm.ngram_join import similar_texts
 from contestry.llm.packing import pack_documents
 from contestry.llm.sentence_spans import remove_repeated_spans
 from contestry.llm.toxicity import fit_toxicity, score_toxicity
@@ -28,6 +29,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         table(spark, sf_dir, "documents"),
@@ -73,6 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
