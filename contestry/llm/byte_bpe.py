@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from contestry.llm.common import texts_of
 
-#: Encoded pre-tokens that a task remembers; when full it starts anew, which changes no result.
-REMEMBERED = 300_000
+#: Encoded pre-tokens that a Python worker remembers; when full it starts anew, which changes no result.
+REMEMBERED = 500_000
 BYTE_BASE = 0x100
 
 

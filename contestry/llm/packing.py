@@ -12,6 +12,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,11 +39,12 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 else capacity)) for s in starts]
 
 
+@lru_cache(maxsize=2)
 def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
     """Ids of a text, as bytes, by a serialised byte-level tokenizer that splits by ``pattern``.
 
     Splitting first and encoding each different pre-token once gives the ids of the whole
-    text, since no merge crosses pre-tokens.
+    text, since no merge crosses pre-tokens. A Python worker keeps it from task to task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder = Tokenizer.from_str(tokenizer)
