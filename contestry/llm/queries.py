@@ -17,6 +17,7 @@ from contestry.llm.line_dedup import dedup_lines
 from contestry.llm.ngram_join import similar_texts
 from contestry.llm.packing import pack_documents
 from contestry.llm.sentence_spans import remove_repeated_spans
+from contestry.llm.suffix_dedup import remove_repeats
 from contestry.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -55,6 +56,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language": op7_language,
     "op8_embeddings": op8_embeddings,
     "op9_sentence_spans": op9_sentence_spans,
