@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns, ``_id`` and ``_text``, with null text as the empty text.
+def texts_of(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``_id`` and ``_text``, with null text as the empty text, and maybe ``_carried``.
 
-    Selecting them first keeps any other column of ``docs`` out of the way, whatever its name.
+    Selecting them first keeps any other column of ``docs`` out of the way, whatever its name;
+    those named in ``carry`` travel as one struct.
     """
+    extra = [F.struct(*(F.col(c) for c in carry)).alias("_carried")] if carry else []
     return docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *extra
     )
 
 
+def carried(carry: Sequence[str]) -> list[Column]:
+    """The columns of ``carry`` under their own names again."""
+    return [F.col("_carried").getField(c).alias(c) for c in carry]
+
+
 def id_remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

@@ -8,18 +8,18 @@ bounded sample of labelled documents.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from contestry.llm.common import texts_of
+from contestry.llm.common import carried, texts_of
 from contestry.session import cut_lineage
 
 #: Runs of letters; a longer run is scored in parts of WORD_LETTERS.
@@ -235,6 +235,18 @@ def posterior(totals: np.ndarray) -> tuple[int, float]:
     return best, 1.0 / float(np.exp(totals - totals[best]).sum())
 
 
+def _predicted(scorer: Scorer, languages: list[str], texts: list[str]) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    for at in range(0, len(texts), 64):
+        words = [words_of(t) for t in texts[at : at + 64]]
+        scorer.prepare(set().union(*words))
+        for own in words:
+            best, score = posterior(scorer.totals(own)) if own and languages else (None, 0.0)
+            names.append(UNDETERMINED if best is None else languages[best])
+            scores.append(score)
+    return names, scores
+
+
 def identify(
     docs: DataFrame,
     pieces: list[str],
@@ -242,8 +254,9 @@ def identify(
     probabilities: np.ndarray,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Id, ``lang_pred`` and ``score`` of every row.
+    """Id, ``lang_pred`` and ``score`` of every row, and the columns named in ``carry``.
 
     Null text and text without a letter are ``und`` with score 0; so is everything when no
     language was learned. Ties go to the first language by name. Repeated rows and null ids are
@@ -251,28 +264,19 @@ def identify(
     texts, no shuffle; the broadcast model has vocabulary size times languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, probabilities))
+    texts = texts_of(docs, id_col, text_col, carry)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, languages, probabilities = shared.value
         scorer = Scorer(pieces, probabilities)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, scores = [], []
-            for at in range(0, len(texts), 64):
-                words = [words_of(t) for t in texts[at : at + 64]]
-                scorer.prepare(set().union(*words))
-                for own in words:
-                    if not own or not languages:
-                        names.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    best, score = posterior(scorer.totals(own))
-                    names.append(languages[best])
-                    scores.append(score if math.isfinite(score) else 0.0)
+            names, scores = _predicted(scorer, languages, batch.column(1).to_pylist())
+            arrays = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[id_col, "lang_pred", "score"],
+                [batch.column(0), *arrays, *batch.columns[2:]], names=schema.names
             )
 
-    schema = f"`{id_col}` long, lang_pred string, score double"
-    return texts_of(docs, id_col, text_col).mapInArrow(scored, schema)
+    schema = T.StructType().add(id_col, "long").add("lang_pred", "string").add("score", "double")
+    if carry:
+        schema.add(texts.schema["_carried"])
+    return texts.mapInArrow(scored, schema).select(id_col, "lang_pred", "score", *carried(carry))

@@ -8,10 +8,12 @@ verified by a banded bit-parallel edit distance. Lines are compared as bytes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.llm.common import texts_of
+from contestry.llm.common import carried, texts_of
 
 TAU = 2
 #: Lines of fewer bytes, blanks at the ends aside, stay whatever they repeat.
@@ -160,15 +162,14 @@ def within_edits(pairs: DataFrame, a: str, b: str, tau: int = TAU) -> DataFrame:
     return cut.withColumn("_edits", counted).drop("_x", "_y", "_cut")
 
 
-def keyed_lines(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def keyed_lines(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Documents (``_id``, ``_key``, ``_hash``, ``_text``) and their lines worth comparing.
 
     A document is its id and the hash of its text. Lines have ``_place`` (id, hash, number),
     ``_line`` (bytes) and two hashes of it.
     """
-    texts = texts_of(docs, id_col, text_col).select(
-        "_id", F.coalesce("_id", F.lit(LAST_ID)).alias("_key"), F.xxhash64("_text").alias("_hash"), "_text"
-    )
+    texts = texts_of(docs, id_col, text_col, carry).withColumn("_key", F.coalesce("_id", F.lit(LAST_ID)))
+    texts = texts.withColumn("_hash", F.xxhash64("_text"))
     lines = texts.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_no", "_raw"))
     lines = lines.withColumn("_line", F.encode(F.btrim("_raw", F.lit(BLANKS)), "UTF-8")).where(
         F.length("_line") >= LEAST_BYTES
@@ -202,8 +203,11 @@ def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     return close.select(later.alias("_h1")).where(F.col("_h1").isNotNull()).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """One row per document: id, ``n_lines``, ``n_removed``, ``text`` without repeated lines.
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per document: id, ``n_lines``, ``n_removed``, ``text`` without repeated lines,
+    and the columns named in ``carry``.
 
     A line goes if an equal line, or one within ``tau`` edits (bytes, blanks at the ends aside),
     has an earlier place, by id and line number. Lines under LEAST_BYTES bytes stay. Null text
@@ -211,7 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text are one document; different texts with one id go by their hash. An empty table gives
     no rows; other columns are not read.
     """
-    texts, lines = keyed_lines(docs, id_col, text_col)
+    texts, lines = keyed_lines(docs, id_col, text_col, carry)
     known = lines.groupBy("_h1").agg(F.min(F.struct("_place", "_h2")).alias("_v"))
     known = known.join(near_lines(lines, tau).withColumn("_near", F.lit(True)), "_h1", "left")
     # The second hash keeps a line that merely shares its first hash with another.
@@ -232,4 +236,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("_gone").isNull(), F.col("_text"))
         .otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
         .alias("text"),
+        *carried(carry),
     )

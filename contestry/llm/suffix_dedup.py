@@ -10,7 +10,7 @@ those whose occurrences differ in the byte before: the maximal repeats, with all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from contestry.llm.common import texts_of
+from contestry.llm.common import carried, texts_of
 from contestry.session import cut_lineage
 
 LENGTH = 200
@@ -243,15 +244,16 @@ def _window_ranges(crowded: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    gram: int = GRAM, most_fragments: int = MOST_FRAGMENTS,
+    gram: int = GRAM, most_fragments: int = MOST_FRAGMENTS, carry: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Documents (``_id``, ``_key``, ``_hash``, ``_bytes``) and, by ``_key`` and ``_hash``, the
     lists ``_starts`` and ``_ends`` of covered ranges (unordered, overlapping)."""
-    texts = texts_of(docs, id_col, text_col).select(
+    texts = texts_of(docs, id_col, text_col, carry).select(
         "_id",
         F.coalesce("_id", F.lit(LAST_ID)).alias("_key"),
         F.xxhash64("_text").alias("_hash"),
         F.col("_text").cast("binary").alias("_bytes"),
+        *(["_carried"] if carry else []),
     )
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +328,11 @@ def merged(starts, ends) -> list[tuple[int, int]]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    gram: int = GRAM, most_fragments: int = MOST_FRAGMENTS,
+    gram: int = GRAM, most_fragments: int = MOST_FRAGMENTS, carry: Sequence[str] = (), as_text: bool = False,
 ) -> DataFrame:
-    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
+    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary), and
+    the columns named in ``carry``. With ``as_text``, ``kept`` is text, without what is left of
+    characters that a cut went through.
 
     Removes every byte under a string of ``length`` bytes that also starts anywhere else, the
     first occurrence too; strings are judged on the input and never cross documents. Null text
@@ -336,11 +340,11 @@ def remove_repeats(
     that repeat each other; null ids are rows like others. An empty table gives no rows; other
     columns are not read.
     """
-    texts, spans = repeated_spans(docs, id_col, text_col, length, gram, most_fragments)
-    joined = texts.join(spans, ["_key", "_hash"], "left").select("_id", "_bytes", "_starts", "_ends")
+    texts, spans = repeated_spans(docs, id_col, text_col, length, gram, most_fragments, carry)
+    extra = ["_carried"] if carry else []
+    joined = texts.join(spans, ["_key", "_hash"], "left").select("_id", "_bytes", "_starts", "_ends", *extra)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
         for batch in batches:
             rows = []
             for at in range(batch.num_rows):
@@ -348,10 +352,20 @@ def remove_repeats(
                 gone = merged(starts, ends)
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(gone), kept))
+                shown = kept.decode("utf-8", "ignore") if as_text else kept
+                rows.append((len(data), len(data) - len(kept), len(gone), shown))
             columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
-
-    return joined.mapInArrow(cleaned, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+            arrays = [batch.column(0), *arrays, *(batch.column(4 + k) for k in range(len(extra)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    schema = T.StructType()
+    for name in (id_col, "n_bytes", "n_removed", "n_spans"):
+        schema.add(name, "long")
+    schema.add("kept", "string" if as_text else "binary")
+    if carry:
+        schema.add(joined.schema["_carried"])
+    return joined.mapInArrow(cleaned, schema).select(
+        id_col, "n_bytes", "n_removed", "n_spans", "kept", *carried(carry)
+    )

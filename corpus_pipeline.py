@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Language ID, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing. Every stage
+but the last returns the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contestry.llm.language import UNDETERMINED, fit_languages, identify, read_pieces
+from contestry.llm.line_dedup import dedup_lines
+from contestry.llm.ngram_join import similar_texts
+from contestry.llm.packing import pack_documents
+from contestry.llm.suffix_dedup import remove_repeats
 from contestry.session import cut_lineage
 
-STAGES: list = []
+#: Share of the probability that the best language needs.
+LEAST_SCORE = 0.5
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter or a clear language go.
+
+    Learns from all documents with a language.
+    """
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    languages, probabilities = fit_languages(docs, pieces, F.lit(True))
+    found = identify(docs, pieces, languages, probabilities, carry=docs.columns[1:])
+    told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return found.where(told).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that an earlier line equals or nearly equals."""
+    cleaned = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, that with the smallest id."""
+    gone = similar_texts(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes under strings of 200 that start anywhere else too."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cleaned = remove_repeats(docs, carry=rest, as_text=True).withColumnRenamed("kept", "text")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1,024 tokens."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(docs, tokenizer, public_tokenizers.PATTERN, end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("language ID", keep_identified),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("suffix-array dedup", remove_repeated_strings),
+    ("best-fit packing", pack),
+]
 
-#: Fitted language scores and packing cannot be stated in SQL; tests hold stages to brute force.
+#: A learned language model, connected components and a packing search are beyond SQL; the tests
+#: hold every stage to a brute-force version.
 ORACLE_SQL = None
 
 
