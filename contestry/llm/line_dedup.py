@@ -8,7 +8,7 @@ verified by a banded bit-parallel edit distance. Lines are compared as bytes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +88,13 @@ def _same_tail(a: Column, b: Column, blocks: Column) -> Column:
     )
 
 
-def within_edits(pairs: DataFrame, a: str, b: str, tau: int = TAU) -> DataFrame:
-    """``pairs`` with ``_edits``: the edit distance of two binaries, or above ``tau`` if larger.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
+    """The edit distance of two binaries, or some number above ``tau`` if it is larger.
 
     Equal blocks at both ends are cut off first, which changes no distance. Then a band of
     2 * tau + 1 cells around the diagonal moves down the longer text, one byte of the shorter
@@ -97,69 +102,80 @@ def within_edits(pairs: DataFrame, a: str, b: str, tau: int = TAU) -> DataFrame:
     diagonal on which the last cell lies; a pair beyond ``tau`` is not followed to its end.
     """
     width = 2 * tau + 1
-    mask = (1 << width) - 1
-    long_first = F.length(a) >= F.length(b)
-    cut = pairs.withColumn("_x", F.when(long_first, F.col(a)).otherwise(F.col(b))).withColumn(
-        "_y", F.when(long_first, F.col(b)).otherwise(F.col(a))
-    )
-    head = _same_blocks(F.col("_x"), F.col("_y"), (F.length("_y") / BLOCK).cast("int"))
-    cut = cut.withColumn("_cut", head * BLOCK)
-    for side in ("_x", "_y"):
-        cut = cut.withColumn(side, F.substring(side, F.col("_cut") + 1, F.length(side)))
-    cut = cut.withColumn("_cut", _same_tail(F.col("_x"), F.col("_y"), (F.length("_y") / BLOCK).cast("int")) * BLOCK)
-    for side in ("_x", "_y"):
-        cut = cut.withColumn(side, F.substring(side, F.lit(1), F.length(side) - F.col("_cut")))
-    longer, shorter = F.col("_x"), F.col("_y")
-    more = F.length(longer) - F.length(shorter)
-
-    def step(state: Column, j: Column) -> Column:
-        vp, vn = state["vp"], state["vn"]
-        byte = F.substring(shorter, j, F.lit(1))
+    mask = F.lit((1 << width) - 1).cast("long")
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def without_head(p: Column) -> Column:
+        blocks = _same_blocks(p["x"], p["y"], (F.length(p["y"]) / BLOCK).cast("int"))
+        return let(
+            F.struct(p.alias("p"), (blocks * BLOCK + 1).alias("at")),
+            lambda q: pair(*(F.substring(q["p"][c], q["at"], F.length(q["p"][c])) for c in "xy")),
+        )
+
+    def without_tail(p: Column) -> Column:
+        blocks = _same_tail(p["x"], p["y"], (F.length(p["y"]) / BLOCK).cast("int"))
+        return let(
+            F.struct(p.alias("p"), (blocks * BLOCK).alias("cut")),
+            lambda q: pair(*(F.substring(q["p"][c], F.lit(1), F.length(q["p"][c]) - q["cut"]) for c in "xy")),
+        )
+
+    def column(p: Column, state: Column, j: Column) -> Column:
+        """Differences in the band before byte ``j`` of the shorter text, and its diagonal ones."""
+        byte = F.substring(p["y"], j, F.lit(1))
         same = F.lit(0).cast("long")
         for k in range(width):
             row = j - tau + k
-            # Places outside the text are empty binaries, equal to no byte.
-            hit = (row >= 1) & (F.substring(longer, row, F.lit(1)) == byte)
+            hit = (row >= 1) & (F.substring(p["x"], row, F.lit(1)) == byte)
             same = same.bitwiseOR(F.when(hit, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        level = ((same.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-        return F.struct(vp.alias("vp"), vn.alias("vn"), level.alias("d0"))
-
-    def moved(state: Column) -> Column:
-        vp, vn, d0 = state["vp"], state["vn"], state["d0"]
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(mask)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(F.lit(mask))).alias("vp"),
-            down.bitwiseAND(hp).alias("vn"),
+        return let(
+            same,
+            lambda eq: F.struct(
+                state["vp"].alias("vp"),
+                state["vn"].alias("vn"),
+                (eq.bitwiseAND(state["vp"]) + state["vp"])
+                .bitwiseXOR(state["vp"])
+                .bitwiseOR(eq)
+                .bitwiseOR(state["vn"])
+                .bitwiseAND(mask)
+                .alias("d0"),
+            ),
         )
 
-    def follow(state: Column, j: Column) -> Column:
-        # One-element arrays name what several expressions use, so that it is computed once.
-        return F.element_at(
-            F.transform(
-                F.array(step(state, j)),
-                lambda s: F.struct(
-                    moved(s)["vp"].alias("vp"),
-                    moved(s)["vn"].alias("vn"),
-                    (
-                        state["edits"]
-                        + F.when(F.getbit(s["d0"], more + tau) == 1, 0).otherwise(1)
-                    ).alias("edits"),
-                ),
+    def moved(c: Column, edits: Column) -> Column:
+        """The band one place further down."""
+        across = c["vn"].bitwiseOR(F.bitwise_not(c["d0"].bitwiseOR(c["vp"])).bitwiseAND(mask))
+        down = F.shiftright(c["d0"], 1)
+        return let(
+            across,
+            lambda hp: F.struct(
+                c["d0"].bitwiseAND(c["vp"]).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
+                down.bitwiseAND(hp).alias("vn"),
+                edits.alias("edits"),
             ),
-            1,
         )
 
-    start = F.struct(
-        F.lit(mask & ~((1 << tau) - 1)).cast("long").alias("vp"),
-        F.lit(0).cast("long").alias("vn"),
-        more.cast("int").alias("edits"),
-    )
-    places = F.when(F.length(shorter) > 0, F.sequence(F.lit(1), F.length(shorter))).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(places, start, lambda s, j: F.when(s["edits"] > tau, s).otherwise(follow(s, j)))
-    counted = F.when(more > tau, F.lit(tau + 1)).otherwise(walked["edits"])
-    return cut.withColumn("_edits", counted).drop("_x", "_y", "_cut")
+    def walked(p: Column) -> Column:
+        more = F.length(p["x"]) - F.length(p["y"])
+        start = F.struct(
+            F.lit(((1 << width) - 1) & ~((1 << tau) - 1)).cast("long").alias("vp"),
+            F.lit(0).cast("long").alias("vn"),
+            more.cast("int").alias("edits"),
+        )
+
+        def follow(state: Column, j: Column) -> Column:
+            step = lambda c: F.when(F.getbit(c["d0"], more + tau) == 1, 0).otherwise(1)
+            return let(column(p, state, j), lambda c: moved(c, state["edits"] + step(c)))
+
+        places = F.when(F.length(p["y"]) > 0, F.sequence(F.lit(1), F.length(p["y"]))).otherwise(
+            F.array().cast("array<int>")
+        )
+        end = F.aggregate(places, start, lambda s, j: F.when(s["edits"] > tau, s).otherwise(follow(s, j)))
+        return F.when(more > tau, F.lit(tau + 1)).otherwise(end["edits"])
+
+    longer_first = F.when(F.length(a) >= F.length(b), pair(a, b)).otherwise(pair(b, a))
+    return let(longer_first, lambda p: let(without_head(p), lambda q: let(without_tail(q), walked)))
 
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +211,8 @@ def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     pairs = index.join(probes, "_key").where("_h1 <> _g1")
     pairs = pairs.select(F.least("_h1", "_g1").alias("_h1"), F.greatest("_h1", "_g1").alias("_g1")).distinct()
     other = first.select(F.col("_h1").alias("_g1"), F.col("_v").alias("_w"))
-    both = pairs.join(first, "_h1").join(other, "_g1").select("_h1", "_g1", "_v", "_w", F.col("_v._line").alias("_a"), F.col("_w._line").alias("_b"))
-    close = within_edits(both, "_a", "_b", tau).where(F.col("_edits") <= tau)
+    both = pairs.join(first, "_h1").join(other, "_g1")
+    close = both.where(banded_distance(F.col("_v._line"), F.col("_w._line"), tau) <= tau)
     later = F.when(F.col("_v._place") > F.col("_w._place"), F.col("_h1")).when(
         F.col("_v._place") < F.col("_w._place"), F.col("_g1")
     )

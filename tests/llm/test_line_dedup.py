@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contestry.llm.line_dedup import LEAST_BYTES, dedup_lines, index_keys, probe_keys, within_edits
+from contestry.llm.line_dedup import LEAST_BYTES, banded_distance, dedup_lines, index_keys, probe_keys
 
 
 def distance(a, b):
@@ -45,7 +45,7 @@ def some_pairs(n=250, seed=1):
 def test_banded_distance(spark, tau):
     pairs = some_pairs()
     df = spark.createDataFrame([(bytearray(a.encode()), bytearray(b.encode())) for a, b in pairs], "a binary, b binary")
-    rows = within_edits(df, "a", "b", tau).collect()
+    rows = df.select("a", "b", banded_distance(df.a, df.b, tau).alias("_edits")).collect()
     for r in rows:
         d = distance(bytes(r.a), bytes(r.b))
         assert r._edits == d if d <= tau else r._edits > tau
