@@ -15,6 +15,7 @@ from contestry.functions.probability import (
     drawn_winner,
     keyed_uniform,
 )
+from contestry.operators.ordering import top_rows
 from contestry.operators.standings import (
     best_thirds,
     bracket_slots,
@@ -42,7 +43,8 @@ def draw_outcomes(forecasts: DataFrame, seed: int, *keys: str) -> DataFrame:
 def drawn_table(members: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Records of group members over drawn outcomes.
 
-    A drawn contest has no score, so goals stay 0 and equal points are split by lot.
+    ``members`` has all ``keys``. A member without a contest has a record of zeros. A drawn
+    contest has no score, so goals stay 0 and equal points are split by lot.
     """
     a_won, level = F.col("outcome") == CLASSES[0], F.col("outcome") == CLASSES[1]
     result = F.when(a_won, 1).when(level, 0).otherwise(-1)
@@ -60,10 +62,9 @@ def drawn_table(members: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> Da
             F.count_if(F.col("_r") < 0).alias("lost"),
         )
     )
-    # Members carry no replicate; the record of a replicate exists for each team that played.
-    shared = [k for k in keys if k in members.columns]
+    joined = members.join(record, [*keys, "team"], "left").fillna(0, ["played", "won", "drawn", "lost"])
     return with_derived(
-        record.join(members, [*shared, "team"]).withColumns(
+        joined.withColumns(
             {"goals_for": F.lit(0).cast("bigint"), "goals_against": F.lit(0).cast("bigint")}
         )
     )
@@ -109,7 +110,7 @@ def stage_outcomes(
     per = [*keys, "replicate"]
     drawn = draw_outcomes(replicate(forecasts, replicates), seed, "replicate", "match_id")
     # Far smaller than the draws it sums up, and read by the ranking more than once.
-    table = cut_lineage(drawn_table(members, drawn, per))
+    table = cut_lineage(drawn_table(replicate(members, replicates), drawn, per))
     ranked = rank_groups(table, [*per, "group"], seed)
     # Both qualifying routes and the stage table read the ranking.
     ranked = cut_lineage(ranked.select(*per, "group", "team", "rank", "points",
@@ -147,16 +148,25 @@ def advancement_shares(
     )
 
 
-def contenders(shares: DataFrame, n: int = 10) -> DataFrame:
-    """The likeliest champions, ties by name (K4)."""
-    return shares.orderBy(F.desc("win_title_probability"), "team").limit(n)
+def contenders(shares: DataFrame, keys: Sequence[str] = (), n: int = 10) -> DataFrame:
+    """The ``n`` likeliest champions of each key with their ``place``, ties by name (K4)."""
+    best = [F.desc("win_title_probability"), F.asc("team")]
+    return top_rows(shares, list(keys), best, "place", n)
 
 
-def summarize(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Number of teams, total title probability and the favourite, per key."""
-    best = F.struct((-F.col("win_title_probability")).alias("p"), F.col("team"))
-    return shares.groupBy(*keys).agg(
+def summarize(shares: DataFrame, keys: Sequence[str] = (), n: int = 10) -> DataFrame:
+    """Number of teams, total title probability, the favourite and the ``n`` likeliest
+    champions in order, per key (A15)."""
+    totals = shares.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_teams"),
         F.round(F.sum("win_title_probability"), 6).alias("title_probability_total"),
-        F.min_by("team", best).alias("favourite"),
     )
+    top = contenders(shares, keys, n).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("place", "team"))).alias("_top")
+    )
+    top = top.select(
+        *keys,
+        F.col("_top")[0]["team"].alias("favourite"),
+        F.array_join(F.transform("_top", lambda t: t["team"].cast("string")), ",").alias("contenders"),
+    )
+    return totals.join(top, list(keys)) if keys else totals.crossJoin(top)

@@ -22,14 +22,15 @@ def _carried_forward(events: DataFrame, ratings: DataFrame) -> DataFrame:
         {"_snap": F.lit(None).cast(ratings.schema["_snap"].dataType), "_kind": F.lit(1)}
     ).unionByName(ratings.select("team", "_day", *width, "_snap", F.lit(0).alias("_kind")))
     # Ratings sort before contests of the same day, so a same-day rating is used, and of two
-    # on one day the larger snapshot comes last.
+    # on one day the larger snapshot comes last. Undated contests sort last but have no "before".
     upto = (
         Window.partitionBy("team")
-        .orderBy("_day", "_kind", "_snap")
+        .orderBy(F.asc_nulls_last("_day"), "_kind", "_snap")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    latest = F.last("_snap", ignorenulls=True).over(upto)
     return (
-        line.withColumn("_snap", F.last("_snap", ignorenulls=True).over(upto))
+        line.withColumn("_snap", F.when(F.col("_day").isNotNull(), latest))
         .filter(F.col("_kind") == 1)
         .drop("_kind")
     )
@@ -50,11 +51,13 @@ def _looked_up(events: DataFrame, snaps: DataFrame, limit: int) -> DataFrame:
     answers = _carried_forward(per_day.select("team", "_day"), snaps)
     copies = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt")
     piece = F.pmod(F.xxhash64(*events.columns), F.lit(pieces)).cast("int")
-    return (
-        events.withColumn("_salt", piece)
-        .join(answers.select("*", copies), ["team", "_day", "_salt"])
-        .drop("_salt")
+    found = answers.select(F.col("team").alias("_t"), F.col("_day").alias("_d"), "_snap", copies)
+    same = (
+        F.col("team").eqNullSafe(F.col("_t"))
+        & F.col("_day").eqNullSafe(F.col("_d"))
+        & (F.col("_piece") == F.col("_salt"))
     )
+    return events.withColumn("_piece", piece).join(found, same, "left").select(*events.columns, "_snap")
 
 
 def asof_latest(
@@ -74,6 +77,7 @@ def asof_latest(
     One shuffle by team serves both tables. For a team too big for one task the time line is
     built over its distinct days only, which the calendar bounds, and every event of a day
     then looks its day up.
+    An undated event has no latest rating.
     """
     days = events.withColumn("_day", F.unix_date(date))
     snaps = ratings.filter(F.col(rating_date).isNotNull()).select(

@@ -31,17 +31,18 @@ def _prior_columns(window: Window) -> dict:
 
 
 def _window_form(rows: DataFrame) -> DataFrame:
-    """Form by one window pass per team. Both frames share the (team, day) sort."""
-    history = Window.partitionBy("team").orderBy("_day", "match_id")
+    """Form by one window pass per team. Both frames share the (team, day) sort.
+
+    Undated contests come after all dated ones and have no count of recent days.
+    """
+    day = F.asc_nulls_last("_day")
+    history = Window.partitionBy("team").orderBy(day, "match_id")
     old = (
-        Window.partitionBy("team")
-        .orderBy("_day")
-        .rangeBetween(Window.unboundedPreceding, -RECENT_DAYS)
+        Window.partitionBy("team").orderBy(day).rangeBetween(Window.unboundedPreceding, -RECENT_DAYS)
     )
     recent = F.row_number().over(history) - 1 - F.count(F.lit(1)).over(old)
-    return rows.withColumns(
-        {**_prior_columns(history), "matches_played_last_365_days": recent.cast("bigint")}
-    )
+    recent = F.when(F.col("_day").isNotNull(), recent.cast("bigint"))
+    return rows.withColumns({**_prior_columns(history), "matches_played_last_365_days": recent})
 
 
 def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
@@ -53,7 +54,7 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
     """
     reach = max(FORM_WIDTHS)
     chunk = max(chunk, reach)
-    placed = number_hot(rows, ["team"], [F.col("_day"), F.col("match_id")], "_pos")
+    placed = number_hot(rows, ["team"], [F.asc_nulls_last("_day"), F.col("match_id")], "_pos")
     own = F.floor((F.col("_pos") - 1) / chunk)
     leads = (F.col("_pos") - 1) % chunk >= chunk - reach
     here = F.struct(own.alias("_chunk"), F.lit(True).alias("_kept"))
@@ -64,29 +65,36 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
     within = Window.partitionBy("team", "_chunk").orderBy("_pos")
     formed = spread.withColumns(_prior_columns(within)).filter("_kept").drop("_chunk", "_kept")
 
-    per_day = rows.groupBy("team", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    dated = rows.filter(F.col("_day").isNotNull())
+    per_day = dated.groupBy("team", "_day").agg(F.count(F.lit(1)).alias("_n"))
     old = (
         Window.partitionBy("team")
         .orderBy("_day")
         .rangeBetween(Window.unboundedPreceding, -RECENT_DAYS)
     )
     older = per_day.select(
-        "team",
-        "_day",
+        F.col("team").alias("_t"),
+        F.col("_day").alias("_d"),
         F.coalesce(F.sum("_n").over(old), F.lit(0)).alias("_older"),
     )
     # A day above the limit is dealt into pieces. The copies are a step of their own: in one
     # projection they would be made before the running sum.
     pieces = pieces_needed(per_day, "_n", chunk)
     older = older.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt"))
-    salted = formed.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(pieces)).cast("int"))
+    salted = formed.withColumn("_piece", F.pmod(F.col("_pos"), F.lit(pieces)).cast("int"))
+    same = (
+        F.col("team").eqNullSafe(F.col("_t"))
+        & (F.col("_day") == F.col("_d"))
+        & (F.col("_piece") == F.col("_salt"))
+    )
+    # An undated contest finds no day, keeps its row, and has no count.
     return (
-        salted.join(older, ["team", "_day", "_salt"])
+        salted.join(older, same, "left")
         .withColumn(
             "matches_played_last_365_days",
             (F.col("_pos") - 1 - F.col("_older")).cast("bigint"),
         )
-        .drop("_pos", "_salt", "_older")
+        .drop("_pos", "_piece", "_salt", "_older", "_t", "_d")
     )
 
 

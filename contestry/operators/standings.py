@@ -138,13 +138,22 @@ def seeds(
     return numbered.select(*keys, "team", (F.col("seed") - 1).alias("seed"))
 
 
-def bracket_slots(seeded: DataFrame, size: int = 32) -> DataFrame:
-    """Bracket slot of every seed: seed i meets seed size - 1 - i in pair i (K6)."""
+def bracket_slots(seeded: DataFrame, size: int | None = 32) -> DataFrame:
+    """Bracket slot of every seed: seed i meets seed size - 1 - i in pair i (K6).
+
+    A short field leaves slots empty. A seed that ``size`` has no room for is an error when the
+    rows are read; without a ``size`` the bracket is the next power of two that holds all.
+    """
+    if size is None:
+        top = seeded.agg(F.max("seed")).first()[0] or 0
+        size = 1 << max(1, int(top).bit_length())
     last = size - 1
-    half = F.least(F.col("seed"), F.lit(last) - F.col("seed"))
-    return seeded.filter(F.col("seed").between(0, last)).withColumn(
-        "slot", 2 * half + (F.col("seed") > half).cast("bigint")
+    seed = F.when(F.col("seed").between(0, last), F.col("seed")).otherwise(
+        F.raise_error(F.concat(F.lit(f"no room in a bracket of {size} for seed "), F.col("seed").cast("string")))
+        .cast("bigint")
     )
+    half = F.least(seed, F.lit(last) - seed)
+    return seeded.withColumn("slot", 2 * half + (seed > half).cast("bigint"))
 
 
 def seeding_problems(seeded: DataFrame, keys: Sequence[str] = (), size: int = 32) -> DataFrame:

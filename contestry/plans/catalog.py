@@ -101,10 +101,11 @@ QUERIES: dict[str, Query] = {}
 
 # Parameters the queries and their SQL share.
 SEED = 42
-REPLICATES = 20
+REPLICATES = 200
 POOL = ("tournament",)
 WINDOW = ("1997-01-01", "1997-06-30")
 URGENT = "1-URGENT"
+CHAMPIONS = {URGENT: 1, "2-HIGH": -1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
 
 
 def query(fn: Query) -> Query:
@@ -391,9 +392,11 @@ def elo_expectancy(spark, sf):
 
 @query
 def pair_forecast_rows(spark, sf):
-    c = tb.contests(spark, sf)
+    c = tb.played(spark, sf)
     pairs = c.select("tournament", "team_a", "team_b", "is_neutral").distinct()
-    ratings = current_elo(tb.played(spark, sf), POOL).filter(F.col("team") % 7 != 0)
+    # Some teams have a rating under another name only.
+    renamed = F.when(F.col("team") % 7 == 0, -F.col("team")).otherwise(F.col("team"))
+    ratings = current_elo(c, POOL).withColumn("team", renamed)
     return rounded(pair_forecast(pairs, ratings, keys=POOL))
 
 
@@ -485,8 +488,8 @@ def standings_rows(spark, sf):
 
 
 def _group_table(spark, sf):
-    season = tb.played(spark, sf).filter(F.col("date").between(*WINDOW))
-    return group_table(tb.members(spark, sf), season, POOL)
+    c = tb.played(spark, sf)
+    return group_table(tb.members(spark, sf, c), c, POOL)
 
 
 @query
@@ -534,7 +537,9 @@ def bracket_seeding(spark, sf):
 
 @query
 def seeding_check(spark, sf):
-    return seeding_problems(_seeded(spark, sf).filter(F.col("team") % 10 != 3), POOL)
+    # Teams that count as one make the seeding wrong in places; no row is left out.
+    merged = F.when(F.col("team") % 10 == 3, F.lit(0)).otherwise(F.col("team"))
+    return seeding_problems(_seeded(spark, sf).withColumn("team", merged), POOL)
 
 
 def _tokens(spark, sf):
@@ -569,14 +574,17 @@ def unknown_slot_tokens(spark, sf):
 
 @query
 def schedule_check(spark, sf):
-    groups = tb.members(spark, sf).filter(F.col("team") % 9 != 0)
-    doubled = groups.withColumn(
+    # Some members have another name in the draw, so their contests are of unknown teams.
+    c = tb.played(spark, sf)
+    members = tb.members(spark, sf, c)
+    renamed = F.when(F.col("team") % 9 == 0, -F.col("team")).otherwise(F.col("team"))
+    doubled = members.withColumn(
         "group",
         F.explode(F.when(F.col("team") % 8 == 0, F.array("group", F.lit("A")))
                   .otherwise(F.array("group"))),
-    )
-    home = tb.members(spark, sf).select("tournament", "group", F.col("team").alias("home"))
-    season = tb.played(spark, sf).filter(F.col("date").between(*WINDOW)).select(
+    ).withColumn("team", renamed)
+    home = members.select("tournament", "group", F.col("team").alias("home"))
+    season = c.select(
         "tournament", F.col("team_a").alias("home"),
         F.when(F.col("match_id") % 10 == 0, F.col("team_a")).otherwise(F.col("team_b"))
         .alias("away"),
@@ -609,9 +617,10 @@ def next_round(spark, sf):
     return play_round(slots, tb.strengths(spark, sf), POOL, SEED, 0)
 
 
-def _outcomes(spark, sf):
-    return stage_outcomes(
-        tb.members(spark, sf),
+def _shares(spark, sf):
+    members = tb.members(spark, sf)
+    outcomes = stage_outcomes(
+        members,
         cut_lineage(tb.forecasts(spark, sf).select("match_id", *POOL, "team_a", "team_b",
                                                    *PROBABILITIES)),
         tb.strengths(spark, sf),
@@ -619,27 +628,23 @@ def _outcomes(spark, sf):
         replicates=REPLICATES,
         seed=SEED,
     )
+    return cut_lineage(advancement_shares(outcomes, REPLICATES, POOL, members))
 
 
 @query
 def advancement(spark, sf):
-    shares = advancement_shares(
-        _outcomes(spark, sf), REPLICATES, POOL, tb.members(spark, sf)
-    )
-    return rounded(shares)
+    return rounded(_shares(spark, sf))
 
 
 @query
 def advancement_summary(spark, sf):
-    shares = advancement_shares(_outcomes(spark, sf), REPLICATES, POOL, tb.members(spark, sf))
-    return summarize(shares, POOL)
+    return summarize(_shares(spark, sf), POOL)
 
 
 @query
 def title_contenders(spark, sf):
-    shares = advancement_shares(_outcomes(spark, sf), REPLICATES, POOL, tb.members(spark, sf))
-    urgent = shares.filter(F.col("tournament") == URGENT)
-    return rounded(contenders(urgent).select("team", "win_title_probability"))
+    shares = contenders(_shares(spark, sf), POOL)
+    return rounded(shares.select(*POOL, "place", "team", "win_title_probability"))
 
 
 # --- models (no SQL counterpart) ----------------------------------------------------------
@@ -694,7 +699,7 @@ def training_leaderboard(spark, sf):
 def backtest_rows(spark, sf):
     tournaments = [
         Tournament(f"{name} 1997", *WINDOW, champion, name)
-        for name, champion in ((URGENT, 1), ("2-HIGH", -1))
+        for name, champion in CHAMPIONS.items()
     ]
     rows, _ = backtest(
         _features(spark, sf), tournaments, candidates=["elo_diff", "form_5_diff", "is_team_a_home"]

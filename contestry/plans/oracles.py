@@ -49,17 +49,16 @@ def sql(text: str, *needs: str, recursive: bool = False) -> str:
 part(
     "c",
     """
-  SELECT p.ok AS match_id, CAST(o.o_orderdate AS DATE) AS date, p.a AS team_a, p.b AS team_b,
-         x.g AS team_a_score, y.g AS team_b_score, (p.ok % 3 = 0) AS is_neutral,
+  SELECT p.ok * 64 + p.i AS match_id, CAST(o.o_orderdate AS DATE) AS date, p.a AS team_a,
+         p.b AS team_b, p.ga AS team_a_score, p.gb AS team_b_score, (p.ok % 3 = 0) AS is_neutral,
          o.o_orderpriority AS tournament, o.o_orderstatus AS status
-  FROM (SELECT ok, MIN(sk) AS a, MAX(sk) AS b
-        FROM (SELECT DISTINCT l_orderkey AS ok, l_suppkey AS sk FROM lineitem)
-        GROUP BY ok HAVING MIN(sk) < MAX(sk)) p
-  JOIN (SELECT l_orderkey AS ok, l_suppkey AS sk, CAST(FLOOR(SUM(l_quantity) / 10) AS INT) AS g
-        FROM lineitem GROUP BY 1, 2) x ON x.ok = p.ok AND x.sk = p.a
-  JOIN (SELECT l_orderkey AS ok, l_suppkey AS sk, CAST(FLOOR(SUM(l_quantity) / 10) AS INT) AS g
-        FROM lineitem GROUP BY 1, 2) y ON y.ok = p.ok AND y.sk = p.b
-  JOIN orders o ON o.o_orderkey = p.ok""",
+  FROM (SELECT ok, sk AS a, g AS ga, lead(sk) OVER w AS b, lead(g) OVER w AS gb,
+               row_number() OVER w AS i
+        FROM (SELECT l_orderkey AS ok, l_suppkey AS sk,
+                     CAST(FLOOR(SUM(l_quantity) / 10) AS INT) AS g
+              FROM lineitem GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY ok ORDER BY sk)) p
+  JOIN orders o ON o.o_orderkey = p.ok WHERE p.b IS NOT NULL""",
 )
 part(
     "d",
@@ -140,7 +139,7 @@ part(
     """
   SELECT l_suppkey AS team, CAST(date_trunc('month', l_shipdate) AS DATE) AS rdate,
          CAST(1000 + COUNT(*) AS DOUBLE) AS elo
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-06-01' GROUP BY 1, 2""",
+  FROM lineitem GROUP BY 1, 2""",
 )
 part(
     "releases",
@@ -315,8 +314,7 @@ part(
     SELECT tournament, "group", team,
            {", ".join(f"COALESCE({c}, 0) AS {c}" for c in _RECORD_COLUMNS)}
     FROM members LEFT JOIN (
-      SELECT tournament, team, {_RECORD} FROM long
-      WHERE date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}' GROUP BY 1, 2)
+      SELECT tournament, team, {_RECORD} FROM long GROUP BY 1, 2)
     USING (tournament, team))""",
     "members",
     "long",
@@ -470,6 +468,15 @@ part(
     "outcomes",
 )
 
+part(
+    "placed",
+    """
+  SELECT *, row_number() OVER (PARTITION BY tournament
+           ORDER BY win_title_probability DESC, team) AS place
+  FROM shares""",
+    "shares",
+)
+
 # --- names --------------------------------------------------------------------------------
 
 
@@ -954,8 +961,9 @@ FROM (SELECT *, {lot} AS lot FROM table_groups)""",
     o["best_third_teams"] = sql('SELECT tournament, "group", team, third_rank FROM thirds', "thirds")
     o["bracket_seeding"] = sql("SELECT * FROM slots", "slots")
     o["seeding_check"] = sql(
-        """SELECT tournament, COUNT(*) AS n_seeds, COUNT(DISTINCT team) AS n_teams FROM seeded
-WHERE team % 10 <> 3 GROUP BY 1 HAVING COUNT(*) <> 32 OR COUNT(DISTINCT team) <> 32""",
+        """SELECT tournament, COUNT(*) AS n_seeds,
+       COUNT(DISTINCT CASE WHEN team % 10 = 3 THEN 0 ELSE team END) AS n_teams
+FROM seeded GROUP BY 1 HAVING COUNT(*) <> 32 OR n_teams <> 32""",
         "seeded",
     )
     o["slot_resolution"] = sql(
@@ -993,26 +1001,32 @@ FROM (SELECT *, p_team_a_win / (p_team_a_win + p_team_b_win) AS q FROM f)""",
     o["advancement_summary"] = sql(
         """SELECT tournament, COUNT(*) AS n_teams,
        ROUND(SUM(win_title_probability), 6) AS title_probability_total,
-       arg_min(team, (-win_title_probability, team)) AS favourite FROM shares GROUP BY 1""",
-        "shares",
+       arg_min(team, (-win_title_probability, team)) AS favourite,
+       string_agg(team::VARCHAR, ',' ORDER BY place) FILTER (place <= 10) AS contenders
+FROM placed GROUP BY 1""",
+        "placed",
     )
     o["title_contenders"] = sql(
-        f"""SELECT team, ROUND(win_title_probability, 6) AS win_title_probability FROM shares
-WHERE tournament = '{URGENT}' ORDER BY shares.win_title_probability DESC, team LIMIT 10""",
-        "shares",
+        """SELECT tournament, place, team, ROUND(win_title_probability, 6) AS win_title_probability
+FROM placed WHERE place <= 10""",
+        "placed",
     )
     return o
 
 
-part("rated", "SELECT * FROM cur WHERE team % 7 <> 0", "cur")
+part(
+    "rated",
+    "SELECT * REPLACE (CASE WHEN team % 7 = 0 THEN -team ELSE team END AS team) FROM cur",
+    "cur",
+)
 
 _SCHEDULE = f"""
 , g0 AS (SELECT tournament, unnest(CASE WHEN team % 8 = 0 THEN ["group", 'A'] ELSE ["group"] END)
-                AS "group", team FROM members WHERE team % 9 <> 0),
+                AS "group", CASE WHEN team % 9 = 0 THEN -team ELSE team END AS team FROM members),
 fx AS (SELECT x.*, members."group" FROM (
          SELECT tournament, team_a AS home,
                 CASE WHEN match_id % 10 = 0 THEN team_a ELSE team_b END AS away
-         FROM c WHERE date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}') x
+         FROM c) x
        JOIN members ON members.tournament = x.tournament AND members.team = x.home),
 pg AS (SELECT tournament, "group", COUNT(*) AS n FROM g0 GROUP BY 1, 2),
 pt AS (SELECT tournament, team, COUNT(*) AS n FROM g0 GROUP BY 1, 2),

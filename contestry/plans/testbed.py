@@ -32,25 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contest per order with at least two suppliers: the lowest against the highest.
+    """A contest between each two neighbouring suppliers of an order, in order of their keys.
 
     Quantities combine per (order, supplier) before the second grouping, so an order with
-    very many lines arrives there as a few rows.
+    very many lines arrives there as a few rows. A contest's number is the order's times 64
+    plus its place in the order, from 1.
     """
     per_side = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_suppkey")
         .agg(F.floor(F.sum("l_quantity") / 10).cast("int").alias("g"))
     )
+    side = F.struct("l_suppkey", "g")
+    sides = per_side.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(side)).alias("_sides"))
+    place = F.posexplode(F.expr("slice(_sides, 2, size(_sides) - 1)")).alias("_no", "_b")
     pairs = (
-        per_side.groupBy("l_orderkey")
-        .agg(
-            F.min("l_suppkey").alias("team_a"),
-            F.max("l_suppkey").alias("team_b"),
-            F.min_by("g", "l_suppkey").alias("team_a_score"),
-            F.max_by("g", "l_suppkey").alias("team_b_score"),
+        sides.filter(F.size("_sides") > 1)
+        .select("l_orderkey", "_sides", place)
+        .withColumn("_a", F.get("_sides", F.col("_no")))
+        .select(
+            "l_orderkey",
+            (F.col("l_orderkey") * 64 + F.col("_no") + 1).alias("match_id"),
+            F.col("_a.l_suppkey").alias("team_a"),
+            F.col("_b.l_suppkey").alias("team_b"),
+            F.col("_a.g").alias("team_a_score"),
+            F.col("_b.g").alias("team_b_score"),
         )
-        .filter(F.col("team_a") < F.col("team_b"))
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
@@ -59,7 +66,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"),
     )
     return pairs.join(orders, "l_orderkey").select(
-        F.col("l_orderkey").alias("match_id"),
+        "match_id",
         "date",
         "team_a",
         "team_b",
@@ -154,10 +161,9 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(team, date, elo): monthly activity of a supplier from mid-1996 on, as a stored table."""
+    """(team, date, elo): monthly activity of a supplier, as a stored table."""
     return cut_lineage(
         table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_shipdate") >= F.lit("1996-06-01").cast("timestamp"))
         .groupBy(
             F.col("l_suppkey").alias("team"),
             F.trunc("l_shipdate", "month").alias("date"),
@@ -191,14 +197,17 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumns(dict(zip(PROBABILITIES, parts)))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tournament, group, team): participants in twelve groups, by nation of the supplier."""
+def members(spark: SparkSession, sf_dir: str, played: DataFrame | None = None) -> DataFrame:
+    """(tournament, group, team): participants in twelve groups, by nation of the supplier.
+
+    ``played`` saves deriving the contests once more.
+    """
     group = F.char(F.lit(65) + F.col("s_nationkey") % 12)
     supplier = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("team"), group.alias("group")
     )
     return cut_lineage(
-        participants(contests(spark, sf_dir), "tournament")
+        participants(contests(spark, sf_dir) if played is None else played, "tournament")
         .join(supplier, "team")
         .select("tournament", "group", "team")
     )
