@@ -10,6 +10,7 @@ those whose occurrences differ in the byte before: the maximal repeats, with all
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -204,20 +205,25 @@ def _marked(length: int):
         held: list[pd.DataFrame] = []
         size = 0
         for frame in frames:
+            if not len(frame):
+                continue
             held.append(frame)
-            size += int(frame["_bytes"].str.len().sum()) if len(frame) else 0
+            size += int(frame["_part"].str.len().sum())
             if size >= SORTED_BYTES:
                 every = pd.concat(held)
                 last = every["_anchor"] == every["_anchor"].iat[-1]
                 if not last.all():
                     yield sort(every[~last])
                 held = [every[last]]
-                size = int(held[0]["_bytes"].str.len().sum())
-        if held and len(every := pd.concat(held)):
-            yield sort(every)
+                size = int(held[0]["_part"].str.len().sum())
+        if held:
+            yield sort(pd.concat(held))
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_ranges([bytes(b) for b in rows["_bytes"]], length)
+        parts = [bytes(b) for b in rows["_part"]]
+        found = repeated_ranges(parts, length)
+        # A fragment that occurs twice as a whole is covered as a whole.
+        found = [[(0, len(b))] if n > 1 else r for r, b, n in zip(found, parts, rows["_n"], strict=True)]
         out = pd.DataFrame({"_anchor": rows["_anchor"].to_numpy(), "_digest": rows["_digest"].to_numpy()})
         out["_starts"] = [[s for s, _ in r] for r in found]
         out["_ends"] = [[e for _, e in r] for r in found]
@@ -231,23 +237,55 @@ def _window_ranges(crowded: DataFrame, length: int) -> DataFrame:
 
     Rows grow with the fragments times the windows of each, never with pairs.
     """
-    places = F.sequence(F.lit(1), F.length("_bytes") - length + 1)
-    each = crowded.select("_anchor", "_digest", "_bytes", F.explode(places).alias("_at"))
-    each = each.withColumn("_window", F.sha2(F.substring("_bytes", F.col("_at"), F.lit(length)), 256))
-    each = each.select("_anchor", "_digest", (F.col("_at") - 1).alias("_at"), "_window")
-    shared = each.groupBy("_anchor", "_window").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    places = F.sequence(F.lit(1), F.length("_part") - length + 1)
+    each = crowded.select("_anchor", "_digest", "_n", "_part", F.explode(places).alias("_at"))
+    each = each.withColumn("_window", F.sha2(F.substring("_part", F.col("_at"), F.lit(length)), 256))
+    each = each.select("_anchor", "_digest", "_n", (F.col("_at") - 1).cast("long").alias("_at"), "_window")
+    shared = each.groupBy("_anchor", "_window").agg(F.sum("_n").alias("_times")).where("_times > 1").drop("_times")
     hit = each.join(shared, ["_anchor", "_window"])
     return hit.groupBy("_anchor", "_digest").agg(F.sort_array(F.collect_list("_at")).alias("_starts")).select(
         "_anchor", "_digest", "_starts", F.transform("_starts", lambda s: s + length).alias("_ends")
     )
 
 
+def _kinds_of_fragments(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``_key``, ``_hash``, ``_anchor``, ``_digest``, ``_n``: each different fragment of a document."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                kinds = []
+                for data in rows.column(2).to_pylist():
+                    anchors, first, behind = fragments(data, length, gram)
+                    digests = [_digest(data[f : b + length - 1]) for f, b in zip(first.tolist(), behind.tolist(), strict=True)]
+                    kinds.append(Counter(zip(anchors.tolist(), digests, strict=True)))
+                times = [len(k) for k in kinds]
+                columns = [pa.array(np.repeat(rows.column(k).to_numpy(), times)) for k in (0, 1)]
+                pairs = [pair for k in kinds for pair in k]
+                columns += [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+                columns.append(pa.array([n for k in kinds for n in k.values()], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_hash", "_anchor", "_digest", "_n"])
+
+    schema = "_key long, _hash long, _anchor long, _digest long, _n long"
+    return texts.select("_key", "_hash", "_bytes").mapInArrow(listed, schema)
+
+
+def _digest(part: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(part) - (1 << 63)
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     gram: int = GRAM, most_fragments: int = MOST_FRAGMENTS, carry: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """Documents (``_id``, ``_key``, ``_hash``, ``_bytes``) and, by ``_key`` and ``_hash``, the
-    lists ``_starts`` and ``_ends`` of covered ranges (unordered, overlapping)."""
+) -> DataFrame:
+    """Documents (``_id``, ``_bytes``, ``_carried``) with what is known of their fragments.
+
+    ``_whole`` lists anchors all of whose fragments are equal and occur more than once;
+    ``_ranges`` has (anchor, digest, starts, ends) for fragments of the other shared anchors.
+    Numbers of fragments settle most anchors; bytes are fetched once for each different
+    fragment of the rest, from one document that holds it.
+    """
     texts = texts_of(docs, id_col, text_col, carry).select(
         "_id",
         F.coalesce("_id", F.lit(LAST_ID)).alias("_key"),
@@ -255,74 +293,86 @@ def repeated_spans(
         F.col("_text").cast("binary").alias("_bytes"),
         *(["_carried"] if carry else []),
     )
+    kinds = cut_lineage(_kinds_of_fragments(texts, length, gram))
+    anchors = kinds.groupBy("_anchor").agg(
+        F.sum("_n").alias("_times"), (F.min("_digest") != F.max("_digest")).alias("_rival")
+    )
+    shared = cut_lineage(kinds.join(anchors.where("_times > 1").drop("_times"), "_anchor"))
+    rivals = shared.where("_rival")
+    # One home for each different fragment; its number over all documents decides with it.
+    homes = cut_lineage(
+        rivals.groupBy("_anchor", "_digest").agg(F.sum("_n").alias("_n"), F.min(F.struct("_key", "_hash")).alias("_home"))
+    )
+    crowded = cut_lineage(
+        homes.groupBy("_anchor").agg(F.count("*").alias("_kinds")).where(F.col("_kinds") > most_fragments).select("_anchor")
+    )
+    fetched = homes.groupBy("_home._key", "_home._hash").agg(
+        F.collect_list(F.struct("_anchor", "_digest", "_n")).alias("_fetch")
+    )
+    whole = shared.where("NOT _rival").groupBy("_key", "_hash").agg(F.collect_list("_anchor").alias("_whole"))
+    lists = fetched.join(whole, ["_key", "_hash"], "full")
+    known = texts.join(lists, ["_key", "_hash"], "left")
 
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                sets = [np.unique(fragments(b, length, gram)[0], return_counts=True) for b in rows.column(2).to_pylist()]
-                times = np.array([len(s) for s, _ in sets])
-                columns = [pa.array(np.repeat(rows.column(k).to_numpy(), times)) for k in (0, 1)]
-                columns += [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*sets, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_hash", "_anchor", "_n"])
-
-    schema = "_key long, _hash long, _anchor long, _n long"
-    anchors = cut_lineage(texts.select("_key", "_hash", "_bytes").mapInArrow(anchored, schema))
-    shared = anchors.groupBy("_anchor").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_anchor")
-    lists = anchors.join(shared, "_anchor").groupBy("_key", "_hash").agg(F.collect_set("_anchor").alias("_anchors"))
-    keyed = texts.select("_key", "_hash", "_bytes")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_key", "_hash", "_first", "_anchor", "_digest", "_bytes"]
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at_bytes, at_fetch = batch.schema.get_field_index("_bytes"), batch.schema.get_field_index("_fetch")
             for at in range(batch.num_rows):
-                key, hash_, data, wanted = (batch.column(k)[at].as_py() for k in range(4))
-                anchor, first, behind = fragments(data, length, gram)
-                keep = np.isin(anchor, np.array(wanted, np.int64))
-                parts = [data[f : b + length - 1] for f, b in zip(first[keep].tolist(), behind[keep].tolist(), strict=True)]
-                n = len(parts)
-                digests = [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array([hash_] * n, pa.int64()), pa.array(first[keep], pa.int64()),
-                     pa.array(anchor[keep], pa.int64()), pa.array(digests, pa.int64()), pa.array(parts, pa.binary())],
-                    names=names,
-                )
-
-    schema = "_key long, _hash long, _first long, _anchor long, _digest long, _bytes binary"
-    found = keyed.join(lists, ["_key", "_hash"]).mapInArrow(cut, schema)
-    different = cut_lineage(
-        found.groupBy("_anchor", "_digest").agg(F.count("*").alias("_n"), F.min("_bytes").alias("_bytes"))
-    )
-    kinds = different.groupBy("_anchor").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
-    rivals = different.join(kinds, "_anchor").select("_anchor", "_digest", "_bytes", "_kinds")
-    usual = rivals.where(F.col("_kinds") <= most_fragments).drop("_kinds")
+                wanted = batch.column(at_fetch)[at].as_py()
+                if not wanted:
+                    continue
+                data, times = batch.column(at_bytes)[at].as_py(), {(w["_anchor"], w["_digest"]): w["_n"] for w in wanted}
+                rows = []
+                for anchor, first, behind in zip(*(x.tolist() for x in fragments(data, length, gram)), strict=True):
+                    part = data[first : behind + length - 1]
+                    n = times.pop((anchor, _digest(part)), None)  # once, though it may occur again
+                    if n is not None:
+                        rows.append((anchor, _digest(part), n, part))
+                if rows:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                        names=["_anchor", "_digest", "_n", "_part"],
+                    )
+
+    parts = known.mapInArrow(fetch, "_anchor long, _digest long, _n long, _part binary")
+    # Repeated rows of a document fetch the same part again.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = usual.repartition(tasks, "_anchor").sortWithinPartitions("_anchor")
     schema = "_anchor long, _digest long, _starts array<long>, _ends array<long>"
-    ranges = usual.mapInPandas(_marked(length), schema)
-    crowded = rivals.where(F.col("_kinds") > most_fragments).drop("_kinds")
-    longs = [F.col(c).cast("array<long>").alias(c) for c in ("_starts", "_ends")]
-    ranges = ranges.unionByName(_window_ranges(crowded, length).select("_anchor", "_digest", *longs))
-    # A fragment that occurs twice as a whole is covered as a whole.
-    twice = different.where("_n > 1").select(
-        "_anchor", "_digest",
-        F.array(F.lit(0).cast("long")).alias("_starts"), F.array(F.length("_bytes").cast("long")).alias("_ends"),
-    )
-    ranges = ranges.join(twice.select("_anchor", "_digest"), ["_anchor", "_digest"], "left_anti").unionByName(twice)
-    placed = found.select("_key", "_hash", "_first", "_anchor", "_digest").join(ranges, ["_anchor", "_digest"])
-    moved = [F.transform(c, lambda x: x + F.col("_first")).alias(c) for c in ("_starts", "_ends")]
-    spans = placed.select("_key", "_hash", *moved).groupBy("_key", "_hash")
-    return texts, spans.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("_starts", "_ends")))
+    if crowded.isEmpty():
+        ranges = parts.repartition(tasks, "_anchor").sortWithinPartitions("_anchor").mapInPandas(_marked(length), schema)
+    else:
+        parts = cut_lineage(parts)
+        usual = parts.join(crowded, "_anchor", "left_anti").repartition(tasks, "_anchor").sortWithinPartitions("_anchor")
+        many = parts.join(crowded, "_anchor", "left_semi").dropDuplicates(["_anchor", "_digest"])
+        ranges = usual.mapInPandas(_marked(length), schema).unionByName(_window_ranges(many, length))
+    ranges = ranges.dropDuplicates(["_anchor", "_digest"])
+    placed = rivals.select("_key", "_hash", "_anchor", "_digest").join(ranges, ["_anchor", "_digest"])
+    placed = placed.groupBy("_key", "_hash").agg(
+        F.collect_list(F.struct("_anchor", "_digest", "_starts", "_ends")).alias("_ranges")
+    )
+    return known.join(placed, ["_key", "_hash"], "left").drop("_key", "_hash", "_fetch")
 
 
-def merged(starts, ends) -> list[tuple[int, int]]:
-    """Ranges in order, those that overlap or touch as one."""
+def covered_spans(data: bytes, whole, ranges, length: int, gram: int) -> list[tuple[int, int]]:
+    """Removed runs of a document in order; those that overlap or touch are one."""
+    whole = set(whole or ())
+    known = {(r["_anchor"], r["_digest"]): (r["_starts"], r["_ends"]) for r in ranges or ()}
     out: list[tuple[int, int]] = []
-    for start, end in sorted(zip(starts or (), ends or (), strict=True)):
+
+    def add(start: int, end: int) -> None:
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
             out.append((start, end))
+
+    if whole or known:
+        for anchor, first, behind in zip(*(x.tolist() for x in fragments(data, length, gram)), strict=True):
+            if anchor in whole:
+                add(first, behind + length - 1)
+            elif known and (found := known.get((anchor, _digest(data[first : behind + length - 1])))):
+                # Fragments come in the order of their windows, and so do ranges within one.
+                for start, end in zip(*found, strict=True):
+                    add(first + start, first + end)
     return out
 
 
@@ -340,16 +390,16 @@ def remove_repeats(
     that repeat each other; null ids are rows like others. An empty table gives no rows; other
     columns are not read.
     """
-    texts, spans = repeated_spans(docs, id_col, text_col, length, gram, most_fragments, carry)
     extra = ["_carried"] if carry else []
-    joined = texts.join(spans, ["_key", "_hash"], "left").select("_id", "_bytes", "_starts", "_ends", *extra)
+    joined = repeated_spans(docs, id_col, text_col, length, gram, most_fragments, carry)
+    joined = joined.select("_id", "_bytes", "_whole", "_ranges", *extra)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for at in range(batch.num_rows):
-                data, starts, ends = (batch.column(k)[at].as_py() for k in (1, 2, 3))
-                gone = merged(starts, ends)
+                data, whole, ranges = (batch.column(k)[at].as_py() for k in (1, 2, 3))
+                gone = covered_spans(data, whole, ranges, length, gram)
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 shown = kept.decode("utf-8", "ignore") if as_text else kept
