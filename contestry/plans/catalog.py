@@ -173,6 +173,29 @@ def asof_rank_points(spark, sf):
     return out.select("match_id", *[c for c in out.columns if "fifa" in c])
 
 
+# The routes for teams and groups too big for one task, forced by a small limit, over a table
+# in which some contests have no date.
+SMALL_LIMIT = 40
+UNDATED_EVERY = 29
+
+
+def _some_undated(spark, sf):
+    dated = F.when(F.col("match_id") % UNDATED_EVERY > 0, F.col("date"))
+    return cut_lineage(tb.results(spark, sf).withColumn("date", dated))
+
+
+@query
+def asof_rating_split(spark, sf):
+    out = add_elo_snapshots(_some_undated(spark, sf), tb.rating_snapshots(spark, sf), limit=SMALL_LIMIT)
+    return out.select("match_id", "date", "team_a", "team_b", "team_a_elo", "team_b_elo", "elo_diff")
+
+
+@query
+def form_features_split(spark, sf):
+    c = _some_undated(spark, sf).drop("target_class", "is_team_a_home")
+    return rounded(add_form(c, limit=SMALL_LIMIT))
+
+
 # --- names --------------------------------------------------------------------------------
 
 
@@ -515,6 +538,12 @@ def group_rank_by_lot(spark, sf):
     )
 
 
+@query
+def rank_split(spark, sf):
+    ranked = rank_groups(_group_table(spark, sf), POOL, limit=SMALL_LIMIT)
+    return ranked.select("tournament", "team", "points", "rank")
+
+
 @query
 def group_top_two(spark, sf):
     return top_two(_ranked(spark, sf)).select("tournament", "group", "team", "rank")

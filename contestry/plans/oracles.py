@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contestry.functions.probability import bin_edges
 from contestry.operators.names import fold_text
-from contestry.plans.catalog import POOL, REPLICATES, SEED, URGENT, WINDOW
+from contestry.plans.catalog import POOL, REPLICATES, SEED, UNDATED_EVERY, URGENT, WINDOW
 from contestry.plans.testbed import NAME_ALIASES, RAW_ALIASES
 from contestry.schemas import (
     CLASSES,
@@ -25,8 +25,8 @@ def part(name: str, text: str, *needs: str) -> None:
     PARTS[name] = (needs, text)
 
 
-def sql(text: str, *needs: str, recursive: bool = False) -> str:
-    """A query behind the subqueries it needs, in order."""
+def sql(text: str, *needs: str, recursive: bool = False, undated: bool = False) -> str:
+    """A query behind the subqueries it needs, in order; ``undated`` takes some dates away."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -42,6 +42,12 @@ def sql(text: str, *needs: str, recursive: bool = False) -> str:
     heads = []
     for n in order:
         body = PARTS[n][1]
+        if undated and n == "c":
+            heads.append(f"dated_c AS MATERIALIZED ({body})")
+            body = (
+                f"SELECT * REPLACE (CASE WHEN match_id % {UNDATED_EVERY} > 0 THEN date END AS date) "
+                "FROM dated_c"
+            )
         heads.append(body if body.startswith(f"{n}(") else f"{n} AS MATERIALIZED ({body})")
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(heads) + "\n" + text
 
@@ -103,9 +109,10 @@ part(
     f"""
   SELECT match_id, side, {_FRAMES},
          CAST(date - LAG(date) OVER w AS INT) AS days_since_last_match,
-         ROW_NUMBER() OVER w - 1 - COUNT(*) OVER (PARTITION BY team ORDER BY date
-           RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 365 DAY PRECEDING)
-           AS matches_played_last_365_days
+         CASE WHEN date IS NOT NULL THEN ROW_NUMBER() OVER w - 1
+           - COUNT(*) OVER (PARTITION BY team ORDER BY date
+               RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 365 DAY PRECEDING)
+         END AS matches_played_last_365_days
   FROM long WINDOW w AS (PARTITION BY team ORDER BY date, match_id)""",
     "long",
 )
@@ -673,11 +680,12 @@ FROM numbered WHERE hs IS NOT NULL AND aws IS NOT NULL""",
         "m",
     )
     o["team_long_rows"] = sql("SELECT * EXCLUDE (tournament) FROM long", "long")
-    o["form_features"] = sql(
+    form_rows = (
         f"SELECT c.* EXCLUDE (status), x.* EXCLUDE (match_id) FROM c JOIN "
-        f"(SELECT match_id, {_FORM_OUT} FROM features) x USING (match_id)",
-        "features",
+        f"(SELECT match_id, {_FORM_OUT} FROM features) x USING (match_id)"
     )
+    o["form_features"] = sql(form_rows, "features")
+    o["form_features_split"] = sql(form_rows, "features", undated=True)
     o["parsed_text"] = sql(
         """SELECT match_id, CASE WHEN match_id % 11 <> 0 THEN date END AS day,
        CASE WHEN match_id % 13 = 0 THEN true WHEN match_id % 13 = 1 THEN NULL
@@ -687,9 +695,9 @@ FROM numbered WHERE hs IS NOT NULL AND aws IS NOT NULL""",
     o["earliest_sample"] = sql(
         "SELECT match_id, date FROM c ORDER BY date, match_id LIMIT 1000", "c"
     )
-    o["asof_rating"] = sql(
-        "SELECT match_id, date, team_a, team_b, team_a_elo, team_b_elo, elo_diff FROM rated_c", "rated_c"
-    )
+    rated_rows = "SELECT match_id, date, team_a, team_b, team_a_elo, team_b_elo, elo_diff FROM rated_c"
+    o["asof_rating"] = sql(rated_rows, "rated_c")
+    o["asof_rating_split"] = sql(rated_rows, "rated_c", undated=True)
     o["asof_rank_points"] = sql(
         """SELECT match_id, a.rank AS team_a_fifa_rank, b.rank AS team_b_fifa_rank,
        a.points AS team_a_fifa_points, b.points AS team_b_fifa_points,
@@ -948,6 +956,11 @@ FROM (SELECT MAX(log_loss) FILTER (model = 'strength') AS a,
     o["standings_rows"] = sql("SELECT * FROM table_all", "table_all")
     o["group_table_rows"] = sql("SELECT * FROM table_groups", "table_groups")
     o["group_rank"] = sql('SELECT tournament, "group", team, points, rank FROM ranked', "ranked")
+    o["rank_split"] = sql(
+        f"""SELECT tournament, team, points,
+       row_number() OVER (PARTITION BY tournament ORDER BY {_BEST}, team) AS rank FROM table_groups""",
+        "table_groups",
+    )
     lot = uniform_sql("tournament", '"group"', "team::VARCHAR")
     o["group_rank_by_lot"] = sql(
         f"""SELECT tournament, "group", team, row_number() OVER (PARTITION BY tournament, "group"
