@@ -64,9 +64,11 @@ def bin_index(p: Column, n_bins: int = 10) -> Column:
 def keyed_uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends only on the seed and the row's own key.
 
-    Partitioning, retries and engine do not change it, unlike ``rand()``.
+    Partitioning, retries and engine do not change it, unlike ``rand()``. A null key counts as
+    a key of its own.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    named = [F.coalesce(k.cast("string"), F.lit("\\N")) for k in keys]
+    text = F.concat_ws("|", F.lit(str(seed)), *named)
     head = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
     return head / F.lit(4503599627370496.0)
 

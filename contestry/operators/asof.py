@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.operators.form import sides_to_columns
-from contestry.operators.names import canonicalize
+from contestry.operators.names import canonicalize, is_text
 from contestry.operators.ordering import MAX_GROUP_ROWS, hot_groups, pieces_needed, split_hot
 from contestry.operators.quality import enforce_no_future_ratings
 from contestry.schemas import require_columns
@@ -114,9 +114,13 @@ def _both_sides(dataset: DataFrame) -> DataFrame:
 
 
 def prepare_ratings(ratings: DataFrame, required: Sequence[str], aliases=None) -> DataFrame:
-    """Project a ratings table and bring its team names to canonical form."""
+    """Project a ratings table and bring its team names to canonical form.
+
+    ``aliases`` means what it means everywhere: None is the built-in map, an empty map only
+    tidies. Numeric team keys have no spelling and stay.
+    """
     slim = require_columns(ratings, required, "ratings").select(*required)
-    return canonicalize(slim, ["team"], aliases) if aliases is not None else slim
+    return canonicalize(slim, ["team"], aliases) if is_text(slim, "team") else slim
 
 
 def _join_snapshots(

@@ -61,6 +61,11 @@ class UnknownNameError(DataQualityError):
     """A name is empty, or not in the set of known names."""
 
 
+def is_text(df: DataFrame, column: str) -> bool:
+    """Whether a column holds names rather than numeric keys."""
+    return dict(df.dtypes)[column] == "string"
+
+
 def clean_name(name: Column) -> Column:
     """Straight apostrophes, single spaces, no padding; case and accents stay."""
     straight = F.translate(name, APOSTROPHES, "'" * len(APOSTROPHES))
@@ -93,10 +98,17 @@ def _series_folder():
     return fold_all
 
 
-# Matching key per name (N2). Spark has no Unicode normalization function, so this runs in
-# Arrow batches, and callers apply it to distinct names only. The mark keeps the optimizer
-# from repeating it in filters below the step that makes names distinct.
-fold_name = F.pandas_udf(_series_folder(), T.StringType()).asNondeterministic()
+# Spark has no Unicode normalization function, so this runs in Arrow batches, and callers apply
+# it to distinct names only. The mark keeps the optimizer from repeating it in filters below
+# the step that makes names distinct.
+_fold_unicode = F.pandas_udf(_series_folder(), T.StringType()).asNondeterministic()
+
+
+def fold_names(names: DataFrame, column: str = "name", out: str = "_key") -> DataFrame:
+    """Add the matching key per name (N2): ASCII names are lowered here, others folded in Python."""
+    plain = F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
+    ascii_names = names.filter(plain).withColumn(out, F.lower(column))
+    return ascii_names.unionByName(names.filter(~plain).withColumn(out, _fold_unicode(column)))
 
 
 def alias_table(spark, aliases: Mapping[str, str]) -> DataFrame:
@@ -131,7 +143,7 @@ def alias_hits(names: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     if len(aliases) <= MAX_BROADCAST_NAMES:
         table = F.broadcast(table)
     return (
-        names.select("name", fold_name("name").alias("_key"))
+        fold_names(names.select("name"))
         .join(table, "_key")
         .filter(F.col("name") != F.col("_canonical"))
         .select("name", F.col("_canonical").alias("canonical"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.labels import result_label
-from contestry.operators.names import alias_hits, clean_name, distinct_names
+from contestry.operators.names import ALIASES, alias_hits, clean_name, distinct_names, is_text
 from contestry.schemas import (
     DATASET_COLUMNS,
     DIFFERENCES,
@@ -80,7 +80,8 @@ def check_matches(
 ) -> DataFrame:
     """Every rule of the cleaned matches table (V1).
 
-    ``max_date`` is a parameter, not the clock, so that a rerun gives the same answer.
+    ``max_date`` is a parameter, not the clock, so that a rerun gives the same answer. Names
+    are held against ``aliases``, by default the built-in map.
     """
     absent = [c for c in MATCHES_REQUIRED if c not in df.columns]
     spark = df.sparkSession
@@ -114,8 +115,8 @@ def check_matches(
     raw = F.explode(F.array("home_team", "away_team")).alias("raw")
     names = df.select(raw).filter(F.col("raw").isNotNull()).distinct()
     uneven = names.filter(F.col("raw") != clean_name(F.col("raw"))).select("raw")
-    if aliases is not None:
-        hits = alias_hits(distinct_names(df, ["home_team", "away_team"]), aliases)
+    if is_text(df, "home_team") and is_text(df, "away_team"):
+        hits = alias_hits(distinct_names(df, ["home_team", "away_team"]), ALIASES if aliases is None else aliases)
         uneven = uneven.unionByName(hits.select(F.col("name").alias("raw"))).distinct()
     odd_names = uneven.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("un_normalized_name").alias("check"), "n"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contestry.functions.elo import strength_probabilities
-from contestry.operators.ordering import MAX_GROUP_ROWS, number_rows
+from contestry.operators.ordering import MAX_GROUP_ROWS, day_number, number_rows
 from contestry.schemas import (
     ELO_BASE,
     ELO_HOME,
@@ -99,7 +99,7 @@ def _latest(walked: DataFrame, carried: DataFrame | None = None) -> DataFrame:
 
 def walk_forward(
     contests: DataFrame,
-    pool: Sequence[str] = (),
+    pool: Sequence[str],
     *,
     base: float = ELO_BASE,
     k: float = ELO_K,
@@ -115,6 +115,8 @@ def walk_forward(
     above ``segment_rows`` goes in segments, each a job that starts from the ratings the
     previous one wrote. A lost executor repeats one segment of one pool at most.
 
+    Undated contests come after all dated ones. ``pool`` may be empty only on purpose.
+
     Returns match_id, the pool columns, teams, and ``a_pre, b_pre, a_post, b_post``.
     """
     require_columns(
@@ -133,7 +135,7 @@ def walk_forward(
     slim = contests.select(
         key.alias("_pool"),
         F.lit(1).alias("_kind"),
-        F.unix_date("date").alias("_day"),
+        day_number("date").alias("_day"),
         F.col("match_id").cast("bigint").alias("match_id"),
         "team_a",
         "team_b",
@@ -197,7 +199,7 @@ def _walk_segments(slim, fold, segment_rows: int, limit: int, largest: int) -> D
     return spark.read.schema(_walked_schema(slim)).parquet(walked_path)
 
 
-def add_elo(contests: DataFrame, pool: Sequence[str] = (), **options) -> DataFrame:
+def add_elo(contests: DataFrame, pool: Sequence[str], **options) -> DataFrame:
     """The contests with ``team_a_elo``, ``team_b_elo`` and ``elo_diff`` before each."""
     walked = walk_forward(contests, pool, **options).select(
         "match_id",
@@ -208,7 +210,7 @@ def add_elo(contests: DataFrame, pool: Sequence[str] = (), **options) -> DataFra
     return contests.join(walked, "match_id")
 
 
-def current_elo(contests: DataFrame, pool: Sequence[str] = (), **options) -> DataFrame:
+def current_elo(contests: DataFrame, pool: Sequence[str], **options) -> DataFrame:
     """(pool columns, team, elo) after each team's last contest."""
     walked = walk_forward(contests, pool, **options)
     return _latest(walked).select(*_pool_columns(contests, pool), "team", "elo")
@@ -238,7 +240,7 @@ def entering_ratings(rated: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             for s in "ab"
         ]
     )
-    first = F.struct("date", "match_id", "side")
+    first = F.struct(day_number("date"), "match_id", "side")
     return (
         rated.select(*keys, "date", "match_id", F.inline(sides))
         .groupBy(*keys, "team")

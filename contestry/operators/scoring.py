@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions.labels import class_index
@@ -58,14 +58,24 @@ def _score_columns():
         F.avg(-F.log(clipped)).alias("log_loss"),
         F.avg(reduce(lambda x, y: x + y, squares)).alias("brier"),
         F.avg((top_label() == F.col(TARGET)).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(TARGET).alias("n"),
     ]
 
 
+def known_label() -> Column:
+    """The target itself; a label outside the three classes is an error when it is read."""
+    odd = F.concat(F.lit("label outside the three classes: "), F.col(TARGET))
+    known = F.col(TARGET).isNull() | F.col(TARGET).isin(*CLASSES)
+    return F.when(known, F.col(TARGET)).otherwise(F.raise_error(odd).cast("string"))
+
+
 def score(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Log loss, Brier score (0 to 2), accuracy and row count per key (A4)."""
+    """Log loss, Brier score (0 to 2), accuracy and scored rows per key (A4).
+
+    Rows without a label are not scored and not counted; unknown labels are refused.
+    """
     require_columns(df, (TARGET, *PROBABILITIES), "predictions")
-    return df.groupBy(*keys).agg(*_score_columns())
+    return df.withColumn(TARGET, known_label()).groupBy(*keys).agg(*_score_columns())
 
 
 def enforce_labels(df: DataFrame) -> DataFrame:

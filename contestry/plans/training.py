@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from contestry.operators.asof import add_rating_features
 from contestry.operators.form import add_form
-from contestry.operators.models import calibrate, fit_baselines, fit_main, select_features
+from contestry.operators.models import (
+    CalibratedModel,
+    calibrate,
+    check_features_of,
+    fit_baselines,
+    fit_main,
+)
 from contestry.operators.ordering import temporal_split
 from contestry.operators.ratings import add_elo, champion_rank, entering_ratings, favourites
 from contestry.operators.reshape import model_dataset
@@ -27,7 +33,7 @@ from contestry.schemas import FEATURE_CANDIDATES, DataQualityError, require_colu
 from contestry.session import cut_lineage
 from contestry.sources.results import labelled
 
-# Calibration tail of a backtest window.
+# Calibration tail of a backtest window, and the rows below which there is none.
 TAIL_FRACTION = 0.15
 MIN_ROWS_FOR_TAIL = 500
 
@@ -38,13 +44,16 @@ def feature_matrix(
     elo: DataFrame | None = None,
     rankings: DataFrame | None = None,
     walk: bool = False,
-    pool: Sequence[str] = (),
+    pool: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """Cleaned matches to the feature table (V7).
 
-    ``walk`` attaches the walk-forward rating, for use where no rating source is given.
+    ``walk`` attaches the walk-forward rating, for use where no rating source is given; it asks
+    for the columns of its ``pool``, whose contests one task walks in order.
     """
+    if walk and pool is None:
+        raise ValueError("walk needs a pool; () walks the whole table in one task")
     features = add_rating_features(add_form(model_dataset(matches)), elo, rankings, **options)
     return add_elo(features, pool) if walk and elo is None else features
 
@@ -75,7 +84,7 @@ def train(
     """Train on the earliest rows, calibrate on the next, score on the last (M7)."""
     require_columns(features, (TARGET, "date", "match_id"), "features")
     rows = labelled(features)
-    chosen = select_features(rows.columns, candidates)
+    chosen = check_features_of(rows, candidates).demanded()
     needed = ["match_id", "date", "team_a", "team_b", TARGET, *chosen]
     split = cut_lineage(temporal_split(
         rows.select(*[c for c in needed if c in rows.columns]),
@@ -117,27 +126,43 @@ def tail_cut(train_rows: DataFrame, fraction: float = TAIL_FRACTION):
     )
 
 
+def tail_parts(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows up to the tail and the tail, or None where a map cannot be fitted on it.
+
+    That takes ``least`` rows in all, rows on both sides, and two outcomes in the tail.
+    """
+    day, cut = F.unix_date("date"), tail_cut(rows).first().cut
+    if cut is None:
+        return None
+    late = day > F.lit(cut)
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~late).alias("early"),
+        F.count_distinct(F.when(late, F.col(TARGET))).alias("outcomes"),
+    ).first()
+    fit = seen.n >= least and seen.early > 0 and seen.outcomes > 1
+    return (rows.filter(~late), rows.filter(late)) if fit else None
+
+
 def fit_before(
     train_rows: DataFrame, features: Sequence[str], calibration: str = "sigmoid",
-    kind: str = "logistic", **options,
+    kind: str = "logistic", min_rows: int = MIN_ROWS_FOR_TAIL, **options,
 ):
-    """A model of the rows before a tournament, calibrated on their tail if there are enough (M8)."""
-    n = train_rows.count()
-    if calibration != "none" and n >= MIN_ROWS_FOR_TAIL:
-        cut = tail_cut(train_rows).first().cut
-        day = F.unix_date("date")
-        early, late = train_rows.filter(day <= cut), train_rows.filter(day > cut)
-        classes = late.agg(F.count_distinct(TARGET)).first()[0]
-        if classes >= 2 and early.limit(1).count():
-            return calibrate(fit_main(early, features, kind, **options), late, calibration)
-    return fit_main(train_rows, features, kind, **options)
+    """A model of the rows before a tournament (M8).
+
+    It is calibrated on their tail where :func:`tail_parts` finds one; ``backtest`` says in its
+    rows whether it was.
+    """
+    parts = None if calibration == "none" else tail_parts(train_rows, min_rows)
+    base = fit_main(parts[0] if parts else train_rows, features, kind, **options)
+    return calibrate(base, parts[1], calibration) if parts else base
 
 
 BACKTEST_ROW = (
     "tournament string, n_train bigint, n_test bigint, log_loss double, brier double, "
     "accuracy double, calibration_error double, champion string, "
     "champion_predicted_rank bigint, n_participants bigint, champion_in_top_3 boolean, "
-    "champion_in_top_5 boolean, champion_in_top_10 boolean"
+    "champion_in_top_5 boolean, champion_in_top_10 boolean, calibrated boolean"
 )
 
 
@@ -175,9 +200,9 @@ def backtest(
             raise DataQualityError(f"{t.name}: no contests before {t.start}")
         if not inside.limit(1).count():
             raise DataQualityError(f"{t.name}: no {t.tournament!r} contests in the window")
-        chosen = select_features(before.columns, candidates)
+        chosen = check_features_of(before, candidates).demanded()
         model = fit_before(labelled(before), chosen, **options)
-        scored = model.transform(inside)
+        scored = model.transform(labelled(inside))
         ranking = favourites(entering_ratings(inside)).withColumn("tournament", F.lit(t.name))
         champion = spark.range(1).select(
             F.lit(t.name).alias("tournament"),
@@ -200,6 +225,7 @@ def backtest(
                 placed.in_top_3,
                 placed.in_top_5,
                 placed.in_top_10,
+                isinstance(model, CalibratedModel),
             )
         )
         predictions.append(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.functions.labels import parse_flag
-from contestry.operators.cleaning import text_fields
+from contestry.operators.cleaning import present, text_fields
 from contestry.operators.ordering import earliest
 from contestry.schemas import (
     CLASSES,
@@ -34,6 +34,9 @@ def csv_with_columns(spark: SparkSession, path: str, schema, label: str) -> Data
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{label} not found: {path}")
     found = spark.read.option("header", True).csv(path)  # header only; all columns are text
+    # With the names given and held against the header of every file, a file whose columns come
+    # in another order is an error and not read by position.
+    found = spark.read.option("header", True).option("enforceSchema", False).schema(found.schema).csv(path)
     names = {c.lower(): c for c in found.columns}
     absent = [c for c in schema.fieldNames() if c.lower() not in names]
     if absent:
@@ -48,23 +51,34 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return text_fields(csv_with_columns(spark, path, RAW_RESULTS, "raw results"))
 
 
+def number(column: str, kind: str = "double") -> Column:
+    """A number from text: missing tokens are null, anything else that is none is an error.
+
+    Whole numbers may be written with a point, as in ``2.0``.
+    """
+    text = present(F.trim(column))
+    value = text.try_cast("double")
+    if kind != "double":
+        value = F.when(value == F.floor(value), value)
+    bad = F.raise_error(F.concat(F.lit(f"{column}: not a number: "), text)).cast(kind)
+    return F.when(text.isNull(), F.lit(None).cast(kind)).when(value.isNull(), bad).otherwise(value.cast(kind))
+
+
 def read_rankings(spark: SparkSession, path: str) -> DataFrame:
     """Ranking releases."""
     raw = csv_with_columns(spark, path, RAW_RANKINGS, "rankings")
     return raw.select(
         "team",
         F.to_date("rank_date").alias("rank_date"),
-        F.expr("try_cast(rank AS INT)").alias("rank"),
-        F.expr("try_cast(points AS DOUBLE)").alias("points"),
+        number("rank", "int").alias("rank"),
+        number("points").alias("points"),
     )
 
 
 def read_elo(spark: SparkSession, path: str) -> DataFrame:
     """Rating snapshots."""
     raw = csv_with_columns(spark, path, RAW_ELO, "ratings")
-    return raw.select(
-        "team", F.to_date("date").alias("date"), F.expr("try_cast(elo AS DOUBLE)").alias("elo")
-    )
+    return raw.select("team", F.to_date("date").alias("date"), number("elo").alias("elo"))
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:

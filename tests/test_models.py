@@ -133,12 +133,16 @@ def test_boosting(features):
     assert log_loss(out) < math.log(3)
 
 
-def test_feature_choice():
-    assert select_features(["form_5_diff", "elo_diff", "x"]) == ["form_5_diff", "elo_diff"]
+def test_feature_check(spark):
+    df = spark.createDataFrame([(1, 2.0, 3)], "form_5_diff int, elo_diff double, team_a_score int")
+    found = check_features_of(df, ["form_5_diff", "elo_diff", "team_a_score", "y"])
+    assert found.present == ("form_5_diff", "elo_diff")
+    assert found.refused == ("team_a_score",) and found.absent == ("y",)
     with pytest.raises(DataQualityError):
-        select_features(["a"], ["team_a_score"])
+        found.demanded()
     with pytest.raises(DataQualityError):
-        select_features(["a"], ["elo_diff"])
+        check_features_of(df, ["y"]).demanded()
+    assert check_features_of(df, ["elo_diff", "y"]).demanded() == ["elo_diff"]
 
 
 def test_training_run(features):
@@ -187,8 +191,8 @@ def test_feature_matrix_end_to_end(spark, contests):
     )
     elo = spark.createDataFrame([("hot", "2000-02-01", 1600.0)], "team string, date string, elo double")
     elo = elo.withColumn("date", F.to_date("date"))
-    walked = feature_matrix(m, walk=True)
-    given = feature_matrix(m, elo=elo, walk=True, validate=True)
+    walked = feature_matrix(m, walk=True, pool=())
+    given = feature_matrix(m, elo=elo, walk=True, pool=(), validate=True)
     assert walked.count() == given.count() == 400
     assert walked.filter(F.col("elo_diff").isNull()).count() == 0
     assert given.filter(F.col("team_a_elo") == 1600).count() > 0

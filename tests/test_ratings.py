@@ -73,7 +73,7 @@ def test_walk_forward_in_one_go_and_in_segments(contests, segment_rows, limit):
 def test_without_a_home_flag_there_is_no_bonus(contests):
     one_cup = contests.filter(F.col("tournament") == "cup")
     expected, _ = walk(one_cup.collect(), home=False)
-    for r in add_elo(one_cup).collect():
+    for r in add_elo(one_cup, ()).collect():
         assert (r.team_a_elo, r.team_b_elo) == pytest.approx(expected[r.match_id])
 
 
