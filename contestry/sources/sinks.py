@@ -42,12 +42,6 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
-def write_model(model, path: str) -> str:
-    """A fitted MLlib model."""
-    model.write().overwrite().save(path)
-    return path
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every DOUBLE column rounded, for reports."""
     return df.select(

@@ -3,7 +3,6 @@ import random
 
 import pytest
 from conftest import day
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from contestry.operators.models import (
@@ -15,11 +14,12 @@ from contestry.operators.models import (
     fit_boosted,
     fit_logistic,
     fit_prior,
-    select_features,
+    check_features_of,
     uniform_model,
 )
 from contestry.operators.scoring import score
 from contestry.plans.training import Tournament, backtest, feature_matrix, fit_before, train
+from contestry.sources.stored_models import read_model, write_model
 from contestry.schemas import CLASSES, DIFFERENCES, PROBABILITIES, DataQualityError
 
 FORM = list(DIFFERENCES)
@@ -59,14 +59,31 @@ def log_loss(df):
     return score(df).first().log_loss
 
 
-def test_logistic_learns_the_signal(features, tmp_path):
+@pytest.mark.parametrize("kind", ["prior", "logistic", "boosted", "ensemble", "isotonic", "sigmoid"])
+def test_a_stored_model_scores_as_before(spark, features, tmp_path, kind):
+    logistic = fit_logistic(features, ["elo_diff"])
+    model = {
+        "prior": lambda: fit_prior(features),
+        "logistic": lambda: logistic,
+        "boosted": lambda: fit_boosted(features, ["elo_diff"], max_iter=2),
+        "ensemble": lambda: EnsembleModel([uniform_model(), logistic], [1.0, 3.0]),
+        "isotonic": lambda: calibrate(logistic, features),
+        "sigmoid": lambda: calibrate(logistic, features, "sigmoid"),
+    }[kind]()
+    write_model(fit_prior(features), str(tmp_path / "m"))
+    again = read_model(spark, write_model(model, str(tmp_path / "m")))
+    one, two = (sorted(m.transform(features).select("match_id", *PROBABILITIES).collect()) for m in (model, again))
+    assert one == two
+    with pytest.raises(TypeError):
+        write_model("no model", str(tmp_path / "n"))
+
+
+def test_logistic_learns_the_signal(features):
     model = fit_logistic(features, ["elo_diff"])
     out = model.transform(features)
     assert_distribution(out, 900)
     assert log_loss(out) < math.log(3) - 0.1
     assert set(out.columns) == {*features.columns, *PROBABILITIES}
-    model.save(str(tmp_path / "m"))
-    assert len(PipelineModel.load(str(tmp_path / "m")).stages) == 4
     assert evaluate(model, features).first().n == 900
     with pytest.raises(FeatureUnavailableError):
         model.transform(features.drop("elo_diff"))
