@@ -59,6 +59,7 @@ from contestry.operators.ratings import (
 from contestry.operators.reshape import model_dataset, participants, team_long
 from contestry.operators.schedule import check_schedule
 from contestry.operators.scoring import (
+    backtest_summary,
     calibration_error,
     class_prior,
     class_report,
@@ -88,13 +89,21 @@ from contestry.plans import testbed as tb
 from contestry.plans.training import (
     Tournament,
     backtest,
+    feature_matrix,
     tail_cut,
     train,
     window_filter,
 )
 from contestry.schemas import PROBABILITIES, TEAM_FEATURES
-from contestry.session import cut_lineage
-from contestry.sources.sinks import rounded
+from contestry.session import cut_lineage, scratch_table
+from contestry.sources.results import (
+    read_elo,
+    read_matches,
+    read_rankings,
+    read_results,
+    read_strengths,
+)
+from contestry.sources.sinks import rounded, write_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,6 +227,54 @@ def nearest_word_names(spark, sf):
     return rounded(nearest_names(unknown, known))
 
 
+# --- sources and sinks --------------------------------------------------------------------
+
+
+def _as_csv(df: DataFrame, label: str) -> str:
+    """A text file of a table, blanks and all, under the shared folder."""
+    path = scratch_table(df.sparkSession, label)
+    exact = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**exact).csv(path)
+    return path
+
+
+@query
+def stored_match_rows(spark, sf):
+    return read_matches(spark, write_matches(tb.matches(spark, sf), scratch_table(spark, "matches")))
+
+
+@query
+def raw_result_rows(spark, sf):
+    return read_results(spark, _as_csv(tb.raw_results(spark, sf), "results"))
+
+
+@query
+def ranking_rows(spark, sf):
+    return read_rankings(spark, _as_csv(tb.ranking_releases(spark, sf), "rankings"))
+
+
+@query
+def snapshot_rows(spark, sf):
+    return read_elo(spark, _as_csv(tb.rating_snapshots(spark, sf), "ratings"))
+
+
+@query
+def strength_rows(spark, sf):
+    return read_strengths(spark, _as_csv(tb.strengths(spark, sf), "strengths"))
+
+
+@query
+def feature_matrix_rows(spark, sf):
+    """Both rating sources under untidy spellings, which the alias map leads to the teams."""
+    m = tb.stored_matches(spark, sf).withColumns(
+        {side: tb.side_name(F.col(side)) for side in ("home_team", "away_team")}
+    )
+    untidy = F.concat(F.lit(" Side  "), F.col("team").cast("string"), F.lit(" "))
+    elo = tb.rating_snapshots(spark, sf).withColumn("team", untidy)
+    rankings = tb.ranking_releases(spark, sf).withColumn("team", untidy)
+    return rounded(feature_matrix(m, elo=elo, rankings=rankings, aliases=tb.RAW_ALIASES))
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
@@ -705,6 +762,23 @@ def ensemble_scores(spark, sf):
     return rounded(prediction_frame(model.transform(part["test"])))
 
 
+@query
+def ensemble_forecast(spark, sf):
+    """The weighted blend of two members that SQL can state."""
+    d = tb.played(spark, sf)
+    blend = EnsembleModel([fit_prior(d), uniform_model()], [1.0, 3.0])
+    return rounded(prediction_frame(blend.transform(d)), 9)
+
+
+@query
+def backtest_summary_row(spark, sf):
+    """The summary over one row of scores per tournament."""
+    f = cut_lineage(tb.forecasts(spark, sf))
+    errors = calibration_error(f, POOL)
+    rows = score(f, POOL).join(errors, list(POOL))
+    return backtest_summary(rows.withColumn("champion_in_top_5", F.col("tournament") < "3"))
+
+
 @query
 def calibrated_scores(spark, sf):
     part = _split_features(spark, sf)

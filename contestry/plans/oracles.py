@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contestry.functions.probability import bin_edges
-from contestry.operators.names import fold_text
 from contestry.plans.catalog import POOL, REPLICATES, SEED, UNDATED_EVERY, URGENT, WINDOW
 from contestry.plans.testbed import NAME_ALIASES, RAW_ALIASES
 from contestry.schemas import (
@@ -209,7 +207,7 @@ _SCORES_OUT = "ROUND(log_loss, 6) AS log_loss, ROUND(brier, 6) AS brier, ROUND(a
 
 def bin_sql(p: str, n_bins: int = 10) -> str:
     """Bin index of a probability, null for 0."""
-    above = " + ".join(f"({p} > {e!r}::DOUBLE)::INT" for e in bin_edges(n_bins)[:-1])
+    above = " + ".join(f"({p} > {e!r}::DOUBLE)::INT" for e in [k * (1.0 / n_bins) for k in range(n_bins)])
     return f"CASE WHEN ({above}) > 0 THEN ({above}) - 1 END"
 
 
@@ -492,12 +490,15 @@ def _text(value: str) -> str:
 
 
 def alias_sql(aliases: dict[str, str]) -> str:
-    index: dict[str, str] = {}
-    for alias, canonical in aliases.items():
-        index[fold_text(alias)] = canonical
-        index.setdefault(fold_text(canonical), canonical)
-    rows = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in sorted(index.items()))
-    return f"(SELECT * FROM (VALUES {rows}) AS v(key, canonical))"
+    """Key and canonical name; of several rows for one key an alias goes before a canonical name."""
+    rows = [(alias, canonical, 0) for alias, canonical in aliases.items()]
+    rows += [(canonical, canonical, 1) for canonical in aliases.values()]
+    values = ", ".join(f"({_text(a)}, {_text(c)}, {n}, {i})" for i, (a, c, n) in enumerate(rows))
+    key = fold_sql(clean_sql("name"))
+    return (
+        f"(SELECT {key} AS key, arg_min(canonical, (n, CASE WHEN n = 0 THEN -i ELSE i END)) AS canonical "
+        f"FROM (VALUES {values}) AS v(name, canonical, n, i) GROUP BY 1)"
+    )
 
 
 _APOSTROPHES = "translate({x}, '’‘ʼ`', '''''''''')"
@@ -679,6 +680,44 @@ FROM numbered WHERE hs IS NOT NULL AND aws IS NOT NULL""",
        venue_country AS host_country FROM m""",
         "m",
     )
+    o["stored_match_rows"] = sql(
+        "SELECT * REPLACE (home_score::BIGINT AS home_score, away_score::BIGINT AS away_score) FROM m", "m"
+    )
+    goals = "CASE WHEN status <> 'P' THEN team_{s}_score::VARCHAR END AS {side}_score"
+    o["raw_result_rows"] = sql(
+        f"""SELECT strftime(date, '%Y-%m-%d') AS date, {_raw_name("team_a")} AS home_team,
+       {_raw_name("team_b")} AS away_team, {goals.format(s="a", side="home")},
+       {goals.format(s="b", side="away")},
+       CASE WHEN tournament = '5-LOW' THEN 'Friendly ' ELSE tournament END AS tournament,
+       'City ' || (match_id % 100)::VARCHAR AS city, NULL::VARCHAR AS country,
+       CASE WHEN match_id % 2 = 0 THEN upper(is_neutral::VARCHAR) ELSE is_neutral::INT::VARCHAR END
+         AS neutral
+FROM c, (VALUES (0), (1)) v(copy) WHERE copy = 0 OR match_id % 50 = 0""",
+        "c",
+    )
+    o["ranking_rows"] = sql(
+        "SELECT team::VARCHAR AS team, rdate AS rank_date, rank, points FROM releases", "releases"
+    )
+    o["snapshot_rows"] = sql("SELECT team::VARCHAR AS team, rdate AS date, elo FROM snaps", "snaps")
+    o["strength_rows"] = sql("SELECT team::VARCHAR AS team, strength FROM strengths", "strengths")
+    side = "CASE {x} WHEN 1 THEN 'Side One' WHEN 2 THEN 'Side Two' ELSE 'Side ' || {x}::VARCHAR END"
+    o["feature_matrix_rows"] = sql(
+        f"""SELECT d.match_id, d.date, {side.format(x="d.team_a")} AS team_a,
+       {side.format(x="d.team_b")} AS team_b, d.team_a_score, d.team_b_score,
+       CASE WHEN d.team_a_score > d.team_b_score THEN 'win'
+            WHEN d.team_a_score < d.team_b_score THEN 'loss' ELSE 'draw' END AS team_a_result,
+       d.target_class, d.is_neutral, d.is_team_a_home, d.tournament, m.venue_country AS host_country,
+       x.* EXCLUDE (match_id), r.team_a_elo, r.team_b_elo, r.elo_diff,
+       k.* EXCLUDE (match_id)
+FROM d JOIN m USING (match_id) JOIN rated_c r USING (match_id)
+JOIN (SELECT match_id, {_FORM_OUT} FROM features) x USING (match_id)
+JOIN (SELECT match_id, a.rank AS team_a_fifa_rank, b.rank AS team_b_fifa_rank,
+             a.points AS team_a_fifa_points, b.points AS team_b_fifa_points,
+             a.rank - b.rank AS fifa_rank_diff, a.points - b.points AS fifa_points_diff
+      FROM d ASOF LEFT JOIN releases a ON a.team = d.team_a AND a.rdate <= d.date
+             ASOF LEFT JOIN releases b ON b.team = d.team_b AND b.rdate <= d.date) k USING (match_id)""",
+        "d", "m", "rated_c", "features", "releases",
+    )
     o["team_long_rows"] = sql("SELECT * EXCLUDE (tournament) FROM long", "long")
     form_rows = (
         f"SELECT c.* EXCLUDE (status), x.* EXCLUDE (match_id) FROM c JOIN "
@@ -899,6 +938,22 @@ FROM (SELECT *, 1 / (1 + pow(10, (team_b_elo - team_a_elo -
         "f",
     )
     o["class_prior_row"] = sql(f"SELECT {', '.join(_r(p) for p in ps)} FROM prior", "prior")
+    blend = ", ".join(f"ROUND({p} / 4 + 0.25::DOUBLE, 9) AS {p}" for p in ps)
+    o["ensemble_forecast"] = sql(
+        f"SELECT match_id, date, team_a, team_b, target_class, {blend} FROM d, prior", "d", "prior"
+    )
+    o["backtest_summary_row"] = sql(
+        f"""SELECT ROUND(AVG(log_loss), 4) AS mean_log_loss, ROUND(AVG(brier), 4) AS mean_brier,
+       ROUND(AVG(accuracy), 4) AS mean_accuracy, ROUND(AVG(e), 4) AS mean_calibration_error,
+       COUNT(*) AS n_tournaments, ROUND(AVG((tournament < '3')::INT), 4) AS champion_top_5_rate
+FROM (SELECT tournament, {_SCORES} FROM f GROUP BY 1)
+JOIN (SELECT tournament, SUM(CASE WHEN bin IS NOT NULL THEN n * ABS(acc - conf) ELSE 0 END) / SUM(n) AS e
+      FROM (SELECT tournament, {bin_sql("confidence")} AS bin, COUNT(*) AS n,
+                   AVG((predicted = target_class)::INT) AS acc, AVG(confidence) AS conf
+            FROM g GROUP BY 1, 2) GROUP BY 1) USING (tournament)""",
+        "f",
+        "g",
+    )
     o["unexpected_label_rows"] = sql(
         """SELECT DISTINCT CASE status WHEN 'P' THEN 'pending' END AS target_class
 FROM c WHERE status <> 'O'""",

@@ -160,6 +160,12 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(rows.drop("_copy"))  # stands for a stored file
 
 
+def side_name(team):
+    """The name of a team key as the alias map would have it."""
+    plain = F.concat(F.lit("Side "), team.cast("string"))
+    return F.when(team == 1, "Side One").when(team == 2, "Side Two").otherwise(plain)
+
+
 def rating_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(team, date, elo): monthly activity of a supplier, as a stored table."""
     return cut_lineage(
