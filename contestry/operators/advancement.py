@@ -169,4 +169,7 @@ def summarize(shares: DataFrame, keys: Sequence[str] = (), n: int = 10) -> DataF
         F.col("_top")[0]["team"].alias("favourite"),
         F.array_join(F.transform("_top", lambda t: t["team"].cast("string")), ",").alias("contenders"),
     )
-    return totals.join(top, list(keys)) if keys else totals.crossJoin(top)
+    if keys:
+        return totals.join(top, list(keys))
+    one = F.lit(0).alias("_one")  # both sides are one row
+    return totals.select("*", one).join(top.select("*", one), "_one").drop("_one")

@@ -53,7 +53,8 @@ def _score_columns():
         F.pow(F.col(p) - (F.col(TARGET) == c).cast("double"), F.lit(2.0))
         for c, p in zip(CLASSES, PROBABILITIES)
     ]
-    clipped = F.least(F.greatest(hit, F.lit(LOG_LOSS_FLOOR)), F.lit(1.0))
+    # greatest() skips nulls, so a row without a label would score as the worst one.
+    clipped = F.when(hit.isNotNull(), F.least(F.greatest(hit, F.lit(LOG_LOSS_FLOOR)), F.lit(1.0)))
     return [
         F.avg(-F.log(clipped)).alias("log_loss"),
         F.avg(reduce(lambda x, y: x + y, squares)).alias("brier"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
+# Scratch tables of this process that no scope has dropped yet.
+_scratch: list[str] = []
+
+
 def scratch_table(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a table written between two jobs."""
-    return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the scratch tables made inside when it ends.
+
+    Frames that came out of the scope and still read them are to be written or collected
+    before. Without a scope, tables stay for the cluster's own clean-up of the folder.
+    """
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in [p for p in _scratch if p not in before]:
+            place = hadoop(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _scratch.remove(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from contestry.functions.elo import strength_probabilities, uniform_probabilities
 from contestry.operators.advancement import (
+    drawn_table,
     advancement_shares,
     contenders,
     play_round,
@@ -66,7 +67,8 @@ def test_strength_pays(shares):
 def test_summary_and_contenders(shares):
     s = summarize(shares).first()
     assert (s.n_teams, s.title_probability_total) == (48, 1.0)
-    top = contenders(shares, 5).collect()
+    top = contenders(shares, n=5).orderBy("place").collect()
+    assert s.contenders.split(",")[:5] == [r.team for r in top]
     assert len(top) == 5 and top[0].team == s.favourite
     titles = [r.win_title_probability for r in top]
     assert titles == sorted(titles, reverse=True)
@@ -85,6 +87,16 @@ def test_a_seed_fixes_the_outcome(field):
     assert run(flat, 1) != run(flat, 2)
 
 
+def test_a_member_without_a_contest_stays(spark):
+    members = spark.createDataFrame([("A", t, 0) for t in "abcd"], "group string, team string, replicate int")
+    drawn = spark.createDataFrame(
+        [("a", "b", "team_a_win", 0), ("a", "c", "draw", 0)],
+        "team_a string, team_b string, outcome string, replicate int",
+    )
+    table = {r.team: (r.played, r.points) for r in drawn_table(members, drawn, ["replicate"]).collect()}
+    assert table == {"a": (2, 4), "b": (1, 0), "c": (1, 1), "d": (0, 0)}
+
+
 def test_a_bye_goes_through(spark):
     slots = spark.createDataFrame([(0, "A"), (3, "B")], "slot bigint, team string")
     strengths = spark.createDataFrame([("A", 1.0)], "team string, strength double")

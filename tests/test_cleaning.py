@@ -6,6 +6,7 @@ from contestry.schemas import MATCHES_COLUMNS, RAW_RESULTS, DataQualityError
 from contestry.sources.results import (
     labelled,
     read_elo,
+    read_rankings,
     read_matches,
     read_optional,
     read_results,
@@ -103,6 +104,26 @@ def test_optional_source(spark, tmp_path):
         read_optional(spark, str(bad), read_elo, "ratings")
 
 
+def test_numbers_are_read_or_refused(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("team,rank_date,rank,points\nA,2020-01-01,2.0,NA\nB,2020-01-01,,7.5\n")
+    rows = {r.team: (r["rank"], r.points) for r in read_rankings(spark, str(path)).collect()}
+    assert rows == {"A": (2, None), "B": (None, 7.5)}
+    for bad in ("abc,1", "1.5,1", "1,oops"):
+        path.write_text(f"team,rank_date,rank,points\nA,2020-01-01,{bad}\n")
+        with pytest.raises(Exception, match="not a number"):
+            read_rankings(spark, str(path)).collect()
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "elo"
+    folder.mkdir()
+    (folder / "a.csv").write_text("team,date,elo\nA,2020-01-01,1500\n")
+    (folder / "b.csv").write_text("elo,team,date\n1600,B,2020-01-01\n")
+    with pytest.raises(Exception):
+        read_elo(spark, str(folder)).collect()
+
+
 def test_strengths_header_in_any_case(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text("Team,STRENGTH\nA,12.5\n")

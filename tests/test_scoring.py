@@ -56,6 +56,20 @@ def test_perfect_and_uniform_scores(spark):
     assert wrong.log_loss == pytest.approx(-math.log(1e-15)) and wrong.brier == 2
 
 
+def test_only_known_labels_are_scored(spark):
+    third = (1 / 3, 1 / 3, 1 / 3)
+    got = score(frame(spark, ("draw", *third), (None, *third))).first()
+    assert got.n == 1 and got.log_loss == pytest.approx(math.log(3)) and got.accuracy == 0.0
+    with pytest.raises(Exception, match="outside the three classes"):
+        score(frame(spark, ("draw", *third), ("pending", *third))).collect()
+
+
+def test_a_null_key_is_a_key(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    drawn = [r[0] for r in df.select(keyed_uniform(1, F.col("x"), F.col("y"), F.col("z"))).collect()]
+    assert drawn[0] != drawn[1]
+
+
 def test_calibration_error_by_hand(spark, forecasts):
     bins = {}
     for r in forecasts.collect():

@@ -85,6 +85,15 @@ def test_qualifiers_and_seeding(ranked):
     assert len(pairs) == 16 and pairs[0] == (order[0], order[31]) and pairs[15] == (order[15], order[16])
 
 
+def test_every_seed_has_a_slot_or_an_error(spark):
+    seeded = spark.createDataFrame([(f"t{i}", i) for i in range(40)], "team string, seed bigint")
+    slots = [r.slot for r in bracket_slots(seeded, None).collect()]
+    assert len(set(slots)) == 40 and max(slots) < 64
+    with pytest.raises(Exception, match="no room in a bracket of 32"):
+        bracket_slots(seeded).collect()
+    assert sorted(r.slot for r in bracket_slots(seeded.filter("seed < 3"), 4).collect()) == [0, 2, 3]
+
+
 def test_too_few_raise(spark, ranked):
     with pytest.raises(DataQualityError):
         best_thirds(ranked.filter(F.col("group") < "C"), strict=True)
