@@ -20,43 +20,49 @@ TAU = 2
 LEAST_BYTES = 24
 BLANKS = " \t\r"
 BLOCK = 32
-LAST_ID = (1 << 63) - 1
 
 
-def _segment(length: Column, number: int, tau: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, tau: int) -> tuple[Column, Column]:
     """Start (from 1) and size of a segment: even parts, the later ones longer by one."""
     size = F.floor(length / (tau + 1)).cast("int")
-    longer = length - size * (tau + 1)  # so many of the last segments have one byte more
-    before = F.greatest(F.lit(number) - (F.lit(tau + 1) - longer), F.lit(0))
-    start = size * number + before + 1
-    return start.cast("int"), (size + (F.lit(number) >= F.lit(tau + 1) - longer).cast("int")).cast("int")
-
-
-def index_keys(line: Column, tau: int = TAU) -> Column:
-    """Hashes of (length, number, segment) for each segment of a line."""
-    length = F.length(line)
-    cuts = [(_segment(length, i, tau), i) for i in range(tau + 1)]
-    return F.array(
-        *(F.xxhash64(length, F.lit(i), F.substring(line, start, size)) for (start, size), i in cuts)
-    )
+    short = F.lit(tau + 1) - (length - size * (tau + 1))  # segments without the extra byte
+    start = size * number + F.greatest(number - short, F.lit(0)) + 1
+    return start.cast("int"), (size + (number >= short).cast("int")).cast("int")
+
+
+def _each(lines: DataFrame, places: list[tuple[int, ...]], names: str) -> DataFrame:
+    """Every line once for each of a few fixed tuples, which become columns."""
+    columns = names.split()
+    rows = [F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, p, strict=True))) for p in places]
+    return lines.select("*", F.inline(F.array(*rows)))
+
 
+def index_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``_h1`` and ``_key``, a hash of (length, number, segment), for each segment of ``_line``."""
+    each = _each(lines, [(i,) for i in range(tau + 1)], "_i")
+    length = F.length("_line")
+    start, size = _segment(length, F.col("_i"), tau)
+    return each.select("_h1", F.xxhash64(length, "_i", F.substring("_line", start, size)).alias("_key"))
 
-def probe_keys(line: Column, tau: int = TAU) -> Column:
-    """Hashes of the substrings that can be a segment of a line shorter by 0 to ``tau``.
+
+def probe_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``_h1`` and ``_key`` of the substrings that can be a segment of a line shorter by 0 to ``tau``.
 
     Segment i of the shorter line lies at most i places off its start counted from the left,
     and at most ``tau`` - i places off counted from the right.
     """
-    out = []
-    for less in range(tau + 1):
-        length = (F.length(line) - less).cast("int")
-        for i in range(tau + 1):
-            start, size = _segment(length, i, tau)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                at = start + shift
-                inside = (length >= tau + 1) & (at >= 1) & (at + size - 1 <= F.length(line))
-                out.append(F.when(inside, F.xxhash64(length, F.lit(i), F.substring(line, at.cast("int"), size))))
-    return F.array_compact(F.array(*out))
+    places = [
+        (less, i, shift)
+        for less in range(tau + 1)
+        for i in range(tau + 1)
+        for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1)
+    ]
+    each = _each(lines, places, "_less _i _shift").withColumn("_long", F.length("_line") - F.col("_less"))
+    start, size = _segment(F.col("_long"), F.col("_i"), tau)
+    each = each.select("_h1", "_line", "_long", "_i", (start + F.col("_shift")).alias("_at"), size.alias("_size"))
+    inside = (F.col("_long") > tau) & (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.length("_line"))
+    part = F.substring("_line", F.col("_at"), F.col("_size"))
+    return each.where(inside).select("_h1", F.xxhash64("_long", "_i", part).alias("_key"))
 
 
 def _same_blocks(a: Column, b: Column, blocks: Column) -> Column:
@@ -178,45 +184,54 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     return let(longer_first, lambda p: let(without_head(p), lambda q: let(without_tail(q), walked)))
 
 
-def keyed_lines(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Documents (``_id``, ``_key``, ``_hash``, ``_text``) and their lines worth comparing.
+DOCUMENT = ["_null", "_key", "_hash"]
 
-    A document is its id and the hash of its text. Lines have ``_place`` (id, hash, number),
-    ``_line`` (bytes) and two hashes of it.
-    """
-    texts = texts_of(docs, id_col, text_col, carry).withColumn("_key", F.coalesce("_id", F.lit(LAST_ID)))
-    texts = texts.withColumn("_hash", F.xxhash64("_text"))
-    lines = texts.select("_key", "_hash", F.posexplode(F.split("_text", "\n", -1)).alias("_no", "_raw"))
-    lines = lines.withColumn("_line", F.encode(F.btrim("_raw", F.lit(BLANKS)), "UTF-8")).where(
-        F.length("_line") >= LEAST_BYTES
-    )
-    return texts, lines.select(
-        F.struct("_key", "_hash", "_no").alias("_place"),
-        "_line",
-        F.xxhash64("_line").alias("_h1"),
-        F.xxhash64("_line", F.lit(1)).alias("_h2"),
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """Texts keyed by ``DOCUMENT``: whether the id is null, the id, and a hash of the text."""
+    texts = texts_of(docs, id_col, text_col, carry)
+    keys = [F.col("_id").isNull().alias("_null"), F.coalesce("_id", F.lit(0)).alias("_key"), F.xxhash64("_text").alias("_hash")]
+    return texts.select(*keys, "_text", *(["_carried"] if carry else []))
+
+
+def _bytes(raw: Column) -> Column:
+    return F.encode(F.btrim(raw, F.lit(BLANKS)), "UTF-8")
+
+
+def _lines_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines that ``places`` lists per document (``_at``: structs with ``_no``), once each:
+    the fields of the list, ``_line`` and ``_place``."""
+    joined = texts.join(places, DOCUMENT).select(*DOCUMENT, "_text", "_at").dropDuplicates(DOCUMENT)
+    picked = let(
+        F.split("_text", "\n", -1),
+        lambda parts: F.transform("_at", lambda w: F.struct(w.alias("_w"), _bytes(F.get(parts, w["_no"])).alias("_line"))),
     )
+    each = joined.select(*DOCUMENT, F.inline(picked))
+    return each.select("_w.*", "_line", F.struct(*DOCUMENT, "_w._no").alias("_place"))
 
 
-def near_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
+def near_lines(texts: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
     """``_h1`` of different lines that are within ``tau`` edits of a line with an earlier place.
 
-    Lines meet by one hash first; a line whose hash another, earlier line has is not compared.
-    Every other pair within ``tau`` is found: the index and the probes have no caps.
+    ``first`` has the first place of each different line. Every pair within ``tau`` is found:
+    the index and the probes have no caps. Lines are taken from the document of their first
+    place, so all uses read one shuffle of the documents; lines alone move for candidates only.
     """
-    # One aggregate holds all, so every use below reads the same shuffled rows.
-    first = lines.groupBy("_h1").agg(F.min(F.struct("_place", "_line")).alias("_v"))
-    index = first.select("_h1", F.explode(index_keys(F.col("_v._line"), tau)).alias("_key"))
-    probes = first.select(F.col("_h1").alias("_g1"), F.explode(probe_keys(F.col("_v._line"), tau)).alias("_key"))
-    pairs = index.join(probes, "_key").where("_h1 <> _g1")
-    pairs = pairs.select(F.least("_h1", "_g1").alias("_h1"), F.greatest("_h1", "_g1").alias("_g1")).distinct()
-    other = first.select(F.col("_h1").alias("_g1"), F.col("_v").alias("_w"))
-    both = pairs.join(first, "_h1").join(other, "_g1")
-    close = both.where(banded_distance(F.col("_v._line"), F.col("_w._line"), tau) <= tau)
-    later = F.when(F.col("_v._place") > F.col("_w._place"), F.col("_h1")).when(
-        F.col("_v._place") < F.col("_w._place"), F.col("_g1")
-    )
-    return close.select(later.alias("_h1")).where(F.col("_h1").isNotNull()).distinct()
+    place = [F.col(f"_v._place.{c}").alias(c) for c in DOCUMENT]
+    number = F.col("_v._place._no").alias("_no")
+    every = _lines_at(texts, first.groupBy(*place).agg(F.collect_list(F.struct(number)).alias("_at")))
+    every = every.select(F.xxhash64("_line").alias("_h1"), "_line")
+    probes = probe_keys(every, tau).withColumnRenamed("_h1", "_g1")
+    pairs = index_keys(every, tau).join(probes, "_key").where("_h1 <> _g1")
+    pairs = pairs.select(F.least("_h1", "_g1").alias("_a"), F.greatest("_h1", "_g1").alias("_b")).distinct()
+    # A pair asks for both its lines; they meet again by the pair, in the order of their places.
+    asked = pairs.select("_a", "_b", F.explode(F.array("_a", "_b")).alias("_h1")).join(first, "_h1")
+    asked = asked.groupBy(*place).agg(F.collect_list(F.struct(number, "_a", "_b", "_h1")).alias("_at"))
+    side = F.struct("_place", "_line", "_h1")
+    met = _lines_at(texts, asked).groupBy("_a", "_b").agg(F.min(side).alias("_early"), F.max(side).alias("_late"))
+    close = met.where(F.col("_early._place") < F.col("_late._place"))
+    close = close.where(banded_distance(F.col("_early._line"), F.col("_late._line"), tau) <= tau)
+    return close.select(F.col("_late._h1").alias("_h1")).distinct()
 
 
 def dedup_lines(
@@ -231,26 +246,30 @@ def dedup_lines(
     text are one document; different texts with one id go by their hash. An empty table gives
     no rows; other columns are not read.
     """
-    texts, lines = keyed_lines(docs, id_col, text_col, carry)
-    known = lines.groupBy("_h1").agg(F.min(F.struct("_place", "_h2")).alias("_v"))
-    known = known.join(near_lines(lines, tau).withColumn("_near", F.lit(True)), "_h1", "left")
+    texts = _documents(docs, id_col, text_col, carry)
+    lines = texts.select(*DOCUMENT, F.posexplode(F.split("_text", "\n", -1)).alias("_no", "_raw"))
+    lines = lines.select(F.struct(*DOCUMENT, "_no").alias("_place"), _bytes(F.col("_raw")).alias("_line"))
+    lines = lines.where(F.length("_line") >= LEAST_BYTES).select(
+        "_place", F.xxhash64("_line").alias("_h1"), F.xxhash64("_line", F.lit(1)).alias("_h2")
+    )
+    first = lines.groupBy("_h1").agg(F.min(F.struct("_place", "_h2")).alias("_v"))
+    known = first.join(near_lines(texts, first, tau).withColumn("_near", F.lit(True)), "_h1", "left")
     # The second hash keeps a line that merely shares its first hash with another.
     gone = (
-        lines.select("_h1", "_h2", "_place")
-        .join(known, "_h1")
+        lines.join(known, "_h1")
         .where((F.col("_h2") == F.col("_v._h2")) & (F.col("_near").isNotNull() | (F.col("_place") > F.col("_v._place"))))
-        .groupBy("_place._key", "_place._hash")
+        .groupBy(*(F.col(f"_place.{c}").alias(c) for c in DOCUMENT))
         .agg(F.collect_set("_place._no").alias("_gone"))
     )
     split = F.split("_text", "\n", -1)
-    joined = texts.join(gone, ["_key", "_hash"], "left")
+    joined = texts.join(gone, DOCUMENT, "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     return joined.select(
-        F.col("_id").alias(id_col),
+        F.when(~F.col("_null"), F.col("_key")).alias(id_col),
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("_gone").isNull(), F.col("_text"))
-        .otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+        .otherwise(let(split, lambda parts: F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))
         .alias("text"),
         *carried(carry),
     )

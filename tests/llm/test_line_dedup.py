@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from contestry.llm.line_dedup import LEAST_BYTES, banded_distance, dedup_lines, index_keys, probe_keys
 
@@ -59,9 +58,11 @@ def test_no_near_pair_misses_the_index(spark, tau):
         a = "".join(draw.choices("ab", k=draw.randrange(24, 60)))
         b = edited(draw, a, draw.randrange(tau + 1))
         pairs.append(sorted([a.encode(), b.encode()], key=len))
-    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "a binary, b binary")
-    met = df.select(F.arrays_overlap(index_keys(F.col("a"), tau), probe_keys(F.col("b"), tau)).alias("m"), "a", "b")
-    assert all(r.m for r in met.collect() if distance(bytes(r.a), bytes(r.b)) <= tau)
+    rows = [(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "_h1 long, a binary, b binary")
+    index = index_keys(df.withColumnRenamed("a", "_line"), tau)
+    met = {r._h1 for r in index.intersect(probe_keys(df.withColumnRenamed("b", "_line"), tau)).collect()}
+    assert all(i in met for i, (a, b) in enumerate(pairs) if distance(a, b) <= tau)
 
 
 def brute(rows):
