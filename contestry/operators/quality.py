@@ -274,8 +274,3 @@ def profile(
             )
         )
     return out
-
-
-def column_types(df: DataFrame) -> DataFrame:
-    """(column, type) of a table, the schema part of a profile."""
-    return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contestry.functions.labels import points, target_class, team_a_result
 from contestry.schemas import DATASET_COLUMNS, require_columns
 
+# The columns of a matches table that the dataset is made from.
 _NEEDED = (
     "match_id",
     "date",

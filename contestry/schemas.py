@@ -30,6 +30,9 @@ LOG_LOSS_FLOOR = 1e-15
 # Fixed value: earliest date a result can carry.
 EARLIEST_DATE = "1872-01-01"
 
+# Fixed values, from here to STAGES: names of columns, classes and features that tables and
+# stored files share with other tools, in their order.
+
 # Raw results are read as text so that missing-value tokens and bad casts stay visible.
 RAW_RESULTS = T.StructType(
     [
@@ -117,7 +120,6 @@ DATASET_COLUMNS = (
 
 LABEL_COLUMNS = ("team_a_score", "team_b_score", "team_a_result", "target_class")
 
-FORM_MEASURES = ("points", "goals_for", "goals_against", "goal_diff")
 FORM_WIDTHS = (5, 10)
 
 TEAM_FEATURES = (
