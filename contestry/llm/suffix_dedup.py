@@ -32,7 +32,7 @@ PIECE = 1 << 20
 PLACE_BITS = 24
 #: Bytes of fragments whose suffixes are sorted together, about, and different fragments of one
 #: anchor above which the anchor's windows are counted one by one instead (same results).
-SORTED_BYTES, MOST_FRAGMENTS = 4 << 20, 20_000
+SORTED_BYTES, MOST_FRAGMENTS = 2 << 20, 20_000
 LAST_ID = (1 << 63) - 1
 WORD = 7
 
