@@ -20,6 +20,9 @@ TAU = 2
 LEAST_BYTES = 24
 BLANKS = " \t\r"
 BLOCK = 32
+#: Frequent letters whose counts lines are told apart by before their bytes are compared.
+LETTERS = "etaonihrsdlu"
+SAME_LENGTH = 1 << 60
 
 
 def _segment(length: Column, number: Column, tau: int) -> tuple[Column, Column]:
@@ -30,6 +33,28 @@ def _segment(length: Column, number: Column, tau: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + (number >= short).cast("int")).cast("int")
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS occurs, modulo 32, in five bits each."""
+    text, total = line.cast("string"), F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        count = F.length(line) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31)).cast("long"), 5 * k))
+    return total
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """A lower bound on twice the edits between two lines, from their letter counts.
+
+    An edit takes one byte away, adds one, or does both, so the counts of all letters together
+    move by two at most.
+    """
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        apart = (F.shiftright(a, 5 * k).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * k).bitwiseAND(F.lit(31)) + 32) % 32
+        total = total + F.least(apart, F.lit(32) - apart)
+    return total
+
+
 def _each(lines: DataFrame, places: list[tuple[int, ...]], names: str) -> DataFrame:
     """Every line once for each of a few fixed tuples, which become columns."""
     columns = names.split()
@@ -38,15 +63,17 @@ def _each(lines: DataFrame, places: list[tuple[int, ...]], names: str) -> DataFr
 
 
 def index_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``_h1`` and ``_key``, a hash of (length, number, segment), for each segment of ``_line``."""
+    """``_h1``, ``_letters`` and ``_key``, a hash of (length, number, segment), for each segment
+    of ``_line``."""
     each = _each(lines, [(i,) for i in range(tau + 1)], "_i")
     length = F.length("_line")
     start, size = _segment(length, F.col("_i"), tau)
-    return each.select("_h1", F.xxhash64(length, "_i", F.substring("_line", start, size)).alias("_key"))
+    return each.select("_h1", "_letters", F.xxhash64(length, "_i", F.substring("_line", start, size)).alias("_key"))
 
 
 def probe_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``_h1`` and ``_key`` of the substrings that can be a segment of a line shorter by 0 to ``tau``.
+    """``_h1``, ``_letters`` and ``_key`` of the substrings that can be a segment of a line shorter
+    by 0 to ``tau``; ``_letters`` has SAME_LENGTH set where it is 0.
 
     Segment i of the shorter line lies at most i places off its start counted from the left,
     and at most ``tau`` - i places off counted from the right.
@@ -59,10 +86,12 @@ def probe_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
     ]
     each = _each(lines, places, "_less _i _shift").withColumn("_long", F.length("_line") - F.col("_less"))
     start, size = _segment(F.col("_long"), F.col("_i"), tau)
-    each = each.select("_h1", "_line", "_long", "_i", (start + F.col("_shift")).alias("_at"), size.alias("_size"))
+    flag = F.when(F.col("_less") == 0, F.lit(SAME_LENGTH)).otherwise(F.lit(0)).cast("long")
+    each = each.withColumn("_letters", F.col("_letters").bitwiseOR(flag))
+    each = each.select("_h1", "_letters", "_line", "_long", "_i", (start + F.col("_shift")).alias("_at"), size.alias("_size"))
     inside = (F.col("_long") > tau) & (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.length("_line"))
     part = F.substring("_line", F.col("_at"), F.col("_size"))
-    return each.where(inside).select("_h1", F.xxhash64("_long", "_i", part).alias("_key"))
+    return each.where(inside).select("_h1", "_letters", F.xxhash64("_long", "_i", part).alias("_key"))
 
 
 def _same_blocks(a: Column, b: Column, blocks: Column) -> Column:
@@ -220,9 +249,15 @@ def near_lines(texts: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
     place = [F.col(f"_v._place.{c}").alias(c) for c in DOCUMENT]
     number = F.col("_v._place._no").alias("_no")
     every = _lines_at(texts, first.groupBy(*place).agg(F.collect_list(F.struct(number)).alias("_at")))
-    every = every.select(F.xxhash64("_line").alias("_h1"), "_line")
-    probes = probe_keys(every, tau).withColumnRenamed("_h1", "_g1")
-    pairs = index_keys(every, tau).join(probes, "_key").where("_h1 <> _g1")
+    every = every.select(F.xxhash64("_line").alias("_h1"), "_line", letter_counts(F.col("_line")).alias("_letters"))
+    probes = probe_keys(every, tau).withColumnsRenamed({"_h1": "_g1", "_letters": "_others"})
+    # Copies edited here and there share segments with all the rest of their group; the letter
+    # counts tell most of them apart within the join, and never lines within ``tau``.
+    pairs = index_keys(every, tau).join(probes, "_key")
+    # Lines of one length find each other both ways; one way is enough.
+    same_length = F.col("_others").bitwiseAND(F.lit(SAME_LENGTH)) != 0
+    pairs = pairs.where((F.col("_h1") < F.col("_g1")) | (~same_length & (F.col("_h1") != F.col("_g1"))))
+    pairs = pairs.where(counts_apart(F.col("_letters"), F.col("_others")) <= 2 * tau)
     pairs = pairs.select(F.least("_h1", "_g1").alias("_a"), F.greatest("_h1", "_g1").alias("_b")).distinct()
     # A pair asks for both its lines; they meet again by the pair, in the order of their places.
     asked = pairs.select("_a", "_b", F.explode(F.array("_a", "_b")).alias("_h1")).join(first, "_h1")

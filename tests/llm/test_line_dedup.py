@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from contestry.llm.line_dedup import LEAST_BYTES, banded_distance, dedup_lines, index_keys, probe_keys
+from contestry.llm.line_dedup import (
+    LEAST_BYTES, banded_distance, counts_apart, dedup_lines, index_keys, letter_counts, probe_keys,
+)
 
 
 def distance(a, b):
@@ -58,10 +60,12 @@ def test_no_near_pair_misses_the_index(spark, tau):
         a = "".join(draw.choices("ab", k=draw.randrange(24, 60)))
         b = edited(draw, a, draw.randrange(tau + 1))
         pairs.append(sorted([a.encode(), b.encode()], key=len))
-    rows = [(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(pairs)]
-    df = spark.createDataFrame(rows, "_h1 long, a binary, b binary")
-    index = index_keys(df.withColumnRenamed("a", "_line"), tau)
-    met = {r._h1 for r in index.intersect(probe_keys(df.withColumnRenamed("b", "_line"), tau)).collect()}
+    rows = [(i, bytearray(a), bytearray(b), 0) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "_h1 long, a binary, b binary, _letters long")
+    index = index_keys(df.withColumnRenamed("a", "_line"), tau).drop("_letters")
+    met = {r._h1 for r in index.intersect(probe_keys(df.withColumnRenamed("b", "_line"), tau).drop("_letters")).collect()}
+    apart = df.select("_h1", counts_apart(letter_counts(df.a), letter_counts(df.b)).alias("n")).collect()
+    assert all(r.n <= 2 * distance(*pairs[r._h1]) for r in apart)
     assert all(i in met for i, (a, b) in enumerate(pairs) if distance(a, b) <= tau)
 
 
