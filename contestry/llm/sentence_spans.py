@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -19,46 +20,81 @@ from contestry.llm.common import texts_of
 
 SPAN_SENTENCES, SPAN_WORDS = 3, 20
 #: A sentence or clause ends at one of these signs before white space, or with its line.
-END = re.compile(r"[.!?;:,]+\s+|\s*\n\s*")
-#: A longer sentence is cut behind words that a hash picks, so shared parts are cut alike.
-LONG_WORDS, CUT_EVERY = 16, 8
+END = re.compile(r"[.!?;:,]+\s+|\n\s*")
+#: Of every so many words in a row in a sentence, the one of the least hash ends a part.
+CUT_WORDS = 8
 WORD = re.compile(r"\S+\s*")
 LAST_ID = (1 << 63) - 1
 
 
+def cuts_of(words: list[str]) -> list[int]:
+    """Numbers of the words of one sentence that end a part, by content alone.
+
+    The last of the least hashes of each CUT_WORDS words in a row is picked. A window that lies
+    within a passage picks the same word wherever the passage stands, and no window that leaves
+    it picks one between two of those. So what two texts share is cut alike but for less than
+    CUT_WORDS words behind its start and before its end, and no part is longer than CUT_WORDS.
+    """
+    hashes = list(map(xxhash.xxh3_64_intdigest, words))
+    out, least = [], -1
+    for last in range(CUT_WORDS - 1, len(words)):
+        first = last - CUT_WORDS + 1
+        if least < first:
+            window = hashes[last : first - 1 if first else None : -1]
+            least = last - window.index(min(window))
+        elif hashes[last] <= hashes[least]:
+            least = last
+        else:
+            continue
+        out.append(least)
+    return out
+
+
+def _stops(text: str, start: int, end: int, words: list[str]) -> list[int]:
+    """Where the blanks behind each word of ``text[start:end]`` end."""
+    bare = text[start:end].lstrip()
+    begin = end - len(bare)
+    if len(bare.rstrip()) < sum(map(len, words)) + len(words):  # one blank between words
+        stops = list(accumulate(map(len, words), lambda at, n: at + n + 1, initial=begin))[1:]
+        stops[-1] = end
+        return stops
+    return [m.end() for m in WORD.finditer(text, begin, end)]
+
+
 def sentences_of(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words joined by blanks, number of words); the parts cover the whole text."""
     out, start = [], 0
     ends = [m.end() for m in END.finditer(text)]
     for end in [*ends, len(text)] if not ends or ends[-1] < len(text) else ends:
         words = text[start:end].split()
-        if len(words) <= LONG_WORDS:
-            out.append((start, end, " ".join(words), len(words)))
+        cuts = cuts_of(words) if len(words) >= CUT_WORDS else []
+        if cuts:
+            stops, first, at = _stops(text, start, end, words), 0, start
+            for k in cuts if cuts[-1] == len(words) - 1 else [*cuts, len(words) - 1]:
+                out.append((at, stops[k], " ".join(words[first : k + 1]), k + 1 - first))
+                at, first = stops[k], k + 1
         else:
-            at, part = start, []
-            lead = len(text[start:end]) - len(text[start:end].lstrip())
-            for m in WORD.finditer(text, start + lead, end):
-                part.append(m[0].rstrip())
-                if xxhash.xxh3_64_intdigest(part[-1]) % CUT_EVERY == 0 or m.end() == end:
-                    out.append((at, m.end(), " ".join(part), len(part)))
-                    at, part = m.end(), []
+            out.append((start, end, " ".join(words), len(words)))
         start = end
     return out
 
 
 def spans_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
     """(first sentence, one behind the last, hash) of the span that starts at each sentence."""
-    told = [p for p in enumerate(parts) if p[1][3]]
-    out, last, words = [], 0, 0
-    for first in range(len(told)):
-        while last < len(told) and (last - first < SPAN_SENTENCES or words < SPAN_WORDS):
-            words += told[last][1][3]
+    told = [i for i, p in enumerate(parts) if p[3]]
+    joined = " ".join([parts[i][2] for i in told])
+    begins = list(accumulate([len(parts[i][2]) + 1 for i in told], initial=0))
+    counts = [parts[i][3] for i in told]
+    out, last, words, end = [], 0, 0, len(told)
+    for first in range(end):
+        while last < end and (last - first < SPAN_SENTENCES or words < SPAN_WORDS):
+            words += counts[last]
             last += 1
         if last - first < SPAN_SENTENCES or words < SPAN_WORDS:
             break
-        digest = xxhash.xxh3_64_intdigest(" ".join([p[1][2] for p in told[first:last]]))
-        out.append((told[first][0], told[last - 1][0] + 1, digest - (1 << 63)))
-        words -= told[first][1][3]
+        digest = xxhash.xxh3_64_intdigest(joined[begins[first] : begins[last] - 1])
+        out.append((told[first], told[last - 1] + 1, digest - (1 << 63)))
+        words -= counts[first]
     return out
 
 

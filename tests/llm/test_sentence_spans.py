@@ -66,3 +66,27 @@ def test_passage_inside_other_sentences_goes_from_the_later_document(spark):
     got = {r.doc_id: r for r in remove_repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1].n_removed == 0 and all(len(got[i].text.split()) < 25 for i in (2, 3))
     assert remove_repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_passage_of_fifty_words_is_missed_wherever_it_stands(spark):
+    draw = random.Random(11)
+    words = [f"{w}{sign}" for w in (f"w{i}" for i in range(3000)) for sign in ("", "", "", "", "", ",", ".")]
+
+    def run(n, signs=True):
+        return [w if signs else w.rstrip(",.") for w in draw.choices(words, k=n)]
+
+    rows, planted = [], []
+    for k in range(150):
+        passage = run(draw.choice([50, 51, 60]), signs=k % 2 == 0)
+        for name in (k, 1000 + k):
+            head, tail = run(draw.randrange(40)), run(draw.randrange(40))
+            rows.append((name, " ".join(head + passage + tail), ""))
+        planted.append((1000 + k, len(head), passage, len(tail)))
+    got = {r.doc_id: r for r in remove_repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    shares = []
+    for name, head, passage, tail in planted:
+        gone = head + len(passage) + tail - len(got[name].text.split())
+        assert gone >= 20, (name, passage)
+        shares.append(gone / len(passage))
+    assert sum(shares) / len(shares) > 0.8
+    assert all(got[k].n_removed == 0 for k in range(150))
