@@ -37,6 +37,8 @@ NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 #: Costs in nats of the channel: a sign read as a letter, a sign left out, a letter repeated.
 COST_STANDS, COST_MASK, COST_SKIP, COST_BREAK, COST_REPEAT = 1.5, 3.5, 1.5, 0.5, 0.5
+#: The cost of a letter typed twice for one; many words have a double letter of their own.
+COST_DOUBLE = 4.0
 
 #: At most about so many labelled rows are learned from; a share of them only calibrates.
 SAMPLE_ROWS, CALIBRATION_SHARE = 20_000, 0.25
@@ -45,8 +47,9 @@ PREFIXES = (4, 5, 6)
 TOP = 5
 REMEMBERED = 300_000
 
-PLAIN = re.compile(r"[\"'(\[{<¿¡«]*([^\W\d_]+)\W*")
-LONG_RUN = re.compile(r"(.)\1\1")
+#: A word between signs that stand for nothing; any other token is read by its lattice.
+PLAIN = re.compile(rf"[\"'\[{{<¿¡«]*([^\W\d_]+)[^\w{re.escape(''.join(STANDS_FOR))}]*")
+RUN = re.compile(r"(.)\1")
 
 
 def _code_table() -> np.ndarray:
@@ -105,8 +108,8 @@ def options(token: str) -> list[list[tuple[str, float]]]:
     for char, run in groupby(token):
         n = len(list(run))
         if char.isalpha():
-            kept = [(char, COST_REPEAT * (n - 1)), (char * 2, COST_REPEAT * abs(n - 2))]
-            out.append(kept if n > 2 else [(char * n, 0.0)])
+            once = COST_DOUBLE if n == 2 else COST_REPEAT * (n - 1)
+            out.append([(char, once), (char * 2, COST_REPEAT * (n - 2))] if n > 1 else [(char, 0.0)])
         elif char in STANDS_FOR:
             cost = COST_MASK if len(STANDS_FOR[char]) > 2 else COST_STANDS
             choice = [(letter * k, cost * k) for letter in STANDS_FOR[char] for k in ({1, min(n, 2)})]
@@ -148,9 +151,9 @@ class Restorer:
     def token(self, token: str) -> tuple[str, ...]:
         """Words that one token of non-blanks (lower case) stands for."""
         plain = PLAIN.fullmatch(token)
-        if plain and not LONG_RUN.search(plain[1]):
+        if plain and not RUN.search(plain[1]):
             return (plain[1],)
-        if not any(c.isalpha() for c in token):
+        if not any(c.isalpha() or c in STANDS_FOR for c in token):
             return ()
         return tuple(viterbi(token, self.model).split())
 

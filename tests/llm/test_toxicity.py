@@ -107,3 +107,20 @@ def test_nothing_to_learn(spark):
     assert [r.score for r in score_toxicity(docs, fitted).collect()] == [0.5]
     fitted = fit_toxicity(docs.limit(0), none, F.lit(True))
     assert score_toxicity(docs.limit(0), fitted).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("hidden", "words"),
+    [
+        ("idio+", ["idiot"]), ("(at", ["cat"]), ("m0ron**", ["moron"]), ("$$", []),
+        ("iiddiioott", ["idiot"]), ("ssttuuppiidd", ["stupid"]), ("the%%%", ["the"]), ("the!", ["the"]),
+        ("(see", ["see"]), ("school", ["school"]), ("book)", ["book"]), ("cat...", ["cat"]),
+    ],
+)
+def test_signs_at_the_ends_and_doubled_letters_are_read(model, hidden, words):
+    assert Restorer(model).words(hidden) == words
+
+
+def test_tokens_without_a_letter_are_read_where_the_model_says_so(model):
+    assert Restorer(model_of(["as"] * 500)).words("45 @$ 22") == ["as", "as"]
+    assert Restorer(model).words("2019 100% $5") == []
