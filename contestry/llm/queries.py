@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.byte_bpe import encode_documents
@@ -13,11 +13,13 @@ from contestry.llm.common import id_remainder, table
 from contestry.llm.embedding_neighbors import near_vectors
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
-from contestry.llm.line_dedup import dedup_lines
+from contestry.llm.line_dedup import dedup_lines, let
 from contestry.llm.ngram_join import similar_texts
 from contestry.llm.packing import pack_documents
+from contestry.llm.periodic_runs import find_runs
 from contestry.llm.sentence_spans import remove_repeated_spans
 from contestry.llm.suffix_dedup import remove_repeats
+from contestry.llm.top_products import scaled, top_products
 from contestry.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -82,6 +84,50 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _planted(doc_id: Column, text: Column) -> Column:
+    """The text, every tenth one by its id with a repeat planted from some word to its end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        at = F.sequence(F.lit(0).cast("long"), n - 1)
+        turned = lambda s: F.transform(
+            at, lambda i: F.get(words, F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int"))
+        )
+        return F.when(n > 0, F.array_join(let(F.struct(a.alias("a"), p.alias("p")), turned), " "))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return F.when(h % 10 == 0, let(words, repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    # Of equal exponents the first run in their order stays: smallest start, then period.
+    higher = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), higher)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    thousands = F.col("best.length") * 1000
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        ((thousands - thousands % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding"), 64.0).alias("embedding"))
+    return top_products(whole, F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_join": op2_ngram_join,
@@ -93,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_top_products": op13_top_products,
 }
 
 ORACLES: dict[str, str] = {
