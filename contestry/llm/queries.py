@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contestry.llm.byte_bpe import encode_documents
 from contestry.llm.common import id_remainder, table
+from contestry.llm.conversation_trie import prefix_trie, turn_sequences, with_heads
 from contestry.llm.embedding_neighbors import near_vectors
 from contestry.llm.exact_dedup import exact_groups
 from contestry.llm.language import fit_languages, identify, read_pieces
@@ -123,6 +124,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = turn_sequences(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie(with_heads(own, conv - conv % 100, id_remainder(conv, 6), most=5))
+
+
 def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding"), 64.0).alias("embedding"))
     return top_products(whole, F.col("vec_id") % 20 == 0, 20)
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_top_products": op13_top_products,
 }
 
