@@ -11,6 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to remove the shuffle files of a query when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     settings = {
@@ -83,10 +87,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Values one run has fixed then never change on a retry, nothing upstream is computed
     again, and readers still prune columns and rows, which a checkpointed row stream cannot.
+    Once the table is there, the shuffle files behind it are of no use and go at once, instead
+    of when the driver happens to collect its garbage.
     """
-    path = scratch_table(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_table(spark, "cut")
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
