@@ -4,25 +4,33 @@ Two lines within TAU edits: cut the shorter one into TAU + 1 segments, and one o
 unchanged in the longer line, near its own place. Lines are indexed by (length, segment
 number, segment) and probed with the few substrings that the lengths allow; candidates are
 verified by a banded bit-parallel edit distance. Lines are compared as bytes.
+
+A line goes for one witness. So every line is first held to the earliest one under each of its
+keys, which settles a group of near copies at a cost of its size; only lines still without a
+witness meet all earlier ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.llm.common import carried, texts_of
+from contestry.session import cut_lineage
 
 TAU = 2
-#: Lines of fewer bytes, blanks at the ends aside, stay whatever they repeat.
-LEAST_BYTES = 24
+#: Shorter lines are compared for equality alone: two edits are over a fifth of them.
+LEAST_BYTES = 10
+#: Hot lines whose places may be broadcast, about 50 bytes each.
+MOST_BROADCAST = 200_000
 BLANKS = " \t\r"
 BLOCK = 32
 #: Frequent letters whose counts lines are told apart by before their bytes are compared.
 LETTERS = "etaonihrsdlu"
-SAME_LENGTH = 1 << 60
+LINE = ["_id", "_low"]
+DIGEST = ["_h1", "_h2"]
 
 
 def _segment(length: Column, number: Column, tau: int) -> tuple[Column, Column]:
@@ -55,43 +63,64 @@ def counts_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def _each(lines: DataFrame, places: list[tuple[int, ...]], names: str) -> DataFrame:
-    """Every line once for each of a few fixed tuples, which become columns."""
-    columns = names.split()
-    rows = [F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, p, strict=True))) for p in places]
-    return lines.select("*", F.inline(F.array(*rows)))
-
+def own_keys(line: Column, tau: int = TAU) -> list[Column]:
+    """A hash of (length, number, segment) for each segment of a line: its keys in the index."""
+    length, keys = F.length(line), []
+    for i in range(tau + 1):
+        start, size = _segment(length, F.lit(i), tau)
+        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
+    return keys
 
-def index_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``_h1``, ``_letters`` and ``_key``, a hash of (length, number, segment), for each segment
-    of ``_line``."""
-    each = _each(lines, [(i,) for i in range(tau + 1)], "_i")
-    length = F.length("_line")
-    start, size = _segment(length, F.col("_i"), tau)
-    return each.select("_h1", "_letters", F.xxhash64(length, "_i", F.substring("_line", start, size)).alias("_key"))
 
-
-def probe_keys(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``_h1``, ``_letters`` and ``_key`` of the substrings that can be a segment of a line shorter
-    by 0 to ``tau``; ``_letters`` has SAME_LENGTH set where it is 0.
+def probe_keys(line: Column, tau: int = TAU, least: int = LEAST_BYTES) -> list[Column]:
+    """Hashes of the other substrings that can be a segment of a line shorter by 0 to ``tau``, or null.
 
     Segment i of the shorter line lies at most i places off its start counted from the left,
     and at most ``tau`` - i places off counted from the right.
     """
-    places = [
-        (less, i, shift)
-        for less in range(tau + 1)
-        for i in range(tau + 1)
-        for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1)
-    ]
-    each = _each(lines, places, "_less _i _shift").withColumn("_long", F.length("_line") - F.col("_less"))
-    start, size = _segment(F.col("_long"), F.col("_i"), tau)
-    flag = F.when(F.col("_less") == 0, F.lit(SAME_LENGTH)).otherwise(F.lit(0)).cast("long")
-    each = each.withColumn("_letters", F.col("_letters").bitwiseOR(flag))
-    each = each.select("_h1", "_letters", "_line", "_long", "_i", (start + F.col("_shift")).alias("_at"), size.alias("_size"))
-    inside = (F.col("_long") > tau) & (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.length("_line"))
-    part = F.substring("_line", F.col("_at"), F.col("_size"))
-    return each.where(inside).select("_h1", "_letters", F.xxhash64("_long", "_i", part).alias("_key"))
+    keys = []
+    for less in range(tau + 1):
+        length = F.length(line) - less
+        for i in range(tau + 1):
+            start, size = _segment(length, F.lit(i), tau)
+            for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
+                if less or shift:
+                    inside = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= F.length(line))
+                    part = F.substring(line, start + shift, size)
+                    keys.append(F.when(inside, F.xxhash64(length, F.lit(i), part)))
+    return keys
+
+
+def line_keys(lines: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
+    """``_key`` rows of lines (``_line``, ``_id``, ``_low``): each key of a line once, with ``_mark``.
+
+    ``_mark`` is ``_low``, 32 bits that tell the lines of one document apart, and behind it a bit
+    that is set for keys of the index.
+    """
+    own = lines.withColumn("_own", F.array(*own_keys(F.col("_line"), tau)))
+    others = F.array_except(F.array_compact(F.array(*probe_keys(F.col("_line"), tau, least))), "_own")
+    each = own.select("_id", "_low", F.posexplode(F.concat("_own", others)).alias("_at", "_key"))
+    mark = F.shiftleft("_low", 1).bitwiseOR((F.col("_at") <= tau).cast("long"))
+    return each.select("_key", "_id", mark.alias("_mark"))
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys that several lines have: ``LINE``, ``_key``, ``_own`` and ``_first``, the
+    first line before it that it can be compared with, by (``_id``, ``_mark``)."""
+    order = Window.partitionBy("_key").orderBy("_id", "_mark")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("_mark").bitwiseAND(F.lit(1)) == 1
+    line = F.struct("_id", "_mark")
+    ranked = keys.select(
+        "*",
+        F.first(line).over(before).alias("_any"),
+        F.first(F.when(own, line), ignorenulls=True).over(before).alias("_indexed"),
+        F.lead("_id").over(order).alias("_next"),
+    )
+    first = F.when(own, F.col("_any")).otherwise(F.col("_indexed"))
+    low = F.shiftright("_mark", 1).alias("_low")
+    witness = F.when(first.isNotNull(), F.struct(first["_id"].alias("_id"), F.shiftright(first["_mark"], 1).alias("_low")))
+    return ranked.where("_any IS NOT NULL OR _next IS NOT NULL").select("_id", low, "_key", own.alias("_own"), witness.alias("_first"))
 
 
 def _same_blocks(a: Column, b: Column, blocks: Column) -> Column:
@@ -227,46 +256,77 @@ def _bytes(raw: Column) -> Column:
     return F.encode(F.btrim(raw, F.lit(BLANKS)), "UTF-8")
 
 
-def _lines_at(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines that ``places`` lists per document (``_at``: structs with ``_no``), once each:
-    the fields of the list, ``_line`` and ``_place``."""
-    joined = texts.join(places, DOCUMENT).select(*DOCUMENT, "_text", "_at").dropDuplicates(DOCUMENT)
+def _lines_at(texts: DataFrame, places: DataFrame, once: bool = False) -> DataFrame:
+    """The lines that ``places`` lists per document (``_at``: structs with ``_no`` and ``LINE``):
+    ``LINE``, ``_line`` and ``_place``; with ``once`` not again for documents that are there again."""
+    joined = texts.join(places, DOCUMENT).select(*DOCUMENT, "_text", "_at")
+    if once:
+        joined = joined.dropDuplicates(DOCUMENT)
     picked = let(
         F.split("_text", "\n", -1),
         lambda parts: F.transform("_at", lambda w: F.struct(w.alias("_w"), _bytes(F.get(parts, w["_no"])).alias("_line"))),
     )
     each = joined.select(*DOCUMENT, F.inline(picked))
-    return each.select("_w.*", "_line", F.struct(*DOCUMENT, "_w._no").alias("_place"))
+    return each.select(*(F.col(f"_w.{c}") for c in LINE), "_line", F.struct(*DOCUMENT, "_w._no").alias("_place"))
+
+
+def _located(first: DataFrame) -> DataFrame:
+    """Different lines with ``LINE``, a short name for them: the id of their document, or a
+    number from its hash where that is null, and half of their own hash."""
+    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.col("_place._hash"), 2)
+    name = F.when(F.col("_place._null"), unnamed).otherwise(F.col("_place._key"))
+    return first.select("*", name.alias("_id"), F.col("_h1").bitwiseAND(F.lit((1 << 32) - 1)).alias("_low"))
 
 
-def near_lines(texts: DataFrame, first: DataFrame, tau: int = TAU) -> DataFrame:
-    """``_h1`` of different lines that are within ``tau`` edits of a line with an earlier place.
+def _places(lines: DataFrame) -> DataFrame:
+    """Per document the list of its lines: ``_at`` for ``_lines_at``."""
+    place = [F.col(f"_place.{c}").alias(c) for c in DOCUMENT]
+    return lines.groupBy(*place).agg(F.collect_list(F.struct(F.col("_place._no").alias("_no"), *LINE)).alias("_at"))
 
-    ``first`` has the first place of each different line. Every pair within ``tau`` is found:
-    the index and the probes have no caps. Lines are taken from the document of their first
-    place, so all uses read one shuffle of the documents; lines alone move for candidates only.
+
+def _close(pairs: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
+    """The later line of each pair (``_a``, ``_b``: ``LINE``) within ``tau`` edits: ``LINE``, ``DIGEST``."""
+    sides = pairs.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    for c in "ab":
+        side = F.struct("_place", "_line", "_letters", *LINE).alias(f"_{c}_line")
+        side = lines.select(F.struct(*LINE).alias(f"_{c}"), side)
+        sides = sides.join(side, f"_{c}")
+    early, late = F.least("_a_line", "_b_line"), F.greatest("_a_line", "_b_line")  # structs go by their place first
+    met = sides.where(counts_apart(F.col("_a_line._letters"), F.col("_b_line._letters")) <= 2 * tau)
+    met = met.select(early.alias("_early"), late.alias("_late")).where("_early._place < _late._place")
+    met = met.where(banded_distance(F.col("_early._line"), F.col("_late._line"), tau) <= tau)
+    return met.select(*(F.col(f"_late.{c}") for c in LINE), *_digest(F.col("_late._line"))).distinct()
+
+
+def _digest(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("_h1"), F.xxhash64(line, F.lit(1)).alias("_h2")]
+
+
+def near_lines(texts: DataFrame, first: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
+    """``DIGEST`` of different lines that are within ``tau`` edits of a line with an earlier place.
+
+    ``first`` has the first place of each different line. Every pair within ``tau`` is found or
+    one of it has a witness already: keys have no caps. Keys move as three numbers; texts of
+    lines are fetched for lines that share a key with another one only.
     """
-    place = [F.col(f"_v._place.{c}").alias(c) for c in DOCUMENT]
-    number = F.col("_v._place._no").alias("_no")
-    every = _lines_at(texts, first.groupBy(*place).agg(F.collect_list(F.struct(number)).alias("_at")))
-    every = every.select(F.xxhash64("_line").alias("_h1"), "_line", letter_counts(F.col("_line")).alias("_letters"))
-    probes = probe_keys(every, tau).withColumnsRenamed({"_h1": "_g1", "_letters": "_others"})
-    # Copies edited here and there share segments with all the rest of their group; the letter
-    # counts tell most of them apart within the join, and never lines within ``tau``.
-    pairs = index_keys(every, tau).join(probes, "_key")
-    # Lines of one length find each other both ways; one way is enough.
-    same_length = F.col("_others").bitwiseAND(F.lit(SAME_LENGTH)) != 0
-    pairs = pairs.where((F.col("_h1") < F.col("_g1")) | (~same_length & (F.col("_h1") != F.col("_g1"))))
-    pairs = pairs.where(counts_apart(F.col("_letters"), F.col("_others")) <= 2 * tau)
-    pairs = pairs.select(F.least("_h1", "_g1").alias("_a"), F.greatest("_h1", "_g1").alias("_b")).distinct()
-    # A pair asks for both its lines; they meet again by the pair, in the order of their places.
-    asked = pairs.select("_a", "_b", F.explode(F.array("_a", "_b")).alias("_h1")).join(first, "_h1")
-    asked = asked.groupBy(*place).agg(F.collect_list(F.struct(number, "_a", "_b", "_h1")).alias("_at"))
-    side = F.struct("_place", "_line", "_h1")
-    met = _lines_at(texts, asked).groupBy("_a", "_b").agg(F.min(side).alias("_early"), F.max(side).alias("_late"))
-    close = met.where(F.col("_early._place") < F.col("_late._place"))
-    close = close.where(banded_distance(F.col("_early._line"), F.col("_late._line"), tau) <= tau)
-    return close.select(F.col("_late._h1").alias("_h1")).distinct()
+    named = _located(first.where("_long"))
+    every = _lines_at(texts, _places(named), once=True)
+    hot = cut_lineage(shared_keys(line_keys(every, tau, least)))
+    wanted = cut_lineage(_places(named.join(hot.select(*LINE).distinct(), LINE)))
+    few = (wanted.agg(F.sum(F.size("_at"))).first()[0] or 0) <= MOST_BROADCAST
+    lines = _lines_at(texts, F.broadcast(wanted) if few else wanted).distinct()
+    lines = cut_lineage(lines.withColumn("_letters", letter_counts(F.col("_line"))))
+    pairs = hot.where("_first IS NOT NULL").select(F.struct(*LINE).alias("_a"), F.col("_first").alias("_b"))
+    told = cut_lineage(_close(pairs, lines, tau))
+    # Of documents with one id the order is not known here, so any of their lines may be earlier.
+    lettered = hot.join(lines.select(*LINE, "_letters"), LINE).select("_key", "_own", F.struct(*LINE).alias("_a"), "_letters")
+    open_ = hot.select("_key", "_own", *LINE).join(told, LINE, "left_anti").select("_key", "_own", *LINE)
+    open_ = open_.join(lines.select(*LINE, "_letters"), LINE)
+    open_ = open_.select("_key", F.col("_own").alias("_mine"), F.struct(*LINE).alias("_b"), F.col("_letters").alias("_others"))
+    met = open_.join(lettered, "_key").where("(_own OR _mine) AND _a._id <= _b._id AND _a <> _b")
+    met = met.where(counts_apart(F.col("_letters"), F.col("_others")) <= 2 * tau)
+    rest = _close(met.select("_a", "_b"), lines, tau)
+    return told.select(*DIGEST).unionByName(rest.select(*DIGEST)).distinct()
 
 
 def dedup_lines(
@@ -275,24 +335,24 @@ def dedup_lines(
     """One row per document: id, ``n_lines``, ``n_removed``, ``text`` without repeated lines,
     and the columns named in ``carry``.
 
-    A line goes if an equal line, or one within ``tau`` edits (bytes, blanks at the ends aside),
-    has an earlier place, by id and line number. Lines under LEAST_BYTES bytes stay. Null text
-    is empty text; an empty text is one empty line. Null ids come last. Rows alike in id and
-    text are one document; different texts with one id go by their hash. An empty table gives
-    no rows; other columns are not read.
+    A line that is not blank goes if an equal line has an earlier place, by id and line number;
+    a line of LEAST_BYTES bytes or more also if one within ``tau`` edits (bytes, blanks at the
+    ends aside) and of that size has. Null text is empty text; an empty text is one empty line.
+    Null ids come last. Rows alike in id and text are one document; different texts with one id
+    go by their hash. An empty table gives no rows; other columns are not read.
     """
     texts = _documents(docs, id_col, text_col, carry)
     lines = texts.select(*DOCUMENT, F.posexplode(F.split("_text", "\n", -1)).alias("_no", "_raw"))
     lines = lines.select(F.struct(*DOCUMENT, "_no").alias("_place"), _bytes(F.col("_raw")).alias("_line"))
-    lines = lines.where(F.length("_line") >= LEAST_BYTES).select(
-        "_place", F.xxhash64("_line").alias("_h1"), F.xxhash64("_line", F.lit(1)).alias("_h2")
-    )
-    first = lines.groupBy("_h1").agg(F.min(F.struct("_place", "_h2")).alias("_v"))
-    known = first.join(near_lines(texts, first, tau).withColumn("_near", F.lit(True)), "_h1", "left")
-    # The second hash keeps a line that merely shares its first hash with another.
+    lines = lines.where(F.length("_line") > 0)
+    lines = lines.select("_place", *_digest(F.col("_line")), (F.length("_line") >= LEAST_BYTES).alias("_long"))
+    first = cut_lineage(lines.groupBy(*DIGEST).agg(F.min("_place").alias("_place"), F.max("_long").alias("_long")))
+    near = near_lines(texts, first, tau).withColumn("_near", F.lit(True))
+    # Written, so that a line in a third of all places is split by the join below.
+    known = cut_lineage(first.select(*DIGEST, F.col("_place").alias("_first")).join(near, DIGEST, "left"))
     gone = (
-        lines.join(known, "_h1")
-        .where((F.col("_h2") == F.col("_v._h2")) & (F.col("_near").isNotNull() | (F.col("_place") > F.col("_v._place"))))
+        lines.join(known, DIGEST)
+        .where(F.col("_near").isNotNull() | (F.col("_place") > F.col("_first")))
         .groupBy(*(F.col(f"_place.{c}").alias(c) for c in DOCUMENT))
         .agg(F.collect_set("_place._no").alias("_gone"))
     )

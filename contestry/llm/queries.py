@@ -158,10 +158,11 @@ l AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS raw FROM d),
 k AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
 f AS (
   SELECT line, min(struct_pack(a := doc_id, b := no)) AS place, strlen(line) AS n
-  FROM k WHERE strlen(line) >= 24 GROUP BY line),
+  FROM k WHERE line <> '' GROUP BY line),
 near AS (
   SELECT DISTINCT t.line FROM f t JOIN f s
-  ON t.n - s.n BETWEEN -2 AND 2 AND s.place < t.place AND levenshtein(s.line, t.line) <= 2),
+  ON t.n >= 10 AND s.n >= 10 AND t.n - s.n BETWEEN -2 AND 2 AND s.place < t.place
+  AND levenshtein(s.line, t.line) <= 2),
 m AS (
   SELECT k.*, coalesce(near.line IS NOT NULL OR struct_pack(a := doc_id, b := no) > f.place, false) AS gone
   FROM k LEFT JOIN f USING (line) LEFT JOIN near USING (line))

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from contestry.llm.line_dedup import (
-    LEAST_BYTES, banded_distance, counts_apart, dedup_lines, index_keys, letter_counts, probe_keys,
+    LEAST_BYTES, banded_distance, counts_apart, dedup_lines, letter_counts, line_keys, shared_keys,
 )
 
 
@@ -60,26 +62,36 @@ def test_no_near_pair_misses_the_index(spark, tau):
         a = "".join(draw.choices("ab", k=draw.randrange(24, 60)))
         b = edited(draw, a, draw.randrange(tau + 1))
         pairs.append(sorted([a.encode(), b.encode()], key=len))
-    rows = [(i, bytearray(a), bytearray(b), 0) for i, (a, b) in enumerate(pairs)]
-    df = spark.createDataFrame(rows, "_h1 long, a binary, b binary, _letters long")
-    index = index_keys(df.withColumnRenamed("a", "_line"), tau).drop("_letters")
-    met = {r._h1 for r in index.intersect(probe_keys(df.withColumnRenamed("b", "_line"), tau).drop("_letters")).collect()}
+    rows = [(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "_h1 long, a binary, b binary")
+    sides = [df.select(F.col("_h1").alias("_id"), F.lit(n).cast("long").alias("_low"), F.col(c).alias("_line")) for n, c in enumerate("ab")]
+    keys = line_keys(sides[0].unionByName(sides[1]), tau)
+    indexed = keys.where("_mark = 1").select("_id", "_key")  # of the shorter line; _mark is 2 or 3 for the longer one
+    met = {r._id for r in indexed.intersect(keys.where("_mark > 1").select("_id", "_key")).collect()}
     apart = df.select("_h1", counts_apart(letter_counts(df.a), letter_counts(df.b)).alias("n")).collect()
     assert all(r.n <= 2 * distance(*pairs[r._h1]) for r in apart)
     assert all(i in met for i, (a, b) in enumerate(pairs) if distance(a, b) <= tau)
 
 
+def place(row):
+    """Documents go by id, null last, and those with one id by the hash of their text."""
+    name, text = row
+    digest = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return name is None, name or 0, digest - (digest >> 63 << 64)
+
+
 def brute(rows):
-    order = sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0))
+    order = sorted(enumerate(rows), key=lambda r: place(r[1]))
     seen, gone = [], {}
     for at, (_, text) in order:
         lines = (text or "").split("\n")
         gone[at] = set()
         for no, line in enumerate(lines):
             key = line.strip(" \t\r").encode()
-            if len(key) < LEAST_BYTES:
+            if not key:
                 continue
-            if any(abs(len(key) - len(s)) <= 2 and distance(key, s) <= 2 for s in seen):
+            long = [s for s in seen if min(len(s), len(key)) >= LEAST_BYTES]
+            if key in seen or any(abs(len(key) - len(s)) <= 2 and distance(key, s) <= 2 for s in long):
                 gone[at].add(no)
             if key not in seen:
                 seen.append(key)
@@ -104,6 +116,27 @@ def test_documents_equal_brute_force(spark):
     assert sorted((repr(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got) == brute(rows)
 
 
+def test_witnesses_of_chains_short_lines_and_shared_ids(spark):
+    draw = random.Random(11)
+    # Lines one edit apart from the next, later ones far from the first; all share segments.
+    chain = [("q" * k + "p" * (14 - k) + "-stem-of-all-lines") for k in range(14)]
+    rows = [(50 - i, chain[draw.randrange(14)] + "\n" + draw.choice(["Yes.", "Read more", "", " \t", "x"])) for i in range(40)]
+    rows += [(7, f"{'ab'[i % 2]}{i:02d} one id, other texts") for i in range(20)]
+    rows += [(None, f"a line {i} of no one") for i in range(8)] + [(None, "Yes.")]
+    rows = sorted(set(rows), key=repr)
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dedup_lines(docs).collect()
+    assert sorted((repr(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got) == brute(rows)
+
+
+def test_first_line_of_a_key_is_held_to_the_index(spark):
+    rows = [(9, 1, 1, True), (9, 2, 2, False), (9, 3, 3, False), (9, 4, 4, True), (8, 5, 5, True), (7, 1, 1, False), (7, 2, 2, True)]
+    keys = spark.createDataFrame([(k, i, low * 2 + own) for k, i, low, own in rows], "_key long, _id long, _mark long")
+    got = {(r._key, r._id): r._first and r._first._id for r in shared_keys(keys).collect()}
+    assert got == {(9, 1): None, (9, 2): 1, (9, 3): 1, (9, 4): 1, (7, 1): None, (7, 2): 1}
+
+
 def test_repeated_rows_and_empty_table(spark):
     line = "a line that is long enough to count"
     docs = spark.createDataFrame([(1, line), (1, line), (2, line + "!")], "doc_id long, text string")
