@@ -13,6 +13,7 @@ witness meet all earlier ones.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,45 +64,29 @@ def counts_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def own_keys(line: Column, tau: int = TAU) -> list[Column]:
-    """A hash of (length, number, segment) for each segment of a line: its keys in the index."""
-    length, keys = F.length(line), []
-    for i in range(tau + 1):
-        start, size = _segment(length, F.lit(i), tau)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
-    return keys
-
-
-def probe_keys(line: Column, tau: int = TAU, least: int = LEAST_BYTES) -> list[Column]:
-    """Hashes of the other substrings that can be a segment of a line shorter by 0 to ``tau``, or null.
-
-    Segment i of the shorter line lies at most i places off its start counted from the left,
-    and at most ``tau`` - i places off counted from the right.
-    """
-    keys = []
-    for less in range(tau + 1):
-        length = F.length(line) - less
-        for i in range(tau + 1):
-            start, size = _segment(length, F.lit(i), tau)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                if less or shift:
-                    inside = (length >= least) & (start + shift >= 1) & (start + shift + size - 1 <= F.length(line))
-                    part = F.substring(line, start + shift, size)
-                    keys.append(F.when(inside, F.xxhash64(length, F.lit(i), part)))
-    return keys
-
-
 def line_keys(lines: DataFrame, tau: int = TAU, least: int = LEAST_BYTES) -> DataFrame:
-    """``_key`` rows of lines (``_line``, ``_id``, ``_low``): each key of a line once, with ``_mark``.
+    """``_key`` rows of lines (``_line``, ``_id``, ``_low``): hashes of (length, number, segment), ``_mark``.
 
-    ``_mark`` is ``_low``, 32 bits that tell the lines of one document apart, and behind it a bit
-    that is set for keys of the index.
+    First the segments of the line itself, its keys in the index; then the other substrings that
+    can be a segment of a line shorter by 0 to ``tau``. Segment i of the shorter line lies at most
+    i places off its start counted from the left, and at most ``tau`` - i places off counted from
+    the right. ``_mark`` is ``_low``, 32 bits that tell the lines of one document apart, and behind
+    it a bit that is set for keys of the index.
     """
-    own = lines.withColumn("_own", F.array(*own_keys(F.col("_line"), tau)))
-    others = F.array_except(F.array_compact(F.array(*probe_keys(F.col("_line"), tau, least))), "_own")
-    each = own.select("_id", "_low", F.posexplode(F.concat("_own", others)).alias("_at", "_key"))
-    mark = F.shiftleft("_low", 1).bitwiseOR((F.col("_at") <= tau).cast("long"))
-    return each.select("_key", "_id", mark.alias("_mark"))
+    places = [
+        (less, i, shift)
+        for less in range(tau + 1)
+        for i in range(tau + 1)
+        for shift in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1)
+    ]
+    rows = [F.struct(*(F.lit(v).alias(c) for c, v in zip(("_less", "_i", "_shift"), p, strict=True))) for p in places]
+    each = lines.select("*", F.inline(F.array(*rows))).withColumn("_size", F.length("_line") - F.col("_less"))
+    start, size = _segment(F.col("_size"), F.col("_i"), tau)
+    at = start + F.col("_shift")
+    inside = (F.col("_size") >= least) & (at >= 1) & (at + size - 1 <= F.length("_line"))
+    own = ((F.col("_less") == 0) & (F.col("_shift") == 0)).cast("long")
+    key = F.xxhash64("_size", "_i", F.substring("_line", at, size))
+    return each.where(inside).select(key.alias("_key"), "_id", F.shiftleft("_low", 1).bitwiseOR(own).alias("_mark"))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -253,7 +238,9 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]
 
 
 def _bytes(raw: Column) -> Column:
-    return F.encode(F.btrim(raw, F.lit(BLANKS)), "UTF-8")
+    """The bytes of a line without blanks at its ends; most lines have none to look for."""
+    ends = [f(raw, F.lit(b)) for f in (F.startswith, F.endswith) for b in BLANKS]
+    return F.when(reduce(Column.__or__, ends), F.btrim(raw, F.lit(BLANKS))).otherwise(raw).cast("binary")
 
 
 def _lines_at(texts: DataFrame, places: DataFrame, once: bool = False) -> DataFrame:
@@ -262,12 +249,8 @@ def _lines_at(texts: DataFrame, places: DataFrame, once: bool = False) -> DataFr
     joined = texts.join(places, DOCUMENT).select(*DOCUMENT, "_text", "_at")
     if once:
         joined = joined.dropDuplicates(DOCUMENT)
-    picked = let(
-        F.split("_text", "\n", -1),
-        lambda parts: F.transform("_at", lambda w: F.struct(w.alias("_w"), _bytes(F.get(parts, w["_no"])).alias("_line"))),
-    )
-    each = joined.select(*DOCUMENT, F.inline(picked))
-    return each.select(*(F.col(f"_w.{c}") for c in LINE), "_line", F.struct(*DOCUMENT, "_w._no").alias("_place"))
+    each = joined.withColumn("_parts", F.split("_text", "\n", -1)).select(*DOCUMENT, "_parts", F.inline("_at"))
+    return each.select(*LINE, _bytes(F.get("_parts", "_no")).alias("_line"), F.struct(*DOCUMENT, "_no").alias("_place"))
 
 
 def _located(first: DataFrame) -> DataFrame:
