@@ -11,12 +11,14 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.llm.common import texts_of
+from contestry.session import cut_lineage
 
 SPAN_SENTENCES, SPAN_WORDS = 3, 20
 #: A sentence or clause ends at one of these signs before white space, or with its line.
@@ -79,8 +81,8 @@ def sentences_of(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
-def spans_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
-    """(first sentence, one behind the last, hash) of the span that starts at each sentence."""
+def spans_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, bytes]]:
+    """(first sentence, one behind the last, hash of 16 bytes) of the span that starts at each sentence."""
     told = [i for i, p in enumerate(parts) if p[3]]
     joined = " ".join([parts[i][2] for i in told])
     begins = list(accumulate([len(parts[i][2]) + 1 for i in told], initial=0))
@@ -92,8 +94,8 @@ def spans_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int
             last += 1
         if last - first < SPAN_SENTENCES or words < SPAN_WORDS:
             break
-        digest = xxhash.xxh3_64_intdigest(joined[begins[first] : begins[last] - 1])
-        out.append((told[first], told[last - 1] + 1, digest - (1 << 63)))
+        digest = xxhash.xxh3_128_digest(joined[begins[first] : begins[last] - 1])
+        out.append((told[first], told[last - 1] + 1, digest))
         words -= counts[first]
     return out
 
@@ -101,33 +103,39 @@ def spans_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int
 def without(text: str, repeated: set[int]) -> tuple[str, int, int]:
     """Text less the sentences under repeated spans, sentences in all, sentences removed.
 
-    A span is repeated when its hash is in ``repeated`` or it occurred before in the text.
+    A span is repeated when the first half of its hash is in ``repeated``, as a number, or it
+    occurred before in the text.
     """
     parts = sentences_of(text)
     gone, seen = bytearray(len(parts)), set()
     for first, last, digest in spans_of(parts):
-        if digest in repeated or digest in seen:
+        if digest in seen or (repeated and int.from_bytes(digest[:8], "little", signed=True) in repeated):
             gone[first:last] = b"\x01" * (last - first)
         seen.add(digest)
     kept = "".join([text[s:e] for (s, e, _, _), g in zip(parts, gone, strict=True) if not g])
     return (kept if any(gone) else text), len(parts), sum(gone)
 
 
+SPAN = ["_span", "_rest"]
+
+
 def span_table(texts: DataFrame) -> DataFrame:
-    """``_id`` and ``_span``: each different span hash of a document once."""
+    """``_id`` and ``SPAN``: each different span of a document once, by its hash of two numbers."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts, found = [], []
+            for text in batch.column(1).to_pylist():
                 own = {digest for _, _, digest in spans_of(sentences_of(text))}
-                ids += [name] * len(own)
+                counts.append(len(own))
                 found += own
+            halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            ids = np.repeat(batch.column(0).to_numpy(), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["_id", "_span"]
+                [pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(h)) for h in halves.T)], names=["_id", *SPAN]
             )
 
-    return texts.mapInArrow(spans, "_id long, _span long")
+    return texts.mapInArrow(spans, "_id long, _span long, _rest long")
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,16 +144,18 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The first occurrence, by id and place, stays. Null text is empty text. Rows that share an
     id are one document: they do not repeat each other. Rows with a null id come last, as one
     document too. Spans are compared by words, whatever the white space between them, by a
-    64-bit hash. An empty table gives no rows; other columns are not read.
+    128-bit hash. An empty table gives no rows; other columns are not read.
 
-    Spans are counted with partial sums before the shuffle. The join back may be skewed (a
-    passage in a third of all documents): its other side has one row per span, so AQE splits it.
+    Spans are hashed once and written. They are counted with partial sums before the shuffle.
+    The join back may be skewed (a passage in a third of all documents): its other side is a
+    table with one row per shared span, so AQE splits it.
     """
     texts = texts_of(docs, id_col, text_col).withColumn("_key", F.coalesce("_id", F.lit(LAST_ID)))
-    spans = span_table(texts.select(F.col("_key").alias("_id"), "_text"))
-    shared = spans.groupBy("_span").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
-    later = spans.join(shared.where("_first < _last"), "_span").where(F.col("_id") > F.col("_first"))
-    lists = later.groupBy(F.col("_id").alias("_key")).agg(F.collect_set("_span").alias("_spans"))
+    spans = cut_lineage(span_table(texts.select(F.col("_key").alias("_id"), "_text")))
+    shared = spans.groupBy(*SPAN).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    shared = cut_lineage(shared.select(*SPAN, "_first"))
+    later = spans.join(shared, SPAN).where(F.col("_id") > F.col("_first"))
+    lists = cut_lineage(later.groupBy(F.col("_id").alias("_key")).agg(F.collect_set("_span").alias("_spans")))
     joined = texts.join(lists, "_key", "left").select("_id", "_text", "_spans")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

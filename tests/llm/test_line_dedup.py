@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 
 from pyspark.sql import functions as F
 
