@@ -25,6 +25,17 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] =
     )
 
 
+#: What tells documents apart: whether the id is null, the id, and a hash of the text.
+DOCUMENT = ["_null", "_key", "_hash"]
+
+
+def document_key(id_: Column, text: Column) -> list[Column]:
+    """The columns of ``DOCUMENT``; in their order null ids come last."""
+    whole = id_.cast("long")
+    key = F.coalesce(whole, F.lit(0).cast("long"))
+    return [whole.isNull().alias("_null"), key.alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash")]
+
+
 def carried(carry: Sequence[str]) -> list[Column]:
     """The columns of ``carry`` under their own names again."""
     return [F.col("_carried").getField(c).alias(c) for c in carry]

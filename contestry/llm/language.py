@@ -9,7 +9,7 @@ bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from contestry.llm.common import carried, texts_of
 from contestry.session import cut_lineage
 
-#: Runs of letters; a longer run is scored in parts of WORD_LETTERS.
 WORD = re.compile(r"[^\W\d_]+")
-WORD_LETTERS, PIECE_LETTERS = 32, 12
+#: Words of more letters are summed in logarithms, one by one; others side by side.
+WORD_LETTERS = 32
 #: The learning sample: about so many labelled documents of each language, spread by a hash.
 SAMPLE_PER_LANGUAGE = 2_000
 EM_ROUNDS = 3
@@ -41,16 +41,13 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    inner = (p for p in pieces if WORD.fullmatch(p.removeprefix(BEGIN)) and len(p) <= PIECE_LETTERS + 1)
+    inner = (p for p in pieces if WORD.fullmatch(p.removeprefix(BEGIN)))
     return sorted({p.lower() for p in inner} | {BEGIN})
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case, long runs in parts."""
-    words = WORD.findall(text.lower())
-    if any(len(w) > WORD_LETTERS for w in words):
-        words = [w[i : i + WORD_LETTERS] for w in words for i in range(0, len(w), WORD_LETTERS)]
-    return words
+    """Words in lower case."""
+    return WORD.findall(text.lower())
 
 
 class Lattice:
@@ -59,6 +56,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.number = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     def edges(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """Piece numbers by (start, end) for marked words of one length; -1 where none is.
@@ -68,7 +66,7 @@ class Lattice:
         length, get, out = len(words[0]), self.number.get, {}
         for i in range(length):
             out[i, i + 1] = np.array([get(w[i], self.size) for w in words])
-            for j in range(i + 2, min(length, i + PIECE_LETTERS + 1) + 1):
+            for j in range(i + 2, min(length, i + self.longest) + 1):
                 found = np.array([get(w[i:j], -1) for w in words])
                 if (found >= 0).any():
                     out[i, j] = found
@@ -89,7 +87,10 @@ class Lattice:
     def expected(self, words: list[str], times: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations; ``times`` is words by languages."""
         total = np.zeros((self.size + 2, chance.shape[1]))
-        for length, places in _by_length(words).items():
+        short, long = _by_length(words)
+        for place in long:
+            self._add_expected(words[place], times[place], chance, total)
+        for length, places in short.items():
             own, weight = [words[p] for p in places], times[places]
             edges = self.edges(own)
             alpha = self.forward(edges, length, chance)
@@ -105,17 +106,50 @@ class Lattice:
     def log_chance(self, words: list[str], chance: np.ndarray) -> np.ndarray:
         """Log of the summed probability, words by languages."""
         out = np.zeros((len(words), chance.shape[1]))
-        for length, places in _by_length(words).items():
+        short, long = _by_length(words)
+        for length, places in short.items():
             edges = self.edges([words[p] for p in places])
             out[places] = np.log(self.forward(edges, length, chance)[length])
+        if long:
+            with np.errstate(divide="ignore"):
+                logs = np.log(chance)
+            for place in long:
+                for total, _ in self._log_forward(words[place], logs):
+                    out[place] = total
         return out
 
-
-def _by_length(words: list[str]) -> dict[int, list[int]]:
-    out = defaultdict(list)
+    def _log_forward(self, word: str, logs: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """For each letter the log of the sum up to it, and (start, piece) of the pieces that end
+        there; sums are kept no further back than the longest piece."""
+        window = deque([np.zeros(logs.shape[1])], maxlen=self.longest)
+        for end in range(1, len(word) + 1):
+            pieces = ((i, self.number.get(word[i:end], -1)) for i in range(max(0, end - self.longest), end - 1))
+            ends = [x for x in pieces if x[1] >= 0] + [(end - 1, self.number.get(word[end - 1], self.size))]
+            total = np.logaddexp.reduce([window[i - end] + logs[p] for i, p in ends], axis=0)
+            window.append(total)
+            yield total, ends
+
+    def _add_expected(self, word: str, times: np.ndarray, chance: np.ndarray, total: np.ndarray) -> None:
+        """Add to ``total`` the expected piece counts of one long word."""
+        with np.errstate(divide="ignore"):
+            logs = np.log(chance)
+        steps = list(self._log_forward(word, logs))
+        ahead = np.array([np.zeros(logs.shape[1]), *(s for s, _ in steps)])
+        behind = np.full_like(ahead, -np.inf)
+        behind[-1] = 0.0
+        for end in range(len(word), 0, -1):
+            for i, p in steps[end - 1][1]:
+                onward = logs[p] + behind[end]
+                behind[i] = np.logaddexp(behind[i], onward)
+                total[p] += times * np.exp(ahead[i] + onward - ahead[-1])
+
+
+def _by_length(words: list[str]) -> tuple[dict[int, list[int]], list[int]]:
+    """Places of the words of each length, and of the long words."""
+    out, long = defaultdict(list), []
     for place, word in enumerate(words):
-        out[len(word)].append(place)
-    return out
+        (long if len(word) > WORD_LETTERS else out[len(word)]).append(place)
+    return out, long
 
 
 def with_tail(probabilities: np.ndarray) -> np.ndarray:
@@ -201,6 +235,7 @@ class Scorer:
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
         self.lattice, self.chance = Lattice(pieces), with_tail(probabilities)
         self.place: dict[str, int] = {}
+        self.letters = 0
         self.rows = np.zeros((1024, probabilities.shape[1]))
 
     def _learn(self, words: list[str]) -> None:
@@ -217,10 +252,11 @@ class Scorer:
     def prepare(self, words: set[str]) -> None:
         """Score in one go what many texts will ask for."""
         missing = words.difference(self.place)
-        if missing and len(self.place) + len(missing) > REMEMBERED:
+        if missing and (len(self.place) + len(missing) > REMEMBERED or self.letters > REMEMBERED * WORD_LETTERS):
             self.place.clear()
-            missing = words
+            self.letters, missing = 0, words
         if missing:
+            self.letters += sum(map(len, missing))
             self._learn(list(missing))
 
     def totals(self, words: list[str]) -> np.ndarray:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestry.llm.common import carried, texts_of
+from contestry.llm.common import DOCUMENT, carried, document_key, texts_of
 from contestry.session import cut_lineage
 
 TAU = 2
@@ -227,14 +227,10 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     return let(longer_first, lambda p: let(without_head(p), lambda q: let(without_tail(q), walked)))
 
 
-DOCUMENT = ["_null", "_key", "_hash"]
-
-
 def _documents(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
-    """Texts keyed by ``DOCUMENT``: whether the id is null, the id, and a hash of the text."""
+    """Texts keyed by ``DOCUMENT``."""
     texts = texts_of(docs, id_col, text_col, carry)
-    keys = [F.col("_id").isNull().alias("_null"), F.coalesce("_id", F.lit(0)).alias("_key"), F.xxhash64("_text").alias("_hash")]
-    return texts.select(*keys, "_text", *(["_carried"] if carry else []))
+    return texts.select(*document_key(F.col("_id"), F.col("_text")), "_text", *(["_carried"] if carry else []))
 
 
 def _bytes(raw: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.llm.blocks import link_rows
-from contestry.llm.common import texts_of
+from contestry.llm.common import DOCUMENT, document_key, texts_of
 from contestry.llm.components import block_pairs, connected_components
 from contestry.session import cut_lineage
 
@@ -165,23 +165,20 @@ def _compare(frame: pd.DataFrame, threshold: float, tolerance: float) -> pd.Data
 
 
 def signatures(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``_id``, ``_digest`` of the word sequence and ``_bands`` of each text with a word."""
+    """``DOCUMENT``, ``_digest`` of the word sequence and ``_bands`` of each text; two nulls without a word."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            digests, bands = [], []
+            for text in batch.column(3).to_pylist():
                 grams, digest = shingler.of(text)
-                if len(grams):
-                    rows.append((name, digest, bands_of(minhash(grams))))
-            names, digests, bands = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(digests, pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))],
-                names=["_id", "_digest", "_bands"],
-            )
+                digests.append(digest if len(grams) else None)
+                bands.append(bands_of(minhash(grams)) if len(grams) else None)
+            arrays = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*DOCUMENT, "_digest", "_bands"])
 
-    return texts.mapInArrow(signed, "_id long, _digest binary, _bands array<long>")
+    return texts.mapInArrow(signed, "_null boolean, _key long, _hash long, _digest binary, _bands array<long>")
 
 
 def similar_texts(
@@ -193,33 +190,35 @@ def similar_texts(
     tolerance: float = TOLERANCE,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: id, ``n_links``, ``class_id``, ``kept``.
+    """One row per document: id, ``n_links``, ``class_id``, ``kept``, and ``DOCUMENT``.
 
     Two documents are linked when the Jaccard similarity of their sets of ``words``-word
     n-grams (lower case, letters and figures) is at least ``threshold``. ``n_links`` counts
-    documents, copies included; ``class_id`` is the smallest id that links reach and ``kept``
-    marks it. Null and empty texts, and those without a word, link with nothing; so do rows
-    with a null id, whose class is null. Rows that share an id are one document, represented
-    by one of its texts and counted once. An empty table gives no rows; other columns are not
-    read.
+    documents, copies included; ``class_id`` is the smallest id that links reach, null only if
+    all are, and ``kept`` marks its document. Null and empty texts, and those without a word,
+    link with nothing. Rows alike in id and text are one document and counted once; different
+    texts with one id, or without one, are documents of their own, in the order of their
+    hashes, null ids last. An empty table gives no rows; other columns are not read.
 
     Equal word sequences are one while comparing. Only band hashes are shuffled for all texts;
     n-grams move only for texts that share a band with another. Groups of candidates above
     ``block`` are compared in pairs of blocks; tasks return counts and spanning edges.
     """
     rows = texts_of(docs, id_col, text_col)
-    texts = rows.where(F.col("_id").isNotNull())
+    texts = rows.select(*document_key(F.col("_id"), F.col("_text")), "_text")
     signed = cut_lineage(signatures(texts, words))
-    single = signed.groupBy("_id").agg(F.min(F.struct("_digest", "_bands")).alias("_s")).select("_id", "_s.*")
-    own = single.select("_id", "_digest")
-    copies = cut_lineage(own.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")))
-    reps = single.join(copies, (F.col("_id") == F.col("_rep"))).select("_rep", "_bands")
+    single = signed.where("_digest IS NOT NULL").dropDuplicates(DOCUMENT)
+    copies = single.groupBy("_digest").agg(F.min(F.struct(*DOCUMENT)).alias("_first"), F.count("*").alias("_copies"))
+    # Written, so the numbers stay.
+    copies = cut_lineage(copies.withColumn("_rep", F.monotonically_increasing_id()))
+    first = copies.select("_rep", "_first.*")
+    reps = single.select(*DOCUMENT, "_bands").join(first, DOCUMENT).select("_rep", "_bands")
     banded = cut_lineage(reps.select("_rep", F.explode("_bands").alias("_band")))
     buckets = banded.groupBy("_band").agg(F.min("_rep").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     stars = banded.join(buckets, "_band").select(F.col("_first").alias("a"), F.col("_rep").alias("b"))
     groups = connected_components(stars)
-    chosen = groups.join(copies, F.col("node") == F.col("_rep")).select("_rep", "_digest", "_copies", "component")
-    candidates = texts.join(chosen, F.col("_id") == F.col("_rep")).select("_text", "_digest", "_rep", "_copies", "component")
+    chosen = groups.join(copies, F.col("node") == F.col("_rep")).select("_first.*", "_rep", "_digest", "_copies", "component")
+    candidates = texts.join(chosen, DOCUMENT).select("_text", "_digest", "_rep", "_copies", "component")
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -243,12 +242,17 @@ def similar_texts(
     links = told.where("to IS NULL").groupBy(F.col("id").alias("_rep")).agg(F.sum("n").alias("_links"))
     parts = connected_components(told.where("to IS NOT NULL"), "id", "to").withColumnRenamed("node", "_rep")
     classes = copies.join(links, "_rep", "left").join(parts, "_rep", "left")
-    known = own.join(classes, "_digest").select("_id", "_copies", "_links", F.coalesce("component", "_rep").alias("_class"))
-    out = rows.select("_id").join(known, "_id", "left")
-    class_id = F.coalesce("_class", "_id")
+    classes = classes.select("_digest", "_first", "_copies", "_links", F.coalesce("component", "_rep").alias("_class"))
+    least = classes.groupBy("_class").agg(F.min("_first").alias("_least"))
+    # Written, so that a sequence that a third of all documents have is split by the join.
+    known = cut_lineage(classes.join(least, "_class").select("_digest", "_copies", "_links", "_least"))
+    out = signed.select(*DOCUMENT, "_digest").join(known, "_digest", "left")
+    place = F.struct(*DOCUMENT)
+    one = F.coalesce("_least", place)
     return out.select(
-        F.col("_id").alias(id_col),
+        F.when(~F.col("_null"), F.col("_key")).alias(id_col),
         (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("_copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        class_id.alias("class_id"),
-        F.col("_id").eqNullSafe(class_id).alias("kept"),
+        F.when(~one["_null"], one["_key"]).alias("class_id"),
+        (one == place).alias("kept"),
+        *DOCUMENT,
     )

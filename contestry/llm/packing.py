@@ -8,6 +8,7 @@ the best solution of its neighbour. Only piece numbers and lengths move, never t
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -44,17 +45,26 @@ def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
     """Ids of a text, as bytes, by a serialised byte-level tokenizer that splits by ``pattern``.
 
     Splitting first and encoding each different pre-token once gives the ids of the whole
-    text, since no merge crosses pre-tokens. A Python worker keeps it from task to task.
+    text, since no merge crosses pre-tokens. Added tokens of the tokenizer are found in the text
+    before that, as it does itself. A Python worker keeps it from task to task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder = Tokenizer.from_str(tokenizer)
-    encoder.encode_special_tokens = True
+    split = regex.compile(pattern).findall
+    added = sorted((t["content"] for t in json.loads(tokenizer).get("added_tokens") or ()), key=len, reverse=True)
+    between = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+
+    def words_of(text: str) -> list[str]:
+        if between is None or not any(a in text for a in added):
+            return split(text)
+        # Every second part is an added token.
+        return [w for i, part in enumerate(between.split(text)) for w in ([part] if i % 2 else split(part))]
 
     def encode(words: list[str]) -> list[bytes]:
         found = encoder.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
-    return WordMemory(regex.compile(pattern).findall, encode).ids
+    return WordMemory(words_of, encode).ids
 
 
 def token_pieces(

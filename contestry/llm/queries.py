@@ -34,7 +34,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_texts(table(spark, sf_dir, "documents"))
+    return similar_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

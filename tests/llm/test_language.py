@@ -52,7 +52,20 @@ def test_forward_and_expected_counts_equal_brute_force():
 
 def test_words():
     assert words_of("It's 3 ÉTÉ_o!") == ["it", "s", "été", "o"]
-    assert [len(w) for w in words_of("a" * 70)] == [32, 32, 6]
+    assert words_of("a" * 70) == ["a" * 70]
+
+
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    draw = np.random.default_rng(3)
+    chance = with_tail(draw.dirichlet(np.ones(len(PIECES)), 2).T)
+    words = [BEGIN + "".join(draw.choice(list("thelaoxé"), n)) for n in (5, 9, 30, 31)]
+    times = np.tile([[1.0, 3.0]], (len(words), 1))
+    short = Lattice(PIECES).log_chance(words, chance), Lattice(PIECES).expected(words, times, chance)
+    monkeypatch.setattr("contestry.llm.language.WORD_LETTERS", 3)
+    assert Lattice(PIECES).log_chance(words, chance) == pytest.approx(short[0])
+    assert Lattice(PIECES).expected(words, times, chance) == pytest.approx(short[1])
+    far = Lattice(PIECES).log_chance([BEGIN + "hel" * 5_000], chance)
+    assert np.isfinite(far).all() and (far < -1_000).all()
 
 
 def test_memory_bound_changes_nothing(monkeypatch):

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from contestry.llm.ngram_join import (
     HASHES, Shingler, least_matches, minhash, similar_texts, surviving_pairs, verified,
@@ -19,25 +20,28 @@ def grams(text):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+def place(row):
+    """Documents go by id, null last, and those with one id by the hash of their text."""
+    digest = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+    return row[0] is None, row[0] or 0, digest - (digest >> 63 << 64)
+
+
 def brute(rows, threshold=0.8):
-    docs = {i: grams(t) for i, t in rows if i is not None}
-    links, label = dict.fromkeys(docs, 0), {i: i for i in docs}
-    names = sorted(docs)
-    for x in range(len(names)):
-        for y in range(x):
-            a, b = docs[names[x]], docs[names[y]]
-            if a and b and len(a & b) >= threshold * len(a | b):
-                links[names[x]] += 1
-                links[names[y]] += 1
-    changed = True
-    while changed:
-        changed = False
-        for x in names:
-            for y in names:
-                a, b = docs[x], docs[y]
-                if label[x] < label[y] and a and b and len(a & b) >= threshold * len(a | b):
-                    label[y], changed = label[x], True
-    return [(i, links.get(i, 0), label.get(i)) for i, _ in rows]
+    """(id, links, class, kept) of every row; rows alike are one document."""
+    names = sorted({place(r) for r in rows})
+    docs = {place(r): grams(r[1]) for r in rows}
+    near = {x: {y for y in names if x != y and docs[x] and docs[y] and len(docs[x] & docs[y]) >= threshold * len(docs[x] | docs[y])}
+            for x in names}
+    least = {}
+    for x in names:
+        open_ = [x]
+        while open_:
+            y = open_.pop()
+            if y not in least:
+                least[y] = x
+                open_ += near[y]
+    mine = [(r[0], place(r)) for r in rows]
+    return [(i, len(near[x]), None if least[x][0] else least[x][1], least[x] == x) for i, x in mine]
 
 
 def changed(draw, text, n):
@@ -55,11 +59,11 @@ def test_equal_to_all_pairs(spark, block):
     texts += [changed(draw, base[0] + " " + base[1], 1) for _ in range(25)]
     rows = list(enumerate(texts)) + [(300 + i, base[2]) for i in range(20)]
     rows += [(400, None), (401, ""), (402, "?! ."), (403, "One."), (404, "one"), (405, "big " * 50000)]
-    rows += [(None, base[3]), (0, texts[0]), (0, texts[0])]
+    rows += [(None, base[3]), (None, base[3] + " end"), (None, ""), (0, texts[0]), (0, texts[0])]
+    rows += [(1, base[4]), (1, "no word of all the others is in this text at all"), (2, None)]  # clashing ids
     data = [(*r, "x", 1) for r in rows]
     got = similar_texts(spark.createDataFrame(data, SCHEMA).repartition(4), block=block).collect()
-    assert sorted(((r.doc_id, r.n_links, r.class_id) for r in got), key=repr) == sorted(brute(rows), key=repr)
-    assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+    assert sorted(((r.doc_id, r.n_links, r.class_id, r.kept) for r in got), key=repr) == sorted(brute(rows), key=repr)
 
 
 def test_empty_table(spark):
