@@ -2,6 +2,10 @@
 
 Language ID, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing. Every stage
 but the last returns the columns of ``documents``; ``n_chars`` follows the text.
+
+Null ids, ids that several texts share, repeated rows, null and empty texts and an empty table
+go through every stage by the rules of its operator; only a text without a letter is dropped as
+such, by the first stage. Columns may come in any order.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contestry.llm.common import DOCUMENT, document_key
 from contestry.llm.language import UNDETERMINED, fit_languages, identify, read_pieces
 from contestry.llm.line_dedup import dedup_lines
 from contestry.llm.ngram_join import similar_texts
@@ -28,7 +33,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     languages, probabilities = fit_languages(docs, pieces, F.lit(True))
-    found = identify(docs, pieces, languages, probabilities, carry=docs.columns[1:])
+    found = identify(docs, pieces, languages, probabilities, carry=[c for c in docs.columns if c != "doc_id"])
     told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     return found.where(told).select(docs.columns)
 
@@ -40,9 +45,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id."""
-    gone = similar_texts(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of similar ones, that with the smallest id, and one row of it.
+
+    Documents are told apart by id and text: other texts with the id of a dropped one stay, and
+    documents without an id are compared like any other.
+    """
+    told = similar_texts(docs).groupBy(*DOCUMENT).agg(F.count("*").alias("_rows"), F.first("kept").alias("_kept"))
+    odd = cut_lineage(told.where("NOT _kept OR _rows > 1"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *document_key(docs["doc_id"], docs["text"]))
+    single = rows.join(odd, DOCUMENT, "left_anti")
+    repeated = rows.join(odd.where("_kept"), DOCUMENT, "left_semi").dropDuplicates(DOCUMENT)
+    return single.unionByName(repeated).select("_row.*")
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
