@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contestry.functions.elo import strength_probabilities
 from contestry.functions.probability import (
@@ -90,6 +90,48 @@ def play_round(
     return pairs.select(*keys, "slot", F.when(both, winner).otherwise(either).alias("team"))
 
 
+def fold_bracket(
+    slots: DataFrame, strengths: DataFrame, keys: Sequence[str], size: int, seed: int
+) -> DataFrame:
+    """Whole brackets at once: per key ``rounds``, for each round the sides still in.
+
+    A bracket is one array of ``size`` sides, its strengths attached once. Each round halves it:
+    neighbours meet, the winner is drawn by the round and its new place, an empty place is a bye.
+    The rounds are expressions over that array, so no rows move between them.
+    """
+    shared = [k for k in keys if k in strengths.columns]
+    side = F.struct("team", "strength")
+    placed = slots.join(strengths.select(*shared, "team", "strength"), [*shared, "team"], "left")
+    listed = F.sort_array(F.collect_list(F.struct("slot", "team", "strength")))
+    grouped = placed.groupBy(*keys).agg(listed.alias("_listed"))
+    as_side = lambda x: F.struct(x["team"].alias("team"), x["strength"].alias("strength"))
+    at_slot = lambda i: F.get(F.filter("_listed", lambda x: x["slot"] == i), F.lit(0))
+    kind = placed.select(side.alias("s")).schema["s"].dataType
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
+    # Only a short field has to look for its places.
+    spread = F.transform(places, lambda i: F.when(at_slot(i).isNotNull(), as_side(at_slot(i))))
+    full = F.when(F.size("_listed") == size, F.transform("_listed", as_side)).otherwise(spread)
+    out = grouped.select(*keys, full.cast(T.ArrayType(kind)).alias("_r0"))
+
+    def played(round_no: int, left: int):
+        def meet(j):
+            a, b = (F.get(f"_r{round_no}", (2 * j + k).cast("int")) for k in (0, 1))
+            through = advance_probability(*strength_probabilities(a["strength"], b["strength"]))
+            uniform = keyed_uniform(seed, F.lit(round_no), *map(F.col, keys), j)
+            both = a["team"].isNotNull() & b["team"].isNotNull()
+            return F.when(both, drawn_winner(uniform, a, b, through)).otherwise(F.coalesce(a, b))
+
+        pairs = F.sequence(F.lit(0).cast("bigint"), F.lit(left // 2 - 1).cast("bigint"))
+        return F.transform(pairs, meet)
+
+    left, n = size, 0
+    while left > 1:
+        out = out.withColumn(f"_r{n + 1}", played(n, left))
+        left, n = left // 2, n + 1
+    teams = [F.transform(F.filter(f"_r{k}", lambda x: x.isNotNull()), lambda x: x["team"]) for k in range(n + 1)]
+    return out.select(*keys, F.array(*teams).alias("rounds"))
+
+
 def stage_outcomes(
     members: DataFrame,
     forecasts: DataFrame,
@@ -103,9 +145,8 @@ def stage_outcomes(
 ) -> DataFrame:
     """(keys, replicate, team, stage) reached, from group tables to the champion.
 
-    Replicates are rows, not a loop: one job draws every group contest of every replicate,
-    ranks every group, and pairs every bracket. Only the rounds follow each other, and their
-    number is the logarithm of the bracket size.
+    Replicates are rows, not a loop: one job draws every group contest of every replicate and
+    ranks every group, another one folds every bracket. Two tables are written on the way.
     """
     per = [*keys, "replicate"]
     drawn = draw_outcomes(replicate(forecasts, replicates), seed, "replicate", "match_id")
@@ -116,19 +157,17 @@ def stage_outcomes(
     ranked = cut_lineage(ranked.select(*per, "group", "team", "rank", "points",
                                        "goal_difference", "goals_for"))
     thirds = best_thirds(ranked, per, n_thirds, seed)
-    slots = bracket_slots(seeds(ranked, thirds, per), size)
-    slots = cut_lineage(slots.select(*per, "slot", "team"))
+    slots = bracket_slots(seeds(ranked, thirds, per), size).select(*per, "slot", "team")
     names = [s for s in STAGES if s != "win_group"]
-    stages = [
-        ranked.filter(F.col("rank") == 1).select(*per, "team", F.lit("win_group").alias("stage"))
-    ]
-    first = len(names) - (size.bit_length() - 1) - 1
-    for round_no, stage in enumerate(names[first:]):
-        stages.append(slots.select(*per, "team", F.lit(stage).alias("stage")))
-        if stage != names[-1]:
-            slots = play_round(slots, strengths, per, seed, round_no)
-            slots = cut_lineage(slots)
-    return reduce(DataFrame.unionByName, stages)
+    names = names[len(names) - size.bit_length() :]
+    folded = fold_bracket(slots, strengths, per, size, seed)
+
+    def reached(k: int, name: str):
+        return F.transform(F.get("rounds", F.lit(k)), lambda t: F.struct(t.alias("team"), F.lit(name).alias("stage")))
+
+    stages = F.concat(*(reached(k, name) for k, name in enumerate(names)))
+    won = ranked.filter(F.col("rank") == 1).select(*per, "team", F.lit("win_group").alias("stage"))
+    return won.unionByName(folded.select(*per, F.inline(stages)))
 
 
 def advancement_shares(

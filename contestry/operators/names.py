@@ -105,10 +105,11 @@ _fold_unicode = F.pandas_udf(_series_folder(), T.StringType()).asNondeterministi
 
 
 def fold_names(names: DataFrame, column: str = "name", out: str = "_key") -> DataFrame:
-    """Add the matching key per name (N2): ASCII names are lowered here, others folded in Python."""
+    """Add the matching key per name (N2), in one pass: ASCII names are lowered here, and Python
+    gets a null in their place."""
     plain = F.coalesce(F.octet_length(column) == F.length(column), F.lit(True))
-    ascii_names = names.filter(plain).withColumn(out, F.lower(column))
-    return ascii_names.unionByName(names.filter(~plain).withColumn(out, _fold_unicode(column)))
+    folded = names.withColumn("_folded", _fold_unicode(F.when(~plain, F.col(column))))
+    return folded.withColumn(out, F.when(plain, F.lower(column)).otherwise(F.col("_folded"))).drop("_folded")
 
 
 def alias_table(spark, aliases: Mapping[str, str]) -> DataFrame:
@@ -209,87 +210,90 @@ def unknown_names(
     return canonical.join(known.select("name"), "name", "left_anti").distinct()
 
 
-def _grams(names: DataFrame) -> DataFrame:
-    """(name, length, gram): padded character pairs, repeats numbered to make a set."""
-    padded = F.concat(F.lit("\u0001"), F.col("name"), F.lit("\u0002"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2))
-    )
-    numbered = F.transform(
-        pairs,
-        lambda g, i: F.concat(
-            g, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda h: h == g)).cast("string")
-        ),
-    )
-    # Few names repeat a pair; the others need no numbering.
-    plain = F.transform(pairs, lambda g: F.concat(g, F.lit("0")))
-    unique = F.size(F.array_distinct(pairs)) == F.size(pairs)
-    grams = F.when(unique, plain).otherwise(numbered)
-    return names.select(
-        "name", F.length("name").alias("_len"), F.explode(grams).alias("_gram")
-    )
+def _letters(name: Column) -> Column:
+    """A signature of a name's letters: 32 counters of two bits that fill up as 00, 01, 11.
 
+    The bits in which two signatures differ are no more than the letters in which the names do.
+    """
 
-def nearest_names(unknown: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
-    """For each unknown name the closest known one, if similar enough.
+    def counted(total: Column, letter: Column) -> Column:
+        at = F.pmod(F.xxhash64(letter), F.lit(32)).cast("int") * 2
+        have = F.call_function("shiftrightunsigned", total, at).bitwiseAND(F.lit(3))
+        more = (have * 2).bitwiseOR(F.lit(1)).bitwiseAND(F.lit(3))
+        return total.bitwiseOR(F.call_function("shiftleft", more, at))
 
-    Similarity is one minus edit distance over the longer length; ties go to the smaller
-    name. The measure differs from a longest-block ratio, the 0.6 cut-off is the same.
+    return F.aggregate(F.split(name, ""), F.lit(0).cast("bigint"), counted)
 
-    No pair is formed just because two names exist. A name of length L has L + 1 padded
-    character pairs and an edit spoils at most two, so two names within d edits share at
-    least ``longer + 1 - 2d`` of them. Put in one order, rarest first, such names must meet in
-    the first few pairs of both; only those are joined, on equal pair and fitting length. A
-    frequent pair therefore does not bring half the table together.
-    """
-    if not 0.5 < cutoff <= 1:
-        raise ValueError("cutoff must be above 0.5 for the shared-pair bound to hold")
-    left = cut_lineage(_grams(unknown.select("name")))
-    right = cut_lineage(_grams(known.select("name")))
-    counts = left.unionByName(right).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-
-    def rarest_first(grams: DataFrame) -> DataFrame:
-        listed = F.sort_array(F.collect_list(F.struct("_n", "_gram")))
-        return (
-            grams.join(counts, "_gram")
-            .groupBy("name", "_len")
-            .agg(listed.alias("_all"))
-            .withColumn("_partners", F.sequence(
-                F.ceil(F.col("_len") * cutoff - 1e-9).cast("int"),
-                F.floor(F.col("_len") / cutoff + 1e-9).cast("int"),
-            ))
-        )
 
-    def shared(longer: Column) -> Column:
-        edits = F.floor((1 - cutoff) * longer + 1e-9)
-        return F.greatest(longer + 1 - 2 * edits, F.lit(1)).cast("int")
+def _edits(longer: Column, cutoff: float) -> Column:
+    """Edits that names may be apart, by the longer length."""
+    return F.floor((1 - cutoff) * longer + 1e-9).cast("int")
 
-    def first_pairs(n_shared: Column) -> Column:
-        head = F.slice("_all", F.lit(1), F.col("_len") + 2 - n_shared)
-        return F.explode(F.transform(head, lambda g: g["_gram"])).alias("_gram")
 
-    asks = (
-        rarest_first(left)
-        .select("name", "_len", "_all", F.explode("_partners").alias("_other"))
-        .select(
-            "name", F.col("_other").alias("_len"),
-            first_pairs(shared(F.greatest("_len", "_other"))),
-        )
-    )
-    fewest = F.array_min(
-        F.transform("_partners", lambda m: shared(F.greatest(F.col("_len"), m)))
+def _lengths(length: Column, cutoff: float) -> Column:
+    """Lengths of the names that may be similar enough to one of ``length``."""
+    return F.sequence(F.ceil(length * cutoff - 1e-9).cast("int"), F.floor(length / cutoff + 1e-9).cast("int"))
+
+
+def _cut(length: Column, pieces: Column, number: Column) -> tuple[Column, Column]:
+    """Start (from 1) and size of a segment of a name cut into even pieces, the later ones longer."""
+    size = F.floor(length / pieces).cast("int")
+    short = pieces - (length - size * pieces)
+    return (size * number + F.greatest(number - short, F.lit(0)) + 1).cast("int"), size + (number >= short).cast("int")
+
+
+def name_candidates(unknown: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """(name, candidate, ``_most``): pairs of names that may be ``_most`` edits apart or fewer.
+
+    A known name that d edits may change is cut into d + 1 segments, one of which they leave as
+    it is. The index has (length, d, number, segment); an unknown name is probed with what stands
+    at the place of each segment or so near to it that the edits on its left and on its right
+    can make up for the shift. A pair that meets also has to have nearly the same letters. One
+    pair may come more than once.
+    """
+    length = F.length("name")
+    names = lambda df: df.select("name", length.alias("_len"), _letters(F.col("name")).alias("_letters"))
+    most = F.array_distinct(F.transform(_lengths(F.col("_len"), cutoff), lambda m: _edits(F.greatest(F.col("_len"), m), cutoff)))
+    has = names(known).select("*", F.explode(most).alias("_most"))
+    has = has.select("*", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("_no"))
+    start, size = _cut(F.col("_len"), F.col("_most") + 1, F.col("_no"))
+    has = has.select(
+        F.xxhash64("_len", "_most", "_no", F.substring("name", start, size)).alias("_key"),
+        F.col("name").alias("candidate"), F.col("_letters").alias("_theirs"),
     )
-    has = rarest_first(right).select(
-        F.col("name").alias("candidate"), "_len", first_pairs(fewest)
+    asks = names(unknown).select("*", F.explode(_lengths(F.col("_len"), cutoff)).alias("_other"))
+    asks = asks.withColumn("_most", _edits(F.greatest("_len", "_other"), cutoff))
+    asks = asks.select("*", F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("_no"))
+    start, size = _cut(F.col("_other"), F.col("_most") + 1, F.col("_no"))
+    longer, after = F.col("_len") - F.col("_other"), F.col("_most") - F.col("_no")
+    shifts = F.sequence(F.greatest(-F.col("_no"), longer - after), F.least(F.col("_no"), longer + after))
+    asks = asks.select("*", start.alias("_start"), size.alias("_size"), longer.alias("_longer"), F.explode(shifts).alias("_shift"))
+    at = F.col("_start") + F.col("_shift")
+    asks = asks.where(F.abs("_shift") + F.abs(F.col("_longer") - F.col("_shift")) <= F.col("_most"))
+    asks = asks.where((at >= 1) & (at + F.col("_size") - 1 <= F.col("_len"))).select(
+        F.xxhash64("_other", "_most", "_no", F.substring("name", at, F.col("_size"))).alias("_key"),
+        "name", "_letters", "_longer", "_most",
     )
+    apart = F.bit_count(F.col("_letters").bitwiseXOR(F.col("_theirs"))) + F.abs("_longer")
+    return asks.join(has, "_key").where(apart <= 2 * F.col("_most")).select("name", "candidate", "_most")
+
+
+def nearest_names(unknown: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """For each unknown name the closest known one, if similar enough.
+
+    Similarity is one minus edit distance over the longer length; ties go to the smaller
+    name. The measure differs from a longest-block ratio, the 0.6 cut-off is the same. Pairs
+    come from :func:`name_candidates`; no pair is measured just because two names exist.
+    """
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be above 0 and at most 1")
+    # Small rows beside the probes; one that meets again is measured again, by a bounded walk.
+    pairs = name_candidates(cut_lineage(unknown.select("name")), cut_lineage(known.select("name")), cutoff)
     longest = F.greatest(F.length("name"), F.length("candidate"))
-    # A pair that meets twice is measured twice, which costs less than a shuffle to tell.
-    allowed = F.floor((1 - cutoff) * longest + 1e-9)
     scored = (
-        asks.join(has, ["_gram", "_len"])
-        .withColumn("_edits", F.levenshtein("name", "candidate"))
-        .filter(F.col("_edits") <= allowed)
-        .withColumn("similarity", 1.0 - F.col("_edits") / longest)
+        pairs.withColumn("_found", F.expr("levenshtein(name, candidate, _most)"))
+        .where("_found >= 0")
+        .withColumn("similarity", 1.0 - F.col("_found") / longest)
     )
     best = scored.groupBy("name").agg(
         F.max("similarity").alias("similarity"),
