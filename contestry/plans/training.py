@@ -177,6 +177,18 @@ class Tournament:
     tournament: str
 
 
+def window_counts(features: DataFrame, tournaments: Sequence[Tournament]) -> dict[str, tuple[int, int]]:
+    """Rows before each tournament and rows inside its window, all counted in one pass."""
+    day = F.col("date")
+    counts = [
+        column
+        for t in tournaments
+        for column in (F.count_if(day < F.lit(t.start).cast("date")), F.count_if(in_window(t.start, t.end, t.tournament)))
+    ]
+    got = list(features.agg(*counts).first()) if counts else []
+    return {t.name: (got[2 * i], got[2 * i + 1]) for i, t in enumerate(tournaments)}
+
+
 def backtest(
     features: DataFrame,
     tournaments: Sequence[Tournament],
@@ -187,61 +199,54 @@ def backtest(
     """Per tournament: fit on earlier rows only, score its contests, place its champion (M9).
 
     Returns (one row per tournament, all predictions). ``features`` must carry the ratings.
-    The list of tournaments is short and the driver walks it; each fit reads the feature
-    table again through a pushed-down date filter.
+    Tournaments are a key: windows are counted in one pass, and the forecasts of all of them are
+    one table, from which scores, errors and places come by grouping. Only the fits, whose
+    training rows overlap, follow one another.
     """
     require_columns(features, ("team_a_elo", "team_b_elo", "elo_diff"), "features")
-    spark, rows, predictions = features.sparkSession, [], []
+    counts = window_counts(features, tournaments)
+    empty = [f"{name} ({before} before, {inside} inside)" for name, (before, inside) in counts.items() if not (before and inside)]
+    if empty or not counts:
+        raise DataQualityError(f"tournaments without contests to learn from or to score: {empty}")
+    wanted = check_features_of(features, candidates).demanded()
+    parts, models = [], {}
     for t in tournaments:
-        day = F.col("date")
-        before = features.filter(day < F.lit(t.start).cast("date"))
-        inside = window_filter(features, t.start, t.end, t.tournament)
-        if not before.limit(1).count():
-            raise DataQualityError(f"{t.name}: no contests before {t.start}")
-        if not inside.limit(1).count():
-            raise DataQualityError(f"{t.name}: no {t.tournament!r} contests in the window")
-        chosen = check_features_of(before, candidates).demanded()
-        model = fit_before(labelled(before), chosen, **options)
-        scored = model.transform(labelled(inside))
-        ranking = favourites(entering_ratings(inside)).withColumn("tournament", F.lit(t.name))
-        champion = spark.range(1).select(
-            F.lit(t.name).alias("tournament"),
-            F.lit(t.champion).cast(features.schema["team_a"].dataType).alias("champion"),
-        )
-        placed = champion_rank(ranking, champion).first()
-        scores = score(scored).first()
-        rows.append(
-            (
-                t.name,
-                before.count(),
-                scores.n,
-                scores.log_loss,
-                scores.brier,
-                scores.accuracy,
-                calibration_error(scored).first().calibration_error,
-                str(placed.champion),
-                placed.predicted_rank,
-                placed.n_participants,
-                placed.in_top_3,
-                placed.in_top_5,
-                placed.in_top_10,
-                isinstance(model, CalibratedModel),
-            )
-        )
-        predictions.append(
-            prediction_frame(scored).select(F.lit(t.name).alias("backtest"), "*")
-        )
-    return (
-        spark.createDataFrame(rows, BACKTEST_ROW),
-        reduce(DataFrame.unionByName, predictions),
+        earlier = features.filter(F.col("date") < F.lit(t.start).cast("date"))
+        models[t.name] = fit_before(labelled(earlier), wanted, **options)
+        window = features.filter(in_window(t.start, t.end, t.tournament))
+        named = models[t.name].transform(labelled(window)).withColumn("backtest", F.lit(t.name))
+        parts.append(named)
+    told = cut_lineage(reduce(DataFrame.unionByName, parts))
+    spark, key = features.sparkSession, ["backtest"]
+    facts = spark.createDataFrame(
+        [(t.name, counts[t.name][0], isinstance(models[t.name], CalibratedModel)) for t in tournaments],
+        "backtest string, n_train bigint, calibrated boolean",
+    )
+    team = features.schema["team_a"].dataType
+    champions = spark.createDataFrame([(t.name, str(t.champion)) for t in tournaments], "backtest string, champion string")
+    champions = champions.withColumn("champion", F.col("champion").try_cast(team))
+    windows = [
+        features.filter(in_window(t.start, t.end, t.tournament)).withColumn("backtest", F.lit(t.name)) for t in tournaments
+    ]
+    strongest = favourites(entering_ratings(reduce(DataFrame.unionByName, windows), key), key)
+    placed = champion_rank(strongest, champions, "backtest").withColumnsRenamed(
+        {"predicted_rank": "champion_predicted_rank", **{f"in_top_{n}": f"champion_in_top_{n}" for n in (3, 5, 10)}}
     )
+    rows = facts.join(placed, key).join(score(told, key), key, "left").join(calibration_error(told, key), key, "left")
+    rows = rows.withColumns(
+        {"n_test": F.coalesce("n", F.lit(0)), "champion": F.col("champion").cast("string"), "tournament": F.col("backtest")}
+    )
+    names = [field.split()[0] for field in BACKTEST_ROW.split(", ")]
+    return rows.select(*names), prediction_frame(told, ("backtest", "match_id", "date", "team_a", "team_b"))
 
 
-def window_filter(features: DataFrame, start: str, end: str, tournament: str) -> DataFrame:
-    """Rows of one tournament inside its window, both ends included."""
+def in_window(start: str, end: str, tournament: str):
+    """True for rows of one tournament inside its window, both ends included."""
     day = F.col("date")
-    return features.filter(
-        (day >= F.lit(start).cast("date"))
-        & (day <= F.lit(end).cast("date"))
-        & (F.col("tournament") == tournament)
-    )
+    inside = day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return inside & (F.col("tournament") == tournament)
+
+
+def window_filter(features: DataFrame, start: str, end: str, tournament: str) -> DataFrame:
+    """Rows of one tournament inside its window."""
+    return features.filter(in_window(start, end, tournament))
