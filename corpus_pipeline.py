@@ -10,6 +10,8 @@ such, by the first stage. Columns may come in any order.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,23 @@ from contestry.session import cut_lineage
 LEAST_SCORE = 0.5
 
 
+#: Rows of a batch between Spark and Python. Texts are long, and the executor and its Python
+#: workers hold several batches beside each other, which no heap setting bounds.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(stage):
+    """The stage, with BATCH_ROWS in this session from its call on, as it runs when it is written."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter or a clear language go.
 
@@ -38,12 +57,14 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(told).select(docs.columns)
 
 
+@in_small_batches
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that an earlier line equals or nearly equals."""
     cleaned = dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@in_small_batches
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that with the smallest id, and one row of it.
 
@@ -58,6 +79,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return single.unionByName(repeated).select("_row.*")
 
 
+@in_small_batches
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes under strings of 200 that start anywhere else too."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -65,6 +87,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1,024 tokens."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
