@@ -6,17 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.operators.asof import add_rating_features
 from contestry.operators.form import add_form
+from contestry.functions.probability import clip_normalize
+from contestry.operators.grouped_logistic import fit_grouped
 from contestry.operators.models import (
     CalibratedModel,
     calibrate,
     check_features_of,
     fit_baselines,
     fit_main,
+    set_probabilities,
 )
 from contestry.operators.ordering import temporal_split
 from contestry.operators.ratings import add_elo, champion_rank, entering_ratings, favourites
@@ -28,8 +31,9 @@ from contestry.operators.scoring import (
     leaderboard,
     prediction_frame,
     score,
+    with_label_index,
 )
-from contestry.schemas import FEATURE_CANDIDATES, DataQualityError, require_columns
+from contestry.schemas import FEATURE_CANDIDATES, PROBABILITIES, DataQualityError, require_columns
 from contestry.session import cut_lineage
 from contestry.sources.results import labelled
 
@@ -189,6 +193,114 @@ def window_counts(features: DataFrame, tournaments: Sequence[Tournament]) -> dic
     return {t.name: (got[2 * i], got[2 * i + 1]) for i, t in enumerate(tournaments)}
 
 
+# Calibrations that are fitted for all tournaments together.
+GROUPED = ("sigmoid", "none")
+
+
+def named_where(tournaments: Sequence[Tournament], holds) -> Column:
+    """The names of the tournaments for which ``holds`` is true of a row."""
+    return F.array_compact(F.array(*[F.when(holds(t), F.lit(t.name)) for t in tournaments]))
+
+
+def calibrated_tails(training: DataFrame, least: int) -> DataFrame:
+    """Per tournament the day its tail starts after, and whether a map can be fitted on that tail.
+
+    The rules are those of :func:`tail_parts`, for all tournaments in two grouped passes.
+    """
+    day, late = F.unix_date("date"), F.unix_date("date") > F.col("cut")
+    cuts = training.groupBy("backtest").agg(F.percentile(day, F.lit(1.0 - TAIL_FRACTION)).alias("cut"))
+    seen = training.join(cuts, "backtest").groupBy("backtest").agg(
+        F.first("cut").alias("cut"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~late).alias("early"),
+        (F.min(F.when(late, F.col("label"))) < F.max(F.when(late, F.col("label")))).alias("differ"),
+    )
+    fit = (F.col("n") >= least) & (F.col("early") > 0) & F.coalesce("differ", F.lit(False))
+    return cut_lineage(seen.select("backtest", "cut", fit.alias("calibrated")))
+
+
+def sigmoid_lines(scored: DataFrame) -> DataFrame:
+    """Per tournament a struct ``line0`` on for each class: slope, intercept, or a constant share.
+
+    The map of a class is a logistic of its probability with half the squared slope as penalty,
+    which as a softmax of two classes is a penalty of 2.
+    """
+    per_class = F.array(*[
+        F.struct(F.lit(i).alias("class"), F.col(p).alias("p"), (F.col("label") == i).cast("int").alias("label"))
+        for i, p in enumerate(PROBABILITIES)
+    ])
+    binary = cut_lineage(scored.select("backtest", F.inline(per_class)))
+    fitted = fit_grouped(binary, ["backtest", "class"], ["p"], n_classes=2, penalty=2.0, standardize=False)
+    w = [F.get("weights", F.lit(i)) for i in range(4)]
+    no, yes = F.get("counts", F.lit(0)), F.get("counts", F.lit(1))
+    line = F.struct(
+        (w[2] - w[0]).alias("slope"), (w[3] - w[1]).alias("intercept"),
+        F.when(yes == 0, F.lit(0.0)).when(no == 0, F.lit(1.0)).alias("share"),
+    )
+    return fitted.table.groupBy("backtest").agg(
+        *[F.max(F.when(F.col("class") == i, line)).alias(f"line{i}") for i in range(len(PROBABILITIES))]
+    )
+
+
+def forecasts_together(
+    features: DataFrame, tournaments: Sequence[Tournament], wanted: Sequence[str], *,
+    calibration: str = "sigmoid", min_rows: int = MIN_ROWS_FOR_TAIL, c: float = 1.0, kind: str = "logistic", **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of all windows, and which tournaments were calibrated, as :func:`fit_before` does.
+
+    The rows are stored once, with the tournaments that learn from them and those that they belong
+    to; each step of a fit repeats them in passing, so jobs do not grow with the tournaments.
+    """
+    steps = {"steps": options["max_iter"]} if "max_iter" in options else {}
+    before = named_where(tournaments, lambda t: F.col("date") < F.lit(t.start).cast("date"))
+    inside = named_where(tournaments, lambda t: in_window(t.start, t.end, t.tournament))
+    ids = [i for i in ("match_id", "date", "team_a", "team_b") if i in features.columns]
+    kept = list(dict.fromkeys([*ids, TARGET, *wanted]))
+    base = labelled(features).select(*kept, before.alias("_before"), inside.alias("_inside"))
+    base = cut_lineage(with_label_index(base).where((F.size("_before") > 0) | (F.size("_inside") > 0)))
+    training = base.select(F.explode("_before").alias("backtest"), "date", "label", *[w for w in wanted if w != "date"])
+    if calibration == "none":
+        tails = training.select("backtest").distinct()
+        tails = cut_lineage(tails.withColumns({"cut": F.lit(0.0), "calibrated": F.lit(False)}))
+    else:
+        tails = calibrated_tails(training, min_rows)
+    parted = training.join(tails, "backtest")
+    held = F.col("calibrated") & (F.unix_date("date") > F.col("cut"))
+    model = fit_grouped(parted.where(~held), ["backtest"], wanted, penalty=1.0 / c, **steps)
+
+    def forecast(rows: DataFrame) -> DataFrame:
+        parts = clip_normalize([F.col(f"_p{k}") for k in range(len(PROBABILITIES))])
+        out = set_probabilities(model.transform(rows), parts)
+        return out.drop(*[f"_p{k}" for k in range(len(PROBABILITIES))])
+
+    told = forecast(base.select(F.explode("_inside").alias("backtest"), *kept))
+    if calibration != "none":
+        lines = sigmoid_lines(forecast(parted.where(held)))
+        told, mapped = told.join(lines, "backtest", "left"), []
+        for i, p in enumerate(PROBABILITIES):
+            line = F.col(f"line{i}")
+            curve = 1.0 / (1.0 + F.exp(-(line["slope"] * F.col(p) + line["intercept"])))
+            mapped.append(F.coalesce(line["share"], curve))
+        fitted = F.col("line0").isNotNull()
+        parts = [F.when(fitted, q).otherwise(F.col(p)) for p, q in zip(PROBABILITIES, clip_normalize(mapped))]
+        told = set_probabilities(told, parts)
+    return cut_lineage(told.select("backtest", *kept, *PROBABILITIES)), tails.select("backtest", "calibrated")
+
+
+def forecasts_apart(
+    features: DataFrame, tournaments: Sequence[Tournament], wanted: Sequence[str], **options
+) -> tuple[DataFrame, DataFrame]:
+    """The same by one fit after the other, for kinds and maps that have no grouped form."""
+    parts, calibrated = [], []
+    for t in tournaments:
+        model = fit_before(labelled(features.filter(F.col("date") < F.lit(t.start).cast("date"))), wanted, **options)
+        window = labelled(features.filter(in_window(t.start, t.end, t.tournament)))
+        parts.append(model.transform(window).withColumn("backtest", F.lit(t.name)))
+        calibrated.append((t.name, isinstance(model, CalibratedModel)))
+    facts = features.sparkSession.createDataFrame(calibrated, "backtest string, calibrated boolean")
+    return cut_lineage(reduce(DataFrame.unionByName, parts)), facts
+
+
 def backtest(
     features: DataFrame,
     tournaments: Sequence[Tournament],
@@ -200,8 +312,8 @@ def backtest(
 
     Returns (one row per tournament, all predictions). ``features`` must carry the ratings.
     Tournaments are a key: windows are counted in one pass, and the forecasts of all of them are
-    one table, from which scores, errors and places come by grouping. Only the fits, whose
-    training rows overlap, follow one another.
+    one table, from which scores, errors and places come by grouping. Logistic fits of all
+    tournaments go together, step by step; other kinds follow one another.
     """
     require_columns(features, ("team_a_elo", "team_b_elo", "elo_diff"), "features")
     counts = window_counts(features, tournaments)
@@ -209,19 +321,11 @@ def backtest(
     if empty or not counts:
         raise DataQualityError(f"tournaments without contests to learn from or to score: {empty}")
     wanted = check_features_of(features, candidates).demanded()
-    parts, models = [], {}
-    for t in tournaments:
-        earlier = features.filter(F.col("date") < F.lit(t.start).cast("date"))
-        models[t.name] = fit_before(labelled(earlier), wanted, **options)
-        window = features.filter(in_window(t.start, t.end, t.tournament))
-        named = models[t.name].transform(labelled(window)).withColumn("backtest", F.lit(t.name))
-        parts.append(named)
-    told = cut_lineage(reduce(DataFrame.unionByName, parts))
+    together = options.get("kind", "logistic") == "logistic" and options.get("calibration", "sigmoid") in GROUPED
+    told, calibrated = (forecasts_together if together else forecasts_apart)(features, tournaments, wanted, **options)
     spark, key = features.sparkSession, ["backtest"]
-    facts = spark.createDataFrame(
-        [(t.name, counts[t.name][0], isinstance(models[t.name], CalibratedModel)) for t in tournaments],
-        "backtest string, n_train bigint, calibrated boolean",
-    )
+    facts = spark.createDataFrame([(t.name, counts[t.name][0]) for t in tournaments], "backtest string, n_train bigint")
+    facts = facts.join(calibrated, key, "left").withColumn("calibrated", F.coalesce("calibrated", F.lit(False)))
     team = features.schema["team_a"].dataType
     champions = spark.createDataFrame([(t.name, str(t.champion)) for t in tournaments], "backtest string, champion string")
     champions = champions.withColumn("champion", F.col("champion").try_cast(team))

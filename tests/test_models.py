@@ -5,6 +5,7 @@ import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
+from contestry.operators.grouped_logistic import fit_grouped
 from contestry.operators.models import (
     EnsembleModel,
     FeatureUnavailableError,
@@ -17,7 +18,7 @@ from contestry.operators.models import (
     check_features_of,
     uniform_model,
 )
-from contestry.operators.scoring import score
+from contestry.operators.scoring import score, with_label_index
 from contestry.plans.training import Tournament, backtest, feature_matrix, fit_before, train
 from contestry.sources.stored_models import read_model, write_model
 from contestry.schemas import CLASSES, DIFFERENCES, PROBABILITIES, DataQualityError
@@ -195,6 +196,71 @@ def test_backtest_uses_earlier_rows_only(features):
             backtest(features, [bad])
 
 
+def near(one, two, names=PROBABILITIES, tolerance=1e-4):
+    one, two = ({r.match_id: r for r in df.collect()} for df in (one, two))
+    assert one.keys() == two.keys() and one
+    for i, r in one.items():
+        assert [r[p] for p in names] == pytest.approx([two[i][p] for p in names], abs=tolerance)
+
+
+def test_grouped_fits_equal_single_ones(features):
+    wanted = ["elo_diff", "form_5_diff", "is_team_a_home"]
+    constant = with_label_index(features).withColumn("form_5_diff", F.when(F.col("tournament") == "cup", F.col("form_5_diff")))
+    grouped = fit_grouped(constant, ["tournament"], wanted)
+    assert grouped.table.agg(F.max("gradient")).first()[0] <= 1e-8
+    scored = grouped.transform(constant).withColumnsRenamed({f"_p{i}": p for i, p in enumerate(PROBABILITIES)})
+    for name in ("cup", "league"):
+        part = constant.filter(F.col("tournament") == name)
+        near(scored.filter(F.col("tournament") == name), fit_logistic(part, wanted).transform(part))
+    assert grouped.transform(constant.withColumn("tournament", F.lit("none"))).filter("_p0 IS NOT NULL").count() == 0
+
+
+def test_grouped_fits_of_few_classes_and_no_rows(features):
+    rows = with_label_index(features.filter("target_class <> 'draw' OR tournament = 'cup'"))
+    one = rows.filter("target_class = 'draw'").withColumn("tournament", F.lit("one class"))
+    out = fit_grouped(rows.unionByName(one), ["tournament"], ["elo_diff"]).transform(rows.unionByName(one))
+    top = {r.tournament: r for r in out.groupBy("tournament").agg(F.max("_p1").alias("p"), F.min("_p1").alias("q")).collect()}
+    assert top["league"].p == 0.0 and 0 < top["cup"].p < 1 and top["one class"].q == 1.0
+    unlabelled = rows.withColumn("label", F.lit(None).cast("double"))
+    for empty in (rows.limit(0), unlabelled):
+        fitted = fit_grouped(empty, ["tournament"], ["elo_diff"])
+        assert fitted.table.count() == 0 and fitted.transform(rows).filter("_p0 IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("calibration", ["sigmoid", "none"])
+def test_backtest_forecasts_equal_single_fits(features, calibration):
+    cups = [Tournament(f"cup {y}", f"{y}-01-01", f"{y}-12-31", "t0", "cup") for y in (2012, 2015, 2016)]
+    rows, told = backtest(features, cups, candidates=["elo_diff", "form_5_diff"], calibration=calibration)
+    flags = {r.tournament: r.calibrated for r in rows.collect()}
+    assert flags == {"cup 2012": False, "cup 2015": calibration != "none", "cup 2016": calibration != "none"}
+    for t in cups:
+        model = fit_before(features.filter(F.col("date") < t.start), ["elo_diff", "form_5_diff"], calibration)
+        window = features.filter((F.col("tournament") == "cup") & F.col("date").between(t.start, t.end))
+        near(told.filter(F.col("backtest") == t.name), model.transform(window))
+
+
+def jobs_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_backtest_jobs_do_not_grow_with_tournaments(spark, features):
+    cups = [Tournament(f"cup {y}", f"{y}-01-01", f"{y}-12-31", "t0", "cup") for y in range(2011, 2017)]
+    one = jobs_of(spark, "one", lambda: backtest(features, cups[-1:], candidates=["elo_diff"]))
+    six = jobs_of(spark, "six", lambda: backtest(features, cups, candidates=["elo_diff"]))
+    assert 0 < six <= one + 20  # a step or two more at most
+
+
+def test_backtest_of_other_kinds(features):
+    cup = Tournament("cup 2016", "2016-01-01", "2016-12-31", "t0", "cup")
+    rows, told = backtest(features, [cup], candidates=["elo_diff"], calibration="isotonic")
+    assert rows.first().calibrated and told.count() == rows.first().n_test
+
+
 def test_a_short_window_is_not_calibrated(features):
     short = fit_before(features.filter("match_id < 400"), ["elo_diff"])
     long = fit_before(features, ["elo_diff"])
