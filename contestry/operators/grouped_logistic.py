@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.schemas import require_columns
+from contestry.schemas import CLASSES, require_columns
 from contestry.session import cut_lineage
 
 # Most Newton steps, and the largest mean gradient that counts as none. A fit takes about eight.
@@ -146,6 +146,28 @@ class GroupedLogistic:
     keys: list[str]
     features: list[str]
     n_classes: int
+    penalty: float = 1.0
+
+    def gradients(self, rows: DataFrame) -> DataFrame:
+        """What is left of the penalized mean gradient, per group, class and input.
+
+        ``class`` is the class name of three, else the index; ``n`` counts the group's rows.
+        """
+        facts = self.table.select(*self.keys, "n", "counts", "centre", "spread", "weights")
+        rows = rows.where(F.col("label").isNotNull()).select(*self.keys, *self.features, "label")
+        sums = derivatives(
+            with_softmax(rows.join(facts, self.keys), self.features, self.n_classes, "weights"),
+            self.keys, self.features, self.n_classes,
+        ).join(facts, self.keys)
+        names, m = [*self.features, "intercept"], len(self.features) + 1
+        classes = CLASSES if self.n_classes == len(CLASSES) else [str(k) for k in range(self.n_classes)]
+        cells = []
+        for k, name in enumerate(classes):
+            for i, label in enumerate(names):
+                pull = self.penalty * F.get("weights", F.lit(k * m + i)) if i < m - 1 else F.lit(0.0)
+                slope = (F.get("_slope", F.lit(k * m + i)) + pull) / F.col("n")
+                cells.append(F.struct(F.lit(name).alias("class"), F.lit(label).alias("input"), slope.alias("gradient")))
+        return sums.select(*self.keys, "n", F.inline(F.array(*cells)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``_p0`` on, the class probabilities of each row's group; null without one."""
@@ -188,4 +210,4 @@ def fit_grouped(
         left = state.agg(F.max("gradient")).first()[0]
         if left is None or left <= TOLERANCE:
             break
-    return GroupedLogistic(state.drop("weights").withColumnRenamed("best", "weights"), keys, features, n_classes)
+    return GroupedLogistic(state.drop("weights").withColumnRenamed("best", "weights"), keys, features, n_classes, penalty)

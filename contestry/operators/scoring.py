@@ -189,10 +189,12 @@ def class_report(df: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(models: dict[str, DataFrame]) -> DataFrame:
-    """One row of scores per model, best log loss first."""
-    rows = [score(df).select(F.lit(name).alias("model"), "*") for name, df in models.items()]
-    return reduce(DataFrame.unionByName, rows).orderBy("log_loss", "model")
+def leaderboard(told: DataFrame) -> DataFrame:
+    """One row of scores per ``model`` of a frame of all models' forecasts, best log loss first.
+
+    Such a frame comes from :func:`contestry.operators.models.score_together`; one aggregate reads it.
+    """
+    return score(told, ["model"]).orderBy("log_loss", "model")
 
 
 def comparison(board: DataFrame, main: str, baselines: Sequence[str]) -> DataFrame:

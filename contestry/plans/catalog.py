@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,17 @@ from contestry.operators.advancement import (
 from contestry.operators.asof import add_elo_snapshots, add_ranking_snapshots
 from contestry.operators.cleaning import clean_matches
 from contestry.operators.form import add_form
+from contestry.operators.grouped_logistic import fit_grouped
 from contestry.operators.models import (
     EnsembleModel,
+    PriorModel,
     calibrate,
     fit_boosted,
     fit_logistic,
+    fit_maps,
     fit_prior,
+    optimality,
+    score_together,
     uniform_model,
 )
 from contestry.operators.names import canonicalize, nearest_names, unknown_names
@@ -70,6 +76,7 @@ from contestry.operators.scoring import (
     reliability,
     score,
     unexpected_labels,
+    with_label_index,
 )
 from contestry.operators.standings import (
     best_thirds,
@@ -94,7 +101,7 @@ from contestry.plans.training import (
     train,
     window_filter,
 )
-from contestry.schemas import PROBABILITIES, TEAM_FEATURES
+from contestry.schemas import CLASSES, PROBABILITIES, TEAM_FEATURES
 from contestry.session import cut_lineage, scratch_table
 from contestry.sources.results import (
     read_elo,
@@ -537,14 +544,14 @@ def class_performance(spark, sf):
 
 
 def _board(spark, sf):
-    f = cut_lineage(tb.forecasts(spark, sf))
-    prior = fit_prior(f)
+    f = tb.forecasts(spark, sf).withColumnsRenamed({p: f"given_{p}" for p in PROBABILITIES})
+    f = cut_lineage(f)
     models = {
-        "strength": f,
-        "uniform_random": uniform_model().transform(f),
-        "class_frequency": prior.transform(f),
+        "strength": PriorModel(tuple(F.col(f"given_{p}") for p in PROBABILITIES)),
+        "uniform_random": uniform_model(),
+        "class_frequency": fit_prior(f),
     }
-    return leaderboard(models)
+    return leaderboard(score_together(f, models))
 
 
 @query
@@ -733,6 +740,48 @@ def title_contenders(spark, sf):
     return rounded(shares.select(*POOL, "place", "team", "win_title_probability"))
 
 
+# --- models held to SQL by what marks the one right answer ----------------------------------
+
+#: Mean gradient that still counts as none: of the library's solver, and of the Newton steps.
+NO_GRADIENT, NO_GROUP_GRADIENT = 1e-3, 1e-6
+
+
+def _form_rows(spark, sf):
+    """Contests with form differences, split by time; no rating, so no walk."""
+    base = add_form(tb.played(spark, sf))
+    return cut_lineage(temporal_split(base))
+
+
+@query
+def logistic_optimality(spark, sf):
+    """The objective is strictly convex in the weights, so no gradient means the right ones."""
+    train_rows = _form_rows(spark, sf).filter(F.col("split") == "train")
+    names = ["form_5_diff", "form_10_diff", "is_team_a_home"]
+    left = optimality(fit_logistic(train_rows, names), train_rows)
+    return left.select("class", "input", "n", (F.abs("gradient") <= NO_GRADIENT).alias("optimal"))
+
+
+@query
+def grouped_logistic_optimality(spark, sf):
+    """The same for one fit per tournament, all made together."""
+    rows = with_label_index(_form_rows(spark, sf))
+    left = fit_grouped(rows, POOL, ["form_5_diff", "is_team_a_home"])
+    left = left.gradients(rows)
+    return left.select(*POOL, "class", "input", "n", (F.abs("gradient") <= NO_GROUP_GRADIENT).alias("optimal"))
+
+
+@query
+def isotonic_steps(spark, sf):
+    """The isotonic map of every class at hundredths of its probability, fitted on all rows."""
+    hundredths = {p: F.floor(F.col(p) * 100).cast("double") for p in PROBABILITIES}
+    f = cut_lineage(tb.forecasts(spark, sf).withColumns(hundredths).select("target_class", *PROBABILITIES))
+    steps = []
+    for name, p, fitted in zip(CLASSES, PROBABILITIES, fit_maps(f, "isotonic")):
+        seen = f.groupBy(F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+        steps.append(fitted.apply(seen, "score", "share").select(F.lit(name).alias("class"), "score", "n", "share"))
+    return rounded(reduce(DataFrame.unionByName, steps))
+
+
 # --- models (no SQL counterpart) ----------------------------------------------------------
 
 

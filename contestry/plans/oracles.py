@@ -858,6 +858,36 @@ FROM (SELECT match_id, date, row_number() OVER (ORDER BY date, match_id) AS k,
              round_even(COUNT(*) OVER () * 0.15, 0) AS t FROM c)""",
         "c",
     )
+    o["logistic_optimality"] = sql(
+        """SELECT target_class AS class, input, COUNT(*) AS n, TRUE AS optimal
+FROM (SELECT target_class, row_number() OVER (ORDER BY date, match_id) AS k, COUNT(*) OVER () AS n,
+             round_even(COUNT(*) OVER () * 0.15, 0) AS held FROM f)
+CROSS JOIN (SELECT unnest(['form_5_diff', 'form_10_diff', 'is_team_a_home', 'intercept']) AS input)
+WHERE k <= n - 2 * held GROUP BY 1, 2""",
+        "f",
+    )
+    o["grouped_logistic_optimality"] = sql(
+        """SELECT tournament, class, input, n, TRUE AS optimal
+FROM (SELECT tournament, COUNT(*) AS n FROM c GROUP BY 1)
+CROSS JOIN (SELECT unnest(['team_a_win', 'draw', 'team_b_win']) AS class)
+CROSS JOIN (SELECT unnest(['form_5_diff', 'is_team_a_home', 'intercept']) AS input)""",
+        "c",
+    )
+    o["isotonic_steps"] = sql(
+        """, cells AS (
+  SELECT class, floor(p * 100) AS score, COUNT(*) AS n, SUM((target_class = class)::INT) AS hits
+  FROM (SELECT target_class, unnest(['team_a_win', 'draw', 'team_b_win']) AS class,
+               unnest([p_team_a_win, p_draw, p_team_b_win]) AS p FROM f) GROUP BY 1, 2),
+runs AS (SELECT a.class, a.score AS lo, b.score AS hi,
+                SUM(m.hits)::DOUBLE / SUM(m.n)::DOUBLE AS mean
+         FROM cells a JOIN cells b ON b.class = a.class AND b.score >= a.score
+         JOIN cells m ON m.class = a.class AND m.score BETWEEN a.score AND b.score GROUP BY 1, 2, 3),
+least AS (SELECT x.class, x.score, r.lo, MIN(r.mean) AS mean FROM cells x
+          JOIN runs r ON r.class = x.class AND r.lo <= x.score AND r.hi >= x.score GROUP BY 1, 2, 3)
+SELECT x.class, x.score, x.n, ROUND(MAX(l.mean), 6) AS share
+FROM cells x JOIN least l ON l.class = x.class AND l.score = x.score GROUP BY 1, 2, 3""",
+        "f",
+    )
     o["date_cut"] = sql(
         "SELECT ROUND(quantile_cont((date - DATE '1970-01-01')::DOUBLE, 0.85), 6) AS cut FROM c", "c"
     )

@@ -19,6 +19,7 @@ from contestry.operators.models import (
     check_features_of,
     fit_baselines,
     fit_main,
+    score_together,
     set_probabilities,
 )
 from contestry.operators.ordering import temporal_split
@@ -64,7 +65,7 @@ def feature_matrix(
 
 @dataclass
 class TrainingRun:
-    """What one training run yields."""
+    """What one training run yields; ``validation`` scores the rows that the maps were fitted on."""
 
     model: object
     base: object
@@ -73,6 +74,7 @@ class TrainingRun:
     comparison: DataFrame
     calibration: DataFrame
     predictions: DataFrame
+    validation: DataFrame
 
 
 def train(
@@ -99,24 +101,25 @@ def train(
     base = fit_main(part["train"], chosen, kind, **options)
     model = calibrate(base, part["val"], calibration)
     baselines = fit_baselines(part["train"])
-    scored = {
-        "main_model (calibrated)": model.transform(part["test"]),
-        "main_model (uncalibrated)": base.transform(part["test"]),
-        **{name: m.transform(part["test"]) for name, m in baselines.items()},
+    models = {
+        "main_model (calibrated)": model,
+        "main_model (uncalibrated)": base,
+        **baselines,
     }
-    board = leaderboard(scored)
-    errors = [
-        calibration_error(scored[f"main_model ({name})"]).select(F.lit(name).alias("model"), "*")
-        for name in ("uncalibrated", "calibrated")
-    ]
+    ids = [i for i in ("match_id", "date", "team_a", "team_b") if i in split.columns]
+    told = cut_lineage(score_together(part["test"], models, ids))
+    mains = {"calibrated": model, "uncalibrated": base}
+    board = leaderboard(told)
+    main = F.regexp_extract("model", r"^main_model \((.*)\)$", 1)
     return TrainingRun(
         model,
         base,
         chosen,
         board,
         comparison(board, "main_model (calibrated)", list(baselines)),
-        errors[0].unionByName(errors[1]),
-        prediction_frame(scored["main_model (calibrated)"]),
+        calibration_error(told.withColumn("model", main).filter("model <> ''"), ["model"]),
+        prediction_frame(told.filter(F.col("model") == "main_model (calibrated)")),
+        leaderboard(score_together(part["val"], mains)),
     )
 
 

@@ -16,9 +16,11 @@ from contestry.operators.models import (
     fit_logistic,
     fit_prior,
     check_features_of,
+    optimality,
+    score_together,
     uniform_model,
 )
-from contestry.operators.scoring import score, with_label_index
+from contestry.operators.scoring import leaderboard, score, with_label_index
 from contestry.plans.training import Tournament, backtest, feature_matrix, fit_before, train
 from contestry.sources.stored_models import read_model, write_model
 from contestry.schemas import CLASSES, DIFFERENCES, PROBABILITIES, DataQualityError
@@ -171,6 +173,7 @@ def test_training_run(features):
     assert board["main_model (uncalibrated)"].log_loss < board["uniform_random"].log_loss
     assert board["uniform_random"].log_loss == pytest.approx(math.log(3))
     assert run.predictions.count() == 135 and run.features[-1] == "is_team_a_home"
+    assert {r.model: r.n for r in run.validation.collect()} == {"calibrated": 135, "uncalibrated": 135}
     assert {r.model for r in run.calibration.collect()} == {"calibrated", "uncalibrated"}
     row = run.comparison.first()
     assert row.beats_best_baseline == (row.main_log_loss < row.best_baseline_log_loss)
@@ -196,6 +199,39 @@ def test_backtest_uses_earlier_rows_only(features):
             backtest(features, [bad])
 
 
+def test_models_score_together_as_alone_in_one_scan(spark, features, tmp_path):
+    features.write.parquet(str(tmp_path / "f"))
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    logistic, prior = fit_logistic(features, ["elo_diff"]), fit_prior(features)
+    models = {
+        "calibrated": calibrate(logistic, features, "sigmoid"), "raw": logistic, "prior": prior,
+        "blend": EnsembleModel([prior, logistic], [1.0, 3.0]), "prior again": prior,
+    }
+    told = score_together(rows, models, ["match_id"])
+    assert told.columns == ["match_id", "target_class", "model", *PROBABILITIES]
+    for name, model in models.items():
+        near(told.filter(F.col("model") == name), model.transform(features), tolerance=1e-9)
+    board = leaderboard(told)
+    assert {r.n for r in board.collect()} == {900}
+    plan = board._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    with pytest.raises(ValueError):
+        score_together(rows, {"none": EnsembleModel([])})
+
+
+def test_optimality_tells_a_fit_from_another(features):
+    wanted = ["elo_diff", "is_team_a_home"]
+    model = fit_logistic(features, wanted)
+    own = {(r["class"], r.input): r for r in optimality(model, features).collect()}
+    assert len(own) == 9 and max(abs(r.gradient) for r in own.values()) < 1e-3
+    assert sum(r.n for key, r in own.items() if key[1] == "intercept") == 900
+    other = optimality(model, features.filter("team_a < 't3'")).collect()
+    assert max(abs(r.gradient) for r in other) > 1e-3
+    grouped = fit_grouped(with_label_index(features), ["tournament"], wanted)
+    left = grouped.gradients(with_label_index(features)).collect()
+    assert len(left) == 18 and max(abs(r.gradient) for r in left) < 1e-7
+
+
 def near(one, two, names=PROBABILITIES, tolerance=1e-4):
     one, two = ({r.match_id: r for r in df.collect()} for df in (one, two))
     assert one.keys() == two.keys() and one

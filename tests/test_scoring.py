@@ -118,7 +118,8 @@ def test_prior_is_smoothed(spark):
 def test_leaderboard_and_comparison(spark, forecasts):
     third = F.lit(1 / 3)
     flat = forecasts.withColumns({p: third for p in PROBABILITIES})
-    board = leaderboard({"flat": flat, "good": forecasts})
+    told = flat.withColumn("model", F.lit("flat")).unionByName(forecasts.withColumn("model", F.lit("good")))
+    board = leaderboard(told)
     assert [r.model for r in board.collect()] == ["good", "flat"]
     row = comparison(board, "good", ["flat"]).first()
     assert row.beats_best_baseline and row.best_baseline == "flat"
