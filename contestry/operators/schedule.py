@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestry.session import cut_lineage
+
 
 def check_schedule(
     groups: DataFrame,
@@ -23,56 +25,55 @@ def check_schedule(
     """Broken rules as (keys, check, subject, n).
 
     ``groups`` has the keys, group and team; ``fixtures`` the keys, group, home and away. A
-    competition without fixtures is only checked for its groups.
+    competition without fixtures is only checked for its groups. Both tables are read once, for one
+    table of memberships and appearances per (keys, group, team); every rule is a sum over it.
     """
 
-    def rows(df: DataFrame, check: str, subject) -> DataFrame:
-        return df.select(
-            *keys,
-            F.lit(check).alias("check"),
-            subject.cast("string").alias("subject"),
-            F.col("_n").cast("bigint").alias("n"),
-        )
-
-    members = groups.select(*keys, "group", "team")
-    per_group = members.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("_n"))
-    per_team = members.groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("_n"))
-    n_of_groups = per_group.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    n_of_teams = per_team.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    through = n_of_groups.withColumn("_n", F.col("_n") * advance_per_group + thirds)
-
-    sides = fixtures.select(*keys, "group", F.explode(F.array("home", "away")).alias("team"))
-    sides = sides.groupBy(*keys, "group", "team").agg(F.count(F.lit(1)).alias("_n"))
-    known = per_team.select(*keys, "team")
-    valid = sides.join(known, [*keys, "team"], "left_semi")
-    unknown = sides.join(known, [*keys, "team"], "left_anti")
-    stray = valid.join(members, [*keys, "group", "team"], "left_anti")
-    same = fixtures.filter(F.col("home") == F.col("away")).groupBy(*keys, "home").agg(
-        F.count(F.lit(1)).alias("_n")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    members = groups.select(*keys, "group", "team", one.alias("members"), none.alias("sides"), none.alias("same"))
+    same = F.when(F.col("home") == F.col("away"), one).otherwise(none)
+    sides = F.array(
+        F.struct(F.col("home").alias("team"), same.alias("same")), F.struct(F.col("away").alias("team"), none.alias("same"))
+    )
+    played = fixtures.select(*keys, "group", F.inline(sides)).withColumns({"members": none, "sides": one})
+    cells = members.unionByName(played).groupBy(*keys, "group", "team").agg(
+        *[F.sum(c).alias(c) for c in ("members", "sides", "same")]
     )
-    appearances = valid.groupBy(*keys, "team").agg(F.sum("_n").alias("_n"))
+    cells = cut_lineage(cells)
+    stray = F.sum(F.when(F.col("members") == 0, F.col("sides")).otherwise(none))
+    marks = cells.groupingSets([[*keys, "group"], [*keys, "team"]], *keys, "group", "team").agg(
+        F.grouping("team").alias("of_group"), stray.alias("stray"),
+        *[F.sum(c).alias(c) for c in ("members", "sides", "same")],
+    )
+    group, known = F.col("of_group") == 1, F.col("members") > 0
+    in_parts = _broken([
+        ("group_size", "group", "members", group & known & (F.col("members") != group_size)),
+        ("duplicate_team", "team", "members", ~group & (F.col("members") > 1)),
+        ("unknown_team", "team", "sides", ~group & ~known),
+        ("identical_sides", "team", "same", ~group & (F.col("same") > 0)),
+        ("outside_stated_group", "team", "stray", ~group & known & (F.col("stray") > 0)),
+        ("fixture_count", "team", "sides", ~group & known & ~F.col("sides").isin(0, group_size - 1)),
+    ])
+    totals = marks.where(known).groupBy(*keys).agg(
+        F.count_if(group).alias("groups"), F.count_if(~group).alias("teams")
+    )
+    totals = totals.withColumn("through", F.col("groups") * advance_per_group + thirds)
+    in_all = _broken([
+        ("group_count", None, "groups", F.col("groups") != n_groups),
+        ("team_total", None, "teams", F.col("teams") != total_teams),
+        ("qualifier_total", None, "through", F.col("through") != qualifiers),
+    ])
+    return marks.select(*keys, in_parts).unionByName(totals.select(*keys, in_all))
 
-    all_rows = F.lit("*")
-    found = [
-        rows(n_of_groups.filter(F.col("_n") != n_groups), "group_count", all_rows),
-        rows(per_group.filter(F.col("_n") != group_size), "group_size", F.col("group")),
-        rows(per_team.filter(F.col("_n") > 1), "duplicate_team", F.col("team")),
-        rows(n_of_teams.filter(F.col("_n") != total_teams), "team_total", all_rows),
-        rows(through.filter(F.col("_n") != qualifiers), "qualifier_total", all_rows),
-        rows(
-            unknown.groupBy(*keys, "team").agg(F.sum("_n").alias("_n")), "unknown_team", F.col("team")
-        ),
-        rows(same, "identical_sides", F.col("home")),
-        rows(
-            stray.groupBy(*keys, "team").agg(F.sum("_n").alias("_n")),
-            "outside_stated_group",
-            F.col("team"),
-        ),
-        rows(
-            appearances.filter(F.col("_n") != group_size - 1), "fixture_count", F.col("team")
-        ),
+
+def _broken(rules: Sequence[tuple[str, str | None, str, Column]]) -> Column:
+    """One row (check, subject, n) for every rule that a row breaks; ``*`` stands for the whole."""
+    rows = [
+        F.when(broken, F.struct(
+            F.lit(check).alias("check"),
+            (F.col(subject).cast("string") if subject else F.lit("*")).alias("subject"),
+            F.col(n).cast("bigint").alias("n"),
+        ))
+        for check, subject, n, broken in rules
     ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return F.inline(F.array_compact(F.array(*rows)))

@@ -137,6 +137,8 @@ def test_schedule_without_fixtures(spark):
     )
     none = spark.createDataFrame([], "group string, home string, away string")
     assert check_schedule(groups, none).count() == 0
+    plan = check_schedule(groups, none)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "LocalRelation" not in plan and "LogicalRDD" not in plan
 
 
 @pytest.mark.parametrize(
