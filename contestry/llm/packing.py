@@ -62,7 +62,7 @@ def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
 
     def encode(words: list[str]) -> list[bytes]:
         found = encoder.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in [one.ids for one in found]]
 
     return WordMemory(words_of, encode).ids
 
