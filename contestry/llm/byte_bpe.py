@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 
 from contestry.llm.common import texts_of
 
-#: Encoded pre-tokens that a Python worker remembers, in two halves: when one is full the other is
-#: forgotten, but for those met again, so frequent ones stay. It changes no result.
+#: Encoded pre-tokens that a Python worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 500_000
 BYTE_BASE = 0x100
 
@@ -84,19 +83,19 @@ class WordMemory:
     """
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
-        self.split, self.encode, self.known, self.older = split, encode, {}, {}
+        self.split, self.encode, self.known = split, encode, {}
 
     def ids(self, text: str) -> bytes:
         words = self.split(text)
-        missing = set(words).difference(self.known)
+        known = self.known
+        missing = set(words).difference(known)
         if missing:
-            if len(self.known) + len(missing) > REMEMBERED // 2:
-                self.older, self.known, missing = self.known, {}, set(words)
-            again = missing.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in again)
-            fresh = list(missing - again)
-            self.known.update(zip(fresh, self.encode(fresh), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+            if len(known) + len(missing) > REMEMBERED:
+                known.clear()
+                missing = set(words)
+            fresh = list(missing)
+            known.update(zip(fresh, self.encode(fresh), strict=True))
+        return b"".join([known[w] for w in words])
 
 
 class ByteBpe:
