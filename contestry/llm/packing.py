@@ -33,6 +33,16 @@ SHARD_PIECES = 8_000
 ISLANDS, POPULATION, ROUNDS, GENERATIONS = 2, 4, 2, 5
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: itself if visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(0x100)).difference(visible))
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece: the first takes what is over, the others are full."""
     first = total % capacity or min(total, capacity)
@@ -46,12 +56,13 @@ def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
 
     Splitting first and encoding each different pre-token once gives the ids of the whole
     text, since no merge crosses pre-tokens. Added tokens of the tokenizer are found in the text
-    before that, as it does itself. A Python worker keeps it from task to task.
+    before that, as it does itself. A tokenizer with steps besides byte letters and merges gets
+    each pre-token as a text. A Python worker keeps the function from task to task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = Tokenizer.from_str(tokenizer)
+    encoder, told = Tokenizer.from_str(tokenizer), json.loads(tokenizer)
     split = regex.compile(pattern).findall
-    added = sorted((t["content"] for t in json.loads(tokenizer).get("added_tokens") or ()), key=len, reverse=True)
+    added = sorted((t["content"] for t in told.get("added_tokens") or ()), key=len, reverse=True)
     between = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
     def words_of(text: str) -> list[str]:
@@ -60,11 +71,28 @@ def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
         # Every second part is an added token.
         return [w for i, part in enumerate(between.split(text)) for w in ([part] if i % 2 else split(part))]
 
+    own = {t["content"]: struct.pack("<I", t["id"]) for t in told.get("added_tokens") or ()}
+    merge = encoder.model.tokenize
+
     def encode(words: list[str]) -> list[bytes]:
+        out = []
+        for word in words:
+            ids = own.get(word)
+            if ids is None:
+                # A word is split already, so its bytes, as letters, go to the merges at once.
+                found = merge(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+                ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+            out.append(ids)
+        return out
+
+    def encode_whole(words: list[str]) -> list[bytes]:
         found = encoder.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
-    return WordMemory(words_of, encode).ids
+    before = told.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+    plain = plain and told["model"]["type"] == "BPE" and not told.get("normalizer") and not told.get("post_processor")
+    return WordMemory(words_of, encode if plain else encode_whole).ids
 
 
 def token_pieces(

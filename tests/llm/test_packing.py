@@ -1,5 +1,6 @@
 """Packing: whole pieces, gapless sequences, few of them."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from contestry.llm.packing import best_fit, crossover, cut_points, evolve, mutation, pack_documents, pack_lengths
+from contestry.llm.packing import best_fit, crossover, cut_points, evolve, mutation, pack_documents, pack_lengths, word_encoder
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -75,3 +76,18 @@ def test_documents(spark, capacity):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(empty, PATH, P.PATTERN).count() == 0
+
+
+WITH_POST = {"post_processor": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+
+
+@pytest.mark.parametrize("changed", [{}, WITH_POST])
+def test_words_through_the_merges(changed):
+    with open(PATH, encoding="utf-8") as file:
+        told = json.dumps(json.load(file) | changed)
+    draw, tok = random.Random(8), Tokenizer.from_str(told)
+    letters = [chr(c) for c in (*range(0x250), 0x300, 0x4E2D, 0xFFFD, 0x1F600)]
+    ids_of = word_encoder(told, P.PATTERN)
+    for _ in range(300):
+        text = "".join(draw.choices([*letters, "the", " The", "  ", "\r\n"], k=draw.randrange(60)))
+        assert np.frombuffer(ids_of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
