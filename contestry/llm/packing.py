@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contestry.llm.byte_bpe import WordMemory
+from contestry.llm.byte_bpe import REMEMBERED
 from contestry.llm.common import texts_of
 from contestry.session import cut_lineage
 
@@ -74,25 +74,37 @@ def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
     own = {t["content"]: struct.pack("<I", t["id"]) for t in told.get("added_tokens") or ()}
     merge = encoder.model.tokenize
 
-    def encode(words: list[str]) -> list[bytes]:
-        out = []
-        for word in words:
-            ids = own.get(word)
-            if ids is None:
-                # A word is split already, so its bytes, as letters, go to the merges at once.
-                found = merge(word.encode().decode("latin-1").translate(BYTE_LETTERS))
-                ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
-            out.append(ids)
-        return out
-
-    def encode_whole(words: list[str]) -> list[bytes]:
-        found = encoder.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(one.ids, "<u4").tobytes() for one in found]
+    def encode(word: str) -> bytes:
+        # A word is split already, so its bytes, as letters, go to the merges at once.
+        found = merge(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+        return own.get(word) or struct.pack(f"<{len(found)}I", *[token.id for token in found])
+
+    def encode_whole(word: str) -> bytes:
+        return np.array(encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     before = told.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
     plain = plain and told["model"]["type"] == "BPE" and not told.get("normalizer") and not told.get("post_processor")
-    return WordMemory(words_of, encode if plain else encode_whole).ids
+    known = _Remembered(encode if plain else encode_whole)
+
+    def ids_of(text: str) -> bytes:
+        if len(known) > REMEMBERED:
+            known.clear()
+        return b"".join(map(known.__getitem__, words_of(text)))
+
+    return ids_of
+
+
+class _Remembered(dict):
+    """Ids of pre-tokens, each encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
 
 
 def token_pieces(
