@@ -838,7 +838,7 @@ def calibrated_scores(spark, sf):
 @query
 def boosted_scores(spark, sf):
     part = _split_features(spark, sf)
-    model = fit_boosted(part["train"], ["elo_diff", "form_5_diff"], max_iter=10)
+    model = fit_boosted(part["train"], ["elo_diff", "form_5_diff"])
     return rounded(prediction_frame(model.transform(part["test"])))
 
 

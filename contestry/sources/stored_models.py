@@ -7,13 +7,14 @@ fitted MLlib part or member model has a folder of its own beside it.
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import SparkSession
 
+from contestry.operators.boosting import BoostedModel
 from contestry.operators.models import (
-    BoostedModel,
     CalibratedModel,
     EnsembleModel,
     FittedModel,
@@ -29,8 +30,7 @@ def _about(model) -> tuple[dict, dict]:
     if isinstance(model, FittedModel):
         return {"kind": "fitted", "features": model.features, "seen": model.seen}, {"pipeline": model.pipeline}
     if isinstance(model, BoostedModel):
-        parts = {f"class_{i}": part for i, part in model.models.items()}
-        return {"kind": "boosted", "features": model.features, "classes": sorted(model.models)}, parts
+        return {"kind": "boosted"} | asdict(model), {}
     if isinstance(model, PriorModel):
         return {"kind": "prior", "parts": list(model.parts)}, {}
     if isinstance(model, EnsembleModel):
@@ -69,8 +69,7 @@ def read_model(spark: SparkSession, path: str):
     if kind == "fitted":
         return FittedModel(PipelineModel.load(f"{path}/pipeline"), told["features"], told["seen"])
     if kind == "boosted":
-        parts = {i: PipelineModel.load(f"{path}/class_{i}") for i in told["classes"]}
-        return BoostedModel(parts, told["features"])
+        return BoostedModel(**told)
     if kind == "prior":
         return PriorModel(tuple(told["parts"]))
     if kind == "ensemble":
