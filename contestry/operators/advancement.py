@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from contestry.functions.batch_draws import HEAD_BITS, head_drawer
 from contestry.functions.elo import strength_probabilities
 from contestry.functions.probability import (
     advance_probability,
@@ -15,7 +20,7 @@ from contestry.functions.probability import (
     drawn_winner,
     keyed_uniform,
 )
-from contestry.operators.ordering import top_rows
+from contestry.operators.ordering import MAX_GROUP_ROWS, pieces_needed, top_rows
 from contestry.operators.standings import (
     best_thirds,
     bracket_slots,
@@ -24,9 +29,14 @@ from contestry.operators.standings import (
     seeds,
     with_derived,
 )
-from contestry.schemas import CLASSES, STAGES
+from contestry.schemas import CLASSES, PROBABILITIES, STAGES
 from contestry.session import cut_lineage
 
+# Contests of one team whose draws are held at once.
+ROWS_AT_ONCE = 2_000
+# Winners, runners-up and thirds: later places of a group are not read.
+LAST_PLACE = 3
+
 
 def replicate(df: DataFrame, n: int) -> DataFrame:
     """Every row once per replicate 0 .. n-1."""
@@ -70,6 +80,132 @@ def drawn_table(members: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> Da
     )
 
 
+def _below(share: Column) -> Column:
+    """How many heads of a digest are below a share, so that ``head < this`` is ``uniform < share``.
+
+    The product is exact. As in a comparison of columns, null is below nothing and NaN above all.
+    """
+    whole = F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(2.0), share)) * F.lit(float(2**HEAD_BITS)))
+    above = F.lit(2 ** (HEAD_BITS + 1))
+    return F.when(F.isnan(share), above).otherwise(F.when(share.isNull(), 0).otherwise(whole)).cast("bigint")
+
+
+def _tally(keys: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
+    """Won and drawn contests of each key in every replicate, over rows sorted by the keys."""
+    heads, at_once = head_drawer(), ROWS_AT_ONCE
+    prefixes: dict[int, list[bytes]] = {}
+    for r in range(replicates):
+        prefixes.setdefault(len(str(r)), []).append(f"{seed}|{r}|".encode())
+
+    def drawn(rows: pa.RecordBatch) -> np.ndarray:
+        texts = rows.column("_text").cast(pa.binary())
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        out = np.empty((len(texts), replicates), np.int64)
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            data = np.frombuffer(b"".join(texts.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), length)
+            out[at] = np.hstack([heads(some, data) for some in prefixes.values()])
+        return out
+
+    def tallied(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        head = drawn(rows)
+        low, high, second = (
+            rows.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("_low", "_high", "_second")
+        )
+        first = head < low
+        level = ~first & (head < high)
+        won = np.where(second, ~first & ~level, first)
+        return tuple(np.add.reduceat(x, starts, axis=0, dtype=np.int64) for x in (won, level))
+
+    def told(run: pa.RecordBatch, played, won, level) -> pa.RecordBatch:
+        records = pa.StructArray.from_arrays([won.ravel(), level.ravel()], ["won", "drawn"])
+        offsets = np.arange(len(played) + 1, dtype=np.int32) * replicates
+        columns = [*run.columns, pa.array(played), pa.ListArray.from_arrays(offsets, records)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run = None  # the last key of the rows so far goes on in the next ones
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                rows = batch.slice(at, at_once)
+                n, new = rows.num_rows, np.zeros(rows.num_rows, bool)
+                new[0] = True
+                for k in keys:
+                    column = rows.column(k)
+                    differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True)
+                    new[1:] |= differs.to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(new)
+                run = rows.select(list(keys)).take(pa.array(starts))
+                played = np.diff(np.append(starts, n))
+                won, level = tallied(rows, starts)
+                if open_run is not None:
+                    if open_run[0].to_pylist() == run.slice(0, 1).to_pylist():
+                        for mine, past in zip((played, won, level), open_run[1:]):
+                            mine[0] += past[0]
+                    else:
+                        yield told(*open_run)
+                if len(starts) > 1:
+                    yield told(run.slice(0, len(starts) - 1), played[:-1], won[:-1], level[:-1])
+                open_run = (run.slice(len(starts) - 1), played[-1:], won[-1:], level[-1:])
+        if open_run is not None:
+            yield told(*open_run)
+
+    return tally
+
+
+def drawn_records(
+    members: DataFrame, forecasts: DataFrame, keys: Sequence[str], replicates: int, seed: int,
+    limit: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """:func:`drawn_table` of all replicates, without a row for each draw.
+
+    The two sides of a contest go to their teams once, with its shares. There each replicate is
+    drawn as :func:`draw_outcomes` does and counted at once, so what is shuffled grows with the
+    contests, and only the records with the replicates. A team above ``limit`` contests is dealt
+    into pieces.
+    """
+    if replicates <= 0:
+        raise ValueError(f"the number of replicates must be positive, got {replicates}")
+    a, d, b = (F.col(p) for p in PROBABILITIES)
+    total = a + d + b
+    checked = F.when(
+        (a < 0) | (d < 0) | (b < 0) | (total <= 0),
+        F.raise_error(F.lit("weights must be non-negative with a positive sum")),
+    ).otherwise(total)
+    shares = forecasts.select(
+        *keys, "team_a", "team_b", F.coalesce(F.col("match_id").cast("string"), F.lit("\\N")).alias("_text"),
+        _below(a / checked).alias("_low"), _below((a + d) / checked).alias("_high"),
+    )
+    sides = F.array(*[
+        F.struct(F.col(f"team_{s}").alias("team"), F.lit(s == "b").alias("_second")) for s in "ab"
+    ])
+    each = shares.select(*keys, "_text", "_low", "_high", F.inline(sides))
+    pieces = pieces_needed(each.groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("_n")), "_n", limit)
+    by = [*keys, "team", "_piece"]
+    each = each.withColumn("_piece", F.pmod(F.xxhash64("_text"), F.lit(pieces)).cast("int"))
+    fields = [each.schema[c] for c in by]
+    record = T.StructType([T.StructField(c, T.LongType()) for c in ("won", "drawn")])
+    out = T.StructType([*fields, T.StructField("played", T.LongType()), T.StructField("_records", T.ArrayType(record))])
+    tally = _tally(by, replicates, seed, to_arrow_schema(out))
+    told = each.repartition(*by).sortWithinPartitions(*by).mapInArrow(tally, out)
+    counts = ["played", "won", "drawn"]
+    if pieces > 1:
+        told = told.select(*keys, "team", "played", F.posexplode("_records").alias("replicate", "_r"))
+        told = told.select(*keys, "team", "replicate", "played", "_r.won", "_r.drawn")
+        told = told.groupBy(*keys, "team", "replicate").agg(*[F.sum(c).alias(c) for c in counts])
+        told = replicate(members, replicates).join(told, [*keys, "replicate", "team"], "left").fillna(0, counts)
+    else:
+        none = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("won"), F.lit(0).cast("bigint").alias("drawn")), replicates)
+        told = members.join(told, [*keys, "team"], "left").withColumn("_records", F.coalesce("_records", none))
+        told = told.select(
+            *members.columns, F.coalesce("played", F.lit(0)).alias("played"), F.posexplode("_records").alias("replicate", "_r")
+        ).select(*members.columns, "replicate", "played", "_r.won", "_r.drawn")
+    return with_derived(told.withColumns({
+        "lost": F.col("played") - F.col("won") - F.col("drawn"),
+        "goals_for": F.lit(0).cast("bigint"), "goals_against": F.lit(0).cast("bigint"),
+    }))
+
+
 def play_round(
     slots: DataFrame, strengths: DataFrame, keys: Sequence[str], seed: int, round_no: int
 ) -> DataFrame:
@@ -145,17 +281,17 @@ def stage_outcomes(
 ) -> DataFrame:
     """(keys, replicate, team, stage) reached, from group tables to the champion.
 
-    Replicates are rows, not a loop: one job draws every group contest of every replicate and
+    Replicates are not a loop: one job draws every group contest of every replicate and
     ranks every group, another one folds every bracket. Two tables are written on the way.
     """
     per = [*keys, "replicate"]
-    drawn = draw_outcomes(replicate(forecasts, replicates), seed, "replicate", "match_id")
+    placing = ["group", "team", "points", "goal_difference", "goals_for"]
     # Far smaller than the draws it sums up, and read by the ranking more than once.
-    table = cut_lineage(drawn_table(replicate(members, replicates), drawn, per))
+    table = cut_lineage(drawn_records(members, forecasts, keys, replicates, seed).select(*per, *placing))
     ranked = rank_groups(table, [*per, "group"], seed)
-    # Both qualifying routes and the stage table read the ranking.
-    ranked = cut_lineage(ranked.select(*per, "group", "team", "rank", "points",
-                                       "goal_difference", "goals_for"))
+    # Both qualifying routes and the stage table read the ranking. The filter is known to the
+    # window, so a task passes on the first of each group only.
+    ranked = cut_lineage(ranked.filter(F.col("rank") <= LAST_PLACE).select(*per, "rank", *placing))
     thirds = best_thirds(ranked, per, n_thirds, seed)
     slots = bracket_slots(seeds(ranked, thirds, per), size).select(*per, "slot", "team")
     names = [s for s in STAGES if s != "win_group"]

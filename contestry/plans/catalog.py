@@ -711,11 +711,12 @@ def next_round(spark, sf):
 
 
 def _shares(spark, sf):
-    members = tb.members(spark, sf)
+    told = tb.forecasts(spark, sf).select("match_id", *POOL, "team_a", "team_b", *PROBABILITIES)
+    told = cut_lineage(told)
+    members = tb.members(spark, sf, told)
     outcomes = stage_outcomes(
         members,
-        cut_lineage(tb.forecasts(spark, sf).select("match_id", *POOL, "team_a", "team_b",
-                                                   *PROBABILITIES)),
+        told,
         tb.strengths(spark, sf),
         keys=POOL,
         replicates=REPLICATES,

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from contestry.functions.elo import strength_probabilities, uniform_probabilities
 from contestry.operators.advancement import (
+    draw_outcomes,
+    drawn_records,
     drawn_table,
     advancement_shares,
     contenders,
@@ -107,3 +109,30 @@ def test_a_bye_goes_through(spark):
 def test_replicates_must_be_positive(spark):
     with pytest.raises(ValueError):
         replicate(spark.range(1), 0)
+
+
+def test_records_drawn_at_the_teams_are_those_of_the_drawn_rows(spark, field):
+    """Also with a team in pieces, ids of many lengths, and weights that are null or not a number."""
+    members, fixtures = field
+    f = forecast(members, fixtures).withColumn("match_id", F.pow(F.lit(7.0), F.col("match_id") % 20).cast("bigint") + F.col("match_id"))
+    odd = F.when(F.col("team_a") == "A1", F.lit(None)).when(F.col("team_a") == "B1", F.lit(float("nan")))
+    f = f.withColumn("p_draw", F.when(F.col("team_a").isin("A1", "B1"), odd).otherwise(F.col("p_draw")))
+    f = f.withColumn("match_id", F.when(F.col("team_a") != "C1", F.col("match_id")))
+    named = f.withColumn("match_id", F.concat(F.lit("long " * 12), F.col("match_id").cast("string")))
+    teams = members.select("group", "team").unionByName(spark.createDataFrame([("A", "none")], "group string, team string"))
+    for rows, limit, n in ((f, 10, 120), (f, 2, 11), (named, 10, 12)):
+        rows = rows.unionByName(rows.withColumns({"team_a": F.lit("A0"), "team_b": F.lit("B0")}).limit(3))
+        drawn = draw_outcomes(replicate(rows, n), 42, "replicate", "match_id")
+        want = drawn_table(replicate(teams, n), drawn, ["replicate"])
+        got = drawn_records(teams, rows, [], n, 42, limit).select(*want.columns)
+        assert got.count() == want.count() == 49 * n
+        assert got.exceptAll(want).count() == 0
+
+
+def test_draws_are_no_rows_of_a_shuffle(spark, field):
+    """What goes to the teams grows with the contests, not with contests times replicates."""
+    members, fixtures = field
+    plan = drawn_records(members.select("group", "team"), forecast(members, fixtures), [], 1000, 1)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text
+    assert "Exchange" not in text[: text.index("Generate")]  # the copies come after the last shuffle
