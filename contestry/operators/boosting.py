@@ -1,21 +1,26 @@
 """Gradient boosting of three-class outcomes on histograms (M2).
 
 All classes share one softmax: a round adds one small tree per class, fitted to the same
-gradients. Rows are binned once and written; a level of all trees of a round is one grouped sum
-over (class, node, input, bin), whose size depends on inputs and bins but not on rows. A missing
-value takes the side that gains more, and leaves are shrunk by an L2 penalty.
+gradients. Rows are binned once, those alike in class and all bins become one with a count, and
+written; a level of all trees of a round is one grouped sum over (class, node, input, bin), whose
+size depends on inputs and bins but not on rows. Tasks sum with numpy. A missing value takes the
+side that gains more, and leaves are shrunk by an L2 penalty.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from contestry.functions.probability import clip_normalize, keyed_uniform
 from contestry.operators.scoring import with_label_index
@@ -28,7 +33,11 @@ ROUNDS_A_WRITE = 10
 LEAF_ROWS, LEAST_GAIN = 20, 1e-7
 #: Rounds without a better held-out loss after which boosting stops.
 PATIENCE = 10
-MISSING_BIN = -1
+#: Rows that are worth a task, and the tasks whose histograms are added without a shuffle.
+ROWS_A_TASK, FEW_TASKS = 20_000, 16
+#: Cells of the histograms.
+CELLS = [(c, pa.int32()) for c in ("k", "node", "i", "b")] + [(c, pa.float64()) for c in "ghn"]
+CELLS_DDL = "k int, node int, i int, b int, g double, h double, n double"
 TREES = "array<struct<splits: array<struct<input: int, cut: double, missing_right: boolean>>, leaves: array<double>>>"
 
 
@@ -98,16 +107,21 @@ class BoostedModel:
         return out.withColumns(dict(zip(PROBABILITIES, parts))).select(*kept, *PROBABILITIES)
 
 
-def _bins(cuts: Sequence[Sequence[float]]) -> Column:
-    """The bin of each input: how many cuts lie below it."""
+def _binned(cuts: Sequence[Sequence[float]], schema: pa.Schema):
+    """Rows of ``_x`` with the bin of each input instead: how many cuts lie below it."""
+    edges = [np.array(known, float) for known in cuts]
 
-    def bin_of(i: int, known: Sequence[float]) -> Column:
-        value = F.get("_x", F.lit(i))
-        edges = F.array(*map(F.lit, known)) if known else F.array().cast("array<double>")
-        below = F.size(F.filter(edges, lambda cut: cut < value))
-        return F.when(value.isNull(), F.lit(MISSING_BIN)).otherwise(below)
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(c) for c in ("_class", "_held_out")]
+            found = np.empty((batch.num_rows, len(edges)), np.int32)
+            for i, known in enumerate(edges):
+                value = batch.column(f"_v{i}").to_numpy(zero_copy_only=False)  # null reads as NaN
+                found[:, i] = np.where(np.isnan(value), -1, np.searchsorted(known, value))
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(edges)
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, found.ravel())], schema=schema)
 
-    return F.array(*[bin_of(i, known) for i, known in enumerate(cuts)])
+    return bins
 
 
 def _best_split(cells: dict[int, np.ndarray], l2: float) -> tuple | None:
@@ -134,40 +148,94 @@ def _best_split(cells: dict[int, np.ndarray], l2: float) -> tuple | None:
     return best
 
 
-def _histograms(rows: DataFrame, places: Sequence[Column], n_inputs: int) -> DataFrame:
-    """Sums by (class, node, input, bin) over the rows fitted, and the held-out loss as class -1."""
-    rows = rows.withColumns({f"_n{k}": place for k, place in enumerate(places)})
-    cells = [
-        F.struct(
-            F.lit(k).alias("k"), F.col(f"_n{k}").alias("node"), F.lit(i).alias("i"), F.get("_b", F.lit(i)).alias("b"),
-            F.col(f"_g{k}").alias("g"), F.col(f"_h{k}").alias("h"),
-        )
-        for k in range(len(places))
-        for i in range(n_inputs)
-    ]
-    none = F.lit(0)
-    loss = F.struct(
-        F.lit(-1).alias("k"), none.alias("node"), none.alias("i"), none.alias("b"),
-        F.col("_loss").alias("g"), F.lit(0.0).alias("h"),
-    )
-    each = F.when(F.col("_held_out"), F.array(loss)).otherwise(F.array(*cells))
-    return rows.select(F.inline(each)).groupBy("k", "node", "i", "b").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")
-    )
-
-
-def _with_slopes(rows: DataFrame, margins: Sequence[Column]) -> DataFrame:
-    """Gradient and curvature of the log loss per class, and the loss itself."""
-    names = [f"_m{k}" for k in range(len(margins))]
-    rows = rows.withColumns({f"_f{k}": m for k, m in enumerate(margins)})
-    shares = _softmax([F.col(f"_f{k}") for k in range(len(names))])
-    rows = rows.withColumns({f"_p{k}": p for k, p in enumerate(shares)})
-    out = {}
-    for k in range(len(names)):
-        out[f"_g{k}"] = F.col(f"_p{k}") - (F.col("_class") == k).cast("double")
-        out[f"_h{k}"] = F.col(f"_p{k}") * (1 - F.col(f"_p{k}"))
-    own = F.get(F.array(*[F.col(f"_p{k}") for k in range(len(names))]), F.col("_class"))
-    return rows.withColumns(out | {"_loss": -F.log(F.greatest(own, F.lit(1e-15)))})
+def _reader(cuts: Sequence[Sequence[float]], n_classes: int, depth: int):
+    """Functions of a batch of rows: their bins, the nodes they reach, and their margins.
+
+    Nested, so that a worker needs no package. A tree splits at a cut, hence between two bins.
+    """
+
+    def by_bins(tree: dict) -> tuple:
+        splits = [(x["input"], bisect_left(cuts[x["input"]], x["cut"]), x["missing_right"]) for x in tree["splits"]]
+        kinds = (np.int64, np.int64, bool)
+        return (*[np.array(c, kind) for c, kind in zip(zip(*splits), kinds)], np.array(tree["leaves"]))
+
+    def bins_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("_b").flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+
+    def reached(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
+        inputs, cut, missing, _ = tree
+        node, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(levels):
+            own = bins[row, inputs[node]]
+            node = 2 * node + 1 + np.where(own < 0, missing[node], own > cut[node])
+        return node
+
+    def margins_of(batch: pa.RecordBatch, bins: np.ndarray, pending: list) -> np.ndarray:
+        out = np.array([batch.column(f"_m{k}").to_numpy() for k in range(n_classes)])
+        for k, own in enumerate(pending):
+            for tree in own:
+                out[k] += tree[3][reached(bins, tree, depth) - (2**depth - 1)]
+        return out
+
+    return by_bins, bins_of, reached, margins_of
+
+
+def _moved(reader, trees: Sequence[Sequence[dict]], schema: pa.Schema):
+    """The rows with margins that include the given trees of each class."""
+    by_bins, bins_of, _, margins_of = reader
+    pending = [[by_bins(t) for t in own] for own in trees]
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = margins_of(batch, bins_of(batch), pending)
+            kept = [batch.column(c) for c in schema.names[: -len(margins)]]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, margins)], schema=schema)
+
+    return move
+
+
+def _slopes(reader, trees: Sequence[Sequence[dict]], grown: Sequence[dict], level: int, sizes: Sequence[int]):
+    """Sums by (class, node, input, bin) over the rows fitted, and the held-out loss as class -1.
+
+    Gradient and curvature are those of the log loss; a row stands for ``_w`` rows alike.
+    """
+    by_bins, bins_of, reached, margins_of = reader
+    pending, growing = [[by_bins(t) for t in own] for own in trees], [by_bins(t) for t in grown]
+    first, nodes, schema = 2**level - 1, 2**level, pa.schema(CELLS)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(k, i): np.zeros((3, nodes * (n + 1))) for k in range(len(growing)) for i, n in enumerate(sizes)}
+        loss = np.zeros(2)
+        for batch in batches:
+            bins = bins_of(batch)
+            margins = margins_of(batch, bins, pending)
+            shares = np.exp(margins - margins.max(axis=0))
+            shares /= shares.sum(axis=0)
+            own, many = (batch.column(c).to_numpy() for c in ("_class", "_w"))
+            held = batch.column("_held_out").to_numpy(zero_copy_only=False)
+            lost = -np.log(np.maximum(shares[own, np.arange(len(own))], 1e-15)) * many
+            loss += lost[held].sum(), many[held].sum()
+            fit = ~held
+            bins, shares, own, many = bins[fit], shares[:, fit], own[fit], many[fit]
+            for k, tree in enumerate(growing):
+                place = reached(bins, tree, level) - first
+                p = shares[k]
+                weights = ((p - (own == k)) * many, p * (1 - p) * many, many)
+                for i, n in enumerate(sizes):
+                    cell = place * (n + 1) + np.where(bins[:, i] < 0, n, bins[:, i])  # the missing come last
+                    for line, weight in zip(sums[k, i], weights):
+                        line += np.bincount(cell, weight, len(line))
+        columns = [np.array([-1]), np.zeros(1), np.zeros(1), np.zeros(1), loss[:1], np.zeros(1), loss[1:]]
+        parts = [columns] if loss[1] else []
+        for (k, i), (g, h, n) in sums.items():
+            at = np.flatnonzero(n)
+            same = np.ones(len(at))
+            parts.append([k * same, first + at // (sizes[i] + 1), i * same, at % (sizes[i] + 1), g[at], h[at], n[at]])
+        if parts:
+            arrays = [pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts), schema)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return total
 
 
 def _blank(depth: int) -> dict:
@@ -215,21 +283,25 @@ def fit_boosted(
     found = rows.approxQuantile(values, [j / (bins + 1) for j in range(1, bins + 1)], 1 / (4 * (bins + 1)))
     cuts = [sorted(set(q)) for q in found]
     index = F.array_position(F.array(*map(F.lit, seen)), F.col("label")).cast("int") - 1
-    rows = rows.filter(F.col("label").isin(seen)).select(
-        index.alias("_class"), "_held_out", F.array(*values).alias("_x"),
-        *[F.lit(s).alias(f"_m{k}") for k, s in enumerate(start)],
-    )
-    table = cut_lineage(rows.withColumn("_b", _bins(cuts)))
+    rows = rows.filter(F.col("label").isin(seen)).select(index.alias("_class"), "_held_out", *values)
+    # Trees split between bins only, so rows alike in all bins are one row that counts for many.
+    alike = "_class int, _held_out boolean, _b array<int>"
+    told = rows.mapInArrow(_binned(cuts, to_arrow_schema(T.StructType.fromDDL(alike))), alike)
+    table = cut_lineage(told.groupBy("_class", "_held_out", "_b").agg(F.count(F.lit(1)).alias("_w")).select(
+        "*", *[F.lit(s).alias(f"_m{k}") for k, s in enumerate(start)]
+    ))
+    tasks = -(-max(1, table.count()) // ROWS_A_TASK)
+    table = table.coalesce(tasks)
+    reader = _reader(cuts, len(seen), max_depth)
     trees: list[list[dict]] = [[] for _ in seen]
     least, best_round, written = math.inf, 0, 0
     for turn in range(max_iter + 1):
         pending = [own[written:] for own in trees]
-        margins = [_grown(F.col(f"_m{k}"), own, F.col("_x"), max_depth) for k, own in enumerate(pending)]
         if turn - written == ROUNDS_A_WRITE:
-            fresh = {f"_m{k}": m for k, m in enumerate(margins)}
-            table, written = cut_lineage(table.withColumns(fresh)), turn
-            margins = [F.col(f"_m{k}") for k in range(len(seen))]
-        loss, grown = _one_round(_with_slopes(table, margins), cuts, len(seen), max_depth, step, l2)
+            move = _moved(reader, pending, to_arrow_schema(table.schema))
+            table, written = cut_lineage(table.mapInArrow(move, table.schema)).coalesce(tasks), turn
+            pending = [[] for _ in seen]
+        loss, grown = _one_round(table, reader, pending, cuts, max_depth, step, l2)
         if loss is not None:
             if loss < least - 1e-7:
                 least, best_round = loss, turn
@@ -244,23 +316,30 @@ def fit_boosted(
     return BoostedModel(list(features), max_depth, seen, start, [own[:best_round] for own in trees])
 
 
-def _one_round(rows: DataFrame, cuts, n_classes: int, depth: int, step: float, l2: float):
+def _one_round(table: DataFrame, reader, pending: Sequence[Sequence[dict]], cuts, depth: int, step: float, l2: float):
     """The held-out loss before the round (None: no such rows) and a tree per class.
 
     The trees are None where no class has a split left.
     """
-    trees, loss, split_any = [_blank(depth) for _ in range(n_classes)], None, False
-    live = {(k, 0) for k in range(n_classes)}
+    trees, loss, split_any = [_blank(depth) for _ in pending], None, False
+    live, sizes = {(k, 0) for k in range(len(pending))}, [len(known) + 1 for known in cuts]
+    tasks = table.rdd.getNumPartitions()
     for level in range(depth):
-        places = [_descend(F.get(_literal([t]), F.lit(0)), F.col("_x"), level) for t in trees]
+        parts = table.mapInArrow(_slopes(reader, pending, trees, level, sizes), CELLS_DDL)
+        if tasks > FEW_TASKS:
+            parts = parts.groupBy("k", "node", "i", "b").agg(*[F.sum(c).alias(c) for c in "ghn"])
+        found = parts.toArrow()
+        read = {c: found.column(c).to_numpy() for c in found.column_names}
+        held = read["k"] < 0
+        if level == 0 and held.any():
+            loss = float(read["g"][held].sum() / read["n"][held].sum())
         cells: dict[tuple, dict[int, np.ndarray]] = {}
-        for r in _histograms(rows, places, len(cuts)).collect():
-            if r.k < 0:
-                loss = r.g / r.n if level == 0 else loss
-            elif (r.k, r.node) in live:
-                own = cells.setdefault((r.k, r.node), {})
-                sums = own.setdefault(r.i, np.zeros((len(cuts[r.i]) + 2, 3)))
-                sums[r.b] += (r.g, r.h, r.n)  # the missing bin is the last row
+        for k, node in live:
+            for i, n in enumerate(sizes):
+                at = (read["k"] == k) & (read["node"] == node) & (read["i"] == i)
+                sums = np.zeros((n + 1, 3))  # the missing bin is the last row
+                np.add.at(sums, read["b"][at], np.stack([read[c][at] for c in "ghn"], axis=1))
+                cells.setdefault((k, node), {})[i] = sums
         live = set()
         for (k, node), own in cells.items():
             best = _best_split(own, l2)

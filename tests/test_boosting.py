@@ -4,9 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from contestry.operators import boosting
 from contestry.operators.boosting import LEAF_ROWS, PATIENCE, fit_boosted
 from contestry.operators.scoring import score
 from contestry.schemas import CLASSES, PROBABILITIES, DataQualityError
+from contestry.session import cut_lineage
 from contestry.sources.stored_models import read_model, write_model
 
 SCHEMA = "match_id int, target_class string, x double, y double"
@@ -93,3 +95,34 @@ def test_edges(spark, tmp_path):
     assert fit_boosted(blank, ["x"], max_iter=3).trees == [[], []]
     one = fit_boosted(two.filter(F.col("target_class") == CLASSES[0]), ["x"], max_iter=2).transform(two)
     assert one.agg(F.min(PROBABILITIES[0])).first()[0] == pytest.approx(1, abs=1e-6)
+
+
+def test_rows_alike_are_one_with_a_count(spark):
+    """Each row five times fits as if every count were five, in as few stored rows as once."""
+    df = spark.createDataFrame(rows_of(500), SCHEMA).withColumn("match_id", F.lit(None).cast("int"))
+    df = df.withColumn("y", F.round("y"))
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("copy")
+    written = []
+
+    def watched(table):
+        written.append(cut_lineage(table))
+        return written[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "cut_lineage", watched)
+        model = fit_boosted(many, ["x", "y"], max_iter=12, max_depth=2, step=0.3, l2=5.0)
+        tables = [t for t in written if "_w" in t.columns]
+        assert len(tables) == 2  # binned, and with the margins of ten rounds
+        assert {t.count() for t in tables} == {tables[0].select("_class", "_b").distinct().count()}
+        assert tables[0].agg(F.sum("_w")).first()[0] == 2500
+        assert tables[0].count() < 500
+    # Margins written are those that the trees so far give to a row.
+    first = boosting.BoostedModel(model.features, 2, model.seen, model.start, [own[:10] for own in model.trees])
+    shares = first.transform(many).groupBy(*PROBABILITIES).count()
+    stored = [(r._w, r._m0, r._m1, r._m2) for r in tables[1].collect()]
+    told = {}
+    for n, *m in stored:
+        e = [math.exp(x) for x in m]
+        key = tuple(round(x / sum(e), 5) for x in e)
+        told[key] = told.get(key, 0) + n
+    assert {tuple(round(r[p], 5) for p in PROBABILITIES) for r in shares.collect()} == set(told)
