@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,39 +28,40 @@ SEGMENT_ROWS = 5_000_000
 
 
 def _fold(base: float, k: float, home: float, scale: float):
-    """The rating walk over rows sorted by (pool, kind, day, match_id).
+    """The rating walk over rows sorted by (day, match_id), whatever pools they are of.
 
-    Only the ratings of the pool at hand are held; a new pool starts empty. A row of kind 0
-    brings in a team's rating from an earlier segment and yields nothing.
+    Only the ratings of the pools at hand are held. A row of kind 0 brings in a team's rating
+    from an earlier segment, comes before all contests and yields nothing.
     """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, ratings = None, {}
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: dict[str, dict] = {}
         for batch in batches:
-            a_pre, b_pre, a_post, b_post = [], [], [], []
-            columns = ("_pool", "_kind", "team_a", "team_b", "_actual", "_bonus")
-            for key, kind, a, b, actual, bonus in zip(*[batch[c].tolist() for c in columns]):
-                if key != pool:
-                    pool, ratings = key, {}
-                if kind == 0:
-                    ratings[a] = actual
-                    continue
+            read = {c: batch.column(c).to_pandas().tolist() for c in ("team_a", "team_b", "_actual")}
+            kinds = batch.column("_kind").to_numpy()
+            bonus = np.where(batch.column("_bonus").to_numpy(zero_copy_only=False), home, 0.0).tolist()
+            named = batch.column("_pool").dictionary_encode()
+            held = [pools.setdefault(p, {}) for p in named.dictionary.to_pylist()]
+            own = map(held.__getitem__, named.indices.to_numpy().tolist())
+            rows = zip(own, read["team_a"], read["team_b"], read["_actual"], bonus)
+            seeds = int((kinds == 0).sum())  # they are first
+            for ratings, a, _, actual, _ in islice(rows, seeds):
+                ratings[a] = actual
+            a_pre, b_pre, a_post, b_post = told = [], [], [], []
+            for ratings, a, b, actual, extra in rows:
                 ra, rb = ratings.get(a, base), ratings.get(b, base)
-                expected = 1.0 / (1.0 + 10.0 ** ((rb - ra - (home if bonus else 0.0)) / scale))
+                expected = 1.0 / (1.0 + 10.0 ** ((rb - ra - extra) / scale))
                 na = ra + k * (actual - expected)
                 nb = rb + k * ((1.0 - actual) - (1.0 - expected))
-                ratings[a], ratings[b] = na, nb
+                ratings[a] = na
+                ratings[b] = nb
                 a_pre.append(ra)
                 b_pre.append(rb)
                 a_post.append(na)
                 b_post.append(nb)
-            kept = batch.loc[batch["_kind"] == 1, ["_pool", "match_id", "_day", "team_a", "team_b"]]
-            yield kept.assign(
-                a_pre=np.asarray(a_pre, dtype=float),
-                b_pre=np.asarray(b_pre, dtype=float),
-                a_post=np.asarray(a_post, dtype=float),
-                b_post=np.asarray(b_post, dtype=float),
-            )
+            kept = batch.slice(seeds).select(["_pool", "match_id", "_day", "team_a", "team_b"])
+            names = [*kept.schema.names, "a_pre", "b_pre", "a_post", "b_post"]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(x, pa.float64()) for x in told]], names)
 
     return walk
 
@@ -73,11 +75,9 @@ def _walked_schema(slim: DataFrame) -> T.StructType:
 
 def _walk(rows: DataFrame, fold) -> DataFrame:
     schema = _walked_schema(rows)
-    return (
-        rows.repartition("_pool")
-        .sortWithinPartitions("_pool", "_kind", "_day", "match_id")
-        .mapInPandas(fold, schema)
-    )
+    # Sorted by numbers alone: a task that has several pools walks them side by side.
+    order = F.when(F.col("_kind") == 0, F.lit(-(2**31)).cast("int")).otherwise(F.col("_day"))
+    return rows.repartition("_pool").sortWithinPartitions(order, "match_id").mapInArrow(fold, schema)
 
 
 def _latest(walked: DataFrame, carried: DataFrame | None = None) -> DataFrame:
@@ -143,12 +143,15 @@ def walk_forward(
         at_home.alias("_bonus"),
     )
     fold = _fold(base, k, home, scale)
-    largest = slim.groupBy("_pool").count().agg(F.max("count")).first()[0] or 0
+    per_day = slim.groupBy("_pool", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    per_day = cut_lineage(per_day)
+    largest = per_day.groupBy("_pool").agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= segment_rows:
         # Walked once and written: every reader of the result would walk again.
         walked = cut_lineage(_walk(slim, fold))
     else:
-        walked = _walk_segments(slim, fold, segment_rows, limit, largest)
+        placed = _in_segments(slim, per_day, segment_rows, limit)
+        walked = _walk_segments(slim, placed, fold, segment_rows, largest)
     return walked.select("match_id", *_pool_columns(contests, pool), "_pool", "_day", "team_a",
                          "team_b", "a_pre", "b_pre", "a_post", "b_post")
 
@@ -159,16 +162,29 @@ def _pool_columns(contests: DataFrame, pool: Sequence[str]) -> list[Column]:
     return [whole.getField(c).alias(c) for c in pool]
 
 
-def _walk_segments(slim, fold, segment_rows: int, limit: int, largest: int) -> DataFrame:
+def _in_segments(slim: DataFrame, per_day: DataFrame, segment_rows: int, limit: int) -> DataFrame:
+    """The rows with their ``_segment``: whole days, found from the counts of days alone.
+
+    A segment has less than ``segment_rows`` contests before its last day. Only where one day of
+    a pool has more than that are the contests numbered, which sorts them all.
+    """
+    if per_day.agg(F.max("_n")).first()[0] > segment_rows:
+        placed = number_rows(slim, ["_pool"], [F.col("_day"), F.col("match_id")], "_pos", limit)
+        return placed.withColumn("_segment", F.floor((F.col("_pos") - 1) / segment_rows).cast("int")).drop("_pos")
+    # Pools of more than one segment are few, and their days as many as the calendar has.
+    large = per_day.groupBy("_pool").agg(F.sum("_n").alias("_all")).filter(F.col("_all") > segment_rows)
+    earlier = Window.partitionBy("_pool").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = per_day.join(large.select("_pool"), "_pool", "left_semi").select(
+        "_pool", "_day", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / segment_rows).cast("int").alias("_segment")
+    )
+    placed = slim.join(F.broadcast(days), ["_pool", "_day"], "left")
+    return placed.select(*slim.columns, F.coalesce("_segment", F.lit(0)).alias("_segment"))
+
+
+def _walk_segments(slim, placed, fold, segment_rows: int, largest: int) -> DataFrame:
     spark = slim.sparkSession
-    placed = number_rows(slim, ["_pool"], [F.col("_day"), F.col("match_id")], "_pos", limit)
     staged, walked_path = scratch_table(spark, "walk-in"), scratch_table(spark, "walk-out")
-    (
-        placed.withColumn("_segment", F.floor((F.col("_pos") - 1) / segment_rows).cast("int"))
-        .drop("_pos")
-        .write.partitionBy("_segment")
-        .parquet(staged)
-    )
+    placed.write.partitionBy("_segment").parquet(staged)
     rows = spark.read.schema(
         T.StructType([*slim.schema.fields, T.StructField("_segment", T.IntegerType())])
     ).parquet(staged)

@@ -130,3 +130,25 @@ def test_pair_forecast_home_bonus(spark):
     assert got["A", True] == pytest.approx(0.39)
     assert got["A", False] == pytest.approx(0.78 / (1 + 10 ** (-65 / 100)))
     assert got["Z", False] == pytest.approx(got["A", False])
+
+
+def test_segments_of_whole_days_sort_no_pool(contests, monkeypatch):
+    """Contests are numbered, which sorts them all, only where one day is above the limit."""
+    from contestry.operators import ratings
+
+    walk_forward = ratings.walk_forward
+
+    numbered = []
+
+    def watched(*args, number=ratings.number_rows):
+        numbered.append(args)
+        return number(*args)
+
+    monkeypatch.setattr(ratings, "number_rows", watched)
+    columns = ["match_id", "a_pre", "b_pre", "a_post", "b_post"]
+    one_day = contests.withColumn("date", F.lit("2001-01-01").cast("date"))
+    for rows, sorts in ((contests, 0), (one_day, 1)):
+        whole = sorted(map(tuple, walk_forward(rows, ["tournament"]).select(*columns).collect()))
+        split = walk_forward(rows, ["tournament"], segment_rows=70).select(*columns)
+        assert sorted(map(tuple, split.collect())) == whole
+        assert len(numbered) == sorts
