@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.operators.ordering import (
     MAX_GROUP_ROWS,
-    hot_groups,
+    counted_groups,
     number_hot,
     pieces_needed,
     split_hot,
+    tasks_for,
 )
 from contestry.operators.reshape import team_long
 from contestry.schemas import DIFFERENCES, FORM_WIDTHS, TEAM_FEATURES
+from contestry.session import compile_all
 
 RECENT_DAYS = 365
 
 
 def _prior_columns(window: Window) -> dict:
-    """Averages over the previous rows and the gap to the last one, current row excluded."""
+    """Averages over the previous rows and the gap to the last one, current row excluded.
+
+    An average is the difference of two running sums: whole numbers, so nothing is lost, and a
+    row is added once per sum. A frame that slides would add all its rows again at every row.
+    """
+
+    def upto(last: int, total: Column) -> Column:
+        return total.over(window.rowsBetween(Window.unboundedPreceding, last))
+
     out = {}
     for n in FORM_WIDTHS:
-        frame = window.rowsBetween(-n, -1)
-        out[f"last_{n}_points_per_match"] = F.avg("points").over(frame)
-        for measure in ("goals_for", "goals_against", "goal_diff"):
-            out[f"last_{n}_{measure}_avg"] = F.avg(measure).over(frame)
+        for measure in ("points", "goals_for", "goals_against", "goal_diff"):
+            whole = F.sum(F.coalesce(F.col(measure).cast("bigint"), F.lit(0)))
+            # Points and difference are there where both scores are.
+            seen = F.count("goal_diff" if measure == "points" else measure)
+            total = upto(-1, whole) - F.coalesce(upto(-n - 1, whole), F.lit(0))
+            count = upto(-1, seen) - upto(-n - 1, seen)
+            name = f"last_{n}_points_per_match" if measure == "points" else f"last_{n}_{measure}_avg"
+            out[name] = F.when(count > 0, total.cast("double") / count)
     out["days_since_last_match"] = F.col("_day") - F.lag("_day").over(window)
     return out
 
 
 def _window_form(rows: DataFrame) -> DataFrame:
-    """Form by one window pass per team. Both frames share the (team, day) sort.
+    """Form by one window pass per team. Both frames share the sort by (team, day, match_id):
+    the longer order is asked for first, as the other way round each would sort.
 
     Undated contests come after all dated ones and have no count of recent days.
     """
@@ -40,12 +55,17 @@ def _window_form(rows: DataFrame) -> DataFrame:
     old = (
         Window.partitionBy("team").orderBy(day).rangeBetween(Window.unboundedPreceding, -RECENT_DAYS)
     )
-    recent = F.row_number().over(history) - 1 - F.count(F.lit(1)).over(old)
+    before = F.row_number().over(history) - 1
+    recent = F.col("_before") - F.count(F.lit(1)).over(old)
     recent = F.when(F.col("_day").isNotNull(), recent.cast("bigint"))
-    return rows.withColumns({**_prior_columns(history), "matches_played_last_365_days": recent})
+    return (
+        rows.withColumns({**_prior_columns(history), "_before": before})
+        .withColumn("matches_played_last_365_days", recent)
+        .drop("_before")
+    )
 
 
-def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
+def _chunked_form(rows: DataFrame, chunk: int, tasks: int) -> DataFrame:
     """Form of teams too big for one task: fixed-size chunks that overlap by the frame.
 
     A row takes part in its own chunk, and the last rows of a chunk also lead into the next,
@@ -55,6 +75,7 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
     reach = max(FORM_WIDTHS)
     chunk = max(chunk, reach)
     placed = number_hot(rows, ["team"], [F.asc_nulls_last("_day"), F.col("match_id")], "_pos")
+    placed = _with_older(rows, placed, chunk)  # while the rows are narrow
     own = F.floor((F.col("_pos") - 1) / chunk)
     leads = (F.col("_pos") - 1) % chunk >= chunk - reach
     here = F.struct(own.alias("_chunk"), F.lit(True).alias("_kept"))
@@ -63,8 +84,19 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
         "*", F.inline(F.when(leads, F.array(here, there)).otherwise(F.array(here)))
     )
     within = Window.partitionBy("team", "_chunk").orderBy("_pos")
-    formed = spread.withColumns(_prior_columns(within)).filter("_kept").drop("_chunk", "_kept")
+    return (
+        spread.repartition(tasks, "team", "_chunk")
+        .withColumns(_prior_columns(within))
+        .filter("_kept")
+        .withColumn(
+            "matches_played_last_365_days", (F.col("_pos") - 1 - F.col("_older")).cast("bigint")
+        )
+        .drop("_chunk", "_kept", "_pos", "_older")
+    )
+
 
+def _with_older(rows: DataFrame, placed: DataFrame, chunk: int) -> DataFrame:
+    """Add to placed rows how many contests of the team were 365 days before or earlier."""
     dated = rows.filter(F.col("_day").isNotNull())
     per_day = dated.groupBy("team", "_day").agg(F.count(F.lit(1)).alias("_n"))
     old = (
@@ -81,42 +113,41 @@ def _chunked_form(rows: DataFrame, chunk: int) -> DataFrame:
     # projection they would be made before the running sum.
     pieces = pieces_needed(per_day, "_n", chunk)
     older = older.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_salt"))
-    salted = formed.withColumn("_piece", F.pmod(F.col("_pos"), F.lit(pieces)).cast("int"))
+    salted = placed.withColumn("_piece", F.pmod(F.col("_pos"), F.lit(pieces)).cast("int"))
     same = (
         F.col("team").eqNullSafe(F.col("_t"))
         & (F.col("_day") == F.col("_d"))
         & (F.col("_piece") == F.col("_salt"))
     )
     # An undated contest finds no day, keeps its row, and has no count.
-    return (
-        salted.join(older, same, "left")
-        .withColumn(
-            "matches_played_last_365_days",
-            (F.col("_pos") - 1 - F.col("_older")).cast("bigint"),
-        )
-        .drop("_pos", "_piece", "_salt", "_older", "_t", "_d")
-    )
+    return salted.join(older, same, "left").drop("_piece", "_salt", "_t", "_d")
 
 
 def team_form(long: DataFrame, limit: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add the ten per-team features to a :func:`team_long` table."""
+    return _counted_form(long, limit)[0]
+
+
+def _counted_form(long: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The form, and the number of tasks that suits the rows."""
     rows = long.withColumn("_day", F.unix_date("date"))
-    hot = hot_groups(long, ["team"], limit)
+    hot, total = counted_groups(long, ["team"], limit)
+    tasks = tasks_for(long, total)
     if hot is None:
-        return _window_form(rows).drop("_day")
+        return _window_form(rows.repartition(tasks, "team")).drop("_day"), tasks
     cold_rows, hot_rows = split_hot(rows, hot, ["team"])
-    return (
-        _window_form(cold_rows)
-        .unionByName(_chunked_form(hot_rows, min(limit, MAX_GROUP_ROWS)))
-        .drop("_day")
+    formed = _window_form(cold_rows.repartition(tasks, "team")).unionByName(
+        _chunked_form(hot_rows, min(limit, MAX_GROUP_ROWS), tasks)
     )
+    return formed.drop("_day"), tasks
 
 
-def sides_to_columns(long: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+def sides_to_columns(long: DataFrame, names: dict[str, tuple[str, str]], tasks: int) -> DataFrame:
     """Fold the two side rows of a contest into one row keyed by match_id.
 
     ``names`` maps a per-team column to its (side a, side b) output names. Each contest has
-    two rows, so the grouping cannot be skewed.
+    two rows, so the grouping cannot be skewed. Both lie in different tasks, so rows are dealt
+    out before the grouping: grouping them earlier would only hold every row in memory.
     """
     picks = [
         F.max(F.when(F.col("side") == side, F.col(column))).alias(out)
@@ -124,7 +155,7 @@ def sides_to_columns(long: DataFrame, names: dict[str, tuple[str, str]]) -> Data
         for column, outs in names.items()
         for out in (outs[i],)
     ]
-    return long.groupBy("match_id").agg(*picks)
+    return long.repartition(tasks, "match_id").groupBy("match_id").agg(*picks)
 
 
 def add_differences(df: DataFrame) -> DataFrame:
@@ -136,6 +167,7 @@ def add_differences(df: DataFrame) -> DataFrame:
 
 def add_form(dataset: DataFrame, limit: int = MAX_GROUP_ROWS) -> DataFrame:
     """The dataset with both sides' form and the differences."""
-    formed = team_form(team_long(dataset), limit)
-    sides = sides_to_columns(formed, {f: (f"{f}_a", f"{f}_b") for f in TEAM_FEATURES})
+    compile_all(dataset.sparkSession)  # the two sides and their differences are wide rows
+    formed, tasks = _counted_form(team_long(dataset), limit)
+    sides = sides_to_columns(formed, {f: (f"{f}_a", f"{f}_b") for f in TEAM_FEATURES}, tasks)
     return add_differences(dataset.join(sides, "match_id", "left"))

@@ -21,6 +21,8 @@ from contestry.session import cut_lineage
 MAX_GROUP_ROWS = 2_000_000
 # Bound on the table of hot keys, which is broadcast.
 MAX_HOT_GROUPS = 100_000
+# Rows meant for one task of a shuffle whose rows are counted.
+TASK_ROWS = 1_000_000
 # Bound on one histogram read by the driver.
 MAX_BUCKETS = 65_536
 
@@ -31,14 +33,32 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = MAX_GROUP_ROWS)
     At most ``MAX_HOT_GROUPS`` keys come back: the limit rises to ``rows / MAX_HOT_GROUPS``
     where needed, so the result may be broadcast whatever the input holds.
     """
+    return counted_groups(df, keys, limit)[0]
+
+
+def counted_groups(
+    df: DataFrame, keys: Sequence[str], limit: int = MAX_GROUP_ROWS
+) -> tuple[DataFrame | None, int]:
+    """The keys of :func:`hot_groups`, and the number of rows of the whole table."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     seen = counts.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
     if seen.top is None:
-        return None
+        return None, 0
     least = max(limit, seen.total // MAX_HOT_GROUPS)
     if seen.top <= least:
-        return None
-    return cut_lineage(counts.filter(F.col("_rows") > least).select(*keys))
+        return None, seen.total
+    return cut_lineage(counts.filter(F.col("_rows") > least).select(*keys)), seen.total
+
+
+def tasks_for(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Into how many tasks to deal counted rows, so that a task's memory does not grow with them.
+
+    Bytes of a shuffle do not tell: narrow rows are packed tightly there and unpacked in the task.
+    One per core at least; a power of two above that, so that tables of like size meet in a join
+    without another shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, 1 << max(0, -(-rows // task_rows) - 1).bit_length())
 
 
 def split_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestry.functions.elo import strength_probabilities
@@ -43,19 +43,22 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey", "l_suppkey")
         .agg(F.floor(F.sum("l_quantity") / 10).cast("int").alias("g"))
     )
-    side = F.struct("l_suppkey", "g")
-    sides = per_side.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(side)).alias("_sides"))
-    place = F.posexplode(F.expr("slice(_sides, 2, size(_sides) - 1)")).alias("_no", "_b")
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_suppkey")
     pairs = (
-        sides.filter(F.size("_sides") > 1)
-        .select("l_orderkey", "_sides", place)
-        .withColumn("_a", F.get("_sides", F.col("_no")))
+        per_side.select(
+            "l_orderkey",
+            F.row_number().over(in_order).alias("_no"),
+            F.col("l_suppkey").alias("team_a"),
+            F.col("g").alias("team_a_score"),
+            F.lead(F.struct("l_suppkey", "g")).over(in_order).alias("_b"),
+        )
+        .filter(F.col("_b").isNotNull())
         .select(
             "l_orderkey",
-            (F.col("l_orderkey") * 64 + F.col("_no") + 1).alias("match_id"),
-            F.col("_a.l_suppkey").alias("team_a"),
+            (F.col("l_orderkey") * 64 + F.col("_no")).alias("match_id"),
+            "team_a",
             F.col("_b.l_suppkey").alias("team_b"),
-            F.col("_a.g").alias("team_a_score"),
+            "team_a_score",
             F.col("_b.g").alias("team_b_score"),
         )
     )

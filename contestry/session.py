@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting to remove the shuffle files of a query when it ends.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the largest generated method, and its default.
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -82,6 +84,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _scratch.remove(path)
 
 
+def compile_all(spark: SparkSession) -> None:
+    """Have Spark split generated methods that HotSpot would leave to its interpreter.
+
+    HotSpot compiles no method above 8,000 bytes, and Spark's own documentation names that value
+    for it. A step over a wide row is easily above. A value that the session has is kept.
+    """
+    if spark.conf.get(METHOD_LIMIT, None) in (None, "65535"):
+        spark.conf.set(METHOD_LIMIT, "8000")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

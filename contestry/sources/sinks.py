@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,11 +42,24 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``round(x, digits)`` without its way over decimal text where that is not needed.
+
+    A scaled value clear of a tie has one nearest integer, which a double holds, and dividing that
+    by the scale is the double nearest to the decimal that ``round`` finds. Near ties, large
+    values, NaN and infinities go to ``round``.
+    """
+    scale = F.lit(float(10**digits))
+    scaled = x * scale
+    clear = (F.abs(scaled) < 1e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-4)
+    return F.when(clear, F.floor(scaled + 0.5) / scale).otherwise(F.round(x, digits))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every DOUBLE column rounded, for reports."""
     return df.select(
         *[
-            F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`")
+            _rounded(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`")
             for c, t in df.dtypes
         ]
     )

@@ -6,8 +6,14 @@ import pytest
 from conftest import CONTEST, day
 from pyspark.sql import functions as F
 
-from contestry.operators.asof import add_elo_snapshots, add_ranking_snapshots, asof_latest
+from contestry.operators.asof import (
+    add_elo_snapshots,
+    add_ranking_snapshots,
+    add_rating_features,
+    asof_latest,
+)
 from contestry.operators.names import ALIASES
+from contestry.operators.ordering import tasks_for
 from contestry.operators.quality import enforce_no_future_ratings, future_ratings
 from contestry.schemas import DataQualityError, LeakageError
 
@@ -110,3 +116,26 @@ def test_a_crowded_day_and_a_team_with_very_many_ratings(spark):
         assert len(got) == 120
         assert got[0].team_a_elo == 99 and got[100].team_a_elo == 49
         assert got[3].team_b_elo == 29 and got[4].team_b_elo is None
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(contests, spark):
+    """Sides meet dealt out by a counted number of tasks, not grouped before in a map of every row."""
+    ratings = spark.createDataFrame([("hot", day("2000-01-01"), 1.0)], "team string, date date, elo double")
+    plan = add_elo_snapshots(contests, ratings)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1].splitlines()
+    (deal,) = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(match_id" in line
+               and "REPARTITION_BY_NUM" in line]
+    assert not any("HashAggregate" in line for line in plan[deal:])
+    assert tasks_for(contests, 10) == spark.sparkContext.defaultParallelism
+    assert tasks_for(contests, 54_000_000) == 64 and tasks_for(contests, 64_000_000) == 64
+    assert tasks_for(contests, 64_000_001) == 128
+
+
+def test_both_rating_sources_read_the_contests_not_each_other(contests, spark):
+    elo = spark.createDataFrame([("hot", day("2000-01-01"), 1.0)], "team string, date date, elo double")
+    ranks = spark.createDataFrame(
+        [("hot", day("2000-01-01"), 1, 2.0)], "team string, rank_date date, rank int, points double"
+    )
+    out = add_rating_features(contests, elo, ranks)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 2

@@ -133,3 +133,37 @@ def test_a_crowded_day_of_a_hot_team(spark):
     for r in team_form(team_long(df), 20).collect():
         for name, value in expected[r.match_id, r.side].items():
             assert r[name] == pytest.approx(value), (r.match_id, r.side, name)
+
+
+def test_a_team_is_sorted_once(small):
+    plan = team_form(team_long(small))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Window ") == 2 and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 10])
+def test_contests_without_a_score_are_skipped(spark, limit):
+    rows = [contest(i, f"2020-01-{i:02d}", "A", f"o{i}", i, 1) for i in range(1, 16)]
+    for i, (a, b) in {3: (None, 2), 4: (4, None), 5: (None, None)}.items():
+        rows[i - 1] = (*rows[i - 1][:4], a, b, *rows[i - 1][6:])
+    got = {r.match_id: r for r in team_form(team_long(spark.createDataFrame(rows, CONTEST)), limit)
+           .filter("side = 'a'").collect()}
+    assert got[4].last_5_points_per_match == (1 + 3) / 2
+    assert got[6].last_5_goals_for_avg == (1 + 2 + 4) / 3
+    assert got[6].last_5_goals_against_avg == (1 + 1 + 2) / 3
+    assert got[6].last_5_goal_diff_avg == (0 + 1) / 2
+    assert got[8].last_5_goal_diff_avg == (5 + 6) / 2
+    assert got[15].last_10_goals_for_avg == (sum(range(6, 15))) / 9  # contests 5 to 14
+
+
+def test_averages_over_unplayed_contests_only_are_null(spark):
+    rows = [(i, day(f"2020-01-{i:02d}"), "A", "B", None, None, False, "cup") for i in range(1, 4)]
+    for r in team_form(team_long(spark.createDataFrame(rows, CONTEST))).collect():
+        assert r.last_5_points_per_match is None and r.last_10_goals_for_avg is None
+
+
+def test_wide_steps_are_compiled(spark, small):
+    """Generated methods above HotSpot's limit would be interpreted."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    add_form(small)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
