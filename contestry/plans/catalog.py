@@ -749,8 +749,8 @@ NO_GRADIENT, NO_GROUP_GRADIENT = 1e-3, 1e-6
 
 def _form_rows(spark, sf):
     """Contests with form differences, split by time; no rating, so no walk."""
-    base = add_form(tb.played(spark, sf))
-    return cut_lineage(temporal_split(base))
+    # The split goes by date and number, so the form behind it is computed once, not per cut.
+    return cut_lineage(add_form(temporal_split(tb.played(spark, sf))))
 
 
 @query

@@ -167,3 +167,14 @@ def test_wide_steps_are_compiled(spark, small):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     add_form(small)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_the_split_of_form_rows_reads_no_form(spark, small, monkeypatch):
+    """Each of its passes would compute the form anew."""
+    from contestry.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.tb, "played", lambda *_: small)
+    monkeypatch.setattr(catalog, "temporal_split", lambda df: seen.append(df.columns) or df)
+    assert catalog._form_rows(spark, "").count() == 5
+    assert not set(seen[0]) & set(DIFFERENCES)
