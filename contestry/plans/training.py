@@ -59,7 +59,8 @@ def feature_matrix(
     """
     if walk and pool is None:
         raise ValueError("walk needs a pool; () walks the whole table in one task")
-    features = add_rating_features(add_form(model_dataset(matches)), elo, rankings, **options)
+    contests = model_dataset(matches)
+    features = add_rating_features(add_form(contests), elo, rankings, contests, **options)
     return add_elo(features, pool) if walk and elo is None else features
 
 
