@@ -35,6 +35,8 @@ PLACE_BITS = 24
 SORTED_BYTES, MOST_FRAGMENTS = 2 << 20, 20_000
 LAST_ID = (1 << 63) - 1
 WORD = 7
+#: Sorted keys compared at once.
+BLOCK = 1 << 18
 
 BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -91,45 +93,71 @@ def fragments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _ranks(key: np.ndarray, kind: type) -> np.ndarray:
+    """For each key the number of different smaller keys."""
+    order = np.argsort(key)
+    out, rank = np.zeros(len(key), kind), kind(0)
+    for at in range(1, len(key), BLOCK):
+        own = key[order[at - 1 : at + BLOCK]]
+        ranks = rank + np.cumsum(own[1:] != own[:-1], dtype=kind)
+        out[order[at : at + BLOCK]] = ranks
+        rank = ranks[-1]
+    return out
+
+
 class SuffixArray:
-    """Suffixes of several byte strings that start where at least ``least`` bytes follow."""
+    """Suffixes of several byte strings that start where at least ``least`` bytes follow.
+
+    Places and ranks take four bytes each, as long as there are fewer than 2 ** 31 bytes, and
+    what only the sorting needs goes when it is done: about 50 bytes for each byte of seven levels
+    (strings of up to 448 bytes) at once.
+    """
 
     def __init__(self, strings: list[bytes], least: int):
-        lengths = np.array([len(s) for s in strings])
-        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        lengths = np.array([len(s) for s in strings], np.int64)
         data = np.frombuffer(b"".join(strings), np.uint8)
         n = len(data)
+        kind = np.int32 if n < 1 << 31 else np.int64
         self.data, self.least = data, least
-        self.owner = np.repeat(np.arange(len(strings)), lengths)
-        self.within = np.arange(n) - begins[self.owner]
-        self.left = lengths[self.owner] - self.within  # bytes to the end of the own string
+        self.left = np.repeat(np.cumsum(lengths).astype(kind), lengths)  # bytes to the end of the own string
+        self.left -= np.arange(n, dtype=kind)
+        levels = self._levels(int(lengths.max()) if len(lengths) else 0, kind)
+        starts = np.flatnonzero(self.left >= least)
+        self.order = starts[np.argsort(levels[-1][starts], kind="stable")]
+        self.common = self._common_prefixes(levels)
+        self.owner = np.repeat(np.arange(len(strings), dtype=kind), lengths)
+        self.within = np.repeat(lengths.astype(kind), lengths) - self.left
+
+    def _levels(self, longest: int, kind: type) -> list[np.ndarray]:
+        """levels[j] orders the runs of WORD * 2 ** j symbols from each place."""
+        data, left, n = self.data, self.left, len(self.data)
         # Symbols are bytes plus one, and 0 behind the end of the own string, so an ended suffix
         # sorts before its continuations; seven of nine bits fill a word.
-        word = np.zeros(n, np.int64)
+        key = np.zeros(n, np.int64)
         for k in range(WORD):
-            symbol = np.zeros(n, np.int64)
-            symbol[: max(0, n - k)] = data[k:].astype(np.int64) + 1
-            word = (word << 9) | np.where(self.left > k, symbol, 0)
-        # levels[j] orders the runs of WORD * 2 ** j symbols from each place.
-        self.levels = [np.unique(word, return_inverse=True)[1].astype(np.int64)]
-        span, longest = WORD, int(lengths.max()) if len(lengths) else 0
+            key <<= 9
+            symbol = data[k:].astype(np.int16) + np.int16(1)
+            symbol[left[: len(symbol)] <= k] = 0
+            key[: len(symbol)] |= symbol
+        levels, span = [_ranks(key, kind)], WORD
         while span < longest:
-            now = self.levels[-1]
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - span)] = now[span:] + 1
-            key = now * (n + 1) + np.where(self.left > span, after, 0)
-            self.levels.append(np.unique(key, return_inverse=True)[1].astype(np.int64))
+            now = levels[-1]
+            np.multiply(now, n + 1, out=key, dtype=np.int64)
+            after = now[span:] + kind(1)
+            after[left[: len(after)] <= span] = 0
+            key[: len(after)] += after
+            del after
+            levels.append(_ranks(key, kind))
             span *= 2
-        starts = np.flatnonzero(self.left >= least)
-        self.order = starts[np.argsort(self.levels[-1][starts], kind="stable")]
-        self.common = self._common_prefixes()
+        return levels
 
-    def _common_prefixes(self) -> np.ndarray:
+    def _common_prefixes(self, levels: list[np.ndarray]) -> np.ndarray:
         """common[i]: bytes that suffix i shares with the one before it; 0 for the first."""
         a, b = self.order[:-1], self.order[1:]
         n, same = len(self.data), np.zeros(len(a), np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            span, ranks = WORD << level, self.levels[level]
+        while levels:
+            ranks = levels.pop()
+            span = WORD << len(levels)
             x, y = a + same, b + same
             inside = (x < n) & (y < n)
             hit = np.zeros(len(a), bool)
@@ -183,7 +211,7 @@ def _stretches(mask: np.ndarray) -> Iterator[tuple[int, int]]:
 def repeated_ranges(strings: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each string, the ranges that maximal repeats of at least ``length`` cover."""
     array = SuffixArray(strings, length)
-    reach = np.zeros(len(array.data), np.int64)
+    reach = np.zeros_like(array.left)
     for size, first, last in array.maximal_repeats():
         places = array.order[first : last + 1]
         reach[places] = np.maximum(reach[places], size)
@@ -199,7 +227,10 @@ def repeated_ranges(strings: list[bytes], length: int) -> list[list[tuple[int, i
 
 
 def _marked(length: int):
-    """Ranges of the fragments of whole anchors, for rows sorted by anchor."""
+    """Ranges of the fragments of whole anchors, for rows sorted by anchor.
+
+    A fragment that comes again, from repeated rows of its document, is held and sorted once.
+    """
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -210,14 +241,17 @@ def _marked(length: int):
             held.append(frame)
             size += int(frame["_part"].str.len().sum())
             if size >= SORTED_BYTES:
-                every = pd.concat(held)
+                every = different(held)
                 last = every["_anchor"] == every["_anchor"].iat[-1]
                 if not last.all():
                     yield sort(every[~last])
                 held = [every[last]]
                 size = int(held[0]["_part"].str.len().sum())
         if held:
-            yield sort(pd.concat(held))
+            yield sort(different(held))
+
+    def different(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held).drop_duplicates(["_anchor", "_digest"])
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [bytes(b) for b in rows["_part"]]

@@ -1,12 +1,14 @@
 """Repeats against every window of every text, and the suffix array against plain sorting."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from contestry.llm.suffix_dedup import SuffixArray, fragments, remove_repeats, repeated_ranges
+from contestry.llm.suffix_dedup import SORTED_BYTES, SuffixArray, _marked, fragments, remove_repeats, repeated_ranges
 
 SCHEMA = "doc_id long, text string, _bytes int, kept string"
 
@@ -120,3 +122,36 @@ def test_maximal_repeats_have_all_occurrences(seed):
 def test_ranges_of_one_string_alone():
     assert repeated_ranges([b"abcabcabc", b"xyz"], 3) == [[(0, 9)], []]
     assert np.array_equal(repeated_ranges([b"abcd", b"bcd"], 3), [[(1, 4)], [(0, 3)]])
+
+
+def peak_bytes(work):
+    """What ``work`` gives, and the most bytes it held at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sorting_holds_few_bytes_a_byte():
+    draw = random.Random(8)
+    passages = [draw.randbytes(210) for _ in range(600)]
+    around = lambda p, edge: draw.randbytes(draw.randrange(70)) + edge + p + edge + draw.randbytes(draw.randrange(70))
+    strings = [around(p, edge) for edge in (b"\0", b"\1") for p in passages]
+    found, most = peak_bytes(lambda: repeated_ranges(strings, 200))
+    where = [s.index(p) for s, p in zip(strings, passages * 2, strict=True)]
+    assert found == [[(at, at + 210)] for at in where]
+    # Levels, sorted keys and their order; two executor cores sort at once.
+    assert most < 75 * sum(map(len, strings))
+
+
+def test_fragments_that_come_again_are_sorted_once():
+    draw = random.Random(9)
+    same = draw.randbytes(200)
+    parts = [draw.randbytes(49) + bytes([i]) + same + bytes([i]) + draw.randbytes(49) for i in range(200)]
+    frame = pd.DataFrame({"_anchor": 1, "_digest": range(len(parts)), "_n": 1, "_part": parts})
+    times = 2 * SORTED_BYTES // sum(map(len, parts))
+    got, most = peak_bytes(lambda: pd.concat(_marked(200)(iter([frame] * times))))
+    assert sorted(got["_digest"]) == list(range(len(parts)))
+    assert all(s == [50] and e == [250] for s, e in zip(got["_starts"], got["_ends"]))
+    assert most < 5 * SORTED_BYTES
