@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# What this Python worker keeps from task to task, by its key.
+_kept: dict[Hashable, Any] = {}
+
+
+def keep(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept in a Python worker from task to task, one thing at a time.
+
+    Spark hands a worker on to whatever job comes next. Tasks that keep nothing themselves call
+    ``let_go``, so that an operator does not pay for the memory of another one.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drop what the worker keeps."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contestry.llm.common import carried, texts_of
+from contestry.llm.common import carried, let_go, texts_of
 from contestry.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -187,6 +187,7 @@ def fit_languages(
     ).where(F.col("_lang").isNotNull())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sums: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -303,6 +304,7 @@ def identify(
     texts = texts_of(docs, id_col, text_col, carry)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         pieces, languages, probabilities = shared.value
         scorer = Scorer(pieces, probabilities)
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.llm.blocks import link_rows
-from contestry.llm.common import DOCUMENT, document_key, texts_of
+from contestry.llm.common import DOCUMENT, document_key, let_go, texts_of
 from contestry.llm.components import block_pairs, connected_components
 from contestry.session import cut_lineage
 
@@ -168,6 +168,7 @@ def signatures(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """``DOCUMENT``, ``_digest`` of the word sequence and ``_bands`` of each text; two nulls without a word."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingler = Shingler(words)
         for batch in batches:
             digests, bands = [], []

@@ -13,7 +13,6 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contestry.llm.byte_bpe import REMEMBERED
-from contestry.llm.common import texts_of
+from contestry.llm.common import keep, texts_of
 from contestry.session import cut_lineage
 
 #: Pieces of a shard, about; a shard wastes less than one sequence, so one in thousands.
@@ -50,14 +49,13 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 else capacity)) for s in starts]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(tokenizer: str, pattern: str) -> Callable[[str], bytes]:
     """Ids of a text, as bytes, by a serialised byte-level tokenizer that splits by ``pattern``.
 
     Splitting first and encoding each different pre-token once gives the ids of the whole
     text, since no merge crosses pre-tokens. Added tokens of the tokenizer are found in the text
     before that, as it does itself. A tokenizer with steps besides byte letters and merges gets
-    each pre-token as a text. A Python worker keeps the function from task to task.
+    each pre-token as a text.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder, told = Tokenizer.from_str(tokenizer), json.loads(tokenizer)
@@ -126,7 +124,7 @@ def token_pieces(
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_encoder(shared.value, pattern)
+        ids_of = keep((word_encoder, shared.value, pattern), lambda: word_encoder(shared.value, pattern))
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []

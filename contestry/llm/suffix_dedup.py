@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contestry.llm.common import carried, texts_of
+from contestry.llm.common import carried, let_go, texts_of
 from contestry.session import cut_lineage
 
 LENGTH = 200
@@ -233,6 +233,7 @@ def _marked(length: int):
     """
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held: list[pd.DataFrame] = []
         size = 0
         for frame in frames:
@@ -286,6 +287,7 @@ def _kinds_of_fragments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """``_key``, ``_hash``, ``_anchor``, ``_digest``, ``_n``: each different fragment of a document."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)

@@ -7,10 +7,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from contestry.llm.packing import best_fit, crossover, cut_points, evolve, mutation, pack_documents, pack_lengths, word_encoder
+from contestry.llm.suffix_dedup import remove_repeats
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -91,3 +93,20 @@ def test_words_through_the_merges(changed):
     for _ in range(300):
         text = "".join(draw.choices([*letters, "the", " The", "  ", "\r\n"], k=draw.randrange(60)))
         assert np.frombuffer(ids_of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_let_go_of_the_encoder(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "'the text' AS text").repartition(64)
+
+    def counted(batches):
+        from contestry.llm import common
+
+        for batch in batches:
+            kept = [sum(key[0].__name__ == "word_encoder" for key in common._kept)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["n"])
+
+    keeping = lambda: docs.mapInArrow(counted, "n long").groupBy().sum("n").head()[0]
+    assert pack_documents(docs, PATH, P.PATTERN).count() == 64
+    assert keeping() > 0
+    assert remove_repeats(docs).count() == 64
+    assert keeping() == 0
