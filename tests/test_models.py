@@ -160,6 +160,24 @@ def test_calibration_maps_are_fitted_on_all_rows(spark):
         assert told[p] == pytest.approx(hits / n, abs=1e-9)
 
 
+def test_training_calibrates_on_the_whole_validation_part(spark):
+    """An isotonic map keeps the mean of the rows it was fitted on, so it tells which those were."""
+    draws = [F.pmod(F.hash("id", F.lit(i)), F.lit(1000)) for i in range(2)]
+    label = F.when(draws[1] < 300 + draws[0] / 4, CLASSES[0]).when(draws[1] < 700, CLASSES[1]).otherwise(CLASSES[2])
+    rows = spark.range(300_000).select(
+        F.col("id").alias("match_id"), F.date_from_unix_date((F.col("id") % 5000).cast("int")).alias("date"),
+        label.alias("target_class"), draws[0].cast("double").alias("elo_diff"),
+    )
+    run = train(rows, candidates=["elo_diff"], val_fraction=0.8, test_fraction=0.1)
+    late = rows.filter("date > date_from_unix_date(499) AND date <= date_from_unix_date(4499)")
+    scored = run.base.transform(late)
+    for p, name, fitted in zip(PROBABILITIES, CLASSES, run.model.maps):
+        told = fitted.apply(scored, p, "_told").agg(
+            F.avg("_told"), F.avg((F.col("target_class") == name).cast("double")), F.count(F.lit(1))
+        ).first()
+        assert told[2] == 240_000 and told[0] == pytest.approx(told[1], abs=1e-9)
+
+
 def test_boosting(features):
     out = fit_boosted(features, ["elo_diff", "form_5_diff"], max_iter=5).transform(features)
     assert_distribution(out, 900)
