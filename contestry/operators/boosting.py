@@ -3,20 +3,23 @@
 All classes share one softmax: a round adds one small tree per class, fitted to the same
 gradients. Rows are binned once, those alike in class and all bins become one with a count, and
 written; a level of all trees of a round is one grouped sum over (class, node, input, bin), whose
-size depends on inputs and bins but not on rows. Tasks sum with numpy. A missing value takes the
-side that gains more, and leaves are shrunk by an L2 penalty.
+size depends on inputs and bins but not on rows. Tasks sum with numpy, over blocks of rows that are
+kept from job to job. A missing value takes the side that gains more, and leaves are shrunk by an L2
+penalty. Scoring takes whole columns through the trees with numpy.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,49 +30,92 @@ from contestry.operators.scoring import with_label_index
 from contestry.schemas import CLASSES, PROBABILITIES, DataQualityError
 from contestry.session import cut_lineage
 
-#: Rounds whose trees are pending before the rows are written with their new margins.
-ROUNDS_A_WRITE = 10
+#: Rounds whose trees are pending before the margins of the blocks include them, and how many times
+#: that is done without writing the rows with their margins after the first time.
+ROUNDS_A_MOVE, MOVES_A_WRITE = 10, 10
 #: A leaf needs so many rows, and a split so much gain.
 LEAF_ROWS, LEAST_GAIN = 20, 1e-7
 #: Rounds without a better held-out loss after which boosting stops.
 PATIENCE = 10
 #: Rows that are worth a task, and the tasks whose histograms are added without a shuffle.
 ROWS_A_TASK, FEW_TASKS = 20_000, 16
-#: Cells of the histograms.
-CELLS = [(c, pa.int32()) for c in ("k", "node", "i", "b")] + [(c, pa.float64()) for c in "ghn"]
-CELLS_DDL = "k int, node int, i int, b int, g double, h double, n double"
-TREES = "array<struct<splits: array<struct<input: int, cut: double, missing_right: boolean>>, leaves: array<double>>>"
+#: The cut of a split that sends no known value to the right.
+NO_CUT = float(np.finfo(float).max)
 
 
-def _descend(tree: Column, inputs: Column, levels: int) -> Column:
-    """The node that a row reaches after some levels; node i has the children 2i + 1 and 2i + 2."""
+def _walker(depth: int):
+    """A function of a tree, the values of each input, and where they are missing (None: nowhere): the
+    place among the nodes of a level that each row reaches. Node i has the children 2i + 1 and 2i + 2.
 
-    def step(node: Column, _: Column) -> Column:
-        split = F.get(tree["splits"], node)
-        value = F.get(inputs, split["input"])
-        right = F.when(value.isNull(), split["missing_right"]).otherwise(value > split["cut"])
-        return 2 * node + 1 + right.cast("int")
-
-    if not levels:
-        return F.lit(0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step)
-
-
-def _literal(trees: Sequence[dict]) -> Column:
-    """Trees as a constant column."""
-    return F.from_json(F.lit(json.dumps(list(trees))), TREES)
-
-
-def _grown(start: Column, trees: Sequence[dict], inputs: Column, depth: int) -> Column:
-    """A margin and the leaves that a row reaches in all trees."""
-    if not trees:
-        return start
-    first = 2**depth - 1
-
-    def add(total: Column, tree: Column) -> Column:
-        return total + F.get(tree["leaves"], _descend(tree, inputs, depth) - first)
+    Nested, so that a worker needs no package.
+    """
 
-    return F.aggregate(_literal(trees), start, add)
+    def walk(tree: tuple, own: Sequence[np.ndarray], absent: Sequence, levels: int = depth) -> np.ndarray:
+        inputs, cuts, missing_right = tree[:3]
+
+        def turns_right(node: int):
+            """Whether rows at a node go right; None where no row does."""
+            if cuts[node] is None and not missing_right[node]:
+                return None
+            i = inputs[node]
+            right = None if cuts[node] is None else own[i] > cuts[node]
+            if missing_right[node] and absent[i] is not None:
+                right = absent[i] if right is None else right | absent[i]
+            return right
+
+        def below(node: int, after: int):
+            """Whether rows at a node go right so many levels later."""
+            here = turns[node]
+            if not after:
+                return here
+            left = below(2 * node + 1, after - 1)
+            if here is None:
+                return left
+            right = below(2 * node + 2, after - 1)
+            if left is None or right is None:
+                return left if right is left else here & right if left is None else left & ~here
+            return left ^ (here & (left ^ right))
+
+        turns = [turns_right(node) for node in range(2**levels - 1)]
+        place = np.zeros(len(own[0]), np.uint8 if levels < 8 else np.int64)
+        for level in range(levels):
+            place <<= 1
+            right = below(0, level)
+            if right is not None:
+                place |= right
+        return place
+
+    return walk
+
+
+def _columns_of(tree: dict, cut_of) -> tuple:
+    """Inputs, cuts (None: nothing is above), missing goes right, and leaves of a tree."""
+    splits = tree["splits"]
+    return (
+        [x["input"] for x in splits], [cut_of(x) for x in splits],
+        [x["missing_right"] for x in splits], np.array(tree["leaves"], float),
+    )
+
+
+def _margins(start: Sequence[float], trees: Sequence[Sequence[dict]], depth: int):
+    """The margins of a row, as a function of its inputs; NaN is missing like null."""
+    walk = _walker(depth)
+    # No cut means no split; where the missing go right NO_CUT stays one, since infinity is above it.
+    cut_of = lambda x: None if x["cut"] == NO_CUT and not x["missing_right"] else x["cut"]
+    ready = [[_columns_of(tree, cut_of) for tree in own] for own in trees]
+
+    @F.pandas_udf(", ".join(f"m{k} double" for k in range(len(start))))
+    def margins(*columns: pd.Series) -> pd.DataFrame:
+        own = [c.to_numpy(np.float64) for c in columns]
+        absent = [np.isnan(x) for x in own]
+        absent = [x if x.any() else None for x in absent]
+        out = [np.full(len(own[0]), s) for s in start]
+        for total, several in zip(out, ready):
+            for tree in several:
+                total += tree[3][walk(tree, own, absent)]
+        return pd.DataFrame({f"m{k}": total for k, total in enumerate(out)})
+
+    return margins
 
 
 def _softmax(margins: Sequence[Column]) -> list[Column]:
@@ -78,11 +124,6 @@ def _softmax(margins: Sequence[Column]) -> list[Column]:
     return [p / sum(parts[1:], parts[0]) for p in parts]
 
 
-def _inputs(features: Sequence[str]) -> Column:
-    """The inputs of a row as one array; NaN is missing like null."""
-    return F.array(*[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")) for f in features])
-
-
 @dataclass
 class BoostedModel:
     """One list of trees for each class that was seen, over shared margins."""
@@ -96,13 +137,9 @@ class BoostedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add the three probability columns; a class never seen has none."""
         kept = [c for c in df.columns if c not in PROBABILITIES]
-        out = df.select(*kept).withColumn("_x", _inputs(self.features))
-        names = [f"_margin_{k}" for k in self.seen]
-        margins = [
-            _grown(F.lit(s), trees, F.col("_x"), self.depth) for s, trees in zip(self.start, self.trees)
-        ]
-        out = out.withColumns(dict(zip(names, margins)))
-        share = dict(zip(self.seen, _softmax([F.col(n) for n in names])))
+        grown = _margins(self.start, self.trees, self.depth)
+        out = df.select(*kept).withColumn("_margins", grown(*[F.col(f"`{f}`").cast("double") for f in self.features]))
+        share = dict(zip(self.seen, _softmax([F.col("_margins")[f"m{i}"] for i in range(len(self.seen))])))
         parts = clip_normalize([share.get(k, F.lit(0.0)) for k in range(len(CLASSES))])
         return out.withColumns(dict(zip(PROBABILITIES, parts))).select(*kept, *PROBABILITIES)
 
@@ -149,45 +186,77 @@ def _best_split(cells: dict[int, np.ndarray], l2: float) -> tuple | None:
 
 
 def _reader(cuts: Sequence[Sequence[float]], n_classes: int, depth: int):
-    """Functions of a batch of rows: their bins, the nodes they reach, and their margins.
+    """Functions of rows: the blocks of a batch, and margins with further trees.
 
-    Nested, so that a worker needs no package. A tree splits at a cut, hence between two bins.
+    Nested, so that a worker needs no package. A block holds class, held out, count, the bins of
+    each input and the margins. A tree splits at a cut, hence between two bins.
     """
+    walk = _walker(depth)
 
     def by_bins(tree: dict) -> tuple:
-        splits = [(x["input"], bisect_left(cuts[x["input"]], x["cut"]), x["missing_right"]) for x in tree["splits"]]
-        kinds = (np.int64, np.int64, bool)
-        return (*[np.array(c, kind) for c, kind in zip(zip(*splits), kinds)], np.array(tree["leaves"]))
-
-    def bins_of(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("_b").flatten().to_numpy().reshape(batch.num_rows, len(cuts))
-
-    def reached(bins: np.ndarray, tree: tuple, levels: int) -> np.ndarray:
-        inputs, cut, missing, _ = tree
-        node, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(levels):
-            own = bins[row, inputs[node]]
-            node = 2 * node + 1 + np.where(own < 0, missing[node], own > cut[node])
-        return node
-
-    def margins_of(batch: pa.RecordBatch, bins: np.ndarray, pending: list) -> np.ndarray:
-        out = np.array([batch.column(f"_m{k}").to_numpy() for k in range(n_classes)])
-        for k, own in enumerate(pending):
+        def cut_of(split: dict):
+            at = bisect_left(cuts[split["input"]], split["cut"])
+            return at if at < len(cuts[split["input"]]) else None
+
+        return _columns_of(tree, cut_of)
+
+    def block_of(batch: pa.RecordBatch) -> tuple:
+        bins = batch.column("_b").flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+        margins = [batch.column(f"_m{k}").to_numpy() for k in range(n_classes)]
+        held = batch.column("_held_out").to_numpy(zero_copy_only=False)
+        own, many = (batch.column(c).to_numpy() for c in ("_class", "_w"))
+        return own, held, many, np.ascontiguousarray(bins.T), np.array(margins)
+
+    def absent_of(bins: np.ndarray) -> list:
+        return [x if x.any() else None for x in bins < 0]
+
+    def margins_of(block: tuple, pending: list) -> np.ndarray:
+        bins, out = block[3], np.array(block[4])
+        absent = absent_of(bins)
+        for total, own in zip(out, pending):
             for tree in own:
-                out[k] += tree[3][reached(bins, tree, depth) - (2**depth - 1)]
+                total += tree[3][walk(tree, bins, absent)]
         return out
 
-    return by_bins, bins_of, reached, margins_of
+    def places_of(block: tuple, tree: tuple, level: int) -> np.ndarray:
+        """Which node of a level a row reaches, counted from 0."""
+        return walk(tree, block[3], absent_of(block[3]), level).astype(np.int64)
+
+    return by_bins, block_of, margins_of, places_of
+
+
+def _blocks(table: DataFrame, reader) -> RDD:
+    """The rows as blocks of numpy arrays, kept from job to job.
+
+    The jobs of a fit are many and short: planning a query for each took longer than its sums. A
+    block that is lost is made again from the written table.
+    """
+    _, block_of, _, _ = reader
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block_of(batch))], pa.binary())], ["block"])
+
+    blocks = table.mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _advanced(blocks: RDD, reader, trees: Sequence[Sequence[dict]]) -> RDD:
+    """The blocks with margins that include the given trees of each class."""
+    by_bins, _, margins_of, _ = reader
+    pending = [[by_bins(t) for t in own] for own in trees]
+    moved = blocks.map(lambda block: (*block[:4], margins_of(block, pending)))
+    return moved.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _moved(reader, trees: Sequence[Sequence[dict]], schema: pa.Schema):
     """The rows with margins that include the given trees of each class."""
-    by_bins, bins_of, _, margins_of = reader
+    by_bins, block_of, margins_of, _ = reader
     pending = [[by_bins(t) for t in own] for own in trees]
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = margins_of(batch, bins_of(batch), pending)
+            margins = margins_of(block_of(batch), pending)
             kept = [batch.column(c) for c in schema.names[: -len(margins)]]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, margins)], schema=schema)
 
@@ -195,52 +264,43 @@ def _moved(reader, trees: Sequence[Sequence[dict]], schema: pa.Schema):
 
 
 def _slopes(reader, trees: Sequence[Sequence[dict]], grown: Sequence[dict], level: int, sizes: Sequence[int]):
-    """Sums by (class, node, input, bin) over the rows fitted, and the held-out loss as class -1.
+    """Sums over the blocks of a task: the held-out loss and its rows, then for each class and input
+    gradient, curvature and rows by (node, bin), the missing last; all in one array.
 
-    Gradient and curvature are those of the log loss; a row stands for ``_w`` rows alike.
+    Gradient and curvature are those of the log loss; a row stands for as many rows alike.
     """
-    by_bins, bins_of, reached, margins_of = reader
+    by_bins, _, margins_of, places_of = reader
     pending, growing = [[by_bins(t) for t in own] for own in trees], [by_bins(t) for t in grown]
-    first, nodes, schema = 2**level - 1, 2**level, pa.schema(CELLS)
+    nodes = 2**level
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {(k, i): np.zeros((3, nodes * (n + 1))) for k in range(len(growing)) for i, n in enumerate(sizes)}
+    def total(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
+        sums = [[np.zeros((3, nodes * (n + 1))) for n in sizes] for _ in growing]
         loss = np.zeros(2)
-        for batch in batches:
-            bins = bins_of(batch)
-            margins = margins_of(batch, bins, pending)
+        for block in blocks:
+            margins = margins_of(block, pending)
             shares = np.exp(margins - margins.max(axis=0))
             shares /= shares.sum(axis=0)
-            own, many = (batch.column(c).to_numpy() for c in ("_class", "_w"))
-            held = batch.column("_held_out").to_numpy(zero_copy_only=False)
-            lost = -np.log(np.maximum(shares[own, np.arange(len(own))], 1e-15)) * many
-            loss += lost[held].sum(), many[held].sum()
-            fit = ~held
-            bins, shares, own, many = bins[fit], shares[:, fit], own[fit], many[fit]
+            own, held, many, bins, _ = block
+            if level == 0:
+                lost = -np.log(np.maximum(shares[own, np.arange(len(own))], 1e-15)) * many
+                loss += lost[held].sum(), many[held].sum()
+            many = np.where(held, 0.0, many)
+            slots = [np.where(b < 0, n, b) for b, n in zip(bins, sizes)]
             for k, tree in enumerate(growing):
-                place = reached(bins, tree, level) - first
-                p = shares[k]
+                place, p = places_of(block, tree, level), shares[k]
                 weights = ((p - (own == k)) * many, p * (1 - p) * many, many)
-                for i, n in enumerate(sizes):
-                    cell = place * (n + 1) + np.where(bins[:, i] < 0, n, bins[:, i])  # the missing come last
-                    for line, weight in zip(sums[k, i], weights):
-                        line += np.bincount(cell, weight, len(line))
-        columns = [np.array([-1]), np.zeros(1), np.zeros(1), np.zeros(1), loss[:1], np.zeros(1), loss[1:]]
-        parts = [columns] if loss[1] else []
-        for (k, i), (g, h, n) in sums.items():
-            at = np.flatnonzero(n)
-            same = np.ones(len(at))
-            parts.append([k * same, first + at // (sizes[i] + 1), i * same, at % (sizes[i] + 1), g[at], h[at], n[at]])
-        if parts:
-            arrays = [pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts), schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                for line, slot, n in zip(sums[k], slots, sizes):
+                    cell = place * (n + 1) + slot
+                    for part, weight in zip(line, weights):
+                        part += np.bincount(cell, weight, len(part))
+        yield np.concatenate([loss, *[line.ravel() for lines in sums for line in lines]])
 
     return total
 
 
 def _blank(depth: int) -> dict:
     """A tree without splits: every row goes left, every leaf adds nothing."""
-    split = {"input": 0, "cut": float(np.finfo(float).max), "missing_right": False}
+    split = {"input": 0, "cut": NO_CUT, "missing_right": False}
     return {"splits": [dict(split) for _ in range(2**depth - 1)], "leaves": [0.0] * 2**depth}
 
 
@@ -293,15 +353,23 @@ def fit_boosted(
     tasks = -(-max(1, table.count()) // ROWS_A_TASK)
     table = table.coalesce(tasks)
     reader = _reader(cuts, len(seen), max_depth)
+    blocks = _blocks(table, reader)
     trees: list[list[dict]] = [[] for _ in seen]
-    least, best_round, written = math.inf, 0, 0
+    least, best_round, moved, written, stale = math.inf, 0, 0, 0, None
     for turn in range(max_iter + 1):
-        pending = [own[written:] for own in trees]
-        if turn - written == ROUNDS_A_WRITE:
-            move = _moved(reader, pending, to_arrow_schema(table.schema))
-            table, written = cut_lineage(table.mapInArrow(move, table.schema)).coalesce(tasks), turn
-            pending = [[] for _ in seen]
-        loss, grown = _one_round(table, reader, pending, cuts, max_depth, step, l2)
+        pending = [own[moved:] for own in trees]
+        if turn - moved == ROUNDS_A_MOVE:
+            stale = blocks
+            if moved % (ROUNDS_A_MOVE * MOVES_A_WRITE) == 0:
+                move = _moved(reader, [own[written:] for own in trees], to_arrow_schema(table.schema))
+                table, written = cut_lineage(table.mapInArrow(move, table.schema)).coalesce(tasks), turn
+                blocks = _blocks(table, reader)
+            else:
+                blocks = _advanced(blocks, reader, pending)
+            pending, moved = [[] for _ in seen], turn
+        loss, grown = _one_round(blocks, reader, pending, cuts, max_depth, step, l2)
+        if stale is not None:
+            stale, _ = None, stale.unpersist()
         if loss is not None:
             if loss < least - 1e-7:
                 least, best_round = loss, turn
@@ -313,40 +381,46 @@ def fit_boosted(
             break
         for own, tree in zip(trees, grown):
             own.append(tree)
+    blocks.unpersist()
     return BoostedModel(list(features), max_depth, seen, start, [own[:best_round] for own in trees])
 
 
-def _one_round(table: DataFrame, reader, pending: Sequence[Sequence[dict]], cuts, depth: int, step: float, l2: float):
+def _summed(parts: RDD) -> np.ndarray:
+    """The sum of one array a task; the driver adds those of a few tasks."""
+    if parts.getNumPartitions() > FEW_TASKS:
+        return parts.treeReduce(lambda x, y: x + y)
+    return np.sum(parts.collect(), axis=0)
+
+
+def _one_round(blocks: RDD, reader, pending: Sequence[Sequence[dict]], cuts, depth: int, step: float, l2: float):
     """The held-out loss before the round (None: no such rows) and a tree per class.
 
     The trees are None where no class has a split left.
     """
     trees, loss, split_any = [_blank(depth) for _ in pending], None, False
     live, sizes = {(k, 0) for k in range(len(pending))}, [len(known) + 1 for known in cuts]
-    tasks = table.rdd.getNumPartitions()
     for level in range(depth):
-        parts = table.mapInArrow(_slopes(reader, pending, trees, level, sizes), CELLS_DDL)
-        if tasks > FEW_TASKS:
-            parts = parts.groupBy("k", "node", "i", "b").agg(*[F.sum(c).alias(c) for c in "ghn"])
-        found = parts.toArrow()
-        read = {c: found.column(c).to_numpy() for c in found.column_names}
-        held = read["k"] < 0
-        if level == 0 and held.any():
-            loss = float(read["g"][held].sum() / read["n"][held].sum())
-        cells: dict[tuple, dict[int, np.ndarray]] = {}
-        for k, node in live:
+        found = _summed(blocks.mapPartitions(_slopes(reader, pending, trees, level, sizes)))
+        if level == 0 and found[1]:
+            loss = float(found[0] / found[1])
+        nodes, at = 2**level, 2
+        cells: dict[tuple, dict[int, np.ndarray]] = {own: {} for own in sorted(live)}
+        for k in range(len(pending)):
             for i, n in enumerate(sizes):
-                at = (read["k"] == k) & (read["node"] == node) & (read["i"] == i)
-                sums = np.zeros((n + 1, 3))  # the missing bin is the last row
-                np.add.at(sums, read["b"][at], np.stack([read[c][at] for c in "ghn"], axis=1))
-                cells.setdefault((k, node), {})[i] = sums
+                size = 3 * nodes * (n + 1)
+                sums = found[at : at + size].reshape(3, nodes, n + 1)
+                at += size
+                for node in range(nodes):
+                    own = cells.get((k, nodes - 1 + node))
+                    if own is not None:
+                        own[i] = sums[:, node].T  # the missing bin is the last row
         live = set()
         for (k, node), own in cells.items():
             best = _best_split(own, l2)
             if best is None:
                 continue
             _, i, at, right, *sides = best
-            cut = cuts[i][at] if at < len(cuts[i]) else float(np.finfo(float).max)
+            cut = cuts[i][at] if at < len(cuts[i]) else NO_CUT
             trees[k]["splits"][node] = {"input": i, "cut": cut, "missing_right": right}
             for child, side in zip((2 * node + 1, 2 * node + 2), sides):
                 _fill(trees[k], child, depth, float(-step * side[0] / (side[1] + l2)))

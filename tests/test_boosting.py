@@ -126,3 +126,65 @@ def test_rows_alike_are_one_with_a_count(spark):
         key = tuple(round(x / sum(e), 5) for x in e)
         told[key] = told.get(key, 0) + n
     assert {tuple(round(r[p], 5) for p in PROBABILITIES) for r in shares.collect()} == set(told)
+
+
+def test_kept_blocks_give_the_trees_of_written_rows(spark):
+    """How often margins move into the blocks or are written changes no tree, and few tables are written."""
+    df = spark.createDataFrame(rows_of(800), SCHEMA)
+    models, written = [], []
+
+    def watched(table):
+        written[-1] += "_w" in table.columns
+        return cut_lineage(table)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "cut_lineage", watched)
+        for rounds, moves in ((10, 10), (2, 2), (100, 1)):
+            patch.setattr(boosting, "ROUNDS_A_MOVE", rounds)
+            patch.setattr(boosting, "MOVES_A_WRITE", moves)
+            written.append(0)
+            models.append(fit_boosted(df, ["x", "y"], max_iter=23, max_depth=2, step=0.1))
+        patch.setattr(boosting, "FEW_TASKS", 1)
+        patch.setattr(boosting, "ROWS_A_TASK", 100)
+        written.append(0)
+        models.append(fit_boosted(df, ["x", "y"], max_iter=23, max_depth=2, step=0.1))
+    assert written[0] == 2  # binned, and with the margins of ten rounds, though twenty were moved
+    for model in models[1:]:
+        assert [len(own) for own in model.trees] == [len(own) for own in models[0].trees]
+        for own, others in zip(model.trees, models[0].trees):
+            for tree, other in zip(own, others):
+                assert tree["splits"] == other["splits"]
+                assert tree["leaves"] == pytest.approx(other["leaves"], abs=1e-9)
+
+
+def test_scores_are_those_of_a_walk_row_by_row(spark):
+    """Trees of all shapes over nulls, NaN and infinities; the trees are no expressions of the plan."""
+    draw = random.Random(5)
+    trees = []
+    for _ in CLASSES:
+        trees.append([boosting._blank(3) for _ in range(4)])
+        for tree in trees[-1]:
+            tree["leaves"] = [draw.gauss(0, 1) for _ in tree["leaves"]]
+            tree["splits"] = [
+                {"input": draw.randrange(2), "cut": draw.choice([-0.5, 0.0, 0.5, 1e308]), "missing_right": draw.random() < 0.5}
+                for _ in tree["splits"]
+            ]
+    model = boosting.BoostedModel(["x", "y"], 3, [0, 1, 2], [0.1, 0.2, 0.3], trees)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, 0.5]
+    values = [(x, y) for x in odd for y in odd] + [(draw.gauss(0, 1), draw.gauss(0, 1)) for _ in range(40)]
+    df = spark.createDataFrame([(i, CLASSES[0], x, y) for i, (x, y) in enumerate(values)], SCHEMA)
+    told = model.transform(df)
+    assert "aggregate(" not in told._jdf.queryExecution().optimizedPlan().toString()
+    for row in told.collect():
+        margins = []
+        for start, own in zip(model.start, trees):
+            for tree in own:
+                node = 0
+                while node < 7:
+                    split = tree["splits"][node]
+                    value = values[row.match_id][split["input"]]
+                    missing = value is None or math.isnan(value)
+                    node = 2 * node + 1 + (split["missing_right"] if missing else value > split["cut"])
+                start += tree["leaves"][node - 7]
+            margins.append(math.exp(start))
+        assert [row[p] for p in PROBABILITIES] == pytest.approx([m / sum(margins) for m in margins], abs=1e-9)
