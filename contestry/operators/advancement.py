@@ -30,9 +30,9 @@ from contestry.operators.standings import (
     with_derived,
 )
 from contestry.schemas import CLASSES, PROBABILITIES, STAGES
-from contestry.session import cut_lineage
+from contestry.session import cut_lineage, spread
 
-# Contests of one team whose draws are held at once.
+# Contests whose draws are held at once.
 ROWS_AT_ONCE = 2_000
 # Winners, runners-up and thirds: later places of a group are not read.
 LAST_PLACE = 3
@@ -90,8 +90,8 @@ def _below(share: Column) -> Column:
     return F.when(F.isnan(share), above).otherwise(F.when(share.isNull(), 0).otherwise(whole)).cast("bigint")
 
 
-def _tally(keys: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
-    """Won and drawn contests of each key in every replicate, over rows sorted by the keys."""
+def _draws(kept: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
+    """The outcome of each contest in all replicates, a bit for each: won by either side, drawn."""
     heads, at_once = head_drawer(), ROWS_AT_ONCE
     prefixes: dict[int, list[bytes]] = {}
     for r in range(replicates):
@@ -107,15 +107,32 @@ def _tally(keys: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
             out[at] = np.hstack([heads(some, data) for some in prefixes.values()])
         return out
 
-    def tallied(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        head = drawn(rows)
-        low, high, second = (
-            rows.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("_low", "_high", "_second")
-        )
-        first = head < low
-        level = ~first & (head < high)
-        won = np.where(second, ~first & ~level, first)
-        return tuple(np.add.reduceat(x, starts, axis=0, dtype=np.int64) for x in (won, level))
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                rows = batch.slice(at, at_once)
+                head = drawn(rows)
+                low, high = (rows.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("_low", "_high"))
+                first = head < low
+                level = ~first & (head < high)
+                bits = [np.packbits(x, axis=1) for x in (first, ~first & ~level, level)]
+                columns = [rows.column(c) for c in kept] + [pa.array([x.tobytes() for x in each], pa.binary()) for each in bits]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return draw
+
+
+def _tally(keys: Sequence[str], replicates: int, schema: pa.Schema):
+    """Won and drawn contests of each key in every replicate, over rows sorted by the keys."""
+    at_once = ROWS_AT_ONCE
+
+    def tallied(rows: pa.RecordBatch, starts: np.ndarray) -> list[np.ndarray]:
+        sums = []
+        for c in ("_won", "_level"):
+            bits = np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            flags = np.unpackbits(bits, axis=1, count=replicates)
+            sums.append(np.add.reduceat(flags, starts, axis=0, dtype=np.int64))
+        return sums
 
     def told(run: pa.RecordBatch, played, won, level) -> pa.RecordBatch:
         records = pa.StructArray.from_arrays([won.ravel(), level.ravel()], ["won", "drawn"])
@@ -159,10 +176,9 @@ def drawn_records(
 ) -> DataFrame:
     """:func:`drawn_table` of all replicates, without a row for each draw.
 
-    The two sides of a contest go to their teams once, with its shares. There each replicate is
-    drawn as :func:`draw_outcomes` does and counted at once, so what is shuffled grows with the
-    contests, and only the records with the replicates. A team above ``limit`` contests is dealt
-    into pieces.
+    All replicates of a contest are drawn at once, as :func:`draw_outcomes` does. Its two sides go
+    to their teams with two bits for each replicate and are counted there, so the rows shuffled are
+    as many as the sides. A team above ``limit`` contests is dealt into pieces.
     """
     if replicates <= 0:
         raise ValueError(f"the number of replicates must be positive, got {replicates}")
@@ -176,17 +192,21 @@ def drawn_records(
         *keys, "team_a", "team_b", F.coalesce(F.col("match_id").cast("string"), F.lit("\\N")).alias("_text"),
         _below(a / checked).alias("_low"), _below((a + d) / checked).alias("_high"),
     )
-    sides = F.array(*[
-        F.struct(F.col(f"team_{s}").alias("team"), F.lit(s == "b").alias("_second")) for s in "ab"
-    ])
-    each = shares.select(*keys, "_text", "_low", "_high", F.inline(sides))
-    pieces = pieces_needed(each.groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("_n")), "_n", limit)
+    teams = F.explode(F.array("team_a", "team_b")).alias("team")
+    pieces = pieces_needed(shares.select(*keys, teams).groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("_n")), "_n", limit)
+    # Drawn before the sides part, so a contest is drawn once.
+    kept = [*keys, "team_a", "team_b", "_piece"]
+    shares = spread(shares.withColumn("_piece", F.pmod(F.xxhash64("_text"), F.lit(pieces)).cast("int")))
+    bits = [T.StructField(c, T.BinaryType()) for c in ("_a", "_b", "_level")]
+    outcomes = T.StructType([*[shares.schema[c] for c in kept], *bits])
+    drawn = shares.mapInArrow(_draws(kept, replicates, seed, to_arrow_schema(outcomes)), outcomes)
+    sides = F.array(*[F.struct(F.col(f"team_{s}").alias("team"), F.col(f"_{s}").alias("_won")) for s in "ab"])
     by = [*keys, "team", "_piece"]
-    each = each.withColumn("_piece", F.pmod(F.xxhash64("_text"), F.lit(pieces)).cast("int"))
+    each = drawn.select(*keys, "_piece", "_level", F.inline(sides))
     fields = [each.schema[c] for c in by]
     record = T.StructType([T.StructField(c, T.LongType()) for c in ("won", "drawn")])
     out = T.StructType([*fields, T.StructField("played", T.LongType()), T.StructField("_records", T.ArrayType(record))])
-    tally = _tally(by, replicates, seed, to_arrow_schema(out))
+    tally = _tally(by, replicates, to_arrow_schema(out))
     told = each.repartition(*by).sortWithinPartitions(*by).mapInArrow(tally, out)
     counts = ["played", "won", "drawn"]
     if pieces > 1:

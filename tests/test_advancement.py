@@ -136,3 +136,12 @@ def test_draws_are_no_rows_of_a_shuffle(spark, field):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text
     assert "Exchange" not in text[: text.index("Generate")]  # the copies come after the last shuffle
+
+
+def test_a_contest_is_drawn_once(spark, field):
+    """Its two sides part after the draws, not before."""
+    members, fixtures = field
+    plan = drawn_records(members.select("group", "team"), forecast(members, fixtures), [], 9, 1)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 2  # draws, and what the teams count
+    assert text.rindex("Generate") < text.rindex("MapInArrow")
